@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quality", "packing", "suffix_dedup", "phrase_dedup")
+MODULES = ("quality", "decontamination", "packing", "suffix_dedup", "phrase_dedup", "near_dup", "toxicity")
 
 
 def _modules():
