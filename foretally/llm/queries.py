@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quality", "decontamination", "packing", "suffix_dedup", "phrase_dedup", "near_dup", "toxicity")
+MODULES = ("pii", "token_counts", "quality", "licences", "decontamination", "packing", "suffix_dedup", "phrase_dedup", "near_dup", "toxicity")
 
 
 def _modules():
