@@ -75,6 +75,8 @@ class Stretches(NamedTuple):
 def stretches(hashes: np.ndarray, bounds: np.ndarray, scheme: Scheme) -> Stretches:
     """The stretches of each row: first window (counted from the row's start), number of windows, anchor hash, fingerprint."""
     k, q, found = scheme.window, scheme.gram, []
+    rows = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    last = np.repeat(bounds[1:] - k, np.diff(bounds))
     for a in range(0, max(1, len(hashes) - k + 1), RANGE):
         part = hashes[a : a + RANGE + k - 1]
         n = len(part)
@@ -83,8 +85,8 @@ def stretches(hashes: np.ndarray, bounds: np.ndarray, scheme: Scheme) -> Stretch
         prefix = K.Prefix(part)
         grams = prefix.grams(q)
         least = K.sliding_min((grams & ~_MASK) | np.arange(len(grams), dtype=np.uint64), k - q + 1)
-        row = np.searchsorted(bounds, np.arange(a, a + n - k + 1), "right") - 1
-        at = np.flatnonzero(bounds[row + 1] - np.arange(a, a + n - k + 1) >= k)
+        row = rows[a : a + n - k + 1]
+        at = np.flatnonzero(last[a : a + n - k + 1] >= np.arange(a, a + n - k + 1))
         if not len(at):
             continue
         anchor = (least[at] & _MASK).astype(np.int64)

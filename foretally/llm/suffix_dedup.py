@@ -42,7 +42,7 @@ def sorted_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
         key |= padded[j : j + n] << np.uint64(56 - 8 * j)
     have = 8
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         s = key[order]
         rank = np.empty(n, np.uint64)
         rank[order] = np.cumsum(np.append(False, s[1:] != s[:-1])).astype(np.uint64)
