@@ -5,9 +5,9 @@ from __future__ import annotations
 import re
 
 from foretally.functions.numeric import NUDGE
-from foretally.plans import comparison, forecasting, ledger, protocols, texts
+from foretally.plans import comparison, forecasting, ledger, protocols, records, texts
 
-_PLANS = (forecasting, comparison, ledger, texts, protocols)
+_PLANS = (forecasting, comparison, ledger, texts, records, protocols)
 
 
 def nudged(sql: str) -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from foretally.functions import numeric as N
 from foretally.functions import text as T
-from foretally.operators import forecast, ledger, metrics, protocol, series, stats, summary, taxonomy, transcripts
+from foretally.operators import forecast, ledger, metrics, protocol, records, series, stats, summary, taxonomy, transcripts
 from foretally.sources import tables
 
 
@@ -183,6 +183,17 @@ def test_failure_rules(spark):
     assert one(lambda c: transcripts.csv_path_fixed(c, "in.csv"), "pd.read_csv('a.csv', sep=';')") == "pd.read_csv(r'in.csv', sep=';')"
 
 
+def test_records(spark):
+    one = lambda e, x: values(spark, e(F.col("x")), [(x,)], "x string")[0]
+    turns = lambda c: records.chat_turns(c, records.chat_header(c))
+    assert one(turns, "you asked\na\nClaude response\none\n\ntwo\nyou asked\nb\nclaude RESPONSE\nthree") == ["one\n\ntwo", "three"]
+    assert one(turns, "no header") == [] and one(turns, None) == []
+    assert one(records.first_response, "x\ngrok response\nyes\nyou asked\nno") == "yes" and one(records.first_response, "plain") == "plain"
+    assert one(records.model_category, "Holt-Winters") == "Statistical" and one(records.model_category, "sarimax + x") == "Statistical" and one(records.model_category, "") == ""
+    assert one(lambda c: records.file_parts(c)[5], "Part2-A-S1-Base-L-Run3") == "3" and one(lambda c: records.file_parts(c)[3], "Part2-A") == "NA"
+    assert one(records.extra_text, "import x") is False
+
+
 def test_summaries_skip_nan(spark):
     got = spark.createDataFrame([(1.0,), (float("nan"),), (None,)], "x double").agg(*summary.metric_stats(F.col("x"), "x")).first()
     assert (got["x_count"], got["x_mean"], got["x_std"]) == (1, 1.0, 0.0)
