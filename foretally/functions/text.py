@@ -128,8 +128,8 @@ def first_list(text: Column) -> Column:
 
 
 def last_list(text: Column) -> Column:
-    found = F.filter(F.transform(list_literals(text), number_list), lambda v: v.isNotNull())
-    return F.try_element_at(found, F.lit(-1))
+    """The list of numbers that ends at the last bracket; null if that closes anything else, as a nested list."""
+    return number_list(F.regexp_extract(plain_literal(text), r"(\[[^\[\]]++\])[^\]]*+\z", 1))
 
 
 # --- JSON ----------------------------------------------------------------------------------
