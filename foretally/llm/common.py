@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: A table below this many bytes may be sent to every task.
 BROADCAST_BYTES = 8 << 20
+#: Rows of a broadcast of large groups at most, and the rows that a group must have to be one.
+HOT_ROWS, HOT_LEAST = 2000, 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +36,20 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def beside(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, each: int = 1) -> DataFrame:
+    """rows, inner-joined with groups (at most `each` rows a key, with the number of its rows in column `size`).
+
+    Groups with more than each / HOT_ROWS of all rows can't have more than HOT_ROWS rows of
+    `groups` together: these are broadcast, so that the rows of a large group stay where
+    they are; the others are joined by a shuffle.  Both tables should be written ones.
+    """
+    total = groups.select(*keys, size).distinct().agg(F.sum(size)).first()[0] or 0
+    large = F.col(size) > max(HOT_LEAST, total * each / HOT_ROWS)
+    hot = groups.where(large)
+    rest = rows.join(F.broadcast(hot.select(*keys).distinct()), keys, "left_anti").join(groups.where(~large), keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(rest)
+
+
 def only(docs: DataFrame, *columns: str) -> DataFrame:
     """The named columns; rows without an id have no result and go."""
     return docs.select(*columns).where(F.col("doc_id").isNotNull())
