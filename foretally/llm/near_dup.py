@@ -9,10 +9,12 @@ documents agree in a register with their probability Jaccard similarity.
 Equal texts are folded to the one with the least id.  Registers are banded.  Within a
 bucket each text is compared, exactly (sum of least over sum of greatest counts, 0.8 or
 more), with the bucket's centre: the text that meets most others over all its bands,
-which among copies of one original is the original.  Texts unlike it get a longer
-signature of STEEP bands, in which pairs well below 0.8 hardly meet, and go on in those
-buckets with 4, 16, 64, ... centres a round, until no bucket holds more: no bucket is
-capped, and only what is left over after its centres is compared further.  Connected
+which among copies of one original is the original.  What that leaves open is any pair of its other
+texts whose classes so far differ, linked or not: all texts of a bucket with such a pair
+get a longer signature of STEEP bands, in which pairs well below 0.8 hardly meet.  In
+those buckets 4, 16, 64, ... centres a round, of the smallest classes first, are compared
+with every text of another class, until each bucket holds one class or no text: no
+bucket is capped, and only pairs whose classes are already equal go untested.  Connected
 components of the links are the classes.
 
 A pair of similarity 0.8 shares one of the first bands with probability 0.9999 and a steep
@@ -26,7 +28,6 @@ an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -188,38 +189,50 @@ def _first_round(keyed: DataFrame) -> DataFrame:
     return beside(keyed.select("key", "doc_id"), centres, ["key"], "met").where("doc_id <> centre")
 
 
+def _classed(keyed: DataFrame, roots: DataFrame) -> DataFrame:
+    """keyed with `cls`, the class so far of doc_id: the root of its links, or itself."""
+    return keyed.join(roots, keyed["doc_id"] == roots["node"], "left").withColumn("cls", F.coalesce("root", "doc_id")).drop("node", "root")
+
+
+def _unsettled(classed: DataFrame) -> DataFrame:
+    """The rows of classed (key, doc_id, cls) in buckets of two or more classes, with `met`, the size of the bucket."""
+    mixed = classed.groupBy("key").agg(F.count("*").alias("met"), F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high")
+    return beside(classed, materialise(mixed.select("key", "met"), "mixed"), ["key"], "met")
+
+
 def _steep_keys(rest: DataFrame, texts: DataFrame) -> DataFrame:
-    """Keys of the longer signature of the texts left over in a bucket of two or more."""
-    left = _with_met(rest).select("doc_id").distinct()
-    again = texts.join(left, "doc_id", "left_semi")
+    """Keys of the longer signature of the texts in rest."""
+    again = texts.join(rest.select("doc_id").distinct(), "doc_id", "left_semi")
     return again.mapInArrow(_sign_again, "doc_id long, bands array<long>").select("doc_id", F.explode(F.array_distinct("bands")).alias("key"))
 
 
-def _next_round(keyed: DataFrame, centres: int) -> DataFrame:
-    """key, doc_id, centre, met: each bucket's texts beside its `centres` least ids."""
-    rank = F.row_number().over(Window.partitionBy("key").orderBy("doc_id"))
-    top = keyed.withColumn("rank", rank).where(F.col("rank") <= centres).select("key", F.col("doc_id").alias("centre"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("met")).where("met > 1")
-    return beside(keyed, materialise(top.join(sizes, "key"), "centres"), ["key"], "met", centres).where("doc_id > centre")
+def _next_centres(keyed: DataFrame, centres: int) -> DataFrame:
+    """key, centre, c_cls, met from keyed (key, doc_id, cls, met): `centres` texts of each bucket, those of its smallest classes first."""
+    sizes = materialise(keyed.groupBy("key", "cls").agg(F.count("*").alias("n")), "sizes")
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("n", "doc_id"))
+    ranked = beside(keyed, sizes, ["key", "cls"], "n").withColumn("rank", rank).where(F.col("rank") <= centres)
+    return ranked.select("key", F.col("doc_id").alias("centre"), F.col("cls").alias("c_cls"), "met")
 
 
-def links(keyed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """a, b: the links found among texts with band keys (key, doc_id, met)."""
+def links(keyed: DataFrame, texts: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The links (a, b) found among texts with band keys (key, doc_id, met), and their components (node, root)."""
     met = materialise(_first_round(keyed), "met")
-    good = materialise(verified(met, texts), "tested").where(F.col("similarity") >= threshold).select("doc_id", "centre")
-    found = [good]
-    unlike = materialise(met.join(good, ["doc_id", "centre"], "left_anti").select("key", "doc_id"), "unlike")
-    left = materialise(_steep_keys(unlike, texts), "left")
-    centres = CENTRES
-    while not left.isEmpty():
-        met = materialise(_next_round(left, centres), "met")
-        good = materialise(verified(met, texts), "tested").where(F.col("similarity") >= threshold).select("doc_id", "centre")
-        found.append(good)
-        # in buckets that were larger: those that are neither a centre nor like one
-        large = met.where(F.col("met") > centres)
-        done = large.join(good, ["doc_id", "centre"], "left_semi").select("key", "doc_id").unionByName(large.select("key", F.col("centre").alias("doc_id")))
-        left, centres = materialise(large.select("key", "doc_id").distinct().join(done, ["key", "doc_id"], "left_anti"), "left"), CENTRES * centres
-    return reduce(DataFrame.unionByName, found).select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct()
+    good = materialise(verified(met, texts), "tested").where(F.col("similarity") >= threshold).select(F.col("doc_id").alias("a"), F.col("centre").alias("b"))
+    found, roots = good, materialise(components(good), "roots")
+    # all pairs with a bucket's centre are settled; pairs of its other texts only if they are of one class
+    rest = _unsettled(materialise(_classed(met.select("key", "doc_id"), roots), "classed"))
+    left, centres = materialise(_steep_keys(rest, texts), "left"), CENTRES
+    while True:
+        left = materialise(_unsettled(materialise(_classed(left.select("key", "doc_id"), roots), "classed")), "open")
+        if left.isEmpty():
+            return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), roots
+        top = materialise(_next_centres(left, centres), "centres")
+        met = beside(left.drop("met"), top, ["key"], "met", centres).where("cls <> c_cls").select("key", "doc_id", "centre", "met")
+        good = materialise(verified(met, texts), "tested").where(F.col("similarity") >= threshold).select(F.col("doc_id").alias("a"), F.col("centre").alias("b"))
+        if not good.isEmpty():
+            found = found.unionByName(good)
+            roots = materialise(components(found), "roots")
+        left, centres = left.join(top.select("key", F.col("centre").alias("doc_id")), ["key", "doc_id"], "left_anti"), CENTRES * centres
 
 
 def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
@@ -232,9 +245,9 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     keyed = materialise(signed.where("n_words > 0").join(texts, "doc_id", "left_semi").select("doc_id", F.explode(F.array_distinct("bands")).alias("key")).distinct(), "keys")
     keyed = materialise(_with_met(keyed).select("key", "doc_id", "met"), "buckets")
     involved = materialise(d.join(keyed.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    found = materialise(links(keyed, involved, threshold), "links")
+    found, roots = links(keyed, involved, threshold)
     degree = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    about = components(found).join(degree, "node")
+    about = roots.join(degree, "node")
     known = folded.join(about, folded["text_id"] == about["node"], "left").select(*same, "copies", "text_id", F.coalesce("root", "text_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     return beside(signed.drop("bands"), materialise(known, "classes"), same, "copies").select("doc_id", "class_id", "text_id", "n_links")
 

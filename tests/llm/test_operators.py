@@ -265,6 +265,32 @@ def test_near_dup(spark, docs):
     assert got == {i: find(i) for i in docs}
 
 
+def test_near_dup_chains(spark):
+    """Texts like a copy but not like the hub, and hubs that only a chain joins: every link counts, also between texts that other centres have linked."""
+    r = np.random.RandomState(8)
+    fresh = (f"n{i}" for i in range(10**6))
+
+    def changed(words, lo, hi):
+        return words[:lo] + [next(fresh) for _ in range(lo, hi)] + words[hi:]
+
+    hub = [next(fresh) for _ in range(1004)]
+    first = changed(hub, 0, 96)
+    second = changed(first, 450, 546)
+    other = changed(second, 908, 1004)
+    rows = [hub, first, second, other]
+    for h in (hub, other):
+        for at in r.randint(0, 1000, 250):
+            rows.append(changed(h, int(at), int(at) + 1))
+    for i in range(10):
+        copy = changed(hub, 80 * i + 150, 80 * i + 156)
+        rows += [copy, changed(copy, 896, 1004)]
+        a, b, c = (Counter(shingles(x)) for x in (copy, rows[-1], hub))
+        assert similar(a, b) >= 0.8 > similar(b, c)
+    assert similar(shingles(hub), shingles(other)) < 0.8 > similar(shingles(first), shingles(other))
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(rows)], "doc_id long, text string")
+    assert {r["class_id"] for r in near_dup.classes(docs).collect()} == {0}
+
+
 def test_registers_estimate_probability_jaccard():
     r = np.random.RandomState(6)
     x, y = r.randint(1, 2**60, 300).astype(np.uint64), r.randint(1, 9, 300)
