@@ -16,9 +16,11 @@ as separate documents; an empty table gives an empty result.
 from __future__ import annotations
 
 import base64
+import json
+import os
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
@@ -41,13 +43,20 @@ def default_vocabulary() -> str:
 
 @lru_cache(2)
 def encoder(path: str):
-    """The vocabulary of byte_bpe_50k as ranks: the same ids as its .json form, special strings being ordinary text."""
+    """Text to ids by the ranks at path and the added tokens of the .json form beside it, whose ids these are: an added token is one id wherever its string occurs."""
     import public_tokenizers
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    form, added = path.removesuffix(".tiktoken") + ".json", []
+    if os.path.exists(form):
+        with open(form, encoding="utf-8") as f:
+            added = json.load(f)["added_tokens"]
+    if any(t[rule] for t in added for rule in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError(f"added tokens of {form} aren't plain strings")
+    encoding = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={t["content"]: t["id"] for t in added})
+    return partial(encoding.encode, allowed_special="all")
 
 
 def pieces(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None, with_ids: bool = False) -> DataFrame:
@@ -55,7 +64,7 @@ def pieces(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None,
     path = vocabulary or default_vocabulary()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_ordinary
+        encode = encoder(path)
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
         for b in batches:
             rows: list[list] = [[] for _ in names]

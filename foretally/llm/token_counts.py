@@ -36,7 +36,7 @@ def bpe_counts(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     path = vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_ordinary
+        encode = encoder(path)
         for b in batches:
             n = np.fromiter((len(encode(t.as_py() or "")) for t in b.column("text")), np.int64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(c) for c in ("doc_id", "source", "lang")] + [pa.array(n)], names=["doc_id", "source", "lang", "n_tokens"])

@@ -174,6 +174,22 @@ def test_packing(spark, docs):
     assert used.sum() / (2048 * len(used)) > 0.99
 
 
+def test_special_strings_are_one_id(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x\n\n<|endoftext|><|endoftext|>  y  <|endoftext|>", "<|endoftext|", "é<|endoftext|>\U0001f600 <|ENDOFTEXT|>", "one  <|endoftext|>two " * 600]
+    want = {i: t.encode(x, add_special_tokens=False).ids for i, x in enumerate(texts)}
+    assert want[0] == [64, 220, 50256, 275]
+    d = spark.createDataFrame([(i, "s", "en", x) for i, x in enumerate(texts)], "doc_id long, source string, lang string, text string")
+    got = {}
+    for r in sorted(packing.pack(d, with_ids=True).collect(), key=lambda r: r["start"]):
+        got[r["doc_id"]] = got.get(r["doc_id"], []) + list(r["ids"])
+    assert got == {i: [*x, 1] for i, x in want.items()}
+    assert {r["doc_id"]: r["n_tokens"] for r in token_counts.bpe_counts(d).collect()} == {i: len(x) for i, x in want.items()}
+
+
 def test_first_fit_decreasing():
     r = np.random.RandomState(1)
     for n in (1, 2, 3, 50, 333):
