@@ -60,7 +60,7 @@ def _gate(text: Column) -> dict[str, Column]:
     """What a text must have for a pattern to be tried."""
     digit, at = F.regexp_like(text, F.lit("[0-9]")), F.contains(text, F.lit("@"))
     handle = at
-    for mark in ("(at)", "[at]", " dot "):
+    for mark in ("(at)", "[at]", " at "):
         handle = handle | F.contains(text, F.lit(mark))
     return {"email": at, "ip": digit, "card": digit, "phone": F.contains(text, F.lit("+")) & digit, "secret": digit, "account": digit, "handle": handle, "address": digit}
 

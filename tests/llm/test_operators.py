@@ -58,6 +58,15 @@ def test_pii(spark, docs):
     assert all(redacted[i] == r["text"] for i, r in texts.items() if not r["found"])
 
 
+def test_handle_gate_passes_every_match(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["john at example.com", "john at example dot com", "john@example.com", "john(at)example.com", "john [at] example[dot]com", "see john at example(dot)com"]
+    d = spark.createDataFrame([(x,) for x in texts], "text string")
+    rows = d.select("text", F.regexp_like("text", F.lit(pii.GENERATED["handle"])).alias("match"), pii._gate(F.col("text"))["handle"].alias("gate")).collect()
+    assert all(r["match"] and r["gate"] for r in rows), rows
+
+
 def test_token_counts(spark, docs):
     assert difference(spark, token_counts.llm_word_counts, token_counts.ORACLE["llm_word_counts"]) is None
     import public_tokenizers
