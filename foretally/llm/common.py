@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,18 +20,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only a session without one (as in tests) gets its own."""
-    conf = spark.sparkContext.getConf()
-    top = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    return (top or "/tmp/checkpoints").rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir, which must be set."""
+    top = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return top.rstrip("/")
+
+
+#: Folders (and tables) written in this process, in the order in which they were written.
+_WRITTEN: list[tuple[str, str | None]] = []
+
+
+def _folder(spark: SparkSession, what: str, name: str | None = None) -> str:
+    _WRITTEN.append((f"{shared_dir(spark)}/foretally/{what}-{uuid.uuid4().hex}", name))
+    return _WRITTEN[-1][0]
 
 
 def materialise(df: DataFrame, what: str) -> DataFrame:
     """Write df to the shared folder and read it again: the lineage is cut, and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/foretally/{what}-{uuid.uuid4().hex}"
+    path = _folder(df.sparkSession, what)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def laid_out(df: DataFrame, key: str, what: str, placed: bool = False) -> DataFrame:
+    """df, written once in buckets of `key`: later joins on it move only the other side.  `placed`: df is already repartitioned by it."""
+    spark, n = df.sparkSession, partitions(df.sparkSession)
+    name = f"foretally_{what}_{uuid.uuid4().hex}"
+    rows = df if placed else df.repartition(n, key)
+    rows.write.format("parquet").option("compression", "zstd").bucketBy(n, key).option("path", _folder(spark, what, name)).saveAsTable(name)
+    return spark.table(name)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what the operators wrote to the shared folder inside it; results must have been written elsewhere by then."""
+    before = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path, name in _WRITTEN[before:]:
+            if name:
+                spark.sql(f"drop table if exists {name}")
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+        del _WRITTEN[before:]
 
 
 def partitions(spark: SparkSession) -> int:

@@ -6,27 +6,36 @@ a register keeps the shingle that reached it first, and a process ends once its
 has passed the document's last register, which most do after one arrival.  Two
 documents agree in a register with their probability Jaccard similarity.
 
-Equal texts are folded to the one with the least id.  Registers are banded.  Within a
-bucket each text is compared, exactly (sum of least over sum of greatest counts, 0.8 or
-more), with the bucket's centre: the text that meets most others over all its bands,
-which among copies of one original is the original.  What that leaves open is any pair of its other
-texts whose classes so far differ, linked or not: all texts of a bucket with such a pair
-get a longer signature of STEEP bands, in which pairs well below 0.8 hardly meet.  In
-those buckets 4, 16, 64, ... centres a round, of the smallest classes first, are compared
-with every text of another class, until each bucket holds one class or no text: no
-bucket is capped, and only pairs whose classes are already equal go untested.  Connected
-components of the links are the classes.
+Texts of equal words (by a 128-bit digest) are folded to the one with the least id.
+Registers are banded; the texts that share a band with another are laid out once by id, so
+that later joins move only ids to them and then the texts of pairs.  Similarities are exact (sum of least over
+sum of greatest counts, 0.8 or more).
+
+1. Within a bucket each text is compared with the bucket's centre: the text that meets most
+   others over all its bands, which among copies of one original is the original.
+2. What that leaves open is any pair of a bucket's other texts whose classes so far
+   differ, linked or not.  In a bucket of SMALL texts or fewer, each such pair is compared.
+3. The texts of larger buckets with such a pair get a longer signature of STEEP bands, in
+   which pairs well below 0.8 hardly meet.  Its buckets go through the same: small ones pair
+   by pair; in larger ones blocks of BLOCK, 4 BLOCK, ... texts a round, of the smallest
+   classes first, meet the texts of other classes, until the bucket holds one class or
+   no text that hasn't been in a block.  A text is sent once for each block of a bucket and not once for
+   each pair.  No bucket is capped, and only pairs whose classes are already equal go untested.
+
+Connected components of the links are the classes.
 
 A pair of similarity 0.8 shares one of the first bands with probability 0.9999 and a steep
 one with 0.998; a pair of 0.5 shares a steep one with 0.02.
 
 Defined results: null, empty and blank texts are equal texts; a text of one to four
-words is one shingle; repeated rows are copies of each other; an empty table gives
+words is one shingle; repeated rows are copies of each other; rows that share an id are one document, all of
+whose texts count and whose rows get one class; an empty table gives
 an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,16 +44,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import beside, materialise, only, partitions, table
+from .common import beside, laid_out, materialise, only, partitions, table
 
 SHINGLE = 5
 SIMILARITY = 0.8
 #: (bands, registers of a band, seed) of the first and of the longer signature.
 FIRST, STEEP = (24, 5, 1), (90, 12, 2)
-#: Members of a bucket's centre that one task compares.
+#: Texts that one task compares with a block.
 STAR = 256
-#: Centres of a bucket of the longer signature in its first round; as many times more in each further one.
-CENTRES = 4
+#: Texts of a bucket whose pairs are compared one by one, and texts of a block.
+SMALL, BLOCK = 16, 64
 CHUNK = 1 << 21
 
 
@@ -102,11 +111,9 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = b.column("doc_id")
         for lo, hi, buf, offs in K.chunks(b.column("text"), CHUNK):
             w = K.Words(buf, offs)
-            prefix, other = K.Prefix(w.hash), K.Prefix(K.mix(w.hash))
-            yield pa.RecordBatch.from_arrays(
-                [ids.slice(lo, hi - lo), pa.array(w.counts().astype(np.int64)), *[pa.array(p.ranges(w.first[:-1], w.first[1:]).view(np.int64)) for p in (prefix, other)], band_keys(w, hi - lo, FIRST)],
-                names=["doc_id", "n_words", "f1", "f2", "bands"],
-            )
+            data = buf.tobytes()
+            digests = [hashlib.blake2b(b" ".join(data[i:j].split()), digest_size=16).digest() for i, j in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(w.counts().astype(np.int64)), pa.array(digests, pa.binary()), band_keys(w, hi - lo, FIRST)], names=["doc_id", "n_words", "digest", "bands"])
 
 
 def _sign_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,38 +131,49 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(both / (total - both)) if total else 1.0
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by centre, parts and part, the centre's own first: (doc, centre, similarity) of the others."""
-    held, own = None, None
-    for b in batches:
-        centres, mine, docs = (b.column(c).to_pylist() for c in ("centre", "mine", "doc_id"))
-        out: list[tuple[int, int, float]] = []
-        for lo, hi, buf, offs in K.chunks(b.column("text")):
-            w = K.Words(buf, offs)
-            text, gram, count = shingles(w)
-            cut = np.searchsorted(text, np.arange(hi - lo + 1))
-            for i in range(lo, hi):
-                s = slice(cut[i - lo], cut[i - lo + 1])
-                here = (gram[s], count[s])
-                if mine[i] == 0:
-                    held, own = centres[i], here
-                elif held == centres[i]:
-                    out.append((docs[i], centres[i], similarity(own, here)))
-        cols = list(zip(*out, strict=True)) if out else [[], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["doc_id", "centre", "similarity"])
-
-
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """pairs (doc_id, centre, met) with their similarity.  A star of many texts is split into parts, each with the centre's text once; met is the size of a bucket in which they meet."""
-    n = partitions(pairs.sparkSession)
+def _compare(threshold: float):
+    """Rows sorted by block, parts and part, the block's own texts first (mine = 0): links (a, b, similarity) of the others with these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, own = None, []
+        for b in batches:
+            blocks, parts, mine, docs, classes = (b.column(c).to_pylist() for c in ("block", "part", "mine", "doc_id", "cls"))
+            out: list[tuple[int, int, float]] = []
+            for lo, hi, buf, offs in K.chunks(b.column("text")):
+                text, gram, count = shingles(K.Words(buf, offs))
+                cut = np.searchsorted(text, np.arange(hi - lo + 1))
+                for i in range(lo, hi):
+                    s = slice(cut[i - lo], cut[i - lo + 1])
+                    here = (gram[s], count[s], int(count[s].sum()))
+                    if (blocks[i], parts[i]) != block:
+                        block, own = (blocks[i], parts[i]), []
+                    if mine[i] == 0:
+                        own.append((docs[i], classes[i], here))
+                        continue
+                    for doc, cls, there in own:
+                        # the least total can't be under 0.8 of the greatest
+                        if doc != docs[i] and (cls is None or cls != classes[i]) and min(here[2], there[2]) >= threshold * max(here[2], there[2]):
+                            v = similarity(there, here)
+                            if v >= threshold:
+                                out.append((max(doc, docs[i]), min(doc, docs[i]), v))
+            cols = list(zip(*out, strict=True)) if out else [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["a", "b", "similarity"])
+
+    return run
+
+
+def verified(members: DataFrame, owners: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between members (block, doc_id, cls, met) and owners (block, doc_id, cls) of the same block, of different classes where these are known.
+
+    A block of many members is split into parts, each with the owners' texts once; met is the size of the bucket in which they meet."""
+    n = partitions(members.sparkSession)
     parts = F.pow(2.0, F.ceil(F.log2(F.greatest(F.col("met") / STAR, F.lit(1.0))))).cast("int")
-    p = pairs.groupBy("doc_id", "centre").agg(F.max("met").alias("met")).withColumn("parts", parts)
-    p = p.select("doc_id", "centre", "parts", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"))
-    heads = p.select("centre", "parts", "part").distinct()
-    rows = p.join(texts, "doc_id").select("centre", "parts", "part", F.lit(1).alias("mine"), "doc_id", "text").unionByName(
-        heads.join(texts, heads["centre"] == texts["doc_id"]).select("centre", "parts", "part", F.lit(0).alias("mine"), "doc_id", "text")
-    )
-    return rows.repartition(n, "centre", "parts", "part").sortWithinPartitions("centre", "parts", "part", "mine").mapInArrow(_compare, "doc_id long, centre long, similarity double")
+    p = members.withColumn("part", F.pmod(F.xxhash64("doc_id"), parts).cast("int")).select("block", "part", F.lit(1).alias("mine"), "doc_id", "cls")
+    p = materialise(p.distinct(), "members")
+    heads = owners.select("block", "doc_id", "cls").distinct().join(p.select("block", "part").distinct(), "block").select("block", "part", F.lit(0).alias("mine"), "doc_id", "cls")
+    rows = p.unionByName(heads).join(texts, "doc_id").select("block", "part", "mine", "doc_id", "cls", "text")
+    found = rows.repartition(n, "block", "part").sortWithinPartitions("block", "part", "mine").mapInArrow(_compare(threshold), "a long, b long, similarity double")
+    return materialise(found.groupBy("a", "b").agg(F.max("similarity").alias("similarity")), "tested").select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -181,7 +199,7 @@ def _with_met(keyed: DataFrame) -> DataFrame:
     return beside(keyed, sizes, ["key"], "met")
 
 
-def _first_round(keyed: DataFrame) -> DataFrame:
+def _stars(keyed: DataFrame) -> DataFrame:
     """key, doc_id, centre, met from keyed (key, doc_id, met): each bucket's texts beside its centre, the text that meets most others over all its buckets."""
     central = keyed.join(keyed.groupBy("doc_id").agg(F.sum("met").alias("central")), "doc_id")
     best = central.groupBy("key").agg(F.max(F.struct("central", (-F.col("doc_id")).alias("least"))).alias("c"), F.max("met").alias("met"))
@@ -189,67 +207,95 @@ def _first_round(keyed: DataFrame) -> DataFrame:
     return beside(keyed.select("key", "doc_id"), centres, ["key"], "met").where("doc_id <> centre")
 
 
-def _classed(keyed: DataFrame, roots: DataFrame) -> DataFrame:
-    """keyed with `cls`, the class so far of doc_id: the root of its links, or itself."""
-    return keyed.join(roots, keyed["doc_id"] == roots["node"], "left").withColumn("cls", F.coalesce("root", "doc_id")).drop("node", "root")
+def _unsettled(keyed: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of keyed (key, doc_id) in buckets of two or more classes so far, with cls, the class (the root of the text's links, or itself), and met, the size of the bucket."""
+    classed = keyed.select("key", "doc_id").join(roots, keyed["doc_id"] == roots["node"], "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("cls"))
+    classed = materialise(classed, "classed")
+    mixed = classed.groupBy("key").agg(F.count("*").alias("met"), F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high")
+    return materialise(beside(classed, materialise(mixed.select("key", "met"), "mixed"), ["key"], "met"), "open")
 
 
-def _unsettled(classed: DataFrame) -> DataFrame:
-    """The rows of classed (key, doc_id, cls) in buckets of two or more classes, with `met`, the size of the bucket."""
-    mixed = classed.groupBy("key").agg(F.count("*").alias("met"), F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high")
-    return beside(classed, materialise(mixed.select("key", "met"), "mixed"), ["key"], "met")
+def _small(rows: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links in buckets of SMALL texts or fewer: every pair of different classes, once however many buckets it shares."""
+    few = rows.where(F.col("met") <= SMALL)
+    other = few.select("key", F.col("doc_id").alias("block"), F.col("cls").alias("c"))
+    pairs = few.join(other, "key").where("cls <> c and doc_id > block").select("block", "doc_id", "cls", "met", "c").distinct()
+    return verified(pairs, pairs.select("block", F.col("block").alias("doc_id"), F.col("c").alias("cls")), texts, threshold)
 
 
 def _steep_keys(rest: DataFrame, texts: DataFrame) -> DataFrame:
     """Keys of the longer signature of the texts in rest."""
-    again = texts.join(rest.select("doc_id").distinct(), "doc_id", "left_semi")
-    return again.mapInArrow(_sign_again, "doc_id long, bands array<long>").select("doc_id", F.explode(F.array_distinct("bands")).alias("key"))
+    again = texts.join(rest.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text")
+    return again.mapInArrow(_sign_again, "doc_id long, bands array<long>").select("doc_id", F.explode(F.array_distinct("bands")).alias("key")).distinct()
 
 
-def _next_centres(keyed: DataFrame, centres: int) -> DataFrame:
-    """key, centre, c_cls, met from keyed (key, doc_id, cls, met): `centres` texts of each bucket, those of its smallest classes first."""
-    sizes = materialise(keyed.groupBy("key", "cls").agg(F.count("*").alias("n")), "sizes")
+def _blocks(rows: DataFrame, size: int) -> DataFrame:
+    """key, doc_id, cls, block, blocks from rows (key, doc_id, cls, met): `size` texts of each bucket, those of its smallest classes first, in blocks of BLOCK."""
+    sizes = materialise(rows.groupBy("key", "cls").agg(F.count("*").alias("n")), "sizes")
     rank = F.row_number().over(Window.partitionBy("key").orderBy("n", "doc_id"))
-    ranked = beside(keyed, sizes, ["key", "cls"], "n").withColumn("rank", rank).where(F.col("rank") <= centres)
-    return ranked.select("key", F.col("doc_id").alias("centre"), F.col("cls").alias("c_cls"), "met")
+    ranked = beside(rows, sizes, ["key", "cls"], "n").withColumn("rank", rank).where(F.col("rank") <= size)
+    number = F.floor((F.col("rank") - 1) / BLOCK)
+    return ranked.select("key", "doc_id", "cls", "met", F.xxhash64("key", number).alias("block"))
 
 
 def links(keyed: DataFrame, texts: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """The links (a, b) found among texts with band keys (key, doc_id, met), and their components (node, root)."""
-    met = materialise(_first_round(keyed), "met")
-    good = materialise(verified(met, texts), "tested").where(F.col("similarity") >= threshold).select(F.col("doc_id").alias("a"), F.col("centre").alias("b"))
-    found, roots = good, materialise(components(good), "roots")
-    # all pairs with a bucket's centre are settled; pairs of its other texts only if they are of one class
-    rest = _unsettled(materialise(_classed(met.select("key", "doc_id"), roots), "classed"))
-    left, centres = materialise(_steep_keys(rest, texts), "left"), CENTRES
-    while True:
-        left = materialise(_unsettled(materialise(_classed(left.select("key", "doc_id"), roots), "classed")), "open")
-        if left.isEmpty():
-            return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), roots
-        top = materialise(_next_centres(left, centres), "centres")
-        met = beside(left.drop("met"), top, ["key"], "met", centres).where("cls <> c_cls").select("key", "doc_id", "centre", "met")
-        good = materialise(verified(met, texts), "tested").where(F.col("similarity") >= threshold).select(F.col("doc_id").alias("a"), F.col("centre").alias("b"))
-        if not good.isEmpty():
-            found = found.unionByName(good)
+    none = F.lit(None).cast("long").alias("cls")
+    stars = materialise(_stars(keyed), "stars")
+    pairs = stars.groupBy(F.col("centre").alias("block"), "doc_id").agg(F.max("met").alias("met")).select("block", "doc_id", none, "met")
+    # a text's stars may be of different sizes: the largest decides on the parts of all
+    found = verified(pairs, pairs.select("block", F.col("block").alias("doc_id"), none), texts, threshold)
+    roots = materialise(components(found), "roots")
+    # all pairs with a bucket's centre are settled
+    rows, longer = _unsettled(stars.select("key", "doc_id"), roots), False
+    while not rows.isEmpty():
+        fresh = _small(rows, texts, threshold)
+        if not fresh.isEmpty():
+            found = found.unionByName(fresh)
+            roots = materialise(components(found), "roots")
+        rows = _unsettled(rows.where(F.col("met") > SMALL), roots)
+        if rows.isEmpty():
+            break
+        if not longer:
+            rows, longer, size = _unsettled(materialise(_steep_keys(rows, texts), "steep"), roots), True, BLOCK
+            continue
+        # what is left are large buckets of the longer signature
+        top = materialise(_blocks(rows, size), "blocks")
+        blocks = materialise(top.groupBy("key").agg(F.first("met").alias("met"), F.collect_set("block").alias("blocks")), "owners")
+        met = beside(rows.drop("met"), blocks, ["key"], "met").select("doc_id", "cls", "met", F.explode("blocks").alias("block"))
+        fresh = verified(met, top, texts, threshold)
+        if not fresh.isEmpty():
+            found = found.unionByName(fresh)
             roots = materialise(components(found), "roots")
-        left, centres = left.join(top.select("key", F.col("centre").alias("doc_id")), ["key", "doc_id"], "left_anti"), CENTRES * centres
+        rows, size = _unsettled(rows.join(top.select("key", "doc_id"), ["key", "doc_id"], "left_anti"), roots), 4 * size
+    return found.distinct(), roots
+
+
+def _twins(signed: DataFrame, folded: DataFrame) -> DataFrame:
+    """Links (a, b) between the texts of documents whose id occurs with different texts."""
+    several = signed.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select("doc_id")
+    nodes = signed.select("doc_id", "digest").join(several, "doc_id").join(folded.select("digest", "text_id"), "digest")
+    least = F.min("text_id").over(Window.partitionBy("doc_id"))
+    return nodes.select(F.col("text_id").alias("a"), least.alias("b")).where("a <> b").distinct()
 
 
 def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id (least id of the class), text_id (least id with an equal text), n_links (verified links of that text)."""
+    n = partitions(docs.sparkSession)
     d = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = materialise(d.mapInArrow(_sign, "doc_id long, n_words long, f1 long, f2 long, bands array<long>"), "signatures")
-    same = ["n_words", "f1", "f2"]
-    folded = materialise(signed.groupBy(*same).agg(F.min("doc_id").alias("text_id"), F.count("*").alias("copies")), "folded")
-    texts = folded.where("n_words > 0").select(F.col("text_id").alias("doc_id")).distinct()
-    keyed = materialise(signed.where("n_words > 0").join(texts, "doc_id", "left_semi").select("doc_id", F.explode(F.array_distinct("bands")).alias("key")).distinct(), "keys")
+    signed = materialise(d.mapInArrow(_sign, "doc_id long, n_words long, digest binary, bands array<long>"), "signatures")
+    folded = materialise(signed.groupBy("digest").agg(F.min("doc_id").alias("text_id"), F.count("*").alias("copies"), F.first("n_words").alias("n_words"), F.first("bands").alias("bands")), "folded")
+    keyed = materialise(folded.where("n_words > 0").select(F.col("text_id").alias("doc_id"), F.explode(F.array_distinct("bands")).alias("key")).distinct(), "keys")
     keyed = materialise(_with_met(keyed).select("key", "doc_id", "met"), "buckets")
-    involved = materialise(d.join(keyed.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    found, roots = links(keyed, involved, threshold)
+    involved = d.repartition(n, "doc_id").join(keyed.select("doc_id").distinct(), "doc_id", "left_semi").distinct()
+    found, roots = links(keyed, laid_out(involved, "doc_id", "texts", placed=True), threshold)
+    twins = materialise(_twins(signed, folded), "twins")
+    if not twins.isEmpty():
+        roots = materialise(components(found.unionByName(twins)), "roots")
     degree = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    about = roots.join(degree, "node")
-    known = folded.join(about, folded["text_id"] == about["node"], "left").select(*same, "copies", "text_id", F.coalesce("root", "text_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return beside(signed.drop("bands"), materialise(known, "classes"), same, "copies").select("doc_id", "class_id", "text_id", "n_links")
+    about = roots.join(degree, "node", "left")
+    known = folded.join(about, folded["text_id"] == about["node"], "left").select("digest", "copies", "text_id", F.coalesce("root", "text_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return beside(signed.drop("bands"), materialise(known, "classes"), ["digest"], "copies").select("doc_id", "class_id", "text_id", "n_links")
 
 
 def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,8 @@ numbers its words, confirms which 35-word windows recur, compiles them into an
 Aho-Corasick automaton over word numbers (pyahocorasick), and streams its texts
 through it to locate every occurrence.
 
-Defined results: a null text has no words; rows that share an id are separate texts
-here, so a repeated row is an occurrence elsewhere; an empty table gives an empty
+Defined results: a null text has no words; rows that share an id are separate texts,
+each judged by its own words, so that a repeated row is an occurrence elsewhere; an empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -21,9 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from . import kernels as K
 from .common import table
-from .repeats import Scheme, removed
+from .repeats import Scheme, gone, removed
 
 WINDOW = 35
 ANCHOR_WORDS = 8
@@ -51,13 +50,12 @@ def settle(keys: list, docs: list, starts: list, windows: list, pieces: list) ->
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows: list[list] = [[], [], [], [], []]
-        for doc, text, found in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("ranges"), strict=True):
-            words = (text.as_py() or "").encode().split()
+        for doc, row, text, found in zip(b.column("doc_id").to_pylist(), b.column("row").to_pylist(), b.column("text"), b.column("ranges"), strict=True):
+            words = text.as_py().encode().split()
             n = len(words)
-            if found.is_valid:
-                e = found.values.flatten()
-                start, end = np.minimum(e[0].to_numpy(), n), np.minimum(e[1].to_numpy(), n)
-                words = [words[i] for i in np.flatnonzero(~K.covered(n, start, end - start)).tolist()]
+            mask = gone(n, row, found, WINDOW)
+            if mask is not None:
+                words = [words[i] for i in np.flatnonzero(~mask).tolist()]
             kept = b" ".join(words)
             for column, value in zip(rows, (doc, n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode()), strict=True):
                 column.append(value)

@@ -10,8 +10,8 @@ still without a value then part suffixes that share 50 bytes or more, so runs of
 them are the classes of equal strings.
 
 Defined results: a null text is empty; documents shorter than the window lose
-nothing; rows that share an id are one document, and if their texts are equal they
-get equal results; an empty table gives an empty result; other columns are ignored.
+nothing; rows that share an id are one document, so that none is removed for another of them, and each
+is judged by its own text; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import kernels as K
 from .common import table
-from .repeats import Scheme, removed
+from .repeats import Scheme, gone, removed
 
 MIN_BYTES = 50
 ANCHOR_BYTES = 22
@@ -109,12 +109,11 @@ SCHEME = Scheme(MIN_BYTES, ANCHOR_BYTES, words=False, smaller=True)
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows: list[list] = [[], [], [], [], [], []]
-        for doc, text, found in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("ranges"), strict=True):
-            data = (text.as_py() or "").encode()
+        for doc, row, text, found in zip(b.column("doc_id").to_pylist(), b.column("row").to_pylist(), b.column("text"), b.column("ranges"), strict=True):
+            data = text.as_py().encode()
             kept, n, spans = data, len(data), 0
-            if found.is_valid:
-                e = found.values.flatten()
-                mask = K.covered(n, np.minimum(e[0].to_numpy(), n), np.minimum(e[1].to_numpy(), n) - np.minimum(e[0].to_numpy(), n))
+            mask = gone(n, row, found, MIN_BYTES)
+            if mask is not None:
                 kept = np.frombuffer(data, np.uint8)[~mask].tobytes()
                 spans = int(np.count_nonzero(mask[1:] & ~mask[:-1]) + bool(n and mask[0]))
             for column, value in zip(rows, (doc, n, n - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept), strict=True):
