@@ -99,6 +99,7 @@ def relative_path(path: Column, root: str) -> Column:
 
 # --- list literals -------------------------------------------------------------------------
 
+#: Fixed value: scalars of numpy as they are printed.
 _NUMPY = r"\b(?:np|numpy)\.(?:float(?:16|32|64)?|int(?:8|16|32|64)?|uint(?:8|16|32|64)?|longdouble|float_)\(([^()]+)\)"
 
 
@@ -127,27 +128,85 @@ def first_list(text: Column) -> Column:
     return F.coalesce(number_list(text), F.try_element_at(found, F.lit(1)))
 
 
+_ITEM = r"""(?:[+-]?(?:\d[\d_]*\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|'[^'\n]*'|"[^"\n]*"|True|False|None)"""
+_FLAT = rf"\[\s*+(?:{_ITEM}\s*+(?:,\s*+|(?=\])))*+\]"
+_INNER = rf"(?:{_ITEM}|{_FLAT})"
+_NESTED = rf"\[\s*+(?:{_INNER}\s*+(?:,\s*+|(?=\])))*+\]"
+
+
+def last_literal(text: Column) -> Column:
+    """The shortest list literal, flat or with lists in it, that ends at the last closing bracket; '' if none does."""
+    return F.regexp_extract(plain_literal(text), rf"(?s)\A.*({_NESTED})[^\]]*+\z", 1)
+
+
 def last_list(text: Column) -> Column:
     """The list of numbers that ends at the last bracket; null if that closes anything else, as a nested list."""
-    return number_list(F.regexp_extract(plain_literal(text), r"(\[[^\[\]]++\])[^\]]*+\z", 1))
+    return number_list(last_literal(text))
+
+
+def list_problem(text: Column) -> Column:
+    """Why the last literal is no forecast; null if it is one, or an empty list."""
+    literal = last_literal(text)
+    inner = F.regexp_like(literal, F.lit(r"(?s)^\[.*\["))
+    return F.when(literal == "", "no Python forecast list found").when(inner, "forecast list is not flat").when(number_list(literal).isNull() & ~F.regexp_like(literal, F.lit(r"^\[\s*\]$")), "forecast list has an item that is no number")
+
+
+def forecast_literal(text: Column) -> Column:
+    """The text of the first list of numbers; '' if there is none."""
+    found = F.filter(list_literals(text), lambda x: number_list(x).isNotNull())
+    whole = strip(plain_literal(text))
+    return F.coalesce(F.when(number_list(whole).isNotNull(), whole), F.try_element_at(found, F.lit(1)), F.lit(""))
+
+
+def literal_length(literal: Column) -> Column:
+    """The number of items of a flat list literal."""
+    return F.size(number_list(literal))
 
 
 # --- JSON ----------------------------------------------------------------------------------
 
 
-def canonical_json(x: Column, digits: int = 4) -> Column:
-    """A flat JSON object with sorted keys and rounded numbers; {} for blank; the text itself if it isn't an object."""
-    entries = F.array_sort(F.map_entries(F.from_json(x, "map<string,string>")))
+#: Levels of nesting that canonical_json sorts and rounds.
+LEVELS = 4
 
-    def value(v: Column) -> Column:
-        n = v.try_cast("double")
-        whole = F.regexp_like(v, F.lit(r"^-?\d+$"))
-        rounded = F.when(n == F.floor(n), F.format_string("%.1f", n)).otherwise(F.round(n, digits).cast("string"))
-        return F.when(v.isNull(), "null").when(whole | v.isin("true", "false") | F.regexp_like(v, F.lit(r"^[\[{]")), v).when(n.isNotNull(), rounded).otherwise(F.concat(F.lit('"'), v, F.lit('"')))
 
-    body = F.array_join(F.transform(entries, lambda e: F.concat(F.lit('"'), e["key"], F.lit('": '), value(e["value"]))), ", ")
+def _scalar(v: Column, digits: int) -> Column:
+    """A JSON scalar's text with its number rounded; strings keep their quotes."""
+    n = v.try_cast("double")
+    rounded = F.when(n == F.floor(n), F.format_string("%.1f", n)).otherwise(F.round(n, digits).cast("string"))
+    return F.when(F.regexp_like(v, F.lit(r"^-?\d+$")) | n.isNull(), v).otherwise(rounded)
+
+
+def _canonical(v: Column, digits: int, level: int) -> Column:
+    """v is the JSON text of any value."""
+    if not level:
+        return _scalar(v, digits)
+    kind = F.substring(v, 1, 1)
+    entries = F.array_sort(F.map_entries(F.from_json(v, "map<string,string>")))
+    quoted = lambda x: F.coalesce(F.when(F.regexp_like(x, F.lit(r'^(?:[\[{]|-?\d|true$|false$|null$)')), x), F.concat(F.lit('"'), x, F.lit('"')), F.lit("null"))
+    fields = F.transform(entries, lambda e: F.concat(F.lit('"'), e["key"], F.lit('": '), _canonical(quoted(e["value"]), digits, level - 1)))
+    items = F.transform(F.from_json(v, "array<string>"), lambda x: _canonical(quoted(x), digits, level - 1))
+    return F.when(kind == "{", F.concat(F.lit("{"), F.array_join(fields, ", "), F.lit("}"))).when(kind == "[", F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]"))).otherwise(_scalar(v, digits))
+
+
+def canonical_json(x: Column, digits: int = 4) -> Column:
+    """A JSON object with sorted keys and rounded numbers, LEVELS deep; {} for blank; the text itself if it isn't an object.
+
+    A string that reads as a number or a word of JSON is taken for one."""
     blank = F.coalesce(strip(x), F.lit("")) == ""
-    return F.when(blank, "{}").when(entries.isNull() | ~F.startswith(strip(x), F.lit("{")), x).otherwise(F.concat(F.lit("{"), body, F.lit("}")))
+    broken = F.from_json(x, "map<string,string>").isNull() | ~F.startswith(strip(x), F.lit("{"))
+    return F.when(blank, "{}").when(broken, x).otherwise(_canonical(strip(x), digits, LEVELS))
+
+
+def sorted_json(m: Column) -> Column:
+    """A map as JSON text with sorted keys."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(m))))
+
+
+def merged_maps(first: Column, second: Column) -> Column:
+    """The entries of both; where both have a key, the second's value."""
+    kept = F.map_filter(first, lambda k, v: ~F.map_contains_key(second, k))
+    return F.when(first.isNull(), second).when(second.isNull(), first).otherwise(F.map_concat(kept, second))
 
 
 #: The hyper-parameters that identify a model family; the first family whose keys are all there counts.
@@ -179,16 +238,19 @@ def from_python_dict(x: Column) -> Column:
     return F.when(F.from_json(s, "map<string,string>").isNotNull(), s).otherwise(x)
 
 
+#: Forms of hyper-parameters, and numbers too common to tell.
 _TOKENS = (r"\b[a-z_][a-z0-9_]*\s*=\s*[-+]?\d+(?:\.\d+)?", r"\b(?:order|seasonal_order)\s*[:=]\s*\(?\s*\d+\s*,\s*\d+\s*,\s*\d+", r"\b[-+]?\d+(?:\.\d+)?\b")
+NOISY = ("0", "1", "2", "3", "4", "5", "10", "12", "24", "30", "52", "80", "100")
 
 
 def hyperparameter_tokens(x: Column) -> Column:
-    """Distinct name=value, order and number tokens of a text, white space dropped, sorted."""
+    """Distinct name=value, order and number tokens of a text, white space dropped, sorted; of more than five, without the NOISY ones."""
     found = F.concat(*[F.regexp_extract_all(normalize_text(x), F.lit(p), F.lit(0)) for p in _TOKENS])
-    return F.array_sort(F.array_distinct(F.transform(found, lambda t: F.regexp_replace(t, r"\s+", ""))))
+    tokens = F.array_sort(F.array_distinct(F.transform(found, lambda t: F.regexp_replace(t, r"\s+", ""))))
+    return F.when(F.size(tokens) <= 5, tokens).otherwise(F.filter(tokens, lambda t: ~t.isin(*NOISY)))
 
 
 def token_coverage(tokens: Column, code: Column) -> Column:
-    """The share of tokens that the code holds; null without tokens."""
-    c = F.regexp_replace(normalize_text(code), r"\s+", "")
+    """The share of tokens that the code, in plain words, holds; null without tokens."""
+    c = normalize_text(code)
     return F.size(F.filter(tokens, lambda t: F.contains(c, t))) / F.nullif(F.size(tokens), F.lit(0))

@@ -53,18 +53,32 @@ def two_level_vote(rows: DataFrame, order: str, *keys: str, least: int = 3) -> D
     The commonest model first; then its commonest exact parameters if they have `least` votes, else
     its commonest core parameters and the commonest exact ones among those.
     """
-    model = top_vote(rows, "model", order, *keys).withColumnRenamed("votes", "model_votes")
-    own = rows.join(model.select(*keys, "model"), [*keys, "model"])
-    exact = top_vote(own, "parameters", order, *keys).select(*keys, F.col("parameters").alias("e"), F.col("votes").alias("ev"))
-    core = top_vote(own, "core", order, *keys).select(*keys, "core", F.col("votes").alias("cv"))
-    inside = top_vote(own.join(core.select(*keys, "core"), [*keys, "core"]), "parameters", order, *keys).select(*keys, F.col("parameters").alias("c"))
-    strict = F.col("ev") >= least
-    return model.join(exact, list(keys)).join(core, list(keys)).join(inside, list(keys)).select(
-        *keys, "model", "model_votes", F.when(strict, F.col("e")).otherwise(F.col("c")).alias("parameters"), F.when(strict, F.col("ev")).otherwise(F.col("cv")).alias("parameter_votes"),
+    # one count of all that is told apart, then windows within a key
+    g = rows.groupBy(*keys, "model", "core", "parameters").agg(F.count("*").alias("n"), F.min(order).alias("at"))
+    by = lambda *more: Window.partitionBy(*keys, *more)
+    g = g.withColumns({"total": F.sum("n").over(by()), "model_votes": F.sum("n").over(by("model")), "model_at": F.min("at").over(by("model"))})
+    g = g.withColumn("top", F.first("model").over(by().orderBy(F.desc("model_votes"), "model_at"))).where(F.col("model").eqNullSafe(F.col("top")))
+    sums = {f"{c}_{k}": f("n" if k == "votes" else "at").over(by(c)) for c in ("parameters", "core") for k, f in (("votes", F.sum), ("at", F.min))}
+    g = g.withColumns(sums).withColumn("best_core", F.first(F.struct("core", "core_votes")).over(by().orderBy(F.desc("core_votes"), "core_at")))
+    own = F.col("core").eqNullSafe(F.col("best_core.core"))
+    out = g.groupBy(*keys).agg(
+        *[F.first(c).alias(c) for c in ("model", "model_votes", "best_core", "total")],
+        F.min(F.struct((-F.col("parameters_votes")).alias("v"), "parameters_at", "parameters")).alias("exact"), F.min(F.when(own, F.struct((-F.col("n")).alias("v"), "at", "parameters"))).alias("inside"),
+    )
+    strict = -F.col("exact.v") >= least
+    return out.select(
+        *keys, "model", "model_votes", F.when(strict, F.col("exact.parameters")).otherwise(F.col("inside.parameters")).alias("parameters"), F.when(strict, -F.col("exact.v")).otherwise(F.col("best_core.core_votes")).alias("parameter_votes"),
         F.when(strict, "exact").otherwise("core").alias("level"), "total",
     )
 
 
+def last_lookup(rows: DataFrame, known: DataFrame, order: str, *keys: str) -> DataFrame:
+    """rows with the columns of `known` for their keys, null where there are none; of several rows of a key, the last by `order` counts."""
+    values = [c for c in known.columns if c not in keys and c != order]
+    last = known.groupBy(*keys).agg(F.max_by(F.struct(*values), order).alias("_last"))
+    return rows.join(last, list(keys), "left").select(*rows.columns, *[F.col(f"_last.{c}").alias(c) for c in values])
+
+
 def token_budget(expected: Column) -> Column:
     """Tokens that a last turn may take for a forecast of this length."""
     return F.least(F.lit(8192), 2400 + 20 * expected)

@@ -6,12 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foretally.functions.numeric import pct, rounded
-
-#: Fixed values: (words of a model's name, pattern in code), the first family whose words occur decides.
-MODEL_FAMILIES = (
-    ("sarima", r"(?i)sarimax|arima"), ("arima", r"(?i)arima"), ("holt", r"(?i)exponentialsmoothing|holt"), ("exponential", r"(?i)exponentialsmoothing|holt"), ("prophet", r"(?i)prophet"),
-    ("xgboost", r"(?i)xgb"), ("lightgbm", r"(?i)lgbm|lightgbm"), ("random forest", r"(?i)randomforest"), ("svr", r"(?i)\bsvr\b"), ("lstm", r"(?i)lstm"), ("gru", r"(?i)\bgru\b"),
-    ("transformer", r"(?i)transformer"), ("nbeats", r"(?i)n-?beats"),
+from foretally.functions.text import any_marker, normalize_text, strip
+
+#: Names in what was asked for, and what code of that kind has; the first name that occurs decides.
+MODEL_KEYWORDS = (
+    ("sarima", (r"\bsarimax\b", r"\bsarima\b", r"\barima\b")),
+    ("sarimax", (r"\bsarimax\b",)),
+    ("arima", (r"\barima\b", r"\bsarimax\b")),
+    ("exponential smoothing", (r"\bexponentialsmoothing\b", r"\bholtwinters\b", r"\bholt-winters\b")),
+    ("holt-winters", (r"\bexponentialsmoothing\b", r"\bholtwinters\b", r"\bholt-winters\b")),
+    ("lightgbm", (r"\blgbmregressor\b", r"\blightgbm\b", r"\blgb\b")),
+    ("xgboost", (r"\bxgbregressor\b", r"\bxgboost\b", r"\bxgb\b")),
+    ("randomforest", (r"\brandomforestregressor\b", r"\brandom forest\b")),
+    ("random forest", (r"\brandomforestregressor\b", r"\brandom forest\b")),
+    ("lstm", (r"\blstm\b", r"\bnn\.lstm\b")),
+    ("gru", (r"\bgru\b", r"\bnn\.gru\b")),
+    ("tcn", (r"\btcn\b", r"\bconv1d\b", r"\bdilated")),
+    ("prophet", (r"\bprophet\b",)),
 )
 
 
@@ -27,11 +38,11 @@ def mean_score(scores: list[Column]) -> Column:
 
 
 def family_matches(model: Column, code: Column) -> Column:
-    """Whether the code uses the family that the model's name tells; null for unknown names."""
-    name = F.lower(model)
-    out = F.when(F.lit(False), F.lit(None).cast("boolean"))
-    for words, pattern in MODEL_FAMILIES:
-        out = out.when(F.contains(name, F.lit(words)), F.regexp_like(code, F.lit(pattern)))
+    """Whether the code uses the family that the model's name tells; null for unknown names and without a name or code.  Both are read in plain words."""
+    name, plain = normalize_text(model), normalize_text(code)
+    out = F.when((F.coalesce(name, F.lit("")) == "") | (F.coalesce(plain, F.lit("")) == ""), F.lit(None).cast("boolean"))
+    for word, patterns in MODEL_KEYWORDS:
+        out = out.when(F.contains(name, F.lit(word)), F.regexp_like(plain, F.lit("|".join(patterns))))
     return out
 
 
@@ -76,17 +87,31 @@ REQUIREMENTS = ("retraining", "ground_truth", "blockwise", "multistep")
 SUPPORTED = ("retraining", "ground_truth", "blockwise")
 
 
+#: Words of a scenario's description, in lower case, and what each asks for.
+DEMANDS = {
+    "retraining": ((("model retraining: not performed",), False), (("model retraining: performed", "retrain after each", "retrained after each"), True)),
+    "ground_truth": ((("use of ground truth during inference: disabled", "disabled (no updates"), False), (("use of ground truth during inference: enabled", "enabled"), True)),
+    "blockwise": ((("block-wise rolling update", "block size:", "blockwise"), True),),
+    "multistep": ((("multi-step ahead prediction", "forecast multiple steps ahead"), True),),
+}
+
+
 def requirements(text: Column) -> dict[str, Column]:
     """What a scenario's description asks for: true, false, or null where it says nothing."""
-    x = F.lower(text)
-    has = lambda s: F.contains(x, F.lit(s))
-    unknown = F.lit(None).cast("boolean")
-    return {
-        "retraining": F.when(has("model retraining: not performed"), False).when(has("model retraining: performed") | F.regexp_like(x, F.lit(r"retrain(ed)? after each")), True).otherwise(unknown),
-        "ground_truth": F.when(has("inference: disabled") | has("disabled (no updates"), False).when(has("enabled"), True).otherwise(unknown),
-        "blockwise": F.when(has("block"), True).otherwise(unknown),
-        "multistep": F.when(has("multi-step"), True).otherwise(unknown),
-    }
+    out = {}
+    for name, rules in DEMANDS.items():
+        value = F.when(F.lit(False), F.lit(None).cast("boolean"))
+        for marks, meaning in rules:
+            value = value.when(any_marker(text, marks), meaning)
+        out[name] = value
+    return out
+
+
+def scenario_requirements(prompts: DataFrame) -> DataFrame:
+    """scenario, expected_<r> from prompts (text), whose scenarios each begin with a line `Scenario <n>:`."""
+    blocks = prompts.select(F.explode(F.split(F.trim("text"), r"\n(?=Scenario\s+\d+:)")).alias("block"))
+    number = F.regexp_extract(strip(F.col("block")), r"(?i)^Scenario\s+(\d+):", 1)
+    return blocks.where(number != "").select(F.concat(F.lit("S"), number).alias("scenario"), *[c.alias(f"expected_{k}") for k, c in requirements(F.col("block")).items()])
 
 
 def compliance(runs: DataFrame, *keep: str) -> DataFrame:

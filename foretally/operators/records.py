@@ -113,6 +113,7 @@ def recommendation(text: Column, version: Column, expected_target: Column) -> li
     v3, target_line = version == "v3", line("Primary target column")
     target = F.when(v3, F.regexp_replace(value(target_line), r"^[\[\]'\" ]+|[\[\]'\" ]+$", "")).otherwise("")
     model = value(line("Recommended Model"))
+    # fixed values: the messages
     errors = [
         F.when(v3, missing(target_line, "Primary target column field not found in v3 response")), F.when(v3 & F.contains(target, F.lit(",")), F.lit("LLM returned multiple targets - expected exactly 1")),
         *[missing(line(x), f"{x} field not found") for x in ("Trend", "Seasonality", "Noise", "Recommended Model")],

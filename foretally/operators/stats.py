@@ -14,6 +14,25 @@ from pyspark.sql.types import DoubleType
 from foretally.functions.numeric import finite, r6, rounded, two_sided_p
 
 
+#: What of a value's size is rounding.
+NOISE = 1e-12
+
+
+def difference(a: Column, b: Column) -> Column:
+    """a - b, or null where that is only rounding."""
+    return F.when(F.abs(a - b) > NOISE * F.greatest(F.abs(a), F.abs(b)), a - b)
+
+
+def significant(x: Column) -> Column:
+    """x to ten significant digits, so that values that differ by rounding are ties, however small they are."""
+    return F.format_string("%.9e", x).cast("double")
+
+
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson's, null where either doesn't vary."""
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
 def loss_differences(pairs: DataFrame, *keys: str) -> DataFrame:
     """pairs (keys, t, actual, forecast, ref_actual, ref_forecast) as keys, d (squared loss minus the reference's, in order of t).
 
@@ -43,13 +62,13 @@ def newey_west(d: Column, lag: Column) -> Column:
 def diebold_mariano(differences: DataFrame, *keys: str, horizon: int | Column = 1) -> DataFrame:
     """keys, dm_n, dm_lag, dm_mean, dm_statistic, dm_p: two-sided normal test of equal squared loss.
 
-    Fewer than two differences give no statistic; neither does a variance that isn't positive.
+    Fewer than two differences give no statistic; neither does a variance that isn't positive, beside the size of the differences.
     """
     h = F.lit(horizon) if isinstance(horizon, int) else horizon
     n = F.size("d")
     rows = differences.select(*keys, "d", n.alias("dm_n"), F.least(F.greatest(h - 1, F.lit(0)), F.greatest(n - 1, F.lit(0))).alias("dm_lag"))
-    rows = rows.select(*keys, "dm_n", "dm_lag", F.when(F.col("dm_n") >= 2, F.aggregate("d", F.lit(0.0), lambda a, x: a + x) / F.col("dm_n")).alias("mean"), F.when(F.col("dm_n") >= 2, newey_west(F.col("d"), F.col("dm_lag"))).alias("lrv"))
-    stat = F.when(F.col("lrv") > 1e-12, F.col("mean") / F.sqrt(F.col("lrv") / F.col("dm_n")))
+    rows = rows.select(*keys, "dm_n", "dm_lag", F.when(F.col("dm_n") >= 2, F.aggregate("d", F.lit(0.0), lambda a, x: a + x) / F.col("dm_n")).alias("mean"), F.when(F.col("dm_n") >= 2, newey_west(F.col("d"), F.col("dm_lag"))).alias("lrv"), F.aggregate("d", F.lit(0.0), lambda a, x: a + x * x).alias("squares"))
+    stat = F.when(F.col("lrv") > NOISE * F.col("squares") / F.col("dm_n"), F.col("mean") / F.sqrt(F.col("lrv") / F.col("dm_n")))
     return rows.select(*keys, "dm_n", "dm_lag", F.col("mean").alias("dm_mean"), stat.alias("dm_statistic")).withColumn("dm_p", two_sided_p(F.col("dm_statistic")))
 
 
@@ -58,12 +77,10 @@ def benjamini_hochberg(tests: DataFrame, p: str, *order: str) -> DataFrame:
 
     Ranks need one order over all tests: a table of results, a row per test.
     """
-    known = tests.where(F.col(p).isNotNull())
-    up = Window.orderBy(F.col(p), *order)
-    down = Window.orderBy(F.col(p).desc(), *[F.col(c).desc() for c in order]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = known.select(*order, p, F.row_number().over(up).alias("rk"), F.count("*").over(Window.partitionBy()).alias("m"))
-    q = ranked.select(*order, F.min(F.col(p) * F.col("m") / F.col("rk")).over(down).alias("q"))
-    return tests.join(q, list(order), "left")
+    up = Window.orderBy(F.col(p).asc_nulls_last(), *order)
+    down = Window.orderBy(F.col(p).desc_nulls_last(), *[F.col(c).desc() for c in order]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = tests.withColumns({"_rk": F.row_number().over(up), "_m": F.count(p).over(Window.partitionBy())})
+    return ranked.withColumn("q", F.when(F.col(p).isNotNull(), F.min(F.col(p) * F.col("_m") / F.col("_rk")).over(down))).drop("_rk", "_m")
 
 
 def average_rank(value: Column, *partition: str) -> Column:
@@ -77,10 +94,10 @@ def wilcoxon(pairs: DataFrame, *keys: str, base: str = "base", other: str = "cha
 
     If all differences are as good as zero, w is 0 and p is 1.
     """
-    d = F.col(other) - F.col(base)
-    rows = pairs.where(F.col(base).isNotNull() & F.col(other).isNotNull()).withColumn("d", F.when(F.abs(d) > 1e-12, d))
+    d = difference(F.col(other), F.col(base))
+    rows = pairs.where(F.col(base).isNotNull() & F.col(other).isNotNull()).withColumn("d", d)
     medians = rows.groupBy(*keys).agg(F.count("*").alias("n_pairs"), F.percentile(base, F.lit(0.5)).alias("median_base"), F.percentile(other, F.lit(0.5)).alias("median_other"))
-    nonzero = rows.where("d is not null").withColumn("a", F.round(F.abs("d"), 9))
+    nonzero = rows.where("d is not null").withColumn("a", significant(F.abs("d")))
     ranked = nonzero.withColumn("rank", average_rank(F.col("a"), *keys)).withColumn("ties", F.count("*").over(Window.partitionBy(*keys, "a")))
     # each of t tied values adds t**2 - 1, together t**3 - t
     sums = ranked.groupBy(*keys).agg(
@@ -108,12 +125,11 @@ def exact_signed_rank_p(w: float, ranks: np.ndarray) -> float:
 
 
 def wilcoxon_exact(pairs: DataFrame, *keys: str, base: str = "base", other: str = "challenger", most: int = 50) -> DataFrame:
-    """keys, n, w, p_exact for groups of at most `most` nonzero differences; larger groups belong to wilcoxon()."""
-    d = F.col(other) - F.col(base)
-    rows = pairs.select(*keys, F.when(F.abs(d) > 1e-12, d).alias("d")).where("d is not null")
+    """keys, n, w, p, method: 'exact' by counting sign patterns for groups of at most `most` nonzero differences, 'approximate' as by wilcoxon() for larger ones."""
+    rows = pairs.select(*keys, difference(F.col(other), F.col(base)).alias("d")).where("d is not null")
     # one more than `most` is enough to know that a group is too large
     w = Window.partitionBy(*keys).orderBy("d")
-    kept = rows.withColumn("i", F.row_number().over(w)).where(F.col("i") <= most + 1).groupBy(*keys).agg(F.collect_list("d").alias("ds")).where(F.size("ds") <= most)
+    kept = rows.withColumn("i", F.row_number().over(w)).where(F.col("i") <= most + 1).groupBy(*keys).agg(F.collect_list(significant(F.col("d"))).alias("ds")).where(F.size("ds") <= most)
     kinds = dict(rows.dtypes)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -121,12 +137,14 @@ def wilcoxon_exact(pairs: DataFrame, *keys: str, base: str = "base", other: str
             out = []
             for ds in f["ds"]:
                 x = np.asarray(ds, float)
-                ranks = pd.Series(np.abs(x).round(9)).rank().to_numpy()
+                ranks = pd.Series(np.abs(x)).rank().to_numpy()
                 least = min(ranks[x > 0].sum(), ranks[x < 0].sum())
                 out.append((len(x), float(least), exact_signed_rank_p(least, ranks)))
-            yield f[list(keys)].assign(n=[o[0] for o in out], w=[o[1] for o in out], p_exact=[o[2] for o in out])
+            yield f[list(keys)].assign(n=[o[0] for o in out], w=[o[1] for o in out], p=[o[2] for o in out])
 
-    return kept.mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", n long, w double, p_exact double")
+    exact = kept.mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", n long, w double, p double").withColumn("method", F.lit("exact"))
+    large = wilcoxon(pairs, *keys, base=base, other=other).where(F.col("n_nonzero") > most)
+    return exact.unionByName(large.select(*keys, F.col("n_nonzero").alias("n"), "w", "p", F.lit("approximate").alias("method")))
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -169,14 +187,14 @@ def point_biserial(rows: DataFrame, flag: Column, value: Column, *keys: str) ->
     """keys, n, r, mean_true, mean_false, difference of a score between two groups."""
     ok = rows.where(flag.isNotNull() & finite(value))
     yes, no = F.avg(F.when(flag, value)), F.avg(F.when(~flag, value))
-    return ok.groupBy(*keys).agg(F.count("*").alias("n"), r6(F.corr(flag.cast("int"), value)).alias("r"), r6(yes).alias("mean_true"), r6(no).alias("mean_false"), r6(yes - no).alias("difference"))
+    return ok.groupBy(*keys).agg(F.count("*").alias("n"), r6(correlation(flag.cast("int"), value)).alias("r"), r6(yes).alias("mean_true"), r6(no).alias("mean_false"), r6(yes - no).alias("difference"))
 
 
 def spearman(rows: DataFrame, x: str, y: str, *keys: str) -> DataFrame:
     """keys, n, rho: the correlation of average ranks."""
     ok = rows.where(finite(F.col(x)) & finite(F.col(y)))
     ranked = ok.select(*keys, average_rank(F.col(x), *keys).alias("rx"), average_rank(F.col(y), *keys).alias("ry"))
-    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), r6(F.corr("rx", "ry")).alias("rho"))
+    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), r6(correlation(F.col("rx"), F.col("ry"))).alias("rho"))
 
 
 def trend_line(rows: DataFrame, x: Column, y: Column, *keys: str) -> DataFrame:
@@ -185,11 +203,25 @@ def trend_line(rows: DataFrame, x: Column, y: Column, *keys: str) -> DataFrame:
 
 
 def box_stats(rows: DataFrame, value: Column, *keys: str) -> DataFrame:
-    """keys, q1, median, q3 and the whiskers: the extreme values within 1.5 interquartile ranges."""
-    v = rows.withColumn("_v", value)
-    q = v.groupBy(*keys).agg(*[F.percentile("_v", F.lit(p)).alias(n) for n, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))])
-    j = v.join(q, list(keys))
+    """keys, q1, median, q3 and the whiskers: the extreme values within 1.5 interquartile ranges.
+
+    Values are counted on the map side first; ranks come from running sums over the different values of a key, sorted and not held.
+    """
+    counts = rows.select(*keys, value.alias("v")).where("v is not null").groupBy(*keys, "v").agg(F.count("*").alias("n"))
+    all_of = Window.partitionBy(*keys)
+    upto = all_of.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counts.withColumns({"upto": F.sum("n").over(upto), "total": F.sum("n").over(all_of)})
+
+    def quantile(share: float) -> Column:
+        at = (F.col("total") - 1) * share
+        of = lambda r: F.max(F.when((F.col("upto") > r) & (F.col("upto") - F.col("n") <= r), F.col("v"))).over(all_of)
+        low, high = of(F.floor(at)), of(F.ceil(at))
+        return low + (high - low) * (at - F.floor(at))
+
+    q = ranked.withColumns({"q1": quantile(0.25), "median": quantile(0.5), "q3": quantile(0.75)})
     span = 1.5 * (F.col("q3") - F.col("q1"))
-    inside = F.col("_v").between(F.col("q1") - span, F.col("q3") + span)
-    out = j.groupBy(*keys, "q1", "median", "q3").agg(F.min(F.when(inside, F.col("_v"))).alias("low"), F.max(F.when(inside, F.col("_v"))).alias("high"), F.count(F.when(~inside, 1)).alias("n_outside"))
+    inside = F.col("v").between(F.col("q1") - span, F.col("q3") + span)
+    out = q.groupBy(*keys).agg(
+        *[F.first(c).alias(c) for c in ("q1", "median", "q3")], F.min(F.when(inside, F.col("v"))).alias("low"), F.max(F.when(inside, F.col("v"))).alias("high"), F.coalesce(F.sum(F.when(~inside, F.col("n"))), F.lit(0)).alias("n_outside"),
+    )
     return out.select(*keys, *[r6(F.col(c)).alias(c) for c in ("q1", "median", "q3", "low", "high")], "n_outside")

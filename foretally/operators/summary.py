@@ -131,3 +131,10 @@ def profile(df: DataFrame, name: str) -> DataFrame:
     n = F.count("*")
     lost = reduce(lambda a, b: a + b, missing)
     return df.agg(n.alias("n_rows"), lost.alias("missing")).select(F.lit(name).alias("table_name"), F.lit(len(df.columns) - 1).cast("long").alias("variables"), "n_rows", "missing", pct(F.col("missing"), F.col("n_rows") * len(df.columns)).alias("missing_pct"))
+
+
+def columns_by_total(table: DataFrame, key: str) -> DataFrame:
+    """A table with its other columns ordered by their sums, largest first; equal ones by name.  The sums are one row."""
+    others = [c for c in table.columns if c != key]
+    total = table.agg(*[F.coalesce(F.sum(F.col(c).cast("double")), F.lit(0.0)).alias(c) for c in others]).first()
+    return table.select(key, *sorted(others, key=lambda c: (-total[c], c)))

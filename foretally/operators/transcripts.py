@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from foretally.functions import text as T
 
+#: Marks of turns.
 MARK = r"(?m)^===== TURN\s+(\d+)\s+ASSISTANT[^\n]*=====\s*\n"
 _TURN = r"(?imsd)^===== TURN\s+(\d+)\s+ASSISTANT[^\n]*=====\s*\n(.*?)(?=^===== TURN\s+\d+\s+(?:USER|ASSISTANT)[^\n]*=====|\z)"
 MOST_CHARACTERS = 16_000
 
 #: Patterns of generated forecasting code.
 CODE_START = r"(?md)^(import\s+\w+|from\s+\w+\s+import|class\s+\w+\s*[\(:]|def\s+\w+\s*\(|(?:random|np|torch|pd|plt)\.\w+\s*\(|(?:np|torch)\.random\.\w+)"
+#: What looks like code.
 SCRIPT_SHAPE = (r"(?md)^\s*(import|from)\s+\w+", r"(?md)^\s*def\s+\w+\s*\(", r"(?md)^\s*class\s+\w+", r"(?md)^\s*\w+\s*=\s*", r"(?md)^\s*for\s+\w+", r"(?md)^\s*if\s+")
+#: What code does.
 CODE_FLAGS = {
     "seed": r"random\.seed|np\.random\.seed|torch\.manual_seed|set_seed",
     "split": r"0\.8\s*\*|int\(.*0\.8|n_train\s*=\s*\d+|train_size\s*=\s*\d+|n_test\s*=\s*\d+",
@@ -21,14 +24,14 @@ CODE_FLAGS = {
     "ground_truth": r"(?is)(?:extend|append|\.append\(|\.extend\()\s*.*?(?:test_val|test|y_test|X_test|y_true)|current_train\s*=\s*np\.concatenate|np\.concatenate\s*\(.*?(?:test|y_test|y_true)|(?:X_train|y_train)\s*=\s*np\.concat|y_train\s*=\s*y_train\s*\+.*?(?:test|y_test)",
     "remainder": r"(?i)remainder|len.*%\s*block|%\s*block_size",
     "prints": r"print\(\s*forecasts\s*\)",
-    "reads_csv": r"read_csv\(",
+    "reads_csv": "read_csv",
     "torch": "import torch",
     "sklearn": "from sklearn|import sklearn",
     "statsmodels": "import statsmodels|from statsmodels",
     "xgboost": "import xgboost|XGBRegressor",
     "prophet": "from prophet|import prophet",
 }
-TURN0_FIELDS = ("Rows", "Columns", "Target", "Frequency", "Missing values", "Trend", "Seasonality", "Stationarity", "Outliers")
+#: Fixed value: preprocessing that goes too far.
 OVERCLEANED = r"(?i)(normaliz|standardiz|scal|log.transfor|differenc)"
 
 
@@ -58,9 +61,14 @@ def render(chats: DataFrame) -> DataFrame:
 
 
 def code_of(response: Column) -> Column:
-    """From the first line that looks like code, without trailing fences; '' if there is none."""
+    """From the first line that looks like code, without trailing fences and without quotes that wrap all of it; '' if there is none."""
     at = F.regexp_instr(response, F.lit(CODE_START))
-    return F.when(at > 0, T.strip_fences(F.substring(response, at, F.char_length(response)))).otherwise("")
+    before = F.lower(T.strip(F.substring(response, F.lit(1), at - 1)))
+    code = T.strip(F.substring(response, at, F.char_length(response)))
+    for quote in ("'''", '"""'):
+        wrapped = before.isin(quote, f"python{quote}", f"{quote}python")
+        code = F.when(wrapped, F.regexp_replace(code, rf"\s*{quote}\s*\z", "")).otherwise(code)
+    return F.when(at > 0, T.strip_fences(code)).otherwise("")
 
 
 def output_type(response: Column) -> Column:
@@ -102,7 +110,7 @@ def code_flags(code: Column) -> list[Column]:
 
 def block_size_ok(code: Column, scenario: Column, block: Column) -> Column:
     """True unless S4, where the code must set the expected block size."""
-    return F.when(scenario != "S4", True).otherwise(F.regexp_like(code, F.concat(F.lit(r"(?i)(?:block_size|PRED_LEN|pred_len)\s*=\s*"), block.cast("string"), F.lit(r"\b"))))
+    return F.when((scenario != "S4") | block.isNull(), True).otherwise(F.regexp_like(code, F.concat(F.lit(r"(?i)(?:block_size|PRED_LEN|pred_len)\s*=\s*"), block.cast("string"), F.lit(r"\b"))))
 
 
 def csv_path_fixed(code: Column, path: str) -> Column:
@@ -129,13 +137,17 @@ def prompt_csv(rows: DataFrame, mode: str, order: str, most: int = 400) -> DataF
     if mode not in ("full", "head_tail", "metadata_only"):
         raise ValueError(f"unknown mode {mode}")
     columns = [c for c in rows.columns if c != order]
-    n = rows.withColumn("_n", F.row_number().over(Window.orderBy(order)) - 1).withColumn("_total", F.count("*").over(Window.partitionBy()))
     if mode == "metadata_only":
         return rows.agg(F.count("*").alias("c")).select(F.lit(0).alias("n"), F.concat(F.lit("rows="), F.col("c").cast("string"), F.lit(f"; columns={'|'.join(columns)}")).alias("line"))
     line = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    lines = rows.select(F.col(order).alias("_o"), line.alias("line"))
+    if mode == "full":
+        return lines.select((F.row_number().over(Window.orderBy("_o")) - 1).cast("int").alias("n"), "line")
+    # two short sorts and a count instead of one order over all rows
     half = max(most // 2, 1)
-    if mode == "head_tail":
-        kept = n.where((F.col("_n") < half) | (F.col("_n") >= F.col("_total") - half) | (F.col("_n") == half))
-        cut = (F.col("_n") == half) & (F.col("_n") < F.col("_total") - half)
-        return kept.select(F.col("_n").cast("int").alias("n"), F.when(cut, "...").otherwise(line).alias("line"))
-    return n.select(F.col("_n").cast("int").alias("n"), line.alias("line"))
+    total = rows.count()
+    first = lines.orderBy("_o").limit(half + 1).withColumn("n", F.row_number().over(Window.orderBy("_o")) - 1)
+    cut = (F.col("n") == half) & F.lit(half < total - half)
+    first = first.select("n", F.when(cut, "...").otherwise(F.col("line")).alias("line"))
+    last = lines.orderBy(F.desc("_o")).limit(max(min(half, total - half - 1), 0)).withColumn("n", total - F.row_number().over(Window.orderBy(F.desc("_o"))))
+    return first.unionByName(last.select("n", "line")).select(F.col("n").cast("int").alias("n"), "line")

@@ -73,7 +73,7 @@ _WILCOXON_SQL = (
     _PAIRS_SQL
     + f""",
 md as (select branch, scenario, metric, count(*) as n_pairs, quantile_cont(base, 0.5) as mb, quantile_cont(challenger, 0.5) as mc from lo where base is not null and challenger is not null group by 1, 2, 3),
-nz as (select *, round(abs(d), 9) as a from lo where abs(d) > 1e-12),
+nz as (select *, printf('%.9e', abs(d))::double as a from lo where abs(d) > 1e-12 * greatest(abs(base), abs(challenger))),
 rk as (select *, rank() over (partition by branch, scenario, metric order by a) + (count(*) over (partition by branch, scenario, metric, a) - 1) / 2.0 as r, count(*) over (partition by branch, scenario, metric, a) as ties from nz),
 su as (select branch, scenario, metric, count(*) as n, sum(case when d > 0 then r else 0 end)::double as plus, sum(case when d < 0 then r else 0 end)::double as minus, sum(ties * ties - 1) as tied from rk group by 1, 2, 3),
 zz as (select *, (least(plus, minus) - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - tied / 48.0) as z from md left join su using (branch, scenario, metric))

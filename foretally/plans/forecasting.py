@@ -175,8 +175,8 @@ d0 as (select c.llm, c.run, c.scenario, c.branch, c.t, (c.actual - c.forecast) *
 d1 as (select *, row_number() over w1 as i, count(*) over w2 as n, avg(d) over w2 as mu from d0 window w1 as (partition by llm, run, scenario, branch order by t), w2 as (partition by llm, run, scenario, branch)),
 lg as (select llm, run, scenario, branch, max(n) as n, max(mu) as mu, least({HORIZON - 1}, max(n) - 1) as lag from d1 group by 1, 2, 3, 4),
 cv as (select a.llm, a.run, a.scenario, a.branch, a.i - b.i as k, sum((a.d - a.mu) * (b.d - b.mu)) as c from d1 a join d1 b using (llm, run, scenario, branch) where a.i - b.i between 0 and {HORIZON - 1} group by 1, 2, 3, 4, 5),
-lr as (select llm, run, scenario, branch, max(n) as dm_n, max(lag) as dm_lag, max(mu) as mu, sum(case when k = 0 then 1 else 2 * (1 - k / (lag + 1.0)) end * c / n) as lrv from cv join lg using (llm, run, scenario, branch) where k <= lag group by 1, 2, 3, 4),
-st as (select *, case when lrv > 1e-12 then mu / sqrt(lrv / dm_n) end as z from lr),
+lr as (select llm, run, scenario, branch, max(n) as dm_n, max(lag) as dm_lag, max(mu) as mu, sum(case when k = 0 then 1 else 2 * (1 - k / (lag + 1.0)) end * c / n) as lrv, max(case when k = 0 then c / n end) + max(mu) * max(mu) as sq from cv join lg using (llm, run, scenario, branch) where k <= lag group by 1, 2, 3, 4),
+st as (select *, case when lrv > 1e-12 * sq then mu / sqrt(lrv / dm_n) end as z from lr),
 dm as (select *, {erfc_sql("(abs(z) / sqrt(2.0))")} as dm_p from st)
 """
 )

@@ -1,50 +1,38 @@
-"""Protocol and compliance queries, with their SQL.
-
-Flags stand in for parsed answers: they are arithmetic on the lengths of a conversation's
-assistant turns, null where a turn is missing.
-"""
+"""Protocol and compliance queries, with their SQL: over the records of master.py, whose flags are parsed from whole chat logs."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foretally.operators import protocol, transcripts
-from foretally.plans.texts import _PIVOT
-from foretally.sources.tables import table
+from foretally.operators import master, protocol
+from foretally.plans import master as logs
 
 _SCORES = ["format_score", "scenario_score", "code_score", "model_score", "turn0_score", "turn1_score", "turn2_score", "turn3_score", "overall_score"]
-#: Rendered in both engines.
-FLAGS = {
-    "output_type": "case conv_id % 4 when 0 then 'SCRIPT' when 1 then 'SCRIPT' when 2 then 'LIST' else 'TEXT' end",
-    "scenario": "'S' || (conv_id % 4 + 1)",
-    "t0_format": "length(t0) % 2 = 0", "t1_format": "length(t1) % 3 > 0", "t1_previous": "length(t1) % 5 > 0", "t1_overcleaned": "length(t1) % 7 = 0", "t2_format": "length(t2) % 2 = 1", "t2_previous": "length(t2) % 3 = 1",
-    "model_named": "length(t0) % 3 > 0", "parameters_named": "length(t1) % 2 = 0", "blockwise": "length(t2) % 5 > 1", "retraining": "length(t2) % 7 > 2", "ground_truth": "length(t2) % 4 > 0",
-    "t3_extra": "length(t3) % 6 = 0", "t3_parsed": "length(t3) % 11 > 0", "t3_seed": "length(t3) % 2 = 0", "t3_csv": "length(t3) % 3 > 0", "t3_split": "length(t3) % 5 > 0", "t3_block": "length(t3) % 4 > 0",
-    "t3_retraining": "length(t3) % 7 > 1", "t3_truth": "length(t3) % 8 > 2", "t3_remainder": "length(t3) % 9 > 4", "t3_prints": "length(t3) % 10 > 0",
-    "family_ok": "length(t1) % 4 > 0", "model_ok": "length(t0) % 5 > 0", "parameters_ok": "length(t2) % 6 > 1",
-    "ok": "length(t3) % 3 > 0",
-}
-#: What a scenario's description says, by its number.
-DESCRIPTIONS = {
-    "S1": "Static. Model retraining: NOT performed. Ground truth during inference: disabled (no updates).",
-    "S2": "Rolling. Model retraining: performed at every step. Ground truth during inference: enabled.",
-    "S3": "Rolling multi-step. The model is retrained after each step. Ground truth: enabled.",
-    "S4": "Block-wise rolling. Model retraining: performed. Ground truth: enabled.",
-}
+_FLAGS = list(master.CHECKS.values())
+#: The scenarios as a prompt describes them.
+PROMPT = """Scenario 1: Static.
+Model retraining: NOT performed. Use of ground truth during inference: disabled (no updates).
+Scenario 2: Rolling one step.
+Model retraining: performed at every step. Use of ground truth during inference: enabled.
+Scenario 3: Multi-step ahead prediction.
+The model is retrained after each horizon. Ground truth is enabled.
+Scenario 4: Block-wise rolling update. Block size: 12.
+Model retraining: performed after each block. Use of ground truth during inference: enabled.
+Scenario 5: Free.
+Anything goes."""
 
 
 def _checks(spark, sf_dir):
-    t = transcripts.turn_columns(table(spark, sf_dir, "conversations"))
-    return t.select("conv_id", *[F.expr(e).alias(k) for k, e in FLAGS.items()])
+    return master.flags(master.checked(*logs.runs(spark, sf_dir)), "file_id", "scenario", "ok")
 
 
 def _scored(spark, sf_dir):
-    return protocol.scores(_checks(spark, sf_dir), "conv_id", "output_type", "scenario")
+    return protocol.scores(_checks(spark, sf_dir), "file_id", "output_type", "scenario")
 
 
 def protocol_checks(spark, sf_dir):
     c = _checks(spark, sf_dir)
-    return c.groupBy("output_type").agg(F.count("*").alias("n"), *[F.count(F.when(F.col(k), 1)).alias(k) for k in FLAGS if k not in ("output_type", "scenario")])
+    return c.groupBy("output_type").agg(F.count("*").alias("n"), *[F.count(F.when(F.col(k), 1)).alias(k) for k in [*_FLAGS, "ok"]])
 
 
 def protocol_scores(spark, sf_dir):
@@ -59,14 +47,13 @@ def protocol_success(spark, sf_dir):
     """Point-biserial association of each score with success."""
     from foretally.operators.stats import point_biserial
 
-    rows = _scored(spark, sf_dir).join(_checks(spark, sf_dir).select("conv_id", "ok"), "conv_id")
+    rows = _scored(spark, sf_dir).join(_checks(spark, sf_dir).select("file_id", "ok"), "file_id")
     long = rows.select("ok", F.inline(F.array(*[F.struct(F.lit(s).alias("score"), F.col(s).alias("value")) for s in _SCORES])))
     return point_biserial(long, F.col("ok"), F.col("value"), "score")
 
 
 def _requirements(spark):
-    d = spark.createDataFrame(list(DESCRIPTIONS.items()), "scenario string, description string")
-    return d.select("scenario", *[c.alias(f"expected_{k}") for k, c in protocol.requirements(F.col("description")).items()])
+    return protocol.scenario_requirements(spark.createDataFrame([(PROMPT,)], "text string"))
 
 
 def scenario_requirements(spark, sf_dir):
@@ -75,12 +62,12 @@ def scenario_requirements(spark, sf_dir):
 
 def _runs(spark, sf_dir):
     c = _checks(spark, sf_dir)
-    seen = c.select("conv_id", "scenario", "ok", *[F.col(k).alias(f"t2_{k}") for k in protocol.SUPPORTED], F.col("t3_retraining"), F.col("t3_truth").alias("t3_ground_truth"), F.col("t3_block").alias("t3_blockwise"))
-    return seen.join(F.broadcast(_requirements(spark)), "scenario")  # four rows
+    seen = c.select("file_id", "scenario", "ok", *[F.col(k).alias(f"t2_{k}") for k in protocol.SUPPORTED], F.col("t3_retraining"), F.col("t3_truth").alias("t3_ground_truth"), F.col("t3_block").alias("t3_blockwise"))
+    return seen.join(F.broadcast(_requirements(spark)), "scenario")  # five rows
 
 
 def compliance_per_run(spark, sf_dir):
-    return protocol.compliance(_runs(spark, sf_dir), "conv_id", "scenario")
+    return protocol.compliance(_runs(spark, sf_dir), "file_id", "scenario")
 
 
 def compliance_summary(spark, sf_dir):
@@ -95,13 +82,13 @@ def verification_sample(spark, sf_dir):
     """Up to three runs of each scenario for a look by hand, the same whenever asked."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("scenario").orderBy(F.xxhash64("conv_id", F.lit(7)))
-    return compliance_per_run(spark, sf_dir).withColumn("i", F.row_number().over(w)).where("i <= 3").select("scenario", "conv_id", "semantic", "implementation")
+    w = Window.partitionBy("scenario").orderBy(F.xxhash64("file_id", F.lit(7)))
+    return compliance_per_run(spark, sf_dir).withColumn("i", F.row_number().over(w)).where("i <= 3").select("scenario", "file_id", "semantic", "implementation")
 
 
 QUERIES = {f.__name__: f for f in (protocol_checks, protocol_scores, protocol_summary, protocol_success, scenario_requirements, compliance_per_run, compliance_summary, requirement_summary, verification_sample)}
 
-_C = "with " + _PIVOT + ", c as (select conv_id, " + ", ".join(f"{e} as {k}" for k, e in FLAGS.items()) + " from t)"
+_C = logs.CTES + ", c as (select file_id, scenario, ok, t3_output_type as output_type, " + ", ".join(f"{k} as {v}" for k, v in master.CHECKS.items()) + " from k)"
 
 
 def _share(flags: list[str]) -> str:
@@ -114,25 +101,28 @@ _SC, _CO, _MO = list(protocol.SCENARIO_FLAGS), list(protocol.CODE_FLAGS), list(p
 _EX = "not t3_extra"
 _PARTS = (
     _C
-    + f""", s as (select conv_id, output_type, scenario, ok, {_share(["t0_format", "t1_format", "t1_previous", "t2_format", "t2_previous", _EX])} as format_score, {_share(_SC)} as scenario_score,
+    + f""", ss as (select file_id, output_type, scenario, ok, {_share(["t0_format", "t1_format", "t1_previous", "t2_format", "t2_previous", _EX])} as format_score, {_share(_SC)} as scenario_score,
   case output_type when 'SCRIPT' then {_share(_CO)} when 'LIST' then {_share(_CO[:1])} else 0.0 end as code_score, case when output_type = 'SCRIPT' then {_share(_MO)} end as model_score,
   {_share(["t0_format"])} as turn0_score, {_share(["t1_format", "t1_previous", "not t1_overcleaned"])} as turn1_score, {_share(["t2_format", "t2_previous", *_SC])} as turn2_score,
   case output_type when 'SCRIPT' then {_share([_EX, *_CO, *_MO])} when 'LIST' then {_share([_EX, *_CO[:1]])} else {_share([_EX, "false"])} end as turn3_score from c),
-o as (select *, round(list_avg(list_filter([format_score, scenario_score, code_score, model_score], lambda x: x is not null)), 2) as overall_score,
-  turn0_score = 100 and turn1_score = 100 and turn2_score = 100 and turn3_score = 100 as strict from s)"""
+oo as (select *, round(list_avg(list_filter([format_score, scenario_score, code_score, model_score], lambda x: x is not null)), 2) as overall_score,
+  turn0_score = 100 and turn1_score = 100 and turn2_score = 100 and turn3_score = 100 as strict from ss)"""
 )
 _COLS = ", ".join(_SCORES)
-_REQ = "rq(scenario, expected_retraining, expected_ground_truth, expected_blockwise, expected_multistep) as (values ('S1', false, false, null::boolean, null::boolean), ('S2', true, true, null, null), ('S3', true, true, null, true), ('S4', true, true, true, null))"
-_RUNS = _C + ", " + _REQ + """, r as (select conv_id, c.scenario, ok, expected_retraining as e1, expected_ground_truth as e2, expected_blockwise as e3, retraining as s1, ground_truth as s2, blockwise as s3, t3_retraining as i1, t3_truth as i2, t3_block as i3 from c join rq using (scenario)),
-k as (select *, (e1 is not null)::int + (e2 is not null)::int + (e3 is not null)::int as n, coalesce((e1 = s1)::int, 0) + coalesce((e2 = s2)::int, 0) + coalesce((e3 = s3)::int, 0) as ks, coalesce((e1 = i1)::int, 0) + coalesce((e2 = i2)::int, 0) + coalesce((e3 = i3)::int, 0) as ki from r),
-p as (select *, round(100.0 * ks / nullif(n, 0), 1) as semantic, round(100.0 * ki / nullif(n, 0), 1) as implementation, ks = n as fs, ki = n as fi from k)"""
+_REQ = "rq(scenario, expected_retraining, expected_ground_truth, expected_blockwise, expected_multistep) as (values ('S1', false, false, null::boolean, null::boolean), ('S2', true, true, null, null), ('S3', true, true, null, true), ('S4', true, true, true, null), ('S5', null, null, null, null))"
+_RUNS = _C + ", " + _REQ + """, rr as (select file_id, c.scenario, ok, expected_retraining as e1, expected_ground_truth as e2, expected_blockwise as e3, retraining as s1, ground_truth as s2, blockwise as s3, t3_retraining as i1, t3_truth as i2, t3_block as i3 from c join rq using (scenario)),
+kk as (select *, (e1 is not null)::int + (e2 is not null)::int + (e3 is not null)::int as n, coalesce((e1 = s1)::int, 0) + coalesce((e2 = s2)::int, 0) + coalesce((e3 = s3)::int, 0) as ks, coalesce((e1 = i1)::int, 0) + coalesce((e2 = i2)::int, 0) + coalesce((e3 = i3)::int, 0) as ki from rr),
+pp as (select *, round(100.0 * ks / nullif(n, 0), 1) as semantic, round(100.0 * ki / nullif(n, 0), 1) as implementation, ks = n as fs, ki = n as fi from kk)"""
 SQL = {
-    "protocol_checks": _C + " select output_type, count(*) as n, " + ", ".join(f"count(*) filter ({k}) as {k}" for k in FLAGS if k not in ("output_type", "scenario")) + " from c group by 1",
-    "protocol_scores": _PARTS + f" select conv_id, output_type, scenario, {_COLS}, strict from o",
-    "protocol_summary": _PARTS + " select output_type, scenario, count(*) as n, " + ", ".join(f"coalesce(round(avg({s}), 2), 0.0) as mean_{s}" for s in _SCORES) + ", round(100.0 * count(*) filter (strict) / count(*), 2) as strict_pct from o group by 1, 2",
-    "protocol_success": _PARTS + ", l as (" + " union all ".join(f"select ok, '{s}' as score, {s}::double as value from o" for s in _SCORES) + ") select score, count(*) as n, round(case when isnan(corr(ok::int, value)) then null else corr(ok::int, value) end, 6) as r, round(avg(value) filter (ok), 6) as mean_true, round(avg(value) filter (not ok), 6) as mean_false, round(avg(value) filter (ok) - avg(value) filter (not ok), 6) as difference from l where ok is not null and value is not null group by 1",
+    "protocol_checks": _C + " select output_type, count(*) as n, " + ", ".join(f"count(*) filter ({k}) as {k}" for k in [*_FLAGS, "ok"]) + " from c group by 1",
+    "protocol_scores": _PARTS + f" select file_id, output_type, scenario, {_COLS}, strict from oo",
+    "protocol_summary": _PARTS + " select output_type, scenario, count(*) as n, " + ", ".join(f"coalesce(round(avg({s}), 2), 0.0) as mean_{s}" for s in _SCORES) + ", round(100.0 * count(*) filter (strict) / count(*), 2) as strict_pct from oo group by 1, 2",
+    "protocol_success": _PARTS + ", ll as (" + " union all ".join(f"select ok, '{s}' as score, {s}::double as value from oo" for s in _SCORES) + ") select score, count(*) as n, round(case when isnan(corr(ok::int, value)) then null else corr(ok::int, value) end, 6) as r, round(avg(value) filter (ok), 6) as mean_true, round(avg(value) filter (not ok), 6) as mean_false, round(avg(value) filter (ok) - avg(value) filter (not ok), 6) as difference from ll where ok is not null and value is not null group by 1",
     "scenario_requirements": "with " + _REQ + " select * from rq",
-    "compliance_per_run": _RUNS + " select conv_id, scenario, semantic, implementation, fs as full_semantic, fi as full_implementation, case when e3 is null then 'retraining,ground_truth' else 'retraining,ground_truth,blockwise' end as supported, case when e3 is null then 'blockwise' else '' end as unsupported from p",
-    "compliance_summary": _RUNS + " select scenario, count(*) as n, round(avg(semantic), 1) as mean_semantic, round(avg(implementation), 1) as mean_implementation, count(*) filter (fs) || ' / ' || count(*) as full_semantic, count(*) filter (fi) || ' / ' || count(*) as full_implementation, round(100.0 * count(*) filter (fs and fi) / nullif(count(*) filter (fs), 0), 1) as implemented_given_semantic, round(100.0 * count(*) filter (fi and coalesce(ok, false)) / nullif(count(*) filter (fi), 0), 1) as success_given_implemented from p group by 1",
-    "requirement_summary": _RUNS + ", u as (select scenario, 'retraining' as requirement, e1 as e, s1 as s, i1 as i from r union all select scenario, 'ground_truth', e2, s2, i2 from r union all select scenario, 'blockwise', e3, s3, i3 from r) select scenario, requirement, count(e) as n, round(100.0 * count(*) filter (e = s) / nullif(count(e), 0), 1) as semantic_pct, round(100.0 * count(*) filter (e = i) / nullif(count(e), 0), 1) as implementation_pct from u group by 1, 2",
+    "compliance_per_run": _RUNS + " select file_id, scenario, semantic, implementation, fs as full_semantic, fi as full_implementation, case when e3 is null then 'retraining,ground_truth' else 'retraining,ground_truth,blockwise' end as supported, case when e3 is null then 'blockwise' else '' end as unsupported from pp",
+    "compliance_summary": _RUNS + " select scenario, count(*) as n, round(avg(semantic), 1) as mean_semantic, round(avg(implementation), 1) as mean_implementation, count(*) filter (fs) || ' / ' || count(*) as full_semantic, count(*) filter (fi) || ' / ' || count(*) as full_implementation, round(100.0 * count(*) filter (fs and fi) / nullif(count(*) filter (fs), 0), 1) as implemented_given_semantic, round(100.0 * count(*) filter (fi and coalesce(ok, false)) / nullif(count(*) filter (fi), 0), 1) as success_given_implemented from pp group by 1",
+    "requirement_summary": _RUNS + ", uu as (select scenario, 'retraining' as requirement, e1 as e, s1 as s, i1 as i from rr union all select scenario, 'ground_truth', e2, s2, i2 from rr union all select scenario, 'blockwise', e3, s3, i3 from rr) select scenario, requirement, count(e) as n, round(100.0 * count(*) filter (e = s) / nullif(count(e), 0), 1) as semantic_pct, round(100.0 * count(*) filter (e = i) / nullif(count(e), 0), 1) as implementation_pct from uu group by 1, 2",
 }
+#: The detail table holds checks and scores.
+QUERIES["protocol_details"] = logs.protocol_details
+SQL["protocol_details"] = _PARTS + ", n as (select file_id, dataset, scenario, branch, track, llm_version, run_id, t3_output_type as output_type, expected_model, expected_hyperparameters, " + ", ".join(master.CHECKS) + f" from k) select n.*, {_COLS}, strict from n join oo using (file_id)"

@@ -22,11 +22,16 @@ RESPONSE = f"""case doc_id % 4
  else left(text, 200) end"""
 #: An answer with labelled fields.
 ANSWER = f"""'Rows: ' || n_chars || {_NL} || 'Trend - ' || lang || {_NL} || case when doc_id % 2 = 0 then 'Seasonality:  ' || source || '  ' || {_NL} else '' end || 'Stationarity:' || {_NL} || 'Outliers: none'"""
-#: An execution log, and the error beside it.
-ERRORS = ("", "Script timed out after 900 seconds", "Forecast length mismatch: expected 29, got 24", "No Python forecast list found", "SyntaxError: invalid syntax", "ModuleNotFoundError: No module named x", "Script exited with code 1", "Script exited with code 1", "Script exited with code 1", "boom", "boom", "boom", "boom", "")
-LOGS = (
-    "STDOUT\n[1, 2]\n", "STDOUT\n\n\nSTDERR\n\n\nTIMEOUT after 900 seconds", "STDOUT\n[1]\n", "STDOUT\nhello\n", "STDERR\n  File x\n", "STDERR\nTraceback\n", "STDERR\nTraceback\nValueError: Invalid frequency: M", "STDERR\nTraceback\nKeyError: 1",
-    "STDERR\nTraceback\nRuntimeError: size of tensor a", "STDERR\nTraceback\nNameError: name 'pd' is not defined", "STDERR\nTraceback\n  torch/nn\nOops", "STDOUT\n[np.float64(1.0)]\n", "", "",
+#: What errors and logs are made of; two or three of these stand in each log, in every order.
+ERRORS = (
+    "", "boom", "Script timed out after 900 seconds", "Forecast length mismatch: expected 29, got 24", "No Python forecast list found", "IndentationError: unexpected indent", "ModuleNotFoundError: No module named x", "script exited with code 1",
+    "previous failure", "Unsupported output type: text", "script exited with code 2", "TIMEOUT AFTER 5", "previous script execution failed", "boom",
+)
+STARTS = ("STDOUT\n[1.5, 2]\n", "STDOUT\n\n", "", "STDOUT\nabc\n", "STDOUT\n[np.float64(1.5), np.float64(2)]\n", "STDOUT\n[1, [2, 3]]\n", "STDOUT\ntensor(2)\n", "STDOUT\n[]\n", "STDOUT\n['a', 1]\n", "note\n")
+MARKS = (
+    "SyntaxError: x", "IndentationError: y", "TIMEOUT after 900 seconds", "it timed out", "NameError: name 'pd' is not defined", "NameError: name 'zz' is not defined", "AttributeError: a", "ValueError: Invalid frequency: M", "ValueError: bad", "TypeError: t",
+    "KeyError: 'a'", "ImportError: i", "ModuleNotFoundError: m", "IndexError: 3", "RuntimeError: size of tensor a", "RuntimeError: r", "Traceback (most recent call last):", "  torch/nn/modules", "  statsmodels/tsa", "  pandas/core", "  sklearn/base", "  lightgbm/engine",
+    "UserWarning: u", "ValueWarning: v", "LGBMRegressor note", "plain line", "", "7 lines",
 )
 
 
@@ -34,9 +39,15 @@ def _sql_text(s: str) -> str:
     return "(" + f" || {_NL} || ".join("'" + part.replace("'", "' || chr(39) || '") + "'" for part in s.split("\n")) + ")"
 
 
-ERROR = "case doc_id % 14 " + " ".join(f"when {i} then {_sql_text(e)}" for i, e in enumerate(ERRORS)) + " end"
-LOG = "case doc_id % 14 " + " ".join(f"when {i} then {_sql_text(e)}" for i, e in enumerate(LOGS)) + " end"
-STATUS = "case when doc_id % 14 = 0 then 'OK' else 'FAIL' end"
+def _pick(of: tuple[str, ...], number: str) -> str:
+    return f"case {number} % {len(of)} " + " ".join(f"when {i} then {_sql_text(e)}" for i, e in enumerate(of)) + " end"
+
+
+ERROR = _pick(ERRORS, "(doc_id * 5 + 3)")
+_WEAK = MARKS[16:]
+LOG = f"""{_pick(STARTS, 'doc_id')} || case when doc_id % 3 = 0 then '' else {_NL} || 'STDERR' || {_NL} end || case when doc_id % 2 = 1 then {_pick(MARKS, '(doc_id * 11)')} else {_pick(_WEAK, '(doc_id * 5)')} end || {_NL}
+ || case when doc_id % 4 = 0 then '' else {_pick(_WEAK, '(doc_id * 7 + 5)')} || {_NL} end || case when doc_id % 5 = 0 then {_pick(MARKS, '(doc_id * 3 + 9)')} || {_NL} else '' end"""
+STATUS = "case when doc_id % 19 = 0 then 'ok' else 'FAIL' end"
 OUTPUT = "case when doc_id % 28 = 13 then 'ERROR' when doc_id % 28 = 27 then 'TEXT' else 'SCRIPT' end"
 
 
@@ -123,7 +134,8 @@ def failure_details(spark, sf_dir):
 
 def previous_failures(spark, sf_dir):
     d = _docs(spark, sf_dir, log=LOG)
-    return d.select("doc_id", taxonomy.previous_failure(F.col("log"), F.size(T.last_list(F.col("log"))), F.lit(2)).alias("reason"))
+    path = F.concat(F.lit("logs/"), F.col("doc_id").cast("string"))
+    return d.select("doc_id", taxonomy.previous_failure(F.col("log"), path, F.lit(3)).alias("reason"))
 
 
 def log_tail(spark, sf_dir):
@@ -185,7 +197,7 @@ def category_keywords(spark, sf_dir):
 
 
 _PARAMS = "'Order = (1, ' || (doc_id % 3) || ', 1); n_lags=' || (doc_id % 5) || ' alpha = 0.' || (doc_id % 9 + 1)"
-_CODE = "'fit(n lags=' || (doc_id % 4) || ', alpha=0.' || (doc_id % 9 + 1) || ')'"
+_CODE = "'fit(n_lags=' || (doc_id % 4) || ', alpha=0.' || (doc_id % 9 + 1) || ' order=(1, 2, 1))'"
 
 
 def hyperparam_tokens(spark, sf_dir):
@@ -214,13 +226,31 @@ _PLAIN = r"regexp_replace(regexp_replace(r, 'np\.float64\(([^()]+)\)', '\1', 'g'
 _START = r"(?m)^(import\s+\w+|from\s+\w+\s+import|class\s+\w+\s*[\(:]|def\s+\w+\s*\(|(random|np|torch|pd|plt)\.\w+\s*\(|(np|torch)\.random\.\w+)"
 _IS_SCRIPT = r"(not contains(r, '```') and regexp_matches(r, '(?m)(^\s*(import|from)\s+\w+|^\s*def\s+\w+\s*\(|^\s*class\s+\w+|^\s*\w+\s*=\s*|^\s*for\s+\w+|^\s*if\s+)') and (regexp_matches(r, '(?i)print\([^\n]*(forecast|predict|preds)') or regexp_matches(regexp_extract(rtrim(r, chr(10)), '([^\n]*)$', 1), '(?i)forecast|predict|preds')))"
 _STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
-_CATS = {
-    0: "OK", 1: "TIMEOUT", 2: "FORECAST_LENGTH_MISMATCH", 3: "NO_FORECAST_LIST_FOUND", 4: "SCRIPT_SYNTAX_ERROR", 5: "MISSING_PACKAGE", 6: "SCRIPT_PANDAS_FREQUENCY_ERROR", 7: "SCRIPT_KEY_ERROR", 8: "SCRIPT_TENSOR_SHAPE_ERROR",
-    9: "SCRIPT_MISSING_IMPORT", 10: "SCRIPT_TORCH_ERROR", 11: "FORECAST_NUMPY_WRAPPED", 12: "SCRIPT_NO_OUTPUT",
-}
-_CATEGORY = "case when doc_id % 28 = 13 then 'MODEL_RETURNED_ERROR' when doc_id % 28 = 27 then 'UNSTRUCTURED_TEXT_OUTPUT' else case doc_id % 14 " + " ".join(f"when {k} then '{v}'" for k, v in _CATS.items()) + " end end"
-_GROUP = "case when category = 'OK' then 'OK' when category in ('MODEL_RETURNED_ERROR', 'UNSTRUCTURED_TEXT_OUTPUT', 'FORECAST_LENGTH_MISMATCH', 'NO_FORECAST_LIST_FOUND', 'FORECAST_NUMPY_WRAPPED') then 'model/output issue' when starts_with(category, 'SCRIPT_') then 'code issue' else 'runtime/infra issue' end"
+def _has(x: str, *marks: str) -> str:
+    return "(" + " or ".join(f"contains({x}, '{m}')" for m in marks) + ")"
+
+
+_RUN = f"""case when {_has('tl', 'valueerror')} then case when {_has('tl', 'invalid frequency')} then 'SCRIPT_PANDAS_FREQUENCY_ERROR' else 'SCRIPT_VALUE_ERROR' end when {_has('tl', 'keyerror')} then 'SCRIPT_KEY_ERROR' when {_has('tl', 'indexerror')} then 'SCRIPT_INDEX_ERROR'
+ when {_has('tl', 'runtimeerror')} then case when {_has('tl', 'tensor')} then 'SCRIPT_TENSOR_SHAPE_ERROR' else 'SCRIPT_RUNTIME_ERROR' end when {_has('tl', 'typeerror')} then 'SCRIPT_TYPE_ERROR' when {_has('tl', 'attributeerror')} then 'SCRIPT_ATTRIBUTE_ERROR' when {_has('tl', 'nameerror')} then 'SCRIPT_NAME_ERROR' else 'SCRIPT_RUNTIME_ERROR' end"""
+_DEEP = rf"""case when {_has('lo', 'syntaxerror', 'indentationerror')} then 'SCRIPT_SYNTAX_ERROR' when {_has('lo', 'timed out', 'timeout after')} then 'TIMEOUT'
+ when {_has('lo', 'nameerror')} then case when {_has('lo', "''pd'' is not defined", "''np'' is not defined")} or ({_has('lo', 'torch')} and {_has('lo', 'is not defined')}) then 'SCRIPT_MISSING_IMPORT' else 'SCRIPT_NAME_ERROR' end
+ when {_has('lo', 'attributeerror')} then 'SCRIPT_ATTRIBUTE_ERROR' when {_has('lo', 'valueerror')} then 'SCRIPT_VALUE_ERROR' when {_has('lo', 'typeerror')} then 'SCRIPT_TYPE_ERROR' when {_has('lo', 'keyerror')} then 'SCRIPT_KEY_ERROR' when {_has('lo', 'importerror', 'modulenotfounderror')} then 'SCRIPT_MISSING_PACKAGE'
+ when {_has('lo', 'traceback')} then case when {_has('lo', 'torch')} then 'SCRIPT_TORCH_ERROR' when {_has('lo', 'statsmodels')} then 'SCRIPT_STATSMODELS_ERROR' when {_has('lo', 'pandas')} then 'SCRIPT_PANDAS_ERROR' when {_has('lo', 'sklearn', 'xgboost', 'lightgbm')} then 'SCRIPT_SKLEARN_ERROR' else 'SCRIPT_RUNTIME_ERROR' end
+ when so and not se then case when {_has('sx', 'np.float', 'np.int')} then 'FORECAST_NUMPY_WRAPPED' when {_has('sx', 'tensor(')} then 'FORECAST_TENSOR_WRAPPED' when regexp_matches(sx, '[\d.]+') then 'FORECAST_PARSE_FAILURE' else 'SCRIPT_EMPTY_OUTPUT' end
+ when {_has('lo', 'userwarning', 'valuewarning')} then case when {_has('lo', 'sklearn', 'lgbmregressor', 'lightgbm')} then 'SCRIPT_MODEL_WARNING_OUTPUT' when {_has('lo', 'statsmodels')} then 'SCRIPT_STATSMODELS_WARNING' when {_has('lo', 'torch')} then 'SCRIPT_TORCH_WARNING' else 'FORECAST_PARSE_FAILURE' end
+ when not so and not se then 'SCRIPT_NO_OUTPUT' else 'OTHER_FAIL' end"""
+_FAILED = rf"""f0 as (select doc_id, lang, upper({STATUS}) as status, {OUTPUT} as output, {ERROR} as error, {LOG} as log from documents),
+f1 as (select *, lower(log) as lo, lower(array_to_string(string_split(log, chr(10))[greatest(len(string_split(log, chr(10))) - 39, 1):], chr(10))) as tl, regexp_matches(log, '(?:^|\n)STDOUT\s*\n\s*\S') as so, regexp_matches(log, '(?:^|\n)STDERR\s*\n\s*\S') as se, substr(log, strpos(log, 'STDOUT') + 6) as sx from f0),
+f2 as (select *, lower(error) || chr(10) || tl as bt from f1),
+f3 as (select *, case when status = 'OK' then 'OK' when output = 'ERROR' or {_has('bt', 'unsupported output type: error')} then 'MODEL_RETURNED_ERROR' when output = 'TEXT' or {_has('bt', 'unsupported output type: text')} then 'UNSTRUCTURED_TEXT_OUTPUT' when {_has('bt', 'timed out', 'timeout after')} then 'TIMEOUT'
+  when {_has('bt', 'forecast length mismatch')} then 'FORECAST_LENGTH_MISMATCH' when {_has('bt', 'no python forecast list found')} then 'NO_FORECAST_LIST_FOUND' when {_has('bt', 'syntaxerror', 'indentationerror')} then 'SCRIPT_SYNTAX_ERROR' when {_has('bt', 'modulenotfounderror', 'importerror')} then 'MISSING_PACKAGE'
+  when {_has('bt', 'script exited with code')} then {_RUN} when trim(error) <> '' then {_DEEP} else 'FAIL_UNKNOWN' end as category from f2)"""
+_GROUP = "case when category = 'OK' then 'OK' when category in ('MODEL_RETURNED_ERROR', 'UNSTRUCTURED_TEXT_OUTPUT', 'FORECAST_LENGTH_MISMATCH', 'NO_FORECAST_LIST_FOUND', 'FORECAST_NUMPY_WRAPPED', 'FORECAST_TENSOR_WRAPPED', 'FORECAST_PARSE_FAILURE') then 'model/output issue' when starts_with(category, 'SCRIPT_') then 'code issue' else 'runtime/infra issue' end"
 _VEC = f"v as (select vec_id, label, embedding[1] as v1, embedding[2] as v2, embedding[3] as v3 from embeddings), x as (select *, {_VECTOR} as text from v), l as (select *, list_filter(regexp_extract_all(text, '\\[[^\\[\\]]+\\]'), lambda s: regexp_matches(s, '^\\[[-0-9, ]+\\]$')) as ls from x)"
+_NOISY = ", ".join(f"'{x}'" for x in T.NOISY)
+_TOKENS = rf"""t0 as (select doc_id, trim(regexp_replace(lower(replace({_PARAMS}, '_', ' ')), '\s+', ' ', 'g')) as x, trim(regexp_replace(lower(replace({_CODE}, '_', ' ')), '\s+', ' ', 'g')) as c from documents),
+t1 as (select doc_id, c, list_distinct(list_transform(list_concat(regexp_extract_all(x, '\b[a-z_][a-z0-9_]*\s*=\s*[-+]?\d+(?:\.\d+)?'), regexp_extract_all(x, '\b(?:order|seasonal_order)\s*[:=]\s*\(?\s*\d+\s*,\s*\d+\s*,\s*\d+'), regexp_extract_all(x, '\b[-+]?\d+(?:\.\d+)?\b')), lambda s: replace(s, ' ', ''))) as a from t0),
+t2 as (select doc_id, c, case when len(a) <= 5 then a else list_filter(a, lambda s: s not in ({_NOISY})) end as k from t1)"""
 _JOIN = "array_to_string(list_transform(string_split(trim({0}, '[]'), ','), lambda s: trim(s)), ',')"
 SQL = {
     "turns_pivot": f"with {_PIVOT} select conv_id, length(t0) as t0_chars, length(t1) as t1_chars, length(t2) as t2_chars, length(t3) as t3_chars, n_turns from t",
@@ -238,12 +268,13 @@ select doc_id, case when r = 'ERROR' then 'MODEL_ERROR_LITERAL' when is_list the
     "code_feature_flags": f"""with {_D} select doc_id, regexp_matches(r, 'np\\.random\\.seed') as seed, regexp_matches(r, 'n_train\\s*=\\s*\\d+') as split, contains(r, 'for i in range(3):') and contains(r, '.fit(') as retraining, contains(r, 'print(forecasts)') as prints,
   contains(r, 'import torch') as torch, case when doc_id % 3 <> 0 then true else regexp_matches(r, 'block_size = 12\\b') end as block_ok, case when regexp_matches(r, '{_START}') then length(r) else 0 end as code_chars from d""",
     "page_flags": r"""select page_id, regexp_matches(html, 'track\(\d+\)') as tracks, regexp_matches(html, '(?i)<h1>') as headed, regexp_extract(html, 'lang="(\w+)"', 1) as lang from pages""",
-    "failure_taxonomy": f"with c as (select doc_id, {_CATEGORY} as category from documents) select doc_id, category, {_GROUP} as error_group from c",
-    "failure_group_share": f"with c as (select lang, {_CATEGORY} as category from documents), g as (select lang, {_GROUP} as error_group, count(*) as n from c group by 1, 2) select *, (sum(n) over (partition by lang))::bigint as total, round(100.0 * n / sum(n) over (partition by lang), 2) as share from g",
-    "failure_details": f"select lang, doc_id, {_CATEGORY} as category, {ERROR} as error from documents where {_CATEGORY} <> 'OK'",
-    "previous_failures": f"""select doc_id, case doc_id % 14 when 0 then null when 1 then 'Script timed out after 900 seconds' when 2 then 'Forecast length mismatch: expected 2, got 1' when 5 then 'Script exited with code 1: Traceback'
-  when 6 then 'Script exited with code 1: ValueError: Invalid frequency: M' when 7 then 'Script exited with code 1: KeyError: 1' when 8 then 'Script exited with code 1: RuntimeError: size of tensor a'
-  when 9 then 'Script exited with code 1: NameError: name ''pd'' is not defined' when 10 then 'Script exited with code 1: Oops' when 11 then 'Forecast length mismatch: expected 2, got 1' else 'No Python forecast list found' end as reason from documents""",
+    "failure_taxonomy": f"with {_FAILED} select doc_id, category, {_GROUP} as error_group from f3",
+    "failure_group_share": f"with {_FAILED}, g as (select lang, {_GROUP} as error_group, count(*) as n from f3 group by 1, 2) select *, (sum(n) over (partition by lang))::bigint as total, round(100.0 * n / sum(n) over (partition by lang), 2) as share from g",
+    "failure_details": f"with {_FAILED} select lang, doc_id, category, error from f3 where category <> 'OK'",
+    "previous_failures": rf"""with l as (select doc_id, {LOG} as log from documents), o as (select *, regexp_replace(string_split(log, chr(10) || 'STDERR' || chr(10))[1], '^STDOUT\s*\n', '') as so, coalesce(string_split(log, chr(10) || 'STDERR' || chr(10))[2], '') as se from l),
+u as (select *, regexp_replace(so, 'np\.float64\(([^()]+)\)', '\1', 'g') as x from o), w as (select *, regexp_extract(x, '(?s)^.*(\[[^\[\]]*\])[^\]]*$', 1) as flat, regexp_matches(x, '(?s)\[[^\[\]]*\[[^\[\]]*\]\s*\][^\]]*$') as nested from u)
+select doc_id, case when regexp_matches(log, 'TIMEOUT after \d+ seconds') then 'script timed out after ' || regexp_extract(log, 'TIMEOUT after (\d+) seconds', 1) || 's; see logs/' || doc_id when trim(se, chr(10) || ' ') <> '' then null when nested then 'forecast list is not flat' when flat = '' then 'no Python forecast list found'
+  when contains(flat, chr(39)) then 'forecast list has an item that is no number' when flat = '[]' then 'forecast length mismatch: expected 3, got 0' else 'forecast length mismatch: expected 3, got ' || len(string_split(flat, ',')) end as reason from w""",
     "log_tail": "with p as (select doc_id, string_split(text, chr(10)) as s from documents), t as (select doc_id, array_to_string(s[greatest(len(s) - 1, 1):], chr(10)) as t from p) select doc_id, md5(t) as digest, length(t) as chars from t",
     "list_literals": f"with {_VEC} select vec_id, {_JOIN.format('ls[1]')} as first_values, {_JOIN.format('ls[-1]')} as last_values from l",
     "list_explode": f"with {_VEC}, e as (select vec_id, list_transform(string_split(trim(ls[-1], '[]'), ','), lambda s: cast(trim(s) as double)) as f from l where len(ls) > 0) select vec_id, unnest(generate_series(0, len(f) - 1))::int as t, unnest(f) as forecast from e",
@@ -253,7 +284,6 @@ select doc_id, case when r = 'ERROR' then 'MODEL_ERROR_LITERAL' when is_list the
     "strip_fences": "select doc_id, 'code ' || doc_id as code from documents",
     "alias_map": "select conv_id, turn, 'S' || (turn % 4 + 1) as scenario, case role when 'assistant' then 'model' when 'user' then 'person' else role end as speaker from conversations",
     "category_keywords": "select case " + " ".join(f"when contains(lower(p_type), '{k}') then '{v}'" for k, v in _CATEGORIES.items()) + " else 'Unknown' end as category, count(*) as n from part group by 1",
-    "hyperparam_tokens": """with t as (select doc_id, list_sort(list_distinct(['lags=' || (doc_id % 5), 'alpha=0.' || (doc_id % 9 + 1), 'order=(1,' || (doc_id % 3) || ',1', '1', (doc_id % 3)::varchar, (doc_id % 5)::varchar, '0.' || (doc_id % 9 + 1)])) as t from documents) select doc_id, array_to_string(t, '|') as tokens from t""",
-    "token_coverage": """with t as (select doc_id, list_distinct(['lags=' || (doc_id % 5), 'alpha=0.' || (doc_id % 9 + 1), 'order=(1,' || (doc_id % 3) || ',1', '1', (doc_id % 3)::varchar, (doc_id % 5)::varchar, '0.' || (doc_id % 9 + 1)]) as t, 'fit(nlags=' || (doc_id % 4) || ',alpha=0.' || (doc_id % 9 + 1) || ')' as c from documents),
-s as (select doc_id, len(list_filter(t, lambda x: contains(c, x))) / len(t) as v from t) select doc_id, round(v, 6) as coverage, v >= 0.6 as matches from s""",
+    "hyperparam_tokens": f"with {_TOKENS} select doc_id, array_to_string(list_sort(k), '|') as tokens from t2",
+    "token_coverage": f"with {_TOKENS}, s as (select doc_id, len(list_filter(k, lambda x: contains(c, x))) / len(k) as v from t2) select doc_id, round(v, 6) as coverage, v >= 0.6 as matches from s",
 }

@@ -53,3 +53,26 @@ def reused(new: DataFrame, old: DataFrame, key: str, value: str) -> DataFrame:
 def with_schema_of(df: DataFrame, like: DataFrame) -> DataFrame:
     """df with like's columns, order and types."""
     return df.select(*[F.col(f.name).cast(f.dataType) for f in like.schema.fields])
+
+
+def markdown(df: DataFrame, order: str, *columns: str) -> DataFrame:
+    """n, line: a small table of results as lines of a Markdown report, in the order of one of its columns."""
+    from pyspark.sql import Window
+
+    cell = lambda c: F.coalesce(F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\|")), F.lit(""))
+    row = lambda *cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    head = df.sparkSession.createDataFrame([(-2, "| " + " | ".join(columns) + " |"), (-1, "|" + " --- |" * len(columns))], "n int, line string")
+    return head.unionByName(df.select((F.row_number().over(Window.orderBy(order)) - 1).cast("int").alias("n"), row(*map(cell, columns)).alias("line")))
+
+
+def series_of(table: DataFrame, series_id: str, target: str, order: str) -> DataFrame:
+    """series_id, t, y of a dataset; a missing column, an empty dataset or one too short to split is an error."""
+    for c in (target, order):
+        if c not in table.columns:
+            raise ValueError(f"no column {c} in {table.columns}")
+    n = table.count()
+    if n * 4 // 5 in (0, n):
+        raise ValueError(f"{n} rows can't be split into train and test")
+    from pyspark.sql import Window
+
+    return table.select(F.lit(series_id).alias("series_id"), (F.row_number().over(Window.orderBy(order)) - 1).cast("int").alias("t"), F.col(target).cast("string").try_cast("double").alias("y"))

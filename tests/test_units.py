@@ -132,12 +132,15 @@ def test_diebold_mariano(spark):
     assert ab["dm_p"] == pytest.approx(math.erfc(abs(ab["dm_statistic"]) / math.sqrt(2)))
     same = stats.diebold_mariano(stats.loss_differences(pairs(spark, a, a), "k"), "k").first()
     assert same["dm_mean"] == 0 and same["dm_statistic"] is None and same["dm_p"] is None
+    tiny = pairs(spark, a, b).select("k", "t", *[(F.col(c) * 1e-8).alias(c) for c in ("actual", "forecast", "ref_actual", "ref_forecast")])
+    assert stats.diebold_mariano(stats.loss_differences(tiny, "k"), "k", horizon=5).first()["dm_statistic"] == pytest.approx(ab["dm_statistic"])
     other = pairs(spark, a, b).withColumn("ref_actual", F.col("ref_actual") + 1)
     assert stats.loss_differences(other, "k").count() == 0
 
 
 def test_benjamini_hochberg(spark):
     ps = [0.01, 0.04, 0.03, None, 0.2, 0.04]
+    # null p-values keep their rows and don't count
     got = {r["i"]: r["q"] for r in stats.benjamini_hochberg(spark.createDataFrame(list(enumerate(ps)), "i int, p double"), "p", "i").collect()}
     known = sorted((p, i) for i, p in enumerate(ps) if p is not None)
     want, low = {}, 1.0
@@ -153,7 +156,12 @@ def test_wilcoxon(spark):
     assert (got["a"]["n_pairs"], got["a"]["n_nonzero"], got["a"]["w"]) == (6, 5, 5.0)
     assert (got["z"]["w"], got["z"]["p"]) == (0.0, 1.0)
     exact = stats.wilcoxon_exact(df, "k").first()
-    assert exact["p_exact"] == pytest.approx(2 * 10 / 32)  # ten of the 32 sign patterns have a rank sum of 5 or less
+    assert exact["p"] == pytest.approx(2 * 10 / 32)  # ten of the 32 sign patterns have a rank sum of 5 or less
+    tiny = df.select("k", (F.col("base") * 1e-8).alias("base"), (F.col("challenger") * 1e-8).alias("challenger"))
+    assert stats.wilcoxon_exact(tiny, "k").first()["p"] == exact["p"] and stats.wilcoxon(tiny, "k").where("k = 'a'").first()["w"] == 5.0
+    large = spark.createDataFrame([("b", 0.0, float(i if i % 3 else -i)) for i in range(1, 80)], "k string, base double, challenger double")
+    both = {r["k"]: r for r in stats.wilcoxon_exact(df.unionByName(large), "k").collect()}
+    assert (both["a"]["method"], both["b"]["method"], both["b"]["n"]) == ("exact", "approximate", 79) and both["b"]["p"] == stats.wilcoxon(large, "k").first()["p"]
     assert stats.student_p(0.5, 10) == pytest.approx(0.14111328, abs=1e-7)
 
 
@@ -177,12 +185,64 @@ def test_compliance_fixtures(spark):
 def test_failure_rules(spark):
     one = lambda e, x: values(spark, e(F.col("x")), [(x,)], "x string")[0]
     assert one(taxonomy.group, "SCRIPT_X") == "code issue" and one(taxonomy.group, "MISSING_PACKAGE") == "runtime/infra issue"
-    assert one(taxonomy.system_status, "HTTP 429: rate limit") == "SYSTEM_RATE_LIMIT"
+    status = {"HTTP 429: rate limit": "RATE_LIMIT", "quota is used up": "RATE_LIMIT", "Deadline exceeded": "TIMEOUT", "read timeout 503": "TIMEOUT", "HTTP 502": "API_ERROR", "Overloaded": "API_ERROR", "api said no": "REQUEST_FAILED"}
+    assert {m: one(taxonomy.system_status, m) for m in status} == {m: f"SYSTEM_{v}" for m, v in status.items()}
     assert one(taxonomy.log_category, "STDOUT\n[1.0]\n") == "FORECAST_PARSE_FAILURE"
+    assert one(taxonomy.log_category, "STDOUT\n\nSTDERR\nUserWarning: torch") == "SCRIPT_TORCH_WARNING"
+    assert one(taxonomy.runtime_category, "RuntimeError: no") == "SCRIPT_RUNTIME_ERROR" and one(taxonomy.runtime_category, "KeyError runtimeerror tensor") == "SCRIPT_KEY_ERROR"
+    script = "'''python\nimport a\nx = 'b'\n'''\n"
+    assert one(transcripts.code_of, script) == "import a\nx = 'b'" and one(transcripts.code_of, "Text '''\nimport a\n'''") == "import a\n'''"
     assert one(transcripts.output_type, " error ") == "ERROR"
     assert one(lambda c: transcripts.csv_path_fixed(c, "in.csv"), "pd.read_csv('a.csv', sep=';')") == "pd.read_csv(r'in.csv', sep=';')"
 
 
+def test_json_text(spark):
+    one = lambda e, x: values(spark, e(F.col("x")), [(x,)], "x string")[0]
+    assert one(T.canonical_json, '{"b": {"z": 1.23456, "a": [1, 2.0, {"y": true, "x": null}]}, "a": "t"}') == '{"a": "t", "b": {"a": [1, 2.0, {"x": null, "y": true}], "z": 1.2346}}'
+    assert one(T.canonical_json, " ") == "{}" and one(T.canonical_json, "no") == "no"
+    m = spark.createDataFrame([({"b": 1, "a": 2}, {"b": 9, "c": 3})], "x map<string,int>, y map<string,int>")
+    r = m.select(T.sorted_json(F.col("x")).alias("s"), T.merged_maps(F.col("x"), F.col("y")).alias("m")).first()
+    assert r["s"] == '{"a":2,"b":1}' and r["m"] == {"a": 2, "b": 9, "c": 3}
+
+
+def test_list_problems(spark):
+    one = lambda e, x: values(spark, e(F.col("x")), [(x,)], "x string")[0]
+    assert one(T.list_problem, "a [1, [2, 3]] b") == "forecast list is not flat" and one(T.list_problem, "[1, 2] or [x]") == "no Python forecast list found"
+    assert one(T.list_problem, "x [1] [2, np.float64(3.5)] y") is None and one(T.last_list, "x [1] [2, np.float64(3.5)] y") == [2.0, 3.5]
+    assert one(T.list_problem, "['a']") == "forecast list has an item that is no number" and one(T.list_problem, "[]") is None
+
+
+def test_lookups_and_reports(spark, tmp_path):
+    known = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, None)], "k string, at int, v string")
+    rows = spark.createDataFrame([("a",), ("b",), ("c",)], "k string")
+    assert {tuple(r) for r in ledger.last_lookup(rows, known, "at", "k").collect()} == {("a", "y"), ("b", None), ("c", None)}
+    wide = spark.createDataFrame([("r", 1, 5, None), ("s", 2, 1, 3)], "k string, a int, b int, c int")
+    assert summary.columns_by_total(wide, "k").columns == ["k", "b", "a", "c"]
+    assert [r["line"] for r in tables.markdown(wide, "k", "k", "a").orderBy("n").collect()] == ["| k | a |", "| --- | --- |", "| r | 1 |", "| s | 2 |"]
+    data = spark.createDataFrame([(str(i), i) for i in range(10)], "y string, d int")
+    assert tables.series_of(data, "s", "y", "d").count() == 10
+    for bad in (lambda: tables.series_of(data, "s", "z", "d"), lambda: tables.series_of(data.limit(0), "s", "y", "d"), lambda: tables.series_of(data.limit(1), "s", "y", "d")):
+        with pytest.raises(ValueError):
+            bad()
+    tables.write_csv(wide, str(tmp_path / "c"))
+    assert tables.csv(spark, str(tmp_path / "c"), "k string, a int, b int, c int").count() == 2
+    f = spark.createDataFrame([("s", "S1", 1, 2.0)], "series_id string, scenario string, t int, forecast double")
+    tables.write_forecasts(f, str(tmp_path / "f"))
+    assert spark.read.parquet(str(tmp_path / "f")).where("scenario = 'S1'").count() == 1
+    old = spark.createDataFrame([("a", 9.0)], "k string, v double")
+    new = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "k string, v double")
+    assert {tuple(r) for r in tables.reused(new, old, "k", "v").collect()} == {("a", 9.0), ("b", 2.0)}
+    assert tables.with_schema_of(new, old.withColumn("v", F.col("v").cast("float"))).dtypes == [("k", "string"), ("v", "float")]
+
+
+def test_scenarios_of_a_prompt(spark):
+    from foretally.plans.protocols import PROMPT
+
+    got = {r["scenario"]: r for r in protocol.scenario_requirements(spark.createDataFrame([(PROMPT,)], "text string")).collect()}
+    assert got["S1"]["expected_retraining"] is False and got["S1"]["expected_ground_truth"] is False and got["S4"]["expected_blockwise"] and got["S5"]["expected_retraining"] is None
+    assert got["S3"]["expected_multistep"] and got["S2"]["expected_multistep"] is None
+
+
 def test_records(spark):
     one = lambda e, x: values(spark, e(F.col("x")), [(x,)], "x string")[0]
     turns = lambda c: records.chat_turns(c, records.chat_header(c))
