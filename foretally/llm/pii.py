@@ -3,22 +3,28 @@ r"""Personal data in texts (operator 1), with DataFrame functions only.
 Base spans are exact: e-mail addresses, IPv4 addresses, card numbers and phone
 numbers by format and validity.  Beside them, high-recall generators propose spans that
 may overlap each other and the base: secrets (long runs of key characters), accounts
-(digit groups), handles (written-out addresses) and dotted or colon-separated numbers.
-Each gets features of its format and of the 24 characters around it; gradient-boosted
-trees, fitted to candidates of at most TRAIN_DOCS documents and written out as column
-expressions, score it; for each kind the threshold is the least score at which
-held-out candidates reach PRECISION.  Labels for the fit are weak: a candidate is
-personal if it overlaps a valid base span or is a key after a word that announces one.
+(digit groups), handles (written-out addresses) and dotted or colon-separated addresses.
+Each gets features of its format and of the punctuation around it; gradient-boosted
+trees, written out as column expressions, score it.
+
+Labels for the fit are weak, and come from evidence that no feature shows: a word before the span
+that announces its kind, a check digit, a top-level domain, or a valid base span in the same place.  So
+the trees learn what announced and valid data looks like, and find it where nothing announces
+it.  They are fitted to candidates of at most TRAIN_DOCS documents.  The threshold of each kind is
+the least score, 0.5 at least, at which the candidates of all other documents reach PRECISION by
+the same evidence; of these only candidates that overlap no base span count, since only
+they can be added.  A kind whose candidates don't reach it adds nothing.
 Selected candidates are merged where they overlap, and dropped where they overlap a
 base span, which stays.
 
 A match's place follows from the lengths of what a split by the same pattern
-leaves, so that one map over the texts finds all, without a shuffle.  Patterns are
-possessive and anchored at the start of a run: their time is linear in the text.
+leaves, summed in blocks, so that one map over the texts finds all, without a shuffle.  Patterns are
+possessive and anchored at the start of a run: their time is linear in the text.  Redaction copies
+the list of spans for each span of a text: its time grows with the text and with the square of their number.
 
-Defined results: a null text is empty and has no spans; without enough candidates to
-fit, only base spans are found; repeated rows give equal results; an empty table
-gives an empty result; other columns are ignored.
+Defined results: a null text is empty and has no spans; with fewer than LEAST training candidates
+of either label, no trees are fitted and only base spans are found; repeated rows give equal results; an empty table
+gives an empty result; other columns are kept as they are (but for one named pii, which `find` replaces).
 """
 
 from __future__ import annotations
@@ -36,7 +42,7 @@ _LOCAL = "A-Za-z0-9._%+-"
 BASE = {
     "email": rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9]++(?:[ -][0-9]++)*+",
+    "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){15,18}+(?![ -]?[0-9])",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 GENERATED = {
@@ -46,12 +52,23 @@ GENERATED = {
     "address": r"(?<![0-9A-Fa-f:.])[0-9A-Fa-f]{1,4}(?:[:.][0-9A-Fa-f]{1,4}){3,7}+",
 }
 CONTEXT = 24
-KEYWORDS = r"(?i)(?:token|key|secret|passw(?:or)?d|credential|bearer|auth)\W{0,6}$"
+#: Words that announce a kind.
+WORDS = {
+    "secret": "token|key|secret|passw(?:or)?d|credential|bearer|auth",
+    "account": "account|acct|iban|konto|cuenta|compte|passport|ssn|tel|phone|fax|mobile|card",
+    "handle": "mail|contact|write|reach",
+    "address": r"\bip|ipv6|mac|host|server|addr(?:ess)?",
+}
+TOP_LEVEL = r"(?i)(?:\.|dot\)? ?|\] ?)(?:com|org|net|edu|gov|info|io|eu|uk|de|fr|es|it|nl)$"
 TRAIN_DOCS = 20_000
+#: Documents of a fit at most, as a share of all: the others are for the thresholds.
+TRAIN_SHARE = 0.75
 PRECISION = 0.95
-TREES, DEPTH = 10, 3
-#: Candidates of either class that a fit needs.
-LEAST = 20
+TREES, DEPTH = 20, 3
+#: Training candidates of either label that a fit needs.
+LEAST = 5
+#: Lengths that are summed at a time.
+BLOCK = 64
 
 Expr = Callable[[Column], Column]
 
@@ -86,27 +103,41 @@ VALID: dict[str, Expr] = {
 }
 
 
+def _ends(lengths: Column) -> Column:
+    """Running sums of lengths: of blocks first, then within each."""
+    starts = F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / BLOCK).cast("int"))
+    total = lambda x: F.aggregate(x, F.lit(0), lambda a, n: a + n)
+    blocks = F.transform(starts, lambda b: F.slice(lengths, b * BLOCK + 1, BLOCK))
+    before = F.aggregate(
+        blocks, F.struct(F.array().cast("array<int>").alias("xs"), F.lit(0).alias("at")),
+        lambda a, x: F.struct(F.concat(a["xs"], F.array(a["at"])).alias("xs"), (a["at"] + total(x)).alias("at")), lambda a: a["xs"],
+    )
+    inside = lambda p: F.transform(p["x"], lambda _, i: p["at"] + total(F.slice(p["x"], 1, i + 1)))
+    return F.flatten(F.transform(F.arrays_zip(blocks.alias("x"), before.alias("at")), inside))
+
+
 def located(pieces: Column, hits: Column) -> Column:
     """Array of (start, end, hit, left, right): places in code points, and what stands around."""
     lengths = F.zip_with(pieces, hits, lambda p, h: F.char_length(p) + F.coalesce(F.char_length(h), F.lit(0)))
-    start = F.struct(F.array().cast("array<int>").alias("xs"), F.lit(0).alias("at"))
-    ends = F.aggregate(lengths, start, lambda a, n: F.struct(F.concat(a["xs"], F.array(a["at"] + n)).alias("xs"), (a["at"] + n).alias("at")), lambda a: a["xs"])
     left = F.transform(pieces, lambda p: F.substring(p, -CONTEXT, CONTEXT))
     right = F.transform(F.slice(pieces, 2, F.greatest(F.size(hits), F.lit(1))), lambda p: F.substring(p, 1, CONTEXT))
-    rows = F.arrays_zip(hits.alias("hit"), ends.alias("end"), left.alias("left"), right.alias("right"))
+    rows = F.arrays_zip(hits.alias("hit"), _ends(lengths).alias("end"), left.alias("left"), right.alias("right"))
     found = F.filter(rows, lambda r: r["hit"].isNotNull())
     return F.transform(found, lambda r: F.struct((r["end"] - F.char_length(r["hit"])).alias("start"), r["end"].alias("end"), r["hit"].alias("hit"), r["left"].alias("left"), r["right"].alias("right")))
 
 
+_PLACES = "array<struct<start:int,end:int,hit:string,left:string,right:string>>"
+
+
 def _search(rows: DataFrame, patterns: dict[str, str]) -> DataFrame:
-    """rows (with text) and an array `at_<kind>` for each pattern."""
+    """rows (with text) and an array `at_<kind>` for each pattern.  Texts without a match, which most are, are read once for it and no more."""
     text = F.col("text")
     gate = _gate(text)
-    split = rows.withColumns({f"g_{k}": gate[k] for k in patterns}).withColumns(
-        {f"p_{k}": F.when(F.col(f"g_{k}"), F.split(text, p, -1)).otherwise(F.array(F.lit(""))) for k, p in patterns.items()}
-        | {f"h_{k}": F.when(F.col(f"g_{k}"), F.regexp_extract_all(text, F.lit(p), F.lit(0))).otherwise(F.array().cast("array<string>")) for k, p in patterns.items()}
+    split = rows.withColumns({f"g_{k}": gate[k] & F.regexp_like(text, F.lit(p)) for k, p in patterns.items()}).withColumns(
+        {f"p_{k}": F.when(F.col(f"g_{k}"), F.split(text, p, -1)) for k, p in patterns.items()} | {f"h_{k}": F.when(F.col(f"g_{k}"), F.regexp_extract_all(text, F.lit(p), F.lit(0))) for k, p in patterns.items()}
     )
-    return split.withColumns({f"at_{k}": located(F.col(f"p_{k}"), F.col(f"h_{k}")) for k in patterns}).drop(*[f"{x}_{k}" for k in patterns for x in "gph"])
+    found = {f"at_{k}": F.when(F.col(f"g_{k}"), located(F.col(f"p_{k}"), F.col(f"h_{k}"))).otherwise(F.array().cast(_PLACES)) for k in patterns}
+    return split.withColumns(found).drop(*[f"{x}_{k}" for k in patterns for x in "gph"])
 
 
 def _span(kind: str) -> Expr:
@@ -128,34 +159,57 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return valid.withColumns({f"n_{k}": F.size(f"at_{k}").cast("long") for k in BASE} | {"base": F.concat(*[F.col(f"at_{k}") for k in BASE])}).drop(*[f"at_{k}" for k in BASE])
 
 
+def _count(x: Column, of: str) -> Column:
+    return F.char_length(F.regexp_replace(x, f"[^{of}]", ""))
+
+
 FEATURES: dict[str, Expr] = {
     "length": lambda c: F.char_length(c["hit"]),
     "digits": lambda c: _digits(c["hit"]),
-    "letters": lambda c: F.char_length(F.regexp_replace(c["hit"], "[^A-Za-z]", "")),
+    "letters": lambda c: _count(c["hit"], "A-Za-z"),
+    "capitals": lambda c: _count(c["hit"], "A-Z"),
+    "hex_letters": lambda c: _count(c["hit"], "A-Fa-f"),
+    "different": lambda c: F.size(F.array_distinct(F.split(F.substring(c["hit"], 1, 64), ""))),
     "groups": lambda c: F.size(F.split(c["hit"], "[^A-Za-z0-9]+")),
-    "dots": lambda c: F.char_length(F.regexp_replace(c["hit"], "[^.]", "")),
+    "dots": lambda c: _count(c["hit"], "."),
+    "colons": lambda c: _count(c["hit"], ":"),
+    "dashes": lambda c: _count(c["hit"], "_/-"),
+    "brackets": lambda c: _count(c["hit"], "()\\[\\]"),
     "at": lambda c: F.contains(c["hit"], F.lit("@")).cast("int"),
     "plus": lambda c: F.startswith(c["hit"], F.lit("+")).cast("int"),
-    "luhn": lambda c: F.coalesce(_luhn(c["hit"]), F.lit(False)).cast("int"),
-    "longest_group": lambda c: F.coalesce(F.array_max(F.transform(F.split(c["hit"], "[^0-9]+"), F.char_length)), F.lit(0)),
-    "largest_part": lambda c: F.coalesce(F.array_max(F.transform(F.split(F.substring(c["hit"], 1, 64), "[^0-9]+"), lambda x: F.substring(x, 1, 6).try_cast("int"))), F.lit(0)),
-    "hex": lambda c: F.regexp_like(c["hit"], F.lit("^[0-9A-Fa-f]+$")).cast("int"),
-    "announced": lambda c: F.regexp_like(c["left"], F.lit(KEYWORDS)).cast("int"),
-    "call": lambda c: F.regexp_like(c["left"], F.lit(r"(?i)(?:tel|phone|call|fax|mobile|card|account|mail|contact)\W{0,6}$")).cast("int"),
-    "quoted": lambda c: F.regexp_like(c["left"], F.lit("[\"'=:]\\s?$")).cast("int"),
+    "longest_number": lambda c: F.coalesce(F.array_max(F.transform(F.split(c["hit"], "[^0-9]+"), F.char_length)), F.lit(0)),
+    "small_parts": lambda c: F.coalesce(F.forall(F.split(F.substring(c["hit"], 1, 64), "[^0-9]+"), lambda x: (F.char_length(x) < 4) & (F.coalesce(F.substring(x, 1, 3).try_cast("int"), F.lit(0)) <= 255)), F.lit(True)).cast("int"),
+    "quoted": lambda c: F.regexp_like(c["left"], F.lit("[\"'`]$")).cast("int"),
+    "assigned": lambda c: F.regexp_like(c["left"], F.lit("[=:]\\s?[\"'`]?$")).cast("int"),
     "joined_left": lambda c: F.regexp_like(c["left"], F.lit("[A-Za-z0-9]$")).cast("int"),
     "joined_right": lambda c: F.regexp_like(c["right"], F.lit("^[A-Za-z0-9]")).cast("int"),
     "kind": lambda c: F.array_position(F.array(*[F.lit(k) for k in GENERATED]), c["kind"]),
 }
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """docs (with text) and `candidates`: array of kind, start, end, announced, f (features)."""
-    d = _search(docs, GENERATED)
-    named = [F.transform(F.col(f"at_{k}"), _named(k)) for k in GENERATED]
-    d = d.withColumn("candidates", F.concat(*named)).drop(*[f"at_{k}" for k in GENERATED])
+def _evidence(c: Column) -> Column:
+    """What speaks for a candidate beside its format: none of this is a feature."""
+    said = F.lit(False)
+    for kind, words in WORDS.items():
+        said = said | ((c["kind"] == kind) & F.regexp_like(c["left"], F.lit(rf"(?i)(?:{words})\W{{0,6}}$")))
+    digit = (c["kind"] == "account") & _digits(c["hit"]).between(12, 19) & F.coalesce(_luhn(c["hit"]), F.lit(False))
+    domain = (c["kind"] == "handle") & F.regexp_like(c["hit"], F.lit(TOP_LEVEL))
+    form = (c["kind"] == "address") & F.regexp_like(c["hit"], F.lit(r"^(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}|[0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2}){5})$"))
+    return said | digit | domain | form
+
+
+def _overlap(a: Column, b: Column) -> Column:
+    return (a["start"] < b["end"]) & (b["start"] < a["end"])
+
+
+def candidates(rows: DataFrame) -> DataFrame:
+    """rows (with text, base) and `candidates`: array of kind, start, end, evidence, spare (overlaps no base span), f (features)."""
+    d = _search(rows, GENERATED)
+    named = F.concat(*[F.transform(F.col(f"at_{k}"), _named(k)) for k in GENERATED])
     feats = lambda c: F.array(*[f(c).cast("double") for f in FEATURES.values()])
-    return d.withColumn("candidates", F.transform("candidates", lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), feats(c).alias("f"))))
+    apart = lambda c: ~F.exists("base", lambda b: _overlap(b, c))
+    full = lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), _evidence(c).alias("evidence"), apart(c).alias("spare"), feats(c).alias("f"))
+    return d.withColumn("candidates", F.transform(named, full)).drop(*[f"at_{k}" for k in GENERATED])
 
 
 class Model(NamedTuple):
@@ -165,19 +219,10 @@ class Model(NamedTuple):
     thresholds: dict[str, float]
 
 
-def _overlap(a: Column, b: Column) -> Column:
-    return (a["start"] < b["end"]) & (b["start"] < a["end"])
-
-
-def training_rows(docs: DataFrame) -> DataFrame:
-    """kind, f, y, part of the candidates of at most about TRAIN_DOCS documents."""
-    share = min(1.0, TRAIN_DOCS / max(1, docs.count()))
-    some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000)) < int(share * 1_000_000))
-    rows = candidates(base_spans(some))
-    c = rows.select("doc_id", "base", F.explode("candidates").alias("c")).select("doc_id", "base", "c.*")
-    announced = list(FEATURES).index("announced")
-    personal = F.exists("base", lambda b: (F.col("start") < b["end"]) & (b["start"] < F.col("end"))) | ((F.col("kind") == "secret") & (F.col("f")[announced] == 1))
-    return c.select("kind", "f", personal.cast("double").alias("y"), F.pmod(F.xxhash64("doc_id", "start"), F.lit(4)).alias("part"))
+def weak_labels(docs: DataFrame) -> DataFrame:
+    """kind, f, spare and y (the label) of each candidate of docs."""
+    c = candidates(base_spans(docs)).select(F.explode("candidates").alias("c")).select("c.*")
+    return c.select("kind", "f", "spare", (~F.col("spare") | F.col("evidence")).cast("double").alias("y"))
 
 
 def _tree(node) -> tuple | float:
@@ -188,25 +233,29 @@ def _tree(node) -> tuple | float:
 
 
 def fit(docs: DataFrame) -> Model | None:
-    """Boosted trees and thresholds, or None if there are too few candidates of a class."""
+    """Boosted trees and thresholds, or None if there are too few candidates of a label."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
-    rows = materialise(training_rows(only(docs, "doc_id", "text")), "candidates")
-    seen = {r["y"]: r["count"] for r in rows.where("part > 0").groupBy("y").count().collect()}
+    docs = only(docs, "doc_id", "text")
+    share = min(TRAIN_SHARE, TRAIN_DOCS / max(1, docs.count()))
+    sampled = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000)) < int(share * 1_000_000)
+    rows = materialise(weak_labels(docs.where(sampled)), "candidates")
+    seen = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     if min(seen.get(0.0, 0), seen.get(1.0, 0)) < LEAST:
         return None
-    train = rows.where("part > 0").select(array_to_vector("f").alias("features"), F.col("y").alias("label"))
+    train = rows.select(array_to_vector("f").alias("features"), F.col("y").alias("label"))
     trained = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=1).fit(train)
     trees = tuple((float(w), _tree(t.rootNode())) for w, t in zip(trained.treeWeights, trained._java_obj.trees(), strict=True))
-    binned = rows.where("part = 0").select("kind", "y", F.floor(score(trees, F.col("f")) * 50).alias("bin"))
+    binned = weak_labels(docs.where(~sampled)).where("spare").select("kind", "y", F.floor(score(trees, F.col("f")) * 50).alias("bin"))
     counts = binned.groupBy("kind", "bin").agg(F.sum("y").alias("yes"), F.count("*").alias("n")).collect()  # kinds times 51 rows at most
-    thresholds = {}
+    thresholds, found = {}, {(r["kind"], r["bin"]): (r["yes"], r["n"]) for r in counts}
     for kind in GENERATED:
         yes = n = 0.0
-        for b, y, m in sorted(((r["bin"], r["yes"], r["n"]) for r in counts if r["kind"] == kind), reverse=True):
+        for b in range(50, 24, -1):
+            y, m = found.get((kind, b), (0.0, 0))
             yes, n = yes + y, n + m
-            if yes >= PRECISION * n and b >= 25:
+            if n and yes >= PRECISION * n:
                 thresholds[kind] = b / 50
     return Model(trees, thresholds)
 
@@ -237,29 +286,39 @@ def _merged(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), empty, step)
 
 
-def find(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs (with doc_id, text) and base, n_<kind>, added and found: all spans, base first."""
-    d = base_spans(docs)
-    none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
+def _found(rows: DataFrame, model: Model | None) -> DataFrame:
+    """rows (with text and no working columns) with base, n_<kind>, added and found."""
+    d = base_spans(rows)
     if model is None or not model.thresholds:
-        d = d.withColumn("added", none)
+        d = d.withColumn("added", F.array().cast("array<struct<kind:string,start:int,end:int>>"))
     else:
         least = F.create_map(*[F.lit(x) for k, v in model.thresholds.items() for x in (k, float(v))])
-        d = candidates(d)
-        chosen = F.filter("candidates", lambda c: score(model.trees, c["f"]) >= F.coalesce(F.try_element_at(least, c["kind"]), F.lit(2.0)))
-        d = d.withColumn("chosen", F.transform(chosen, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))).drop("candidates")
-        d = d.withColumn("added", _merged(F.filter("chosen", lambda c: ~F.exists("base", lambda b: _overlap(b, c))))).drop("chosen")
+        chosen = F.filter("candidates", lambda c: c["spare"] & (score(model.trees, c["f"]) >= F.coalesce(F.try_element_at(least, c["kind"]), F.lit(2.0))))
+        d = candidates(d).withColumn("chosen", F.transform(chosen, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))).drop("candidates")
+        d = d.withColumn("added", _merged(F.col("chosen"))).drop("chosen")
     return d.withColumn("found", F.concat("base", "added"))
 
 
-def _text(spans: str) -> Column:
+def _nested(docs: DataFrame) -> DataFrame:
+    """All columns of docs in one, so that none can clash with a working column, and text."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+
+
+def find(docs: DataFrame, model: Model | None) -> DataFrame:
+    """docs (with doc_id, text) and pii: a struct of base, n_<kind>, added and found (all spans, base first)."""
+    d = _found(_nested(docs), model)
+    out = F.struct("base", *[f"n_{k}" for k in BASE], "added", "found").alias("pii")
+    return d.select(*[F.col("own")[c].alias(c) for c in docs.columns if c.lower() != "pii"], out)
+
+
+def written(spans: Column) -> Column:
+    """Spans as kind:start:end, joined by commas."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
 def redact(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs with each found span replaced by its kind in brackets."""
-    columns = docs.columns
-    d = find(docs, model)
+    """docs with each found span replaced by its kind in brackets; a null text becomes an empty one."""
+    d = _found(_nested(docs), model)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
     text = F.col("text")
 
@@ -269,16 +328,16 @@ def redact(docs: DataFrame, model: Model | None) -> DataFrame:
         return F.when(s["start"] >= acc["at"], fresh).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["parts"].alias("parts")))
 
     ordered = F.array_sort(F.transform("found", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    done = F.aggregate(ordered, start, step)
-    d = d.withColumn("_done", F.when(F.size("found") > 0, done))
-    rest = F.concat(F.array_join("_done.parts", ""), F.substring(text, F.col("_done.at") + 1, F.char_length(text)))
-    return d.withColumn("text", F.when(F.size("found") > 0, rest).otherwise(text)).select(*columns)
+    d = d.withColumn("done", F.when(F.size("found") > 0, F.aggregate(ordered, start, step)))
+    rest = F.concat(F.array_join("done.parts", ""), F.substring(text, F.col("done.at") + 1, F.char_length(text)))
+    d = d.withColumn("clean", F.when(F.size("found") > 0, rest).otherwise(text))
+    return d.select(*[F.col("clean").alias(c) if c == "text" else F.col("own")[c].alias(c) for c in docs.columns])
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = only(table(spark, sf_dir, "documents"), "doc_id", "text")
     out = find(docs, fit(docs))
-    return out.select("doc_id", *[f"n_{k}" for k in BASE], F.sha2(_text("base"), 256).alias("base_sha256"), _text("found").alias("spans"))
+    return out.select("doc_id", *[F.col(f"pii.n_{k}") for k in BASE], F.sha2(written(F.col("pii.base")), 256).alias("base_sha256"), written(F.col("pii.found")).alias("spans"))
 
 
 QUERIES = {"op1_pii": op1_pii}

@@ -34,7 +34,7 @@ def benchmark(spark):
 
 
 OPERATORS = {
-    "pii": lambda d, la, b: pii.find(d.select("doc_id", "text"), pii.fit(d)),
+    "pii": lambda d, la, b: pii.find(d.where("doc_id is not null"), pii.fit(d)),
     "tokens": lambda d, la, b: token_counts.maintained(d.sparkSession, token_counts.bpe_counts(d).unionByName(token_counts.pattern_counts(d)), la),
     "quality": lambda d, la, b: quality.assess(d),
     "licences": lambda d, la, b: licences.scan(d),
@@ -72,7 +72,18 @@ def test_results(docs, labels, benchmark):
     assert (k["length"], k["doc_tokens"]) == (1, 1)
     q = {r["doc_id"]: r for r in quality.assess(docs).collect()}
     assert q[1]["base_failed"] and q[1]["n_words"] == 0 and not q[1]["kept"] and q[7]["n_words"] == 300_000
-    assert {r["doc_id"] for r in pii.find(docs, None).where("size(found) > 0").collect()} == set()
+    assert {r["doc_id"] for r in pii.find(docs, None).where("size(pii.found) > 0").collect()} == set()
+
+
+def test_pii_keeps_columns_of_its_own_names(spark):
+    names = ("base", "found", "added", "done", "_done", "at_email", "g_ip", "candidates", "own", "clean")
+    d = spark.createDataFrame([(1, "mail a@b.org or 1.2.3.4", *names), (2, None, *names), (3, LONG + " a@b.org", *names)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    model = pii.Model(((1.0, (0, 5.0, -1.0, 1.0)),), {k: 0.5 for k in pii.GENERATED})
+    for out in (pii.find(d, model), pii.redact(d, model)):
+        assert out.columns[: len(d.columns)] == d.columns
+        assert {tuple(r[n] for n in names) for r in out.collect()} == {names}
+    got = {r["doc_id"]: r["text"] for r in pii.redact(d, model).collect()}
+    assert got[1] == "mail [EMAIL] or [IP]" and got[2] == "" and got[3] == LONG + " [EMAIL]"
 
 
 def test_rollup_is_idempotent(spark, tmp_path):

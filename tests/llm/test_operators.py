@@ -43,7 +43,9 @@ HARD = [
 def test_pii(spark, docs):
     df = spark.createDataFrame([*docs.items(), *[(10**9 + i, x) for i, x in enumerate(HARD)]], "doc_id long, text string")
     model = pii.fit(df)
-    texts = {r["doc_id"]: r for r in pii.find(df, model).select("doc_id", "text", pii._text("base").alias("base"), pii._text("found").alias("found"), *[f"n_{k}" for k in pii.BASE]).collect()}
+    from pyspark.sql import functions as F
+
+    texts = {r["doc_id"]: r for r in pii.find(df, model).select("doc_id", "text", pii.written(F.col("pii.base")).alias("base"), pii.written(F.col("pii.found")).alias("found"), *[f"pii.n_{k}" for k in pii.BASE]).collect()}
     added = Counter()
     for i, r in texts.items():
         want = base_spans(r["text"])
@@ -58,6 +60,42 @@ def test_pii(spark, docs):
     assert all(redacted[i] == r["text"] for i, r in texts.items() if not r["found"])
 
 
+ANNOUNCED = {
+    "secret": ('api key: "{}"', ["".join(np.random.RandomState(i).choice(list("0123456789abcdef"), 40)) for i in range(80)]),
+    "handle": ("mail me: {}", [f"user{i} (at) host{i % 7} (dot) org" for i in range(80)]),
+    "address": ("server {} is up", [":".join(f"{x:x}" for x in np.random.RandomState(i).randint(256, 65536, 8)) for i in range(80)]),
+    "account": ("account {} was paid", [f"{i + 10:02d}-{i * 7919 % 1000000:06d}-{i % 90 + 10}" for i in range(80)]),
+}
+PLAIN = {"secret": "see {} there", "handle": "with {} today", "address": "from {} then", "account": "for {} then"}
+ALIKE = ["at 10:20:30:40 sharp", "look at this.thing here", "internationalisation1-of-the-thing", "version 1.2.3.4.5.6", "years 1990 1991 1992", "we sat at noon.today", "path/to/some1/long/file/name"]
+
+
+def test_pii_generators_learn_from_announced_data(spark):
+    """Spans of each kind are found where nothing announces them, and clean text of like form stays."""
+    from pyspark.sql import functions as F
+
+    rows = [frame.format(x) for frame, spans in ANNOUNCED.values() for x in spans] + [f"{x} {i}" for i, x in enumerate(ALIKE * 40)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    model = pii.fit(docs)
+    fresh = {k: [PLAIN[k].format(x[:-1] + ("1" if x[-1] == "0" else "0") if k != "handle" else "new" + x) for x in spans[:5]] for k, (_, spans) in ANNOUNCED.items()}
+    tests = [(k, x) for k, xs in fresh.items() for x in xs] + [("", x) for x in ALIKE]
+    d = spark.createDataFrame([(i, k, x) for i, (k, x) in enumerate(tests)], "doc_id long, kind string, text string")
+    got = {k: [] for k in ["", *ANNOUNCED]}
+    for r in pii.find(d, model).select("kind", F.transform("pii.added", lambda a: a["kind"]).alias("kinds")).collect():
+        got[r["kind"]].append(bool(r["kinds"]))
+    assert set(model.thresholds) >= {"secret", "handle", "address"}
+    assert not any(got[""]) and all(all(got[k]) for k in ("secret", "handle", "address")), got
+
+
+def test_running_sums_of_blocks(spark):
+    from pyspark.sql import functions as F
+
+    r = np.random.RandomState(3)
+    xs = [r.randint(0, 50, n).tolist() for n in (1, 2, 63, 64, 65, 128, 129, 1000)]
+    d = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i long, x array<int>")
+    assert {q["i"]: q["s"] for q in d.select("i", pii._ends(F.col("x")).alias("s")).collect()} == {i: np.cumsum(x).tolist() for i, x in enumerate(xs)}
+
+
 def test_handle_gate_passes_every_match(spark):
     from pyspark.sql import functions as F
 
@@ -231,13 +269,55 @@ def brute_bytes(docs, k=50):
     return out
 
 
-@pytest.mark.parametrize("hot", [5000, 3])
-def test_suffix_dedup(spark, docs, hot):
+#: Few and many windows shipped one by one; anchors counted apart; groups read in parts.
+SCHEMES = [{}, {"hot": 3}, {"hot": 5000, "anchor_least": 2}, {"hot": 3, "anchor_least": 10**9, "long": 4}]
+
+
+@pytest.mark.parametrize("scheme", SCHEMES)
+def test_suffix_dedup(spark, docs, scheme):
     df = spark.read.parquet(f"{SF}/documents.parquet")
-    got = {r[0]: tuple(r)[1:5] for r in suffix_dedup.deduplicate(df, suffix_dedup.SCHEME._replace(hot=hot)).collect()}
+    got = {r[0]: tuple(r)[1:5] for r in suffix_dedup.deduplicate(df, suffix_dedup.SCHEME._replace(**scheme)).collect()}
     assert got == brute_bytes(docs)
 
 
+def repeated_ids():
+    """Rows that share an id: equal texts, and different ones."""
+    r = np.random.RandomState(12)
+    a, b, c, d = ([f"{x}{i}" for i in r.randint(0, 10**6, 60)] for x in "abcd")
+    return [(1, a), (2, a), (2, b), (3, c), (3, c), (4, a + d), (4, d), (5, [])]
+
+
+def test_suffix_dedup_of_repeated_ids(spark):
+    rows = [(i, " ".join(w)) for i, w in repeated_ids()]
+    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in suffix_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    first = {}
+    for i, t in rows:
+        for j in range(len(t) - 49):
+            first[t[j : j + 50]] = min(i, first.get(t[j : j + 50], i))
+    want = []
+    for i, t in rows:
+        gone = np.zeros(len(t), bool)
+        for j in range(len(t) - 49):
+            if first[t[j : j + 50]] < i:
+                gone[j : j + 50] = True
+        want.append((i, len(t), int(gone.sum())))
+    assert got == sorted(want)
+
+
+def test_phrase_dedup_of_repeated_ids(spark):
+    rows = repeated_ids()
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in phrase_dedup.deduplicate(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect())
+    seen = Counter(tuple(w[j : j + 35]) for _, w in rows for j in range(len(w) - 34))
+    want = []
+    for i, w in rows:
+        gone = np.zeros(len(w), bool)
+        for j in range(len(w) - 34):
+            if seen[tuple(w[j : j + 35])] > 1:
+                gone[j : j + 35] = True
+        want.append((i, len(w), int(gone.sum())))
+    assert got == sorted(want)
+
+
 def test_shared_prefix_classes():
     r = np.random.RandomState(5)
     for _ in range(20):
@@ -253,8 +333,8 @@ def test_shared_prefix_classes():
         assert all(len(v) == 1 for v in by.values()) and len({min(v) for v in by.values()}) == len(by)
 
 
-@pytest.mark.parametrize("hot", [5000, 3])
-def test_phrase_dedup(spark, docs, hot):
+@pytest.mark.parametrize("scheme", SCHEMES)
+def test_phrase_dedup(spark, docs, scheme):
     words = {i: t.encode().split() for i, t in docs.items()}
     seen = Counter(tuple(w[j : j + 35]) for w in words.values() for j in range(len(w) - 34))
     want = {}
@@ -264,7 +344,7 @@ def test_phrase_dedup(spark, docs, hot):
             if seen[tuple(w[j : j + 35])] > 1:
                 gone[j : j + 35] = True
         want[i] = (len(w), int(gone.sum()), hashlib.sha256(b" ".join(x for x, g in zip(w, gone, strict=True) if not g)).hexdigest())
-    got = {r[0]: tuple(r)[1:4] for r in phrase_dedup.deduplicate(spark.read.parquet(f"{SF}/documents.parquet"), phrase_dedup.SCHEME._replace(hot=hot)).collect()}
+    got = {r[0]: tuple(r)[1:4] for r in phrase_dedup.deduplicate(spark.read.parquet(f"{SF}/documents.parquet"), phrase_dedup.SCHEME._replace(**scheme)).collect()}
     assert got == want and sum(v[1] for v in want.values())
 
 
@@ -316,6 +396,63 @@ def test_near_dup_chains(spark):
     assert {r["class_id"] for r in near_dup.classes(docs).collect()} == {0}
 
 
+def test_near_dup_links_within_a_band(spark):
+    """300 chains of six texts: neighbours at about 0.805, texts two apart at about 0.65.  No pair that shares a band is lost."""
+    r = np.random.RandomState(4)
+    fresh = (f"c{i}" for i in range(10**7))
+    rows = []
+    for _ in range(300):
+        words = [next(fresh) for _ in range(400)]
+        for step in range(6):
+            rows.append(words)
+            at = 10 + 60 * step + int(r.randint(0, 5))
+            words = words[:at] + [next(fresh) for _ in range(39)] + words[at + 39 :]
+    grams = [shingles(w) for w in rows]
+    near = [(i, i + 1) for i in range(len(rows) - 1) if i % 6 < 5 and similar(grams[i], grams[i + 1]) >= 0.8]
+    assert len(near) == 1500 and max(similar(grams[i], grams[i + 2]) for i in range(0, 1800, 6)) < 0.8
+    buf = [" ".join(w).encode() for w in rows]
+    offs = np.cumsum([0, *map(len, buf)])
+    keys = near_dup.band_keys(near_dup.K.Words(np.frombuffer(b"".join(buf), np.uint8), offs), len(rows), near_dup.FIRST).to_pylist()
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    got = {q["doc_id"]: q["class_id"] for q in near_dup.classes(docs).collect()}
+    assert [(a, b) for a, b in near if got[a] != got[b] and set(keys[a]) & set(keys[b])] == []
+
+
+def test_near_dup_large_buckets(spark, monkeypatch):
+    """Buckets beyond SMALL go through the longer signature, in blocks; texts that share an id are one document."""
+    monkeypatch.setattr(near_dup, "SMALL", 2)
+    monkeypatch.setattr(near_dup, "BLOCK", 3)
+    r = np.random.RandomState(9)
+    fresh = (f"b{i}" for i in range(10**7))
+    core = [next(fresh) for _ in range(300)]
+    rows = []
+    for i in range(40):  # pairs of like texts; texts of different pairs are at about 0.72
+        text = core[:]
+        for j in r.choice(29, 3, replace=False):
+            text[10 * j : 10 * j + 4] = [next(fresh) for _ in range(4)]
+        rows += [text, text[:295] + [next(fresh)] * 5]
+    rows.append(["x"] * 9)
+    grams = [shingles(w) for w in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if similar(grams[i], grams[j]) >= 0.8:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    data = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    got = {q["doc_id"]: q["class_id"] for q in near_dup.classes(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == {i: find(i) for i in range(len(rows))} and len(set(got.values())) > 10
+    twins = [(1000, " ".join(["x"] * 9)), (1000, data[2][1])]
+    got = near_dup.classes(spark.createDataFrame(data + twins, "doc_id long, text string")).collect()
+    assert {q["class_id"] for q in got if q["doc_id"] in (1000, len(rows) - 1, 2)} == {find(2)}
+
+
 def test_registers_estimate_probability_jaccard():
     r = np.random.RandomState(6)
     x, y = r.randint(1, 2**60, 300).astype(np.uint64), r.randint(1, 9, 300)
