@@ -1,18 +1,24 @@
 """Licence scans (operator 4).
 
-Notices are the lines that speak of a licence, of the whole text; they are compared
-with the templates by the cosine of sparse TF-IDF vectors.  Term weights come from
-document frequencies over all notices and templates.  A term's row meets only the
-templates that have the term, so the join is over terms; the templates are a fixed,
-small table.
-
-A file's own notice decides its licence.  A file without one takes that of the
-nearest ancestor directory with a licence file: each path is joined with its ancestor
-directories, and the deepest wins.
+A file's text is looked at in units: each line that speaks of a licence, that line with the next,
+the paragraph around it, the leading comment block, and, for a licence file (LICENSE, COPYING, ...), the whole text.
+Lines lose their comment marks; none is cut.  Units and templates (licence texts
+and notices) are sparse TF-IDF vectors, with document frequencies over all units and
+templates, and are compared by cosine.  Only templates with a term of the unit are met: the
+terms of the templates are a fixed, small table.
+
+A licence file or comment block that is like a licence text decides first; then the unit with the greatest cosine.
+A bare reservation of rights counts only where no licence is found, and of a licence and a longer
+one that contains it (CONTAINS), if both are found, the longer is meant.
+A file without a licence of its own takes that of the nearest ancestor directory with a
+licence file: each folder is joined with its ancestor directories, and the deepest wins.
+
+Terms, folders and directories with a large share of all rows are counted on the map side
+and joined by `beside`, so that none meets in one task.
 
 Defined results: a null text has no notice; ties between templates go to the least
-name; several notices are decided by the greatest cosine; a file without path
-inherits nothing; repeated rows are scanned each; an empty table gives an empty
+name; rows that share an id are one file, named by their best unit; a file without path
+inherits nothing; repeated rows are given each; an empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -21,87 +27,119 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, only, table
-
-#: The wording of common notices.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0",
-    "MIT": "Released under the MIT License",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
-    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2",
-    "LGPL-3.0": "This library is licensed under the GNU Lesser General Public License, version 3",
-    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3",
-    "BSD-3-Clause": "Licensed under the BSD 3-Clause License, redistribution and use in source and binary forms are permitted",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
-    "CC-BY-4.0": "Licensed under CC BY 4.0",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
-    "CC0-1.0": "Dedicated to the public domain under CC0 1.0 Universal",
-    "Proprietary": "All rights reserved",
-}
-_WORDS = r"licen[cs]e|copyright|public domain|rights reserved"
-NOTICE = rf"(?i)[^\n]{{0,120}}?(?:{_WORDS})[^\n]{{0,160}}"
+from .common import beside, materialise, only, table
+from .licence_texts import BODIES, NOTICES
+
+_WORDS = r"licen[cs]e|copyright|public domain|rights reserved|mozilla public|permission (?:is hereby|to use)|redistribution and use|neither the name"
+#: What a line of comment or of a list begins and ends with.
+MARKS = r"(?m)^[\t /*#;%!<>-]+|[\t */<>-]+$"
+#: A line of comment, or a blank one.
+COMMENT = r"^[\t ]*(?:[/*#;%!]|--|<!--|$)"
 TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 LEAST_COSINE = 0.6
-LICENCE_FILES = ("LICENSE", "LICENCE", "COPYING", "NOTICE")
+LICENCE_FILES = ("LICENSE", "LICENCE", "COPYING", "NOTICE", "UNLICENSE")
+#: Licences whose text begins with all of another's.
+CONTAINS = {"BSD-3-Clause": "BSD-2-Clause"}
+WHOLE, PART = 0, 1
 
 
 def _terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
-def notices(files: DataFrame) -> DataFrame:
-    """doc_id, notice (number), term, tf."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    found = F.when(F.regexp_like(text, F.lit(f"(?i)(?:{_WORDS})")), F.regexp_extract_all(text, F.lit(NOTICE), F.lit(0)))
-    lines = files.select("doc_id", F.posexplode(F.array_distinct(found)).alias("notice", "line"))
-    return lines.select("doc_id", "notice", F.explode(_terms(F.col("line"))).alias("term")).groupBy("doc_id", "notice", "term").agg(F.count("*").alias("tf"))
+def is_licence_file(path: Column) -> Column:
+    name = F.element_at(F.split(path, "/"), -1)
+    return F.upper(F.regexp_replace(name, r"\..*$", "")).isin(*LICENCE_FILES)
+
+
+def units(files: DataFrame) -> DataFrame:
+    """doc_id, level (WHOLE or PART), words: the units of each text, each once."""
+    said = lambda x: F.regexp_like(x, F.lit(f"(?i)(?:{_WORDS})"))
+    text = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), r"\r\n?", "\n")
+    f = files.select("doc_id", "path", text.alias("text")).where(said(F.col("text")) | F.coalesce(is_licence_file(F.col("path")), F.lit(False)))
+    # a line of comment marks alone parts paragraphs, as a blank one does
+    code = F.array_position(F.transform(F.split("text", "\n"), lambda x: ~F.regexp_like(x, F.lit(COMMENT))), True)
+    top = F.when(code == 0, F.col("text")).otherwise(F.array_join(F.slice(F.split("text", "\n"), 1, (F.greatest(code, F.lit(1)) - 1).cast("int")), "\n"))
+    f = f.select("doc_id", "path", F.regexp_replace("text", MARKS, "").alias("plain"), F.regexp_replace(top, MARKS, "").alias("head"))
+    lines = F.filter(F.split("plain", "\n"), lambda x: x != "")
+    paragraphs = F.filter(F.split("plain", r"\n\n+"), said)
+    f = f.withColumns({"lines": lines, "paragraphs": paragraphs})
+    after = F.zip_with("lines", F.slice("lines", 2, F.greatest(F.size("lines"), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
+    part = F.filter(F.concat(F.filter("lines", said), F.filter(after, said), F.col("paragraphs")), lambda x: x.isNotNull())
+    whole = F.filter(F.array(F.when(is_licence_file(F.col("path")), F.col("plain")), F.when(said(F.col("head")), F.col("head"))), lambda x: x.isNotNull() & (x != ""))
+    level = lambda xs, n: F.transform(xs, lambda x: F.struct(F.lit(n).alias("level"), _terms(x).alias("words")))
+    both = F.array_distinct(F.concat(level(whole, WHOLE), level(part, PART)))
+    return f.select("doc_id", F.explode(both).alias("u")).select("doc_id", "u.level", "u.words").where(F.size("words") > 0)
 
 
 def templates(spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame(list(TEMPLATES.items()), "licence string, text string")
-    return rows.select("licence", F.explode(_terms(F.col("text"))).alias("term")).groupBy("licence", "term").agg(F.count("*").alias("tf"))
+    """template, licence, level, words."""
+    rows = [(i, k, level, x) for i, (k, level, x) in enumerate([(k, WHOLE, x) for k, x in BODIES.items()] + [(k, PART, x) for k, x in NOTICES])]
+    return spark.createDataFrame(rows, "template int, licence string, level int, text string").select("template", "licence", "level", _terms(F.col("text")).alias("words"))
 
 
 def own_licences(files: DataFrame) -> DataFrame:
-    """doc_id, licence, cosine of files with a notice like a template."""
+    """doc_id, licence, cosine of files with a unit like a template."""
     spark = files.sparkSession
-    rows = materialise(notices(files), "notices")
+    # equal units of different files are compared once
+    found = units(files).select("doc_id", "level", "words", F.unhex(F.sha2(F.array_join("words", " "), 256)).alias("unit"))
+    found = materialise(found, "units")
+    each = materialise(found.groupBy("unit").agg(F.first("words").alias("words"), F.count("*").alias("files")), "vectors")
     temp = templates(spark)
-    total = rows.select("doc_id", "notice").distinct().count() + len(TEMPLATES)
-    counts = rows.groupBy("term").agg(F.count("*").alias("n")).unionByName(temp.groupBy("term").agg(F.count("*").alias("n")))
-    # the weights of template terms are as few as the templates; all other terms only lengthen a notice
-    df = counts.groupBy("term").agg(F.sum("n").alias("df")).withColumn("idf", F.log(F.lit(1.0 + total) / (1.0 + F.col("df"))) + 1.0).select("term", "idf")
-    weigh = lambda d: d.join(df, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    notice, template = weigh(rows), weigh(temp)
-    length = notice.groupBy("doc_id", "notice").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    t_length = template.groupBy("licence").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("t_norm"))
-    dots = notice.join(F.broadcast(template.select("licence", "term", F.col("w").alias("t_w"))), "term").groupBy("doc_id", "notice", "licence").agg(F.sum(F.col("w") * F.col("t_w")).alias("dot"))
-    scored = dots.join(length, ["doc_id", "notice"]).join(F.broadcast(t_length), "licence").withColumn("cosine", F.round(F.col("dot") / (F.col("norm") * F.col("t_norm")), 6))
-    best = scored.where(F.col("cosine") >= LEAST_COSINE).groupBy("doc_id").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "licence")).alias("b"))
-    return best.select("doc_id", F.col("b.licence").alias("licence"), (-F.col("b.c")).alias("cosine"))
-
-
-def ancestors(path: Column) -> Column:
-    """The directories above a path, from the root ('') down."""
-    parts = F.split(path, "/")
-    return F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(parts, 1, i), "/").alias("dir")))
+    terms = lambda d, *keys: d.select(*keys, F.explode("words").alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+    rows, t_rows = materialise(terms(each, "unit", "files"), "terms"), terms(temp, "template", "licence", "level")
+    total = found.count() + len(BODIES) + len(NOTICES)
+    counts = rows.groupBy("term").agg(F.sum("files").alias("df"), F.count("*").alias("n")).unionByName(t_rows.groupBy("term").agg(F.count("*").alias("df"), F.lit(0).cast("long").alias("n")))
+    df = counts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("n").alias("n"))
+    df = materialise(df.select("term", "n", (F.log(F.lit(1.0 + total) / (1.0 + F.col("df"))) + 1.0).alias("idf")), "weights")
+    notice = beside(rows.select("unit", "term", "tf"), df, ["term"], "n").withColumn("w", F.col("tf") * F.col("idf"))
+    template = t_rows.join(df, "term").withColumn("t_w", F.col("tf") * F.col("idf"))
+    t_length = template.groupBy("template").agg(F.sqrt(F.sum(F.col("t_w") * F.col("t_w"))).alias("t_norm"))
+    known = F.broadcast(template.join(t_length, "template").groupBy("term").agg(F.collect_list(F.struct("template", (F.col("t_w") / F.col("t_norm")).alias("v"))).alias("vs")))
+    # a unit's rows meet once: its length from all terms, its products from those that templates have
+    own = notice.join(known, "term", "left").groupBy("unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.when(F.col("vs").isNotNull(), F.struct("w", "vs"))).alias("products"))
+    dots = own.select("unit", "norm", F.explode("products").alias("p")).select("unit", "norm", "p.w", F.explode("p.vs").alias("v")).groupBy("unit", "norm", "v.template").agg(F.sum(F.col("w") * F.col("v.v")).alias("dot"))
+    names = F.broadcast(temp.select("template", "licence", F.col("level").alias("of")))
+    scored = dots.select("unit", "template", F.round(F.col("dot") / F.col("norm"), 6).alias("cosine")).where(F.col("cosine") >= LEAST_COSINE).join(names, "template")
+    scored = scored.groupBy("unit", "licence", "of").agg(F.max("cosine").alias("cosine"))
+    sizes = scored.groupBy("unit").agg(F.collect_list(F.struct("licence", "of", "cosine")).alias("likes")).join(each.select("unit", "files"), "unit")
+    likes = beside(found.select("doc_id", "level", "unit"), materialise(sizes, "likes"), ["unit"], "files").select("doc_id", "level", F.explode("likes").alias("l")).select("doc_id", "level", "l.*")
+    rank = F.when((F.col("level") == WHOLE) & (F.col("of") == WHOLE), 0).otherwise(1) + F.when(F.col("licence") == "Proprietary", 2).otherwise(0)
+    best = likes.groupBy("doc_id").agg(F.min(F.struct(rank.alias("rank"), (-F.col("cosine")).alias("c"), "licence")).alias("b"), F.collect_set(F.struct("licence", (F.col("level") == WHOLE).alias("whole"))).alias("all"))
+    name = F.col("b.licence")
+    for longer, shorter in CONTAINS.items():
+        name = F.when((name == shorter) & (F.col("b.rank") > 0) & F.exists("all", lambda x: x["licence"] == longer), longer).otherwise(name)
+    return best.select("doc_id", name.alias("licence"), (-F.col("b.c")).alias("cosine"))
+
+
+def ancestors(folder: Column) -> Column:
+    """A folder and the directories above it, from the root ('') down."""
+    parts = F.when(folder == "", F.array().cast("array<string>")).otherwise(F.split(folder, "/"))
+    return F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(parts, 1, i), "/").alias("dir")))
+
+
+def nearest(folders: DataFrame, given: DataFrame) -> DataFrame:
+    """folder, n, dir, dir_licence from folders (folder, n) and given (dir, dir_licence): the deepest directory with a licence above each folder, or nulls."""
+    up = materialise(folders.select("folder", F.explode(ancestors(F.col("folder"))).alias("a")).select("folder", "a.*"), "ancestors")
+    below = materialise(up.groupBy("dir").agg(F.count("*").alias("below")).join(given, "dir"), "below")
+    near = beside(up, below, ["dir"], "below").groupBy("folder").agg(F.max(F.struct("depth", "dir", "dir_licence")).alias("best"))
+    return folders.join(near, "folder", "left").select("folder", "n", "best.dir", "best.dir_licence")
 
 
 def scan(files: DataFrame) -> DataFrame:
     """files (doc_id, path, text) as doc_id, path, licence, cosine, origin ('own', a directory, or null)."""
     f = only(files, "doc_id", "path", "text")
     own = materialise(own_licences(f), "own")
-    paths = f.select("doc_id", "path").join(own, "doc_id", "left")
-    name, folder = F.element_at(F.split("path", "/"), -1), F.regexp_replace("path", "/?[^/]*$", "")
-    given = paths.where(F.upper(F.regexp_replace(name, r"\..*$", "")).isin(*LICENCE_FILES) & F.col("licence").isNotNull())
-    dirs = given.groupBy(folder.alias("dir")).agg(F.min("licence").alias("dir_licence"))
-    bare = paths.where("licence is null and path is not null").select("path").distinct()
-    up = bare.select("path", F.explode(ancestors(F.col("path"))).alias("a")).select("path", "a.*")
-    near = up.join(dirs, "dir").groupBy("path").agg(F.max(F.struct("depth", "dir", "dir_licence")).alias("n")).select(F.col("path").alias("p"), "n.dir", "n.dir_licence")
-    out = paths.join(near, paths["path"] == near["p"], "left")
-    inherited = F.col("licence").isNull() & F.col("dir_licence").isNotNull()
-    return out.select("doc_id", "path", F.coalesce("licence", "dir_licence").alias("licence"), "cosine", F.when(F.col("licence").isNotNull(), F.lit("own")).when(inherited, F.col("dir")).alias("origin"))
+    folder = F.regexp_replace("path", "/?[^/]*$", "")
+    paths = materialise(f.select("doc_id", "path").join(own, "doc_id", "left").withColumn("folder", folder), "paths")
+    given = paths.where(is_licence_file(F.col("path")) & F.col("licence").isNotNull()).groupBy(F.col("folder").alias("dir")).agg(F.min("licence").alias("dir_licence"))
+    bare = F.col("licence").isNull() & F.col("folder").isNotNull()
+    folders = materialise(paths.where(bare).groupBy("folder").agg(F.count("*").alias("n")), "folders")
+    near = materialise(nearest(folders, given), "near")
+    columns = ("doc_id", "path", "licence", "cosine", "origin")
+    heirs = beside(paths.where(bare).select("doc_id", "path", "folder"), near, ["folder"], "n").select("doc_id", "path", F.col("dir_licence").alias("licence"), F.lit(None).cast("double").alias("cosine"), F.col("dir").alias("origin"))
+    rest = paths.where(~bare).withColumn("origin", F.when(F.col("licence").isNotNull(), F.lit("own"))).select(*columns)
+    return rest.unionByName(heirs)
 
 
 def with_paths(docs: DataFrame) -> DataFrame:
