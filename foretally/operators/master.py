@@ -48,11 +48,8 @@ def turn2(answer: Column) -> list[Column]:
     return [c.alias(n) for c, n in zip(records.turn2(answer), names, strict=True)]
 
 
-def turn3(answer: Column, scenario: Column, block: Column) -> list[Column]:
+def turn3(answer: Column, kind: Column, code: Column, numbers: Column, scenario: Column, block: Column) -> list[Column]:
     """The last answer: its kind, its code or list, and what the code does.  block is the expected block size, null where none is known."""
-    kind = transcripts.output_type(answer)
-    code = F.when(kind == "SCRIPT", transcripts.code_of(T.strip(answer))).otherwise("")
-    numbers = F.when(kind == "LIST", T.forecast_literal(answer)).otherwise("")
     return [
         answer.alias("t3_raw_response"), code.alias("t3_script_content"), numbers.alias("t3_forecast_list"), kind.alias("t3_output_type"), kind.isin("SCRIPT", "LIST").alias("t3_parse_success"),
         ((kind == "SCRIPT") & records.extra_text(answer)).alias("t3_extra_text_flag"), F.when(numbers != "", T.literal_length(numbers)).alias("t3_forecast_length"),
@@ -85,12 +82,16 @@ def assembled(logs: DataFrame, lengths: DataFrame, blocks: DataFrame) -> DataFra
     stem = F.col("file_id")
     names = ("experiment_part", "dataset", "scenario", "branch", "llm_version", "run_id")
     parts = [c.alias(n) for c, n in zip(records.file_parts(stem), names, strict=True)]
-    found = logs.select("file_id", *parts, answers(F.col("log")).alias("a")).where("a is not null")
-    known = found.join(lengths, "dataset", "left").join(blocks, "dataset", "left")
-    text = lambda i: F.col("a.texts")[i]
+    # rows without answers drop out of the array, so that the parsing isn't repeated in a filter
+    some = F.filter(F.array(answers(F.col("log"))), lambda a: a.isNotNull())
+    found = logs.select("file_id", *parts, F.inline(some)).join(lengths, "dataset", "left").join(blocks, "dataset", "left")
+    text = lambda i: F.col("texts")[i]
+    # step by step, so that each is worked out once
+    known = found.withColumn("kind", transcripts.output_type(text(3))).withColumn("numbers", F.when(F.col("kind") == "LIST", T.forecast_literal(text(3))).otherwise(""))
+    known = known.withColumn("code", F.when(F.col("kind") == "SCRIPT", transcripts.code_of(text(3))).otherwise(""))
     rows = known.select(
-        "file_id", *names, F.concat(stem, F.lit(".txt")).alias("chat_log_file"), F.col("a.n").alias("n_llm_turns"), "expected",
-        *turn0(text(0)), *turn1(text(1)), *turn2(text(2)), *turn3(text(3), F.upper(T.scenario_name(F.col("scenario"))), F.col("block")),
+        "file_id", *names, F.concat(stem, F.lit(".txt")).alias("chat_log_file"), F.col("n").alias("n_llm_turns"), "expected",
+        *turn0(text(0)), *turn1(text(1)), *turn2(text(2)), *turn3(text(3), F.col("kind"), F.col("code"), F.col("numbers"), F.upper(T.scenario_name(F.col("scenario"))), F.col("block")),
     )
     kind = F.col("t3_output_type")
     count = F.size(F.coalesce(T.number_list(F.col("t3_raw_response")), T.number_list(F.col("t3_forecast_list"))))

@@ -45,6 +45,11 @@ def loss_differences(pairs: DataFrame, *keys: str) -> DataFrame:
     return pairs.groupBy(*keys).agg(F.bool_and(F.coalesce(same, F.lit(False))).alias("aligned"), F.array_sort(rows).alias("s")).where("aligned").select(*keys, F.col("s.d").alias("d"))
 
 
+def beside_models(runs: DataFrame, models: DataFrame, model: str, *on: str) -> DataFrame:
+    """runs (on, actual, forecast, ...) beside each model's forecast of the same point, many to many: with `model`, ref_actual and ref_forecast."""
+    return runs.join(models.select(*on, model, F.col("actual").alias("ref_actual"), F.col("forecast").alias("ref_forecast")), list(on))
+
+
 def newey_west(d: Column, lag: Column) -> Column:
     """Long-run variance of an ordered array with Bartlett weights; covariances divide by n."""
     n = F.size(d)

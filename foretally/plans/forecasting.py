@@ -167,21 +167,57 @@ def dm_tests(spark, sf_dir):
     return stats.diebold_mariano(stats.loss_differences(pairs, *keys), *keys, horizon=HORIZON)
 
 
-_DM_SQL = (
-    RUN_FORECASTS_SQL
-    + f""",
-d0 as (select c.llm, c.run, c.scenario, c.branch, c.t, (c.actual - c.forecast) * (c.actual - c.forecast) - (b.actual - b.forecast) * (b.actual - b.forecast) as d
-       from rf c join rf b on b.branch = 'Base' and c.branch <> 'Base' and c.llm = b.llm and c.run = b.run and c.scenario = b.scenario and c.t = b.t),
-d1 as (select *, row_number() over w1 as i, count(*) over w2 as n, avg(d) over w2 as mu from d0 window w1 as (partition by llm, run, scenario, branch order by t), w2 as (partition by llm, run, scenario, branch)),
-lg as (select llm, run, scenario, branch, max(n) as n, max(mu) as mu, least({HORIZON - 1}, max(n) - 1) as lag from d1 group by 1, 2, 3, 4),
-cv as (select a.llm, a.run, a.scenario, a.branch, a.i - b.i as k, sum((a.d - a.mu) * (b.d - b.mu)) as c from d1 a join d1 b using (llm, run, scenario, branch) where a.i - b.i between 0 and {HORIZON - 1} group by 1, 2, 3, 4, 5),
-lr as (select llm, run, scenario, branch, max(n) as dm_n, max(lag) as dm_lag, max(mu) as mu, sum(case when k = 0 then 1 else 2 * (1 - k / (lag + 1.0)) end * c / n) as lrv, max(case when k = 0 then c / n end) + max(mu) * max(mu) as sq from cv join lg using (llm, run, scenario, branch) where k <= lag group by 1, 2, 3, 4),
+def _dm_sql(pairs: str, keys: str) -> str:
+    """CTEs from pairs (keys, t, d) up to dm: the test of each group of keys."""
+    return f""",
+d0 as ({pairs}),
+d1 as (select *, row_number() over w1 as i, count(*) over w2 as n, avg(d) over w2 as mu from d0 window w1 as (partition by {keys} order by t), w2 as (partition by {keys})),
+lg as (select {keys}, max(n) as n, max(mu) as mu, least({HORIZON - 1}, max(n) - 1) as lag from d1 group by {keys}),
+cv as (select {", ".join("a." + k.strip() for k in keys.split(","))}, a.i - b.i as k, sum((a.d - a.mu) * (b.d - b.mu)) as c from d1 a join d1 b using ({keys}) where a.i - b.i between 0 and {HORIZON - 1} group by all),
+lr as (select {keys}, max(n) as dm_n, max(lag) as dm_lag, max(mu) as mu, sum(case when k = 0 then 1 else 2 * (1 - k / (lag + 1.0)) end * c / n) as lrv, max(case when k = 0 then c / n end) + max(mu) * max(mu) as sq from cv join lg using ({keys}) where k <= lag group by {keys}),
 st as (select *, case when lrv > 1e-12 * sq then mu / sqrt(lrv / dm_n) end as z from lr),
 dm as (select *, {erfc_sql("(abs(z) / sqrt(2.0))")} as dm_p from st)
 """
+
+
+_DM_SQL = RUN_FORECASTS_SQL + _dm_sql(
+    """select c.llm, c.run, c.scenario, c.branch, c.t, (c.actual - c.forecast) * (c.actual - c.forecast) - (b.actual - b.forecast) * (b.actual - b.forecast) as d
+       from rf c join rf b on b.branch = 'Base' and c.branch <> 'Base' and c.llm = b.llm and c.run = b.run and c.scenario = b.scenario and c.t = b.t""",
+    "llm, run, scenario, branch",
 )
 
 
+def _vs_models(spark, sf_dir):
+    """Every run against every baseline model of its series and scenario."""
+    keys = ("llm", "run", "scenario", "branch", "baseline")
+    models = forecast.naive(runs(spark, sf_dir), "llm", "run", season=SEASON, block=BLOCK).withColumnRenamed("model", "baseline")
+    pairs = stats.beside_models(run_forecasts(spark, sf_dir), models, "baseline", "llm", "run", "scenario", "t")
+    return stats.benjamini_hochberg(stats.diebold_mariano(stats.loss_differences(pairs, *keys), *keys, horizon=HORIZON), "dm_p", *keys)
+
+
+def dm_vs_models(spark, sf_dir):
+    d = _vs_models(spark, sf_dir)
+    return d.select("llm", "run", "scenario", "branch", "baseline", F.col("dm_n").cast("long").alias("dm_n"), r6(F.col("dm_mean") / 1e12).alias("dm_mean"), r6(F.col("dm_statistic")).alias("dm_statistic"), r6(F.col("dm_p")).alias("dm_p"), r6(F.col("q")).alias("dm_q"))
+
+
+def models_win_tie_loss(spark, sf_dir):
+    """How often each branch is better than each baseline model at a false discovery rate of 5 %."""
+    d = _vs_models(spark, sf_dir)
+    win, loss = (F.col("q") < 0.05) & (F.col("dm_mean") < 0), (F.col("q") < 0.05) & (F.col("dm_mean") > 0)
+    k = lambda c: F.count(F.when(c, 1))
+    return d.groupBy("branch", "baseline").agg(F.count("*").alias("n"), k(win).alias("wins"), k(loss).alias("losses"), (F.count("*") - k(win) - k(loss)).alias("ties"))
+
+
+_VS_SQL = RUN_FORECASTS_SQL + _dm_sql(
+    """select c.llm, c.run, c.scenario, c.branch, b.model as baseline, c.t, (c.actual - c.forecast) * (c.actual - c.forecast) - (b.actual - b.forecast) * (b.actual - b.forecast) as d
+       from rf c join f b on c.llm = b.llm and c.run = b.run and c.scenario = b.scenario and c.t = b.t""",
+    "llm, run, scenario, branch, baseline",
+) + """,
+rk as (select *, row_number() over (order by dm_p, llm, run, scenario, branch, baseline) as rk, count(*) over () as m from dm where dm_p is not null),
+bh as (select llm, run, scenario, branch, baseline, min(dm_p * m / rk) over (order by dm_p desc, llm desc, run desc, scenario desc, branch desc, baseline desc rows between unbounded preceding and current row) as q from rk)
+"""
+
+
 def newey_west(spark, sf_dir):
     """Long-run variance of each monthly series' changes, in millions squared."""
     s = monthly(spark, sf_dir).select("series_id", F.transform("ys", lambda y: y / 1e6).alias("d"), "n")
@@ -227,6 +263,7 @@ QUERIES = {
     "series_monthly": series_monthly, "series_hourly": series_hourly, "split_train_test": split_train_test, "forecast_flat_all": _one_model("naive-flat"), "forecast_seasonal_all": _one_model("naive-seasonal"),
     "forecast_hourly_block": forecast_hourly_block, "forecast_arima": forecast_arima, "metrics_naive": metrics_naive, "metrics_mase": metrics_mase, "metrics_envelope": metrics_envelope, "naive_scale": naive_scale,
     "newey_west": newey_west, "dm_vs_base": dm_vs_base, "dm_pvalues": dm_pvalues, "dm_bh_fdr": dm_bh_fdr, "dm_win_tie_loss": dm_win_tie_loss,
+    "dm_vs_models": dm_vs_models, "models_win_tie_loss": models_win_tie_loss,
 }
 SQL = {
     "series_monthly": _with(MONTHLY_SQL, "select series_id, t, period, round(y, 6) as y from p"),
@@ -257,4 +294,6 @@ cv as (select a.series_id, a.t - b.t as k, max(a.n) as n, sum(a.c * b.c) as s fr
     "dm_pvalues": _with(_DM_SQL, "select llm, run, scenario, branch, round(dm_p, 6) as dm_p from dm"),
     "dm_bh_fdr": _with(_DM_SQL + _BH_SQL, "select llm, run, scenario, branch, round(q, 6) as dm_q from dm left join bh using (llm, run, scenario, branch)"),
     "dm_win_tie_loss": _with(_DM_SQL + _BH_SQL, "select dm.branch, dm.scenario, count(*) as n, count(*) filter (q < 0.05 and dm.mu < 0) as wins, count(*) filter (q < 0.05 and dm.mu > 0) as losses, count(*) - count(*) filter (q < 0.05 and dm.mu < 0) - count(*) filter (q < 0.05 and dm.mu > 0) as ties, round(avg(dm.dm_p), 6) as mean_p from dm left join bh using (llm, run, scenario, branch) group by 1, 2"),
+    "dm_vs_models": _with(_VS_SQL, "select llm, run, scenario, branch, baseline, dm_n, round(mu / 1e12, 6) as dm_mean, round(z, 6) as dm_statistic, round(dm_p, 6) as dm_p, round(q, 6) as dm_q from dm left join bh using (llm, run, scenario, branch, baseline)"),
+    "models_win_tie_loss": _with(_VS_SQL, "select branch, baseline, count(*) as n, count(*) filter (q < 0.05 and mu < 0) as wins, count(*) filter (q < 0.05 and mu > 0) as losses, count(*) - count(*) filter (q < 0.05 and mu < 0) - count(*) filter (q < 0.05 and mu > 0) as ties from dm left join bh using (llm, run, scenario, branch, baseline) group by 1, 2"),
 }

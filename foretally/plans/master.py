@@ -14,6 +14,7 @@ from foretally.operators import master, transcripts
 from foretally.operators.records import UNDERSTOOD
 from foretally.operators.protocol import MODEL_KEYWORDS
 from foretally.plans.records import STEM, TURN1
+from foretally.plans.texts import rendered
 from foretally.sources.tables import table
 
 _NL, _Q = "chr(10)", "chr(39) || chr(39) || chr(39)"
@@ -54,7 +55,7 @@ def _setups(docs):
 def _parts(spark, sf_dir):
     """The logs, and how long a list and how large a block each dataset expects: the test part of its documents, and 12."""
     d = table(spark, sf_dir, "documents")
-    logs = d.select("doc_id", F.expr(FILE).alias("file_id"), F.expr(LOG).alias("log"))
+    logs = rendered(d, "doc_id", file_id=FILE, log=LOG)
     n = d.groupBy(F.col("source").alias("dataset")).agg(F.count("*").alias("rows"))
     lengths = n.select("dataset", F.expr("cast(case when rows % 2 = 0 then 3 else 4 end as int)").alias("expected"))
     return logs, lengths, n.select("dataset", F.lit(12).alias("block")), _setups(d)

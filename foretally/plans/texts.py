@@ -51,8 +51,13 @@ STATUS = "case when doc_id % 19 = 0 then 'ok' else 'FAIL' end"
 OUTPUT = "case when doc_id % 28 = 13 then 'ERROR' when doc_id % 28 = 27 then 'TEXT' else 'SCRIPT' end"
 
 
+def rendered(docs, *keep, **columns):
+    """keep and the rendered columns, behind a generator: what reads them sees columns, as of a stored table, and not their expressions."""
+    return docs.select(*keep, F.inline(F.array(F.struct(*[F.expr(e).alias(k) for k, e in columns.items()]))))
+
+
 def _docs(spark, sf_dir, **columns):
-    return table(spark, sf_dir, "documents").select("doc_id", "source", "lang", *[F.expr(e).alias(k) for k, e in columns.items()])
+    return rendered(table(spark, sf_dir, "documents"), "doc_id", "source", "lang", **columns)
 
 
 def turns_pivot(spark, sf_dir):
