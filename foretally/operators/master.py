@@ -82,9 +82,8 @@ def assembled(logs: DataFrame, lengths: DataFrame, blocks: DataFrame) -> DataFra
     stem = F.col("file_id")
     names = ("experiment_part", "dataset", "scenario", "branch", "llm_version", "run_id")
     parts = [c.alias(n) for c, n in zip(records.file_parts(stem), names, strict=True)]
-    # rows without answers drop out of the array, so that the parsing isn't repeated in a filter
-    some = F.filter(F.array(answers(F.col("log"))), lambda a: a.isNotNull())
-    found = logs.select("file_id", *parts, F.inline(some)).join(lengths, "dataset", "left").join(blocks, "dataset", "left")
+    # behind a generator, an outer one, so that no filter below it repeats the parsing
+    found = logs.select("file_id", *parts, F.inline_outer(F.array(answers(F.col("log"))))).where("n is not null").join(lengths, "dataset", "left").join(blocks, "dataset", "left")
     text = lambda i: F.col("texts")[i]
     # step by step, so that each is worked out once
     known = found.withColumn("kind", transcripts.output_type(text(3))).withColumn("numbers", F.when(F.col("kind") == "LIST", T.forecast_literal(text(3))).otherwise(""))
