@@ -31,14 +31,15 @@ def shared_dir(spark: SparkSession) -> str:
 _WRITTEN: list[tuple[str, str | None]] = []
 
 
-def _folder(spark: SparkSession, what: str, name: str | None = None) -> str:
+def shared_folder(spark: SparkSession, what: str, name: str | None = None) -> str:
+    """A new folder of its own; `name` is the table that lies in it."""
     _WRITTEN.append((f"{shared_dir(spark)}/foretally/{what}-{uuid.uuid4().hex}", name))
     return _WRITTEN[-1][0]
 
 
 def materialise(df: DataFrame, what: str) -> DataFrame:
     """Write df to the shared folder and read it again: the lineage is cut, and a lost executor costs nothing."""
-    path = _folder(df.sparkSession, what)
+    path = shared_folder(df.sparkSession, what)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -48,7 +49,7 @@ def laid_out(df: DataFrame, key: str, what: str, placed: bool = False) -> DataFr
     spark, n = df.sparkSession, partitions(df.sparkSession)
     name = f"foretally_{what}_{uuid.uuid4().hex}"
     rows = df if placed else df.repartition(n, key)
-    rows.write.format("parquet").option("compression", "zstd").bucketBy(n, key).option("path", _folder(spark, what, name)).saveAsTable(name)
+    rows.write.format("parquet").option("compression", "zstd").bucketBy(n, key).option("path", shared_folder(spark, what, name)).saveAsTable(name)
     return spark.table(name)
 
 
@@ -72,17 +73,28 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def beside(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, each: int = 1) -> DataFrame:
-    """rows, inner-joined with groups (at most `each` rows a key, with the number of its rows in column `size`).
+@contextmanager
+def sized(spark: SparkSession, rows: int, each: int = 20_000) -> Iterator[None]:
+    """Jobs run inside it shuffle into no more partitions than `rows` fill with `each`: a small table isn't dealt over a cluster."""
+    before = partitions(spark)
+    spark.conf.set("spark.sql.shuffle.partitions", str(max(1, min(before, -(-rows // each)))))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", str(before))
+
+
+def beside(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """rows, inner-joined with groups (a row a key, with the number of its rows in column `size`).
 
-    Groups with more than each / HOT_ROWS of all rows can't have more than HOT_ROWS rows of
-    `groups` together: these are broadcast, so that the rows of a large group stay where
-    they are; the others are joined by a shuffle.  Both tables should be written ones.
+    There can't be more than HOT_ROWS groups with more than 1 / HOT_ROWS of all rows: these are
+    broadcast, so that the rows of a large group stay where they are; the others are
+    joined by a shuffle.  Both tables should be written ones.
     """
-    total = groups.select(*keys, size).distinct().agg(F.sum(size)).first()[0] or 0
-    large = F.col(size) > max(HOT_LEAST, total * each / HOT_ROWS)
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    large = F.col(size) > max(HOT_LEAST, total / HOT_ROWS)
     hot = groups.where(large)
-    rest = rows.join(F.broadcast(hot.select(*keys).distinct()), keys, "left_anti").join(groups.where(~large), keys)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(groups.where(~large), keys)
     return rows.join(F.broadcast(hot), keys).unionByName(rest)
 
 

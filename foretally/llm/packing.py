@@ -24,7 +24,9 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
+import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,17 +38,12 @@ GROUP_DOCS = 4096
 
 
 def default_vocabulary() -> str:
-    import public_tokenizers
-
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 @lru_cache(2)
 def encoder(path: str):
     """Text to ids by the ranks at path and the added tokens of the .json form beside it, whose ids these are: an added token is one id wherever its string occurs."""
-    import public_tokenizers
-    import tiktoken
-
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     form, added = path.removesuffix(".tiktoken") + ".json", []

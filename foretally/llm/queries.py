@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
-from importlib import import_module
+from . import decontamination, licences, near_dup, packing, phrase_dedup, pii, quality, suffix_dedup, token_counts, toxicity
 
-MODULES = ("pii", "token_counts", "quality", "licences", "decontamination", "packing", "suffix_dedup", "phrase_dedup", "near_dup", "toxicity")
-
-
-def _modules():
-    for name in MODULES:
-        yield import_module(f".{name}", __package__)
+MODULES = (pii, token_counts, quality, licences, decontamination, packing, suffix_dedup, phrase_dedup, near_dup, toxicity)
 
 
 def queries() -> dict:
-    return {k: f for m in _modules() for k, f in m.QUERIES.items()}
+    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s for m in _modules() for k, s in m.ORACLE.items()}
+    return {k: s for m in MODULES for k, s in m.ORACLE.items()}

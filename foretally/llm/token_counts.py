@@ -3,8 +3,10 @@
 A store is a folder with one part per batch.  A batch holds signed deltas, summed by
 source, language and tokenizer version: an insert adds a document's count, a delete
 takes it away, a revision does both.  Totals are the sum over batches, so they never
-need the documents again.  A batch is written under its id, overwriting what an earlier
-attempt left, so that delivering it twice changes nothing.
+need the documents again.  A batch is written aside as an attempt, which readers don't see, and then
+published under its id by one rename: a reader sees all of it or nothing, also if the writer fails
+between the two.  A batch that is published already stays as it is, so that delivering it
+twice changes nothing.
 
 Defined results: a null text has no tokens but is a document; null source and
 language are groups of their own; repeated rows count each; groups that have come
@@ -19,10 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, shared_dir, table
+from .common import materialise, shared_folder, table
 from .packing import default_vocabulary, encoder
 
 BPE = "byte_bpe_50k@1"
@@ -62,8 +65,33 @@ def revised(old: DataFrame, new: DataFrame) -> DataFrame:
     return signed(old, -1).unionByName(signed(new, 1))
 
 
-def commit(store: str, batch: str, deltas: DataFrame) -> None:
-    deltas.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).write.mode("overwrite").parquet(f"{store}/batch={batch}")
+def attempt(store: str, deltas: DataFrame) -> str:
+    """Writes the sums of deltas beside the batches of store, where no reader looks; returns the folder."""
+    path = f"{store}/_attempts/{uuid.uuid4().hex}"
+    deltas.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).write.parquet(path)
+    return path
+
+
+def publish(spark: SparkSession, store: str, batch: str, path: str) -> bool:
+    """Makes an attempt the batch by a rename that never replaces; False, and the attempt is dropped, if the batch is there already."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    source, target = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{store}/batch={batch}")
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf)
+    options = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    if not files.util().exists(target):
+        try:
+            files.rename(source, target, options)
+            return True
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" not in str(e.java_exception):
+                raise
+    files.delete(source, True)
+    return False
+
+
+def commit(store: str, batch: str, deltas: DataFrame) -> bool:
+    """Adds a batch, once; whether it was new."""
+    return publish(deltas.sparkSession, store, batch, attempt(store, deltas))
 
 
 def totals(spark: SparkSession, store: str) -> DataFrame:
@@ -75,7 +103,7 @@ def totals(spark: SparkSession, store: str) -> DataFrame:
 def maintained(spark: SparkSession, counts: DataFrame, labels: DataFrame) -> DataFrame:
     """Totals after four batches: all documents come in under their first versions; that batch is delivered again; those of
     quality 0 are deleted; those of source src0 move from words@1 to words@2."""
-    store = f"{shared_dir(spark)}/foretally/rollup-{uuid.uuid4().hex}"
+    store = shared_folder(spark, "rollup")
     first = counts.where(F.col("tokenizer") != "words@2")
     for _ in range(2):
         commit(store, "load", signed(first, 1))
