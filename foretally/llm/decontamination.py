@@ -15,8 +15,10 @@ weighted Jaccard similarity of their five-word shingles is 0.8 or more.
 The benchmark is taken in blocks of at most BLOCK_ITEMS items and BROADCAST_BYTES
 bytes; each block is sent to all tasks, and one scan of the documents serves it.
 
-Defined results: null and short texts match nothing; an item of fewer than five words
-has no shingle and matches nothing; equal items and repeated rows each have their own
+An item of one to four words is one shingle as a whole: the windows of as many words are compared
+with it exactly, all of them.
+
+Defined results: null texts and items and such without a word match nothing; equal items and repeated rows each have their own
 matches; with an empty table on either side the result is empty; other columns are
 ignored.
 """
@@ -72,8 +74,14 @@ class Index:
 
     def __init__(self, ids: list[int], texts: list[str]):
         self.ids, self.lengths, self.items = [], [], []
+        #: By number of words: the hashes and ids of items without a shingle.
+        self.short: dict[int, tuple[list, list]] = {}
         for lo, w in _word_hashes(pa.array(texts, pa.string())):
             for i, (a, b) in enumerate(zip(w.first[:-1], w.first[1:], strict=True)):
+                if 0 < b - a < SHINGLE:
+                    hashes, owners = self.short.setdefault(int(b - a), ([], []))
+                    hashes.append(K.Prefix(w.hash[a:b]).grams(int(b - a))[0])
+                    owners.append(ids[lo + i])
                 if b - a >= SHINGLE:
                     self.ids.append(ids[lo + i])
                     self.lengths.append(int(b - a))
@@ -107,8 +115,24 @@ class Index:
         return q[close], i[close]
 
 
+def short_matches(index: Index, words: K.Words) -> Iterator[tuple[int, int, int, int, float]]:
+    """The first place of each item without a shingle in each text."""
+    for n, (hashes, owners) in index.short.items():
+        grams = K.Prefix(words.hash).grams(n)
+        own, owner = np.array(hashes, np.uint64), np.array(owners, np.int64)
+        at = np.flatnonzero(np.isin(grams, own))
+        at = at[words.text[at] == words.text[at + n - 1]]
+        seen = set()
+        for place, text in zip(at.tolist(), words.text[at].tolist(), strict=True):
+            for item in owner[own == grams[place]].tolist():
+                if (text, item) not in seen:
+                    seen.add((text, item))
+                    yield text, item, place - int(words.first[text]), n, 1.0
+
+
 def matches(index: Index, words: K.Words) -> Iterator[tuple[int, int, int, int, float]]:
     """(text, item, first word, words, similarity): the best window of each text and item."""
+    yield from short_matches(index, words)
     grams = K.Prefix(words.hash).grams(SHINGLE)
     if not len(grams) or not len(index.known):
         return
