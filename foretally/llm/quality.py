@@ -4,7 +4,9 @@ Base features are exact counts over the whole text.  The verdict compares four
 ratios with thresholds taken, for each language and source, from quantile
 sketches: logarithmic histograms whose bucket counts add, so that partial
 sketches of tasks, days or shards merge by a sum.  A ratio in bucket b is known
-to a relative error of GAMMA - 1.
+to a relative error of GAMMA - 1.  A group of fewer than MIN_GROUP documents that pass the base
+rule is too small for quartiles of its own and takes the thresholds of its language.
+All four limits are upper ones: too many symbols, repeated lines or words, and overlong words.
 
 Defined results: a null text has no words and fails the base rule; a null lang or
 source is a group of its own; repeated rows each get their result; an empty table

@@ -7,9 +7,10 @@ and 6 bytes, so that inflected and compounded insults share a term.
    LEARNED from terms that mark labelled rows: the best terms by smoothed odds,
    dealt over the voters.  A voter fires or not; a text's votes are a bit mask.
 2. Label model.  Masks are counted over all documents (at most 2 ** VOTERS rows).
-   Expectation maximisation estimates each voter's firing rate in either class and
-   the prior; voters that go together more than the class explains are discounted by
-   their correlations, and the model is fitted again.
+   Expectation maximisation estimates the prior and how voters fire in either class.  Voters
+   that go together more than the class explains form cliques of CLIQUE voters at most, and the
+   model is fitted again with one table of joint firing a clique and class, so that a vote
+   counts for what it adds to the votes it is correlated with.
 3. Classifier.  Logistic regression on terms, fitted to the posterior labels of at
    most SAMPLE documents, then calibrated by a logistic fit on labelled rows.
 
@@ -18,7 +19,7 @@ labels nor lang, source or id are inputs of a score.
 
 Defined results: a null or empty text has the score of no evidence; a term's
 repetition doesn't count; repeated rows score alike; labels that are null or
-missing teach nothing, and without any the fixed list and patterns remain; an
+missing teach nothing, an id that is labelled both ways is toxic, and without any label the fixed list and patterns remain; an
 empty table gives an empty result; other columns are ignored.
 """
 
@@ -45,6 +46,8 @@ INSULTS = (
 SHOUTS = 2
 LEARNED = 10
 VOTERS = len(INSULTS) + SHOUTS + LEARNED
+#: Voters of a clique at most, and the correlation within a class from which two belong together.
+CLIQUE, CORRELATED = 4, 0.1
 #: Learned terms at most, and the labelled toxic rows a term needs.
 TERMS, SUPPORT = 400, 6
 #: Documents and labelled rows that a fit takes at most.
@@ -112,7 +115,7 @@ class Voters(NamedTuple):
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, text, toxic: at most about SAMPLE labelled rows that may teach."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out()).select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     share = min(1.0, SAMPLE / max(1, known.count()))
     return docs.join(known.where(F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(1_000_000)) < int(share * 1_000_000)), "doc_id")
 
@@ -164,16 +167,28 @@ def mask_counts(docs: DataFrame, voters: Voters) -> DataFrame:
 
 class LabelModel(NamedTuple):
     prior: float
-    #: Firing rate of each voter in class 0 and class 1.
-    rates: np.ndarray
-    #: What a voter's evidence counts, for its correlations with others.
-    weight: np.ndarray
+    #: Voters that are modelled together.
+    cliques: tuple[tuple[int, ...], ...]
+    #: For each clique, the probability of each pattern of its votes in class 0 and class 1.
+    tables: tuple[np.ndarray, ...]
+
+    @property
+    def rates(self) -> np.ndarray:
+        """Firing rate of each voter in class 0 and class 1."""
+        out = np.zeros((2, VOTERS))
+        for clique, t in zip(self.cliques, self.tables, strict=True):
+            pattern = np.arange(t.shape[1])
+            for i, voter in enumerate(clique):
+                out[:, voter] = t[:, (pattern >> i) & 1 == 1].sum(axis=1)
+        return out
 
     def posterior(self, mask: np.ndarray) -> np.ndarray:
-        v = _bits(mask)
-        r = self.rates
-        fired, silent = np.log(r[1] / r[0]) * self.weight, np.log((1 - r[1]) / (1 - r[0])) * self.weight
-        z = np.log(self.prior / (1 - self.prior)) + v @ fired + (1 - v) @ silent
+        z = np.full(len(mask), np.log(self.prior / (1 - self.prior)))
+        for clique, t in zip(self.cliques, self.tables, strict=True):
+            evidence = np.log(t[1] / t[0])
+            evidence[0] = min(evidence[0], 0.0)  # a voter never speaks for the other class
+            evidence[1:] = np.maximum(evidence[1:], 0.0)
+            z += evidence[_pattern(mask, clique)]
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
@@ -181,22 +196,46 @@ def _bits(mask: np.ndarray) -> np.ndarray:
     return ((mask[:, None] >> np.arange(VOTERS)) & 1).astype(np.float64)
 
 
+def _pattern(mask: np.ndarray, clique: tuple[int, ...]) -> np.ndarray:
+    out = np.zeros(len(mask), np.int64)
+    for i, voter in enumerate(clique):
+        out |= ((mask >> voter) & 1) << i
+    return out
+
+
+def cliques_of(correlation: np.ndarray) -> tuple[tuple[int, ...], ...]:
+    """Voters merged by falling correlation, CLIQUE together at most."""
+    of = {i: (i,) for i in range(VOTERS)}
+    pairs = [(i, j) for i in range(VOTERS) for j in range(i) if correlation[i, j] > CORRELATED]
+    for i, j in sorted(pairs, key=lambda x: (-correlation[x], x)):
+        if of[i] != of[j] and len(of[i]) + len(of[j]) <= CLIQUE:
+            both = tuple(sorted(of[i] + of[j]))
+            of.update(dict.fromkeys(both, both))
+    return tuple(sorted(set(of.values())))
+
+
 def fit_label_model(mask: np.ndarray, n: np.ndarray, rounds: int = 4, steps: int = 50) -> LabelModel:
-    """Expectation maximisation over mask counts, with voters discounted by their correlations within a class."""
+    """Expectation maximisation over mask counts, with voters that correlate within a class in cliques."""
+    alone = tuple((i,) for i in range(VOTERS))
     v, total = _bits(mask), n.sum()
     if not total:
-        return LabelModel(0.1, np.tile([[0.01], [0.3]], (1, VOTERS)), np.ones(VOTERS))
+        return LabelModel(0.1, alone, (np.array([[0.99, 0.01], [0.7, 0.3]]),) * VOTERS)
     # to begin with, two votes of lexicon voters tell
     lexicon = v[:, SHOUTS:].sum(axis=1)
     p = np.where(lexicon >= 2, 0.95, np.where(lexicon == 1, 0.4, 0.02))
-    weight = np.ones(VOTERS)
-    model = None
+    cliques, model = alone, None
     for _ in range(rounds):
+        patterns = [_pattern(mask, c) for c in cliques]
         for _ in range(steps):
             q1, q0 = n * p, n * (1 - p)
-            rates = np.stack([(q0 @ v + 0.5) / (q0.sum() + 50.0), (q1 @ v + 0.5) / (q1.sum() + 1.0)]).clip(1e-6, 1 - 1e-6)
-            rates[1] = np.maximum(rates[1], rates[0])  # a voter never speaks for the other class
-            model = LabelModel(float(np.clip((q1.sum() + 1) / (total + 10), 1e-4, 0.5)), rates, weight)
+            tables = []
+            for c, at in zip(cliques, patterns, strict=True):
+                size = 1 << len(c)
+                # a little of silence and of each pattern in both classes, so that rare patterns say little
+                t = np.stack([np.bincount(at, weights=q0, minlength=size) + 0.5, np.bincount(at, weights=q1, minlength=size) + 0.5])
+                t[0, 0] += 50.0
+                tables.append(t / t.sum(axis=1, keepdims=True))
+            model = LabelModel(float(np.clip((q1.sum() + 1) / (total + 10), 1e-4, 0.5)), cliques, tuple(tables))
             new = model.posterior(mask)
             done = np.abs(new - p).max() < 1e-6
             p = new
@@ -208,11 +247,13 @@ def fit_label_model(mask: np.ndarray, n: np.ndarray, rounds: int = 4, steps: int
             centred = v - mean
             cov = (centred * q[:, None]).T @ centred / max(q.sum(), 1e-9)
             sd = np.sqrt(np.diag(cov)).clip(1e-9)
-            corr = np.abs(cov / np.outer(sd, sd))
+            corr = cov / np.outer(sd, sd)
             corr[np.outer(sd, sd) < 1e-6] = 0
             excess = np.maximum(excess, corr * (q.sum() > 1))
-        np.fill_diagonal(excess, 0)
-        weight = 1 / (1 + np.where(excess > 0.1, excess, 0).sum(axis=1))
+        found = cliques_of(excess)
+        if found == cliques:
+            break
+        cliques = found
     return model
 
 

@@ -504,3 +504,84 @@ def test_label_model_tells_voters_apart():
     m, n = np.unique(mask, return_counts=True)
     model = toxicity.fit_label_model(m, n.astype(float))
     assert ((model.posterior(mask) > 0.5) == y).mean() > 0.99
+
+
+def test_label_model_sees_correlated_voters_as_one():
+    """Voters that copy another say nothing that it hasn't said: the posterior is that of brute-force Bayes with the true joint rates."""
+    r = np.random.RandomState(9)
+    n = 200_000
+    y = r.rand(n) < 0.1
+    votes = r.rand(n, toxicity.VOTERS) < np.where(y[:, None], 0.5, 0.02)
+    for copy in (7, 8):
+        votes[:, copy] = votes[:, 6] ^ (r.rand(n) < 0.01)
+    votes[:, 9:] &= r.rand(n, toxicity.VOTERS - 9) < 0.2
+    mask = (votes.astype(np.int64) << np.arange(toxicity.VOTERS)).sum(axis=1)
+    m, k = np.unique(mask, return_counts=True)
+    model = toxicity.fit_label_model(m, k.astype(float))
+    assert (6, 7, 8) in model.cliques
+    # three copies that fire alone are about one vote: prior odds 1 / 9, and the odds of the others' silence
+    want = np.log(0.1 / 0.9) + np.log(0.5 / 0.02) + 6 * np.log(0.5 / 0.98) + (toxicity.VOTERS - 9) * np.log((1 - 0.1) / (1 - 0.004))
+    got = model.posterior(np.array([0b111000000]))[0]
+    assert np.log(got / (1 - got)) == pytest.approx(want, abs=0.5)
+
+
+def test_clashing_labels_are_toxic(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(8)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, t) for i in range(8) for t in ((0, 1) if i % 2 else (1, 0))], "doc_id long, toxic int")
+    assert {r["toxic"] for r in toxicity.labelled(docs, labels).collect()} == {1}
+
+
+def test_failed_batch_is_invisible(spark, tmp_path):
+    """A writer that dies between writing and publishing leaves the totals as they were; the batch can come again, once."""
+    store = str(tmp_path / "store")
+    rows = spark.createDataFrame([("s", "en", "t@1", 5)], "source string, lang string, tokenizer string, n_tokens long")
+    assert token_counts.commit(store, "a", token_counts.signed(rows, 1))
+    before = [tuple(r) for r in token_counts.totals(spark, store).collect()]
+    token_counts.attempt(store, token_counts.signed(rows, 1))
+    assert [tuple(r) for r in token_counts.totals(spark, store).collect()] == before == [("s", "en", "t@1", 1, 5)]
+    assert token_counts.commit(store, "b", token_counts.signed(rows, 1)) and not token_counts.commit(store, "b", token_counts.signed(rows, 1))
+    assert [tuple(r) for r in token_counts.totals(spark, store).collect()] == [("s", "en", "t@1", 2, 10)]
+
+
+def test_short_items_are_found_as_whole_sequences(spark):
+    docs = spark.createDataFrame([(1, "He said: Open, the door! now"), (2, "open the window, the door"), (3, "door"), (4, None), (5, "THE door the DOOR")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "open the door"), (2, "the door"), (3, "..."), (4, "one two three four five six")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["start_word"], r["n_words"]) for r in decontamination.contaminated(docs, items).collect()}
+    assert got == {(1, 1, 2, 3), (1, 2, 3, 2), (2, 2, 3, 2), (5, 2, 0, 2)}
+
+
+def test_quality_verdict_by_brute_force(spark):
+    """kept against quartiles of sorted bucket values of each group, by the same rule written over lists."""
+    rows = quality.op3_quality_rules(spark, SF).collect()
+    place = {i: (la, s) for i, la, s in connection().sql("select doc_id, lang, source from documents").fetchall()}
+    lines = {i: len([x for x in (t or "").split("\n") if WORD.search(x)]) for i, t in connection().sql("select doc_id, text from documents").fetchall()}
+    value = {
+        "symbol_ratio": lambda r: (r["n_symbols"], r["n_words"]), "dup_line_ratio": lambda r: (r["n_dup_lines"], lines[r["doc_id"]]),
+        "repeat_ratio": lambda r: (r["n_repeat_words"], r["n_words"]), "word_length": lambda r: (r["word_chars"], r["n_words"]),
+    }
+
+    def centre(x):
+        return 0.0 if x <= 1e-4 else 1e-4 * quality.GAMMA ** (int(np.floor(np.log(x / 1e-4) / np.log(quality.GAMMA))) + 0.5)
+
+    def limit(xs):
+        xs = sorted(map(centre, xs))
+        q1, q3 = (xs[int(np.ceil(p * len(xs))) - 1] for p in (0.25, 0.75))
+        return q3 + quality.FENCE * max(q3 - q1, quality.LEAST_SPREAD)
+
+    for name, of in value.items():
+        ratio = {r["doc_id"]: (of(r)[0] / of(r)[1] if of(r)[1] else 0.0) for r in rows}
+        groups, langs = {}, {}
+        for r in rows:
+            if not r["base_failed"]:
+                groups.setdefault(place[r["doc_id"]], []).append(ratio[r["doc_id"]])
+                langs.setdefault(place[r["doc_id"]][0], []).append(ratio[r["doc_id"]])
+        for r in rows:
+            la, s = place[r["doc_id"]]
+            own = groups.get((la, s), [])
+            want = limit(own) if len(own) >= quality.MIN_GROUP else limit(langs[la]) if own else None
+            assert (r[f"{name}_max"] is None) == (want is None) and (want is None or r[f"{name}_max"] == pytest.approx(want, rel=1e-6)), (name, r)
+            if r["kept"] and want is not None:
+                assert ratio[r["doc_id"]] <= want * (1 + 1e-9)
+    kept = {r["doc_id"]: r["kept"] for r in rows}
+    want = {r["doc_id"]: not r["base_failed"] and all((of(r)[0] / of(r)[1] if of(r)[1] else 0.0) <= (r[f"{k}_max"] if r[f"{k}_max"] is not None else np.inf) for k, of in value.items()) for r in rows}
+    assert kept == want
