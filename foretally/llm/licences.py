@@ -69,7 +69,8 @@ def units(files: DataFrame) -> DataFrame:
     whole = F.filter(F.array(F.when(is_licence_file(F.col("path")), F.col("plain")), F.when(said(F.col("head")), F.col("head"))), lambda x: x.isNotNull() & (x != ""))
     level = lambda xs, n: F.transform(xs, lambda x: F.struct(F.lit(n).alias("level"), _terms(x).alias("words")))
     both = F.array_distinct(F.concat(level(whole, WHOLE), level(part, PART)))
-    return f.select("doc_id", F.explode(both).alias("u")).select("doc_id", "u.level", "u.words").where(F.size("words") > 0)
+    # outer, since the filter that Spark puts below an inner explode works out all units a second time
+    return f.select("doc_id", F.explode_outer(both).alias("u")).select("doc_id", "u.level", "u.words").where(F.size("words") > 0)
 
 
 def templates(spark: SparkSession) -> DataFrame:

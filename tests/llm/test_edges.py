@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, repeated rows, empty tables and clashing columns: no operator crashes, and each gives its stated result."""
 
 import hashlib
+import os
 from collections import Counter
 
 import pytest
@@ -173,3 +174,24 @@ def test_pipeline(spark, tmp_path):
             docs, before = out, out.count()
     assert out.select("doc_id").distinct().count() == before
     assert corpus_pipeline.run(spark, sf).count() == out.count()
+
+
+def test_scratch_is_deleted(spark):
+    from foretally.llm import common
+
+    with common.scratch(spark):
+        one = common.materialise(spark.range(3), "one")
+        two = common.laid_out(spark.range(5).withColumnRenamed("id", "k"), "k", "two")
+        files = one.inputFiles() + two.inputFiles()
+        assert one.count() == 3 and two.count() == 5 and all(os.path.exists(f.removeprefix("file://")) for f in files)
+    assert not any(os.path.exists(f.removeprefix("file://")) for f in files)
+
+
+def test_sized_puts_the_setting_back(spark):
+    from foretally.llm import common
+
+    before = common.partitions(spark)
+    with pytest.raises(RuntimeError), common.sized(spark, 1):
+        assert common.partitions(spark) == 1
+        raise RuntimeError
+    assert common.partitions(spark) == before

@@ -585,3 +585,59 @@ def test_quality_verdict_by_brute_force(spark):
     kept = {r["doc_id"]: r["kept"] for r in rows}
     want = {r["doc_id"]: not r["base_failed"] and all((of(r)[0] / of(r)[1] if of(r)[1] else 0.0) <= (r[f"{k}_max"] if r[f"{k}_max"] is not None else np.inf) for k, of in value.items()) for r in rows}
     assert kept == want
+
+
+def licence_files():
+    from foretally.llm.licence_texts import BODIES
+
+    year = "Copyright (c) 2020, Some One. All rights reserved.\n\n"
+    files = [(k, f"a{i}/LICENSE", (year if k in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause") else "") + t.replace(". ", ".\n")) for i, (k, t) in enumerate(sorted(BODIES.items()))]
+    mpl = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */\nint main;\n" + "int x = 1;\n" * 50
+    apache = "#!/bin/sh\n# Copyright 2020 Some One\n#\n# Licensed under the Apache License, Version 2.0 (the \"License\");\n# you may not use this file except in compliance with the License.\n\necho hello world\n"
+    gpl = "code\n" * 30 + "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version.\n"
+    files += [("MPL-2.0", "b/x.c", mpl), ("Apache-2.0", "b/y.sh", apache), ("GPL-2.0", "b/z.txt", gpl), ("Proprietary", "b/w.txt", "Some text.\nAll rights reserved.\n"), (None, "b/v.txt", "The licensee left the room with his copy of the book."), (None, "b/u.txt", None)]
+    files.append(("MIT", "b/long.txt", "word " * 400 + "Released under the MIT License" + ".\n"))
+    return [(i, p, t, k) for i, (k, p, t) in enumerate(files)]
+
+
+def test_licence_texts_and_wrapped_notices(spark):
+    rows = licence_files()
+    d = spark.createDataFrame([r[:3] for r in rows if r[1] != "b/long.txt"], "doc_id long, path string, text string")
+    got = {r["doc_id"]: r["licence"] for r in licences.scan(d).collect()}
+    assert got == {i: k for i, p, _, k in rows if p != "b/long.txt"}
+
+
+def test_licence_cosines_by_brute_force(spark):
+    """TF-IDF and cosine over plain lists, for the units of the small table and of the fixture."""
+    from foretally.llm.licence_texts import BODIES, NOTICES
+
+    d = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id + 1000 as doc_id", "cast(null as string) as path", "text").unionByName(spark.createDataFrame([r[:3] for r in licence_files()], "doc_id long, path string, text string"))
+    units = [(r["doc_id"], r["level"], list(r["words"])) for r in licences.units(d).collect()]
+    templates = [(k, 0, t) for k, t in BODIES.items()] + [(k, 1, t) for k, t in NOTICES]
+    words = [re.findall(licences.TERM, t.lower()) for _, _, t in templates]
+    df = Counter(w for x in [u[2] for u in units] + words for w in set(x))
+    total = len(units) + len(templates)
+
+    def vector(x):
+        v = {w: n * (np.log((1 + total) / (1 + df[w])) + 1) for w, n in Counter(x).items()}
+        size = np.sqrt(sum(a * a for a in v.values()))
+        return {w: a / size for w, a in v.items()}
+
+    known = [vector(x) for x in words]
+    best = {}
+    for doc, level, x in units:
+        v = vector(x)
+        for (name, of, _), t in zip(templates, known, strict=True):
+            cosine = round(sum(a * v.get(w, 0.0) for w, a in t.items()), 6)
+            if cosine >= licences.LEAST_COSINE:
+                rank = (0 if level == 0 == of else 1) + 2 * (name == "Proprietary")
+                best.setdefault(doc, []).append((rank, -cosine, name))
+    want = {}
+    for doc, found in best.items():
+        rank, cosine, name = min(found)
+        if name == "BSD-2-Clause" and rank > 0 and any(n == "BSD-3-Clause" for _, _, n in found):
+            name = "BSD-3-Clause"
+        want[doc] = (name, -cosine)
+    got = {r["doc_id"]: (r["licence"], r["cosine"]) for r in licences.own_licences(d).collect()}
+    assert {i: k for i, (k, _) in got.items()} == {i: k for i, (k, _) in want.items()} and len(want) > 20
+    assert all(got[i][1] == pytest.approx(c, abs=2e-6) for i, (_, c) in want.items())
