@@ -221,7 +221,8 @@ class Model(NamedTuple):
 
 def weak_labels(docs: DataFrame) -> DataFrame:
     """kind, f, spare and y (the label) of each candidate of docs."""
-    c = candidates(base_spans(docs)).select(F.explode("candidates").alias("c")).select("c.*")
+    # outer, since the filter that Spark puts below an inner explode works out all candidates a second time
+    c = candidates(base_spans(docs)).select(F.explode_outer("candidates").alias("c")).select("c.*").where("kind is not null")
     return c.select("kind", "f", "spare", (~F.col("spare") | F.col("evidence")).cast("double").alias("y"))
 
 
