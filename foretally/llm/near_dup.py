@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import beside, laid_out, materialise, only, partitions, table
+from .common import beside, laid_out, materialise, only, partitions, sized, table
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -148,7 +148,9 @@ def _compare(threshold: float):
                     if (blocks[i], parts[i]) != block:
                         block, own = (blocks[i], parts[i]), []
                     if mine[i] == 0:
-                        own.append((docs[i], classes[i], here))
+                        # a repeated row is the same text
+                        if not any(doc == docs[i] and len(g[0]) == len(here[0]) and (g[0] == here[0]).all() and (g[1] == here[1]).all() for doc, _, g in own):
+                            own.append((docs[i], classes[i], here))
                         continue
                     for doc, cls, there in own:
                         # the least total can't be under 0.8 of the greatest
@@ -179,18 +181,31 @@ def verified(members: DataFrame, owners: DataFrame, texts: DataFrame, threshold:
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of the nodes of links (a, b), by alternating large-star and small-star steps; root is the least node."""
     edges, before = materialise(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"), None
-    while True:
-        mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))
-        before = mark
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("met")), "least")
-        large = beside(both.where("v > u"), least, ["u"], "met").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = materialise(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "down")
-        least = materialise(down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("met")), "least")
-        small = beside(down, least, ["u"], "met")
-        edges = materialise(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
+    with sized(links.sparkSession, edges.count()):
+        while True:
+            mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            if mark == before:
+                nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")))
+                return materialise(nodes.groupBy("node").agg(F.min("root").alias("root")), "roots")
+            before = mark
+            both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("met")), "least")
+            large = beside(both.where("v > u"), least, ["u"], "met").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+            down = materialise(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "down")
+            least = materialise(down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("met")), "least")
+            small = beside(down, least, ["u"], "met")
+            edges = materialise(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
+
+
+def joined(roots: DataFrame, fresh: DataFrame) -> DataFrame:
+    """roots after further links: only the classes that these join are looked at again."""
+    known = roots.select("node", "root")
+    ends = fresh.select("a", "b").join(known.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(known.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+    ends = materialise(ends.select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb")), "ends")
+    moved = components(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("to"))
+    new = ends.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("ra").alias("root")), F.struct(F.col("b").alias("node"), F.col("rb").alias("root")))).alias("x")).select("x.*").distinct()
+    nodes = known.unionByName(new.join(known, "node", "left_anti"))
+    return materialise(nodes.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots")
 
 
 def _with_met(keyed: DataFrame) -> DataFrame:
@@ -209,7 +224,10 @@ def _stars(keyed: DataFrame) -> DataFrame:
 
 def _unsettled(keyed: DataFrame, roots: DataFrame) -> DataFrame:
     """The rows of keyed (key, doc_id) in buckets of two or more classes so far, with cls, the class (the root of the text's links, or itself), and met, the size of the bucket."""
-    classed = keyed.select("key", "doc_id").join(roots, keyed["doc_id"] == roots["node"], "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("cls"))
+    # a text's class is looked up once and not for each of its keys, of which it has no more than bands
+    docs = keyed.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+    known = docs.join(roots, docs["doc_id"] == roots["node"], "left").select("doc_id", F.coalesce("root", "doc_id").alias("cls"), "keys")
+    classed = known.select(F.explode("keys").alias("key"), "doc_id", "cls")
     classed = materialise(classed, "classed")
     mixed = classed.groupBy("key").agg(F.count("*").alias("met"), F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high")
     return materialise(beside(classed, materialise(mixed.select("key", "met"), "mixed"), ["key"], "met"), "open")
@@ -240,34 +258,38 @@ def _blocks(rows: DataFrame, size: int) -> DataFrame:
 
 def links(keyed: DataFrame, texts: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """The links (a, b) found among texts with band keys (key, doc_id, met), and their components (node, root)."""
+    spark = keyed.sparkSession
     none = F.lit(None).cast("long").alias("cls")
     stars = materialise(_stars(keyed), "stars")
-    pairs = stars.groupBy(F.col("centre").alias("block"), "doc_id").agg(F.max("met").alias("met")).select("block", "doc_id", none, "met")
     # a text's stars may be of different sizes: the largest decides on the parts of all
+    pairs = materialise(stars.groupBy(F.col("centre").alias("block"), "doc_id").agg(F.max("met").alias("met")).select("block", "doc_id", none, "met"), "pairs")
     found = verified(pairs, pairs.select("block", F.col("block").alias("doc_id"), none), texts, threshold)
-    roots = materialise(components(found), "roots")
-    # all pairs with a bucket's centre are settled
-    rows, longer = _unsettled(stars.select("key", "doc_id"), roots), False
-    while not rows.isEmpty():
-        fresh = _small(rows, texts, threshold)
-        if not fresh.isEmpty():
-            found = found.unionByName(fresh)
-            roots = materialise(components(found), "roots")
-        rows = _unsettled(rows.where(F.col("met") > SMALL), roots)
-        if rows.isEmpty():
-            break
-        if not longer:
-            rows, longer, size = _unsettled(materialise(_steep_keys(rows, texts), "steep"), roots), True, BLOCK
-            continue
-        # what is left are large buckets of the longer signature
-        top = materialise(_blocks(rows, size), "blocks")
-        blocks = materialise(top.groupBy("key").agg(F.first("met").alias("met"), F.collect_set("block").alias("blocks")), "owners")
-        met = beside(rows.drop("met"), blocks, ["key"], "met").select("doc_id", "cls", "met", F.explode("blocks").alias("block"))
-        fresh = verified(met, top, texts, threshold)
-        if not fresh.isEmpty():
-            found = found.unionByName(fresh)
-            roots = materialise(components(found), "roots")
-        rows, size = _unsettled(rows.join(top.select("key", "doc_id"), ["key", "doc_id"], "left_anti"), roots), 4 * size
+    roots = components(found)
+    # a bucket whose texts are all like its centre is of one class; all pairs with the centre are settled
+    ends = pairs.select("block", "doc_id", F.greatest("block", "doc_id").alias("a"), F.least("block", "doc_id").alias("b"))
+    unlike = ends.join(found, ["a", "b"], "left_anti").select(F.col("block").alias("centre"), "doc_id")
+    mixed = stars.join(unlike, ["centre", "doc_id"]).groupBy("key").agg(F.first("met").alias("met"))
+    rows = _unsettled(beside(stars.select("key", "doc_id"), materialise(mixed, "mixed"), ["key"], "met"), roots)
+    longer, size = False, BLOCK
+    while n := rows.count():
+        with sized(spark, n, 2_000):
+            fresh = _small(rows, texts, threshold)
+            if not fresh.isEmpty():
+                found, roots = found.unionByName(fresh), joined(roots, fresh)
+            rows = _unsettled(rows.where(F.col("met") > SMALL), roots)
+            if rows.isEmpty():
+                break
+            if not longer:
+                rows, longer = _unsettled(materialise(_steep_keys(rows, texts), "steep"), roots), True
+                continue
+            # what is left are large buckets of the longer signature
+            top = materialise(_blocks(rows, size), "blocks")
+            blocks = materialise(top.groupBy("key").agg(F.first("met").alias("met"), F.collect_set("block").alias("blocks")), "owners")
+            met = beside(rows.drop("met"), blocks, ["key"], "met").select("doc_id", "cls", "met", F.explode("blocks").alias("block"))
+            fresh = verified(met, top, texts, threshold)
+            if not fresh.isEmpty():
+                found, roots = found.unionByName(fresh), joined(roots, fresh)
+            rows, size = _unsettled(rows.join(top.select("key", "doc_id"), ["key", "doc_id"], "left_anti"), roots), 4 * size
     return found.distinct(), roots
 
 
@@ -281,21 +303,24 @@ def _twins(signed: DataFrame, folded: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id (least id of the class), text_id (least id with an equal text), n_links (verified links of that text)."""
-    n = partitions(docs.sparkSession)
+    spark = docs.sparkSession
     d = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = materialise(d.mapInArrow(_sign, "doc_id long, n_words long, digest binary, bands array<long>"), "signatures")
-    folded = materialise(signed.groupBy("digest").agg(F.min("doc_id").alias("text_id"), F.count("*").alias("copies"), F.first("n_words").alias("n_words"), F.first("bands").alias("bands")), "folded")
-    keyed = materialise(folded.where("n_words > 0").select(F.col("text_id").alias("doc_id"), F.explode(F.array_distinct("bands")).alias("key")).distinct(), "keys")
-    keyed = materialise(_with_met(keyed).select("key", "doc_id", "met"), "buckets")
-    involved = d.repartition(n, "doc_id").join(keyed.select("doc_id").distinct(), "doc_id", "left_semi").distinct()
-    found, roots = links(keyed, laid_out(involved, "doc_id", "texts", placed=True), threshold)
-    twins = materialise(_twins(signed, folded), "twins")
-    if not twins.isEmpty():
-        roots = materialise(components(found.unionByName(twins)), "roots")
-    degree = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    about = roots.join(degree, "node", "left")
-    known = folded.join(about, folded["text_id"] == about["node"], "left").select("digest", "copies", "text_id", F.coalesce("root", "text_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return beside(signed.drop("bands"), materialise(known, "classes"), ["digest"], "copies").select("doc_id", "class_id", "text_id", "n_links")
+    with sized(spark, signed.count() * FIRST[0]):
+        folded = materialise(signed.groupBy("digest").agg(F.min("doc_id").alias("text_id"), F.count("*").alias("copies"), F.first("n_words").alias("n_words"), F.first("bands").alias("bands")), "folded")
+        keyed = materialise(folded.where("n_words > 0").select(F.col("text_id").alias("doc_id"), F.explode(F.array_distinct("bands")).alias("key")).distinct(), "keys")
+        keyed = materialise(_with_met(keyed).select("key", "doc_id", "met"), "buckets")
+        # ids are small beside texts: they are hashed, so that no text is sorted
+        involved = d.repartition(partitions(spark), "doc_id").join(keyed.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi")
+        found, roots = links(keyed, laid_out(involved, "doc_id", "texts", placed=True), threshold)
+        twins = materialise(_twins(signed, folded), "twins")
+        if not twins.isEmpty():
+            roots = joined(roots, twins)
+        degree = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+        about = roots.join(degree, "node", "left")
+        known = folded.join(about, folded["text_id"] == about["node"], "left").select("digest", "copies", "text_id", F.coalesce("root", "text_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+        known = materialise(known, "classes")
+    return beside(signed.drop("bands"), known, ["digest"], "copies").select("doc_id", "class_id", "text_id", "n_links")
 
 
 def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
