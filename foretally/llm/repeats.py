@@ -53,6 +53,10 @@ LONG = 200_000
 SHARD_BYTES = 1 << 20
 RANGE = 1 << 21
 _MASK = np.uint64((1 << 22) - 1)
+#: Bits of a side's hash: it only saves texts from being shipped, so that a chance equality costs a little and changes nothing.
+SIDE = 20
+_SHORT = np.uint64(64 - SIDE)
+_SIDE_MASK = (1 << SIDE) - 1
 _STEP = np.uint64(0x9FB21C651E98DF25)
 _WIDE = 1 << 40
 
@@ -90,7 +94,7 @@ class Stretches(NamedTuple):
 
 def stretches(hashes: np.ndarray, bounds: np.ndarray, scheme: Scheme) -> Stretches:
     """The stretches of each row: first window (counted from the row's start), number of windows, and the hashes
-    of the anchor, of the whole and of its two sides (32 bits each; 0 where a side is too short)."""
+    of the anchor, of the whole and of its two sides (SIDE bits each; 0 where a side is too short)."""
     k, q, found = scheme.window, scheme.gram, []
     half = (k - q) // 2
     rows = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
@@ -114,10 +118,10 @@ def stretches(hashes: np.ndarray, bounds: np.ndarray, scheme: Scheme) -> Stretch
         count = np.diff(np.append(first, len(at)))
         s, p = at[first], anchor[first]
         whole = prefix.ranges(s, s + count + k - 1) ^ K.mix((p - s + 1).astype(np.uint64))
-        left = np.where(p - s >= half, (prefix.ranges(np.maximum(p - half, 0), p + q) >> np.uint64(32)) | np.uint64(1), np.uint64(0))
+        left = np.where(p - s >= half, (prefix.ranges(np.maximum(p - half, 0), p + q) >> _SHORT) | np.uint64(1), np.uint64(0))
         far = np.minimum(p + q + half, n)
-        right = np.where(s + count - 1 + k - p - q >= half, ((prefix.ranges(p, far) >> np.uint64(32)) & ~np.uint64(1)) | np.uint64(2), np.uint64(0))
-        found.append(Stretches(row[s], s + a - bounds[row[s]], count, grams[p], whole, (left << np.uint64(32)) | right))
+        right = np.where(s + count - 1 + k - p - q >= half, ((prefix.ranges(p, far) >> _SHORT) & ~np.uint64(1)) | np.uint64(2), np.uint64(0))
+        found.append(Stretches(row[s], s + a - bounds[row[s]], count, grams[p], whole, (left << np.uint64(SIDE)) | right))
     if not found:
         empty = np.zeros(0, np.int64)
         return Stretches(empty, empty, empty, *[empty.astype(np.uint64)] * 3)
@@ -189,7 +193,7 @@ def hits_of(rows: list[np.ndarray], scheme: Scheme, cut: int | None) -> pa.Recor
     ship = np.zeros(len(at), np.int64)
     some = np.flatnonzero(kinds > 1)
     a, s, d = wa[some], ws[some], wd[some]
-    meets = _sharing(a, s >> np.uint64(32), d, scheme.smaller) | _sharing(a, s & np.uint64(0xFFFFFFFF), d, scheme.smaller)
+    meets = _sharing(a, s >> np.uint64(SIDE), d, scheme.smaller) | _sharing(a, s & np.uint64(_SIDE_MASK), d, scheme.smaller)
     ship[some[meets]] = np.where(kinds[some[meets]] >= scheme.hot, WINDOWS, SHIP)
     if cut is not None:
         ship[anchor[at] == cut] = WINDOWS
@@ -232,7 +236,7 @@ def _decide(scheme: Scheme) -> Callable:
 def _frequent_hits(rows: DataFrame, scheme: Scheme) -> DataFrame:
     """Hits among the stretches of frequent anchors, by counts that are made on the map side first."""
     s = materialise(rows, "frequent")
-    left, right = F.shiftrightunsigned("sides", 32), F.col("sides").bitwiseAND(F.lit(0xFFFFFFFF))
+    left, right = F.shiftrightunsigned("sides", SIDE), F.col("sides").bitwiseAND(F.lit(_SIDE_MASK))
     wholes = materialise(s.groupBy("anchor", "whole", "sides").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")), "wholes")
     sides = wholes.select("anchor", "whole", "least", F.explode(F.array(left, right)).alias("side")).where("side <> 0")
     met = sides.groupBy("anchor", "side").agg(F.count("*").alias("met"), F.min("least").alias("low"), F.max("least").alias("high")).where("met > 1 and low < high" if scheme.smaller else "met > 1")

@@ -28,7 +28,7 @@ from .common import table
 from .repeats import Scheme, gone, removed
 
 MIN_BYTES = 50
-ANCHOR_BYTES = 22
+ANCHOR_BYTES = 16
 #: Parts texts in a shard; no UTF-8 text has this byte, and it sorts after all others.
 SEPARATOR = 255
 
