@@ -280,7 +280,7 @@ def links(keyed: DataFrame, texts: DataFrame, threshold: float) -> tuple[DataFra
             if rows.isEmpty():
                 break
             if not longer:
-                rows, longer = _unsettled(materialise(_steep_keys(rows, texts), "steep"), roots), True
+                rows, longer = _unsettled(_with_met(materialise(_steep_keys(rows, texts), "steep")), roots), True
                 continue
             # what is left are large buckets of the longer signature
             top = materialise(_blocks(rows, size), "blocks")
