@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontamination, licences, near_dup, packing, phrase_dedup, pii, quality, suffix_dedup, token_counts, toxicity
+from . import decontamination, fill_middle, licences, near_dup, packing, phrase_dedup, pii, quality, suffix_dedup, token_counts, toxicity
 
-MODULES = (pii, token_counts, quality, licences, decontamination, packing, suffix_dedup, phrase_dedup, near_dup, toxicity)
+MODULES = (pii, token_counts, quality, licences, decontamination, packing, suffix_dedup, phrase_dedup, near_dup, toxicity, fill_middle)
 
 
 def queries() -> dict:
