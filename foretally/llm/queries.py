@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontamination, fill_middle, lexical, licences, near_dup, packing, phrase_dedup, pii, quality, suffix_dedup, token_counts, toxicity
+from . import decontamination, fill_middle, lexical, licences, near_dup, neighbours, packing, phrase_dedup, pii, quality, suffix_dedup, token_counts, toxicity
 
-MODULES = (pii, token_counts, quality, licences, decontamination, packing, suffix_dedup, phrase_dedup, near_dup, toxicity, fill_middle, lexical)
+MODULES = (pii, token_counts, quality, licences, decontamination, packing, suffix_dedup, phrase_dedup, near_dup, toxicity, fill_middle, lexical, neighbours)
 
 
 def queries() -> dict:
