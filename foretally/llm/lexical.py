@@ -52,8 +52,8 @@ _LISTS = ("docs", "impacts", "block_ends", "block_max")
 _INDEX = "shard long, term string, n int, docs array<int>, impacts array<int>, block_ends array<int>, block_max array<int>, ids array<long>"
 
 
-def _words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, K.Words]]:
-    for lo, hi, buf, offs in K.chunks(column):
+def _words(column: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray, K.Words]]:
+    for lo, hi, buf, offs in K.chunks(column, size):
         yield lo, hi, buf, K.Words(buf, offs, K.PUNCT, K.FOLD)
 
 
@@ -169,7 +169,7 @@ def index(docs: DataFrame, n_docs: int, n_terms: int, shard_bytes: int = SHARD_B
         numbers = count(part << 24)
         for b in batches:
             ids = b.column("doc_id").to_pylist()
-            for lo, hi, buf, words in _words(b.column("text")):
+            for lo, hi, buf, words in _words(b.column("text"), min(K.CHUNK_BYTES, shard_bytes)):
                 shard.add(ids[lo:hi], buf, words)
                 if shard.size >= shard_bytes:
                     yield shard.rows(next(numbers), n_docs, n_terms)
@@ -238,7 +238,7 @@ def _search(k: int):
         owner, item = owner[order], item[order]
         names, at = np.unique(item, return_index=True)
         out: list[list[np.ndarray]] = [[], [], []]
-        for name, own in zip(names.tolist(), np.split(owner, at[1:]), strict=True):
+        for name, own in zip(names.tolist(), np.split(owner, at)[1:], strict=True):
             b = K.ranges(block_start[own], n_blocks[own])
             docs, scores = best(flat["docs"], flat["impacts"], first[b], end[b], bound[b], by_block[b], len(ids), k)
             for column, x in zip(out, (np.full(len(docs), name), ids[docs], scores), strict=True):

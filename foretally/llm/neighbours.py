@@ -190,7 +190,8 @@ def graph(vectors: DataFrame, shard_rows: int = SHARD_ROWS, degree: int = DEGREE
         edges = Graph(_matrix(shard["vector"]), degree=degree).link().edges
         offsets = np.append(0, np.cumsum((edges >= 0).sum(axis=1)))
         lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(edges[edges >= 0], pa.int32()))
-        return pa.table({"dim": shard["dim"], "shard": shard["shard"], "node": pa.array(np.arange(len(shard)), pa.int32()), "ids": shard["ids"], "vector": shard["vector"], "edges": lists})
+        columns = {"dim": shard["dim"], "shard": shard["shard"], "node": pa.array(np.arange(len(shard)), pa.int32()), "ids": shard["ids"].cast(pa.list_(pa.int64())), "vector": shard["vector"].cast(pa.list_(pa.float64())), "edges": lists}
+        return pa.table(columns)
 
     return dealt.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, node int, ids array<long>, vector array<double>, edges array<int>")
 
