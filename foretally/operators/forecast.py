@@ -3,7 +3,7 @@
 S1 static: one forecast of the whole test part.  S2 rolling and S3 multi-step rolling:
 one step ahead from all that is known.  S4 block-wise: a block of B steps at a time.
 For the naive models each forecast is one earlier value, so its place is arithmetic and no
-model is fitted.
+model is fitted.  Autoregressions move with the origin in one pass; a seasonal ARIMA is fitted anew at each.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foretally.operators import autoregression, statespace
+
 SCENARIOS = ("S1", "S2", "S3", "S4")
 MODELS = ("naive-flat", "naive-seasonal")
 
@@ -40,57 +42,58 @@ def naive(series: DataFrame, *keys: str, season: int = 12, block: int = 12, scen
     return runs.select(*keys, "scenario", "model", F.inline(step))
 
 
-def _design(y: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray]:
-    lags = np.stack([y[p - k - 1 : len(y) - k - 1] for k in range(p)] + [np.ones(len(y) - p)], axis=1)
-    return lags, y[p:]
-
-
-def auto_ar(history: np.ndarray, steps: int, season: int, max_order: int = 3, last: int = 5000) -> np.ndarray:
-    """Autoregression on (seasonally) differenced values; order and differences by least corrected AIC."""
-    y = history[-last:]
-    best, shape = np.inf, None
-    for d in (0, 1):
-        for seasonal in {0, int(1 < season <= 24 and len(y) < 3000 and len(y) > 3 * season)}:
-            z = y[season:] - y[:-season] if seasonal else y
-            z = np.diff(z, n=d) if d else z
-            for p in range(0, max_order + 1):
-                if len(z) - p < 2 * p + 5:
-                    continue
-                a, b = _design(z, p)
-                w, *_ = np.linalg.lstsq(a, b, rcond=None)
-                k, n = p + 2, len(b)
-                # the same effective sample for all: criterion per observation
-                aicc = np.log(max(((b - a @ w) ** 2).mean(), 1e-12)) + (2 * k + 2 * k * (k + 1) / max(n - k - 1, 1)) / n
-                if aicc < best:
-                    best, shape = aicc, (d, seasonal, p, w)
-    if shape is None:
-        return np.full(steps, y[-1])
-    d, seasonal, p, w = shape
-    past = list(y)
-    for _ in range(steps):
-        x = np.array(past)
-        z = x[season:] - x[:-season] if seasonal else x
-        dz = np.diff(z) if d else z
-        nxt = float(np.append(dz[::-1][:p], 1.0) @ w)
-        nxt = nxt + z[-1] if d else nxt
-        past.append(nxt + (x[-season] if seasonal else 0.0))
-    return np.array(past[len(y) :])
-
-
-def arima(series: DataFrame, *keys: str, season: int = 12, block: int = 12, scenarios=SCENARIOS) -> DataFrame:
-    """As naive(), by auto_ar: one task fits a series; rolling protocols fit again at each step or block."""
+def _origins(n_train: int, n: int, block: int, scenarios: tuple[str, ...], first: int = 0, last: int | None = None) -> dict[int, dict[str, int]]:
+    """From `first` up to before `last`: the places at which a forecast starts, with how far each scenario looks from there."""
+    out: dict[int, dict[str, int]] = {}
+    for s in scenarios:
+        stride = {"S1": n - n_train, "S4": block}.get(s, 1)
+        for a in range(n_train, n, max(stride, 1)):
+            if first <= a < (n if last is None else last):
+                out.setdefault(a, {})[s] = min(stride, n - a)
+    return dict(sorted(out.items()))
+
+
+def _rows(row: dict, keys: tuple[str, ...], model: str, origin: int, looks: dict[str, int], values: np.ndarray) -> Iterator[pd.DataFrame]:
+    for s, steps in looks.items():
+        t = np.arange(origin, origin + steps)
+        yield pd.DataFrame({**{k: row[k] for k in keys}, "scenario": s, "model": model, "t": t, "actual": np.asarray(row["ys"], float)[t], "forecast": values[:steps]})
+
+
+def _schema(series: DataFrame, keys: tuple[str, ...]) -> str:
     kinds = dict(series.dtypes)
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", scenario string, model string, t int, actual double, forecast double"
+    return ", ".join(f"{k} {kinds[k]}" for k in keys) + ", scenario string, model string, t int, actual double, forecast double"
+
+
+def autoregressive(series: DataFrame, *keys: str, season: int = 12, block: int = 12, scenarios=SCENARIOS, shapes=autoregression.SHAPES, model: str = "auto-ar") -> DataFrame:
+    """As naive(), by the best autoregression of all that is known at each origin; a task passes over a series once, whatever the protocol."""
     wanted = tuple(scenarios)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.to_dict("records"):
-                y, n, n_train = np.asarray(row["ys"], float), row["n"], row["n_train"]
-                for s in wanted:
-                    stride = {"S1": n - n_train, "S4": block}.get(s, 1)
-                    out = [auto_ar(y[:a], min(stride, n - a), season) for a in range(n_train, n, max(stride, 1))]
-                    if out:
-                        yield pd.DataFrame({**{k: row[k] for k in keys}, "scenario": s, "model": "auto-arima", "t": np.arange(n_train, n), "actual": y[n_train:], "forecast": np.concatenate(out)})
-
-    return series.select(*keys, "ys", "n", "n_train").mapInPandas(run, schema)
+                y = np.asarray(row["ys"], float)
+                looks = _origins(row["n_train"], row["n"], block, wanted)
+                for (a, own), fit in zip(looks.items(), autoregression.fits(y, list(looks), season, shapes), strict=True):
+                    yield from _rows(row, keys, model, a, own, autoregression.ahead(y[:a], fit, max(own.values()), season))
+
+    return series.where("n_train > 0 and n_train < n").select(*keys, "ys", "n", "n_train").mapInPandas(run, _schema(series, keys))
+
+
+def arima(series: DataFrame, *keys: str, season: int = 12, block: int = 12, scenarios=SCENARIOS, batch: int = 4) -> DataFrame:
+    """As naive(), by the likeliest seasonal ARIMA, searched and fitted anew at each origin.
+
+    Protocols that start at the same origin know the same and share its fit.  Origins are dealt in batches, so that one long
+    series is work for many tasks.
+    """
+    wanted = tuple(scenarios)
+    dealt = series.where("n_train > 0 and n_train < n").select(*keys, "ys", "n", "n_train", F.explode(F.sequence("n_train", F.col("n") - 1, F.lit(batch))).alias("first"))
+    dealt = dealt.repartition(int(series.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "first")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.to_dict("records"):
+                y = np.asarray(row["ys"], float)
+                for a, own in _origins(row["n_train"], row["n"], block, wanted, row["first"], row["first"] + batch).items():
+                    yield from _rows(row, keys, "auto-arima", a, own, statespace.forecast(statespace.auto_arima(y[:a], season), y[:a], max(own.values())))
+
+    return dealt.mapInPandas(run, _schema(series, keys))

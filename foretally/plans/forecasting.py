@@ -133,6 +133,24 @@ def forecast_arima(spark, sf_dir):
     return forecast.arima(monthly(spark, sf_dir), "series_id", season=SEASON, block=BLOCK)
 
 
+def forecast_ar(spark, sf_dir):
+    return forecast.autoregressive(monthly(spark, sf_dir), "series_id", season=SEASON, block=BLOCK)
+
+
+def forecast_ar1(spark, sf_dir):
+    """A first-order autoregression in millions, fitted again at each origin; one step and blocks."""
+    s = monthly(spark, sf_dir).withColumn("ys", F.transform("ys", lambda y: y / 1e6))
+    f = forecast.autoregressive(s, "series_id", season=SEASON, block=BLOCK, shapes=((0, 0, 1),), model="ar1")
+    return f.select("series_id", "scenario", "t", r6(F.col("actual")).alias("actual"), r6(F.col("forecast")).alias("forecast"))
+
+
+def metrics_models(spark, sf_dir):
+    """Accuracy of the autoregressions beside the naive models of the same series."""
+    m = monthly(spark, sf_dir)
+    both = forecast.naive(m, "series_id", season=SEASON, block=BLOCK).unionByName(forecast.autoregressive(m, "series_id", season=SEASON, block=BLOCK))
+    return metrics.evaluate(both, "series_id", "scenario", "model")
+
+
 def metrics_naive(spark, sf_dir):
     return metrics.evaluate(forecast.naive(monthly(spark, sf_dir), "series_id", season=SEASON, block=BLOCK), "series_id", "scenario", "model")
 
@@ -261,7 +279,7 @@ def _with(sql: str, select: str) -> str:
 _MF = MONTHLY_SQL + "," + forecast_sql("series_id", SEASON, BLOCK)
 QUERIES = {
     "series_monthly": series_monthly, "series_hourly": series_hourly, "split_train_test": split_train_test, "forecast_flat_all": _one_model("naive-flat"), "forecast_seasonal_all": _one_model("naive-seasonal"),
-    "forecast_hourly_block": forecast_hourly_block, "forecast_arima": forecast_arima, "metrics_naive": metrics_naive, "metrics_mase": metrics_mase, "metrics_envelope": metrics_envelope, "naive_scale": naive_scale,
+    "forecast_hourly_block": forecast_hourly_block, "forecast_arima": forecast_arima, "forecast_ar": forecast_ar, "forecast_ar1": forecast_ar1, "metrics_models": metrics_models, "metrics_naive": metrics_naive, "metrics_mase": metrics_mase, "metrics_envelope": metrics_envelope, "naive_scale": naive_scale,
     "newey_west": newey_west, "dm_vs_base": dm_vs_base, "dm_pvalues": dm_pvalues, "dm_bh_fdr": dm_bh_fdr, "dm_win_tie_loss": dm_win_tie_loss,
     "dm_vs_models": dm_vs_models, "models_win_tie_loss": models_win_tie_loss,
 }
@@ -272,6 +290,14 @@ SQL = {
     "forecast_flat_all": _with(_MF, "select series_id, scenario, t, actual, forecast from f where model = 'naive-flat'"),
     "forecast_seasonal_all": _with(_MF, "select series_id, scenario, t, actual, forecast from f where model = 'naive-seasonal'"),
     "forecast_hourly_block": _with(HOURLY_SQL + "," + forecast_sql("series_id", 24, 24), "select series_id, model, t, actual, forecast from f where scenario = 'S4'"),
+    "forecast_ar1": _with(
+        MONTHLY_SQL + f""",
+l as (select series_id, t, n, n_train, y / 1e6 as y, lag(y / 1e6) over (partition by series_id order by t) as x from p),
+w as (select *, regr_slope(y, x) over known as b, regr_intercept(y, x) over known as a from l window known as (partition by series_id order by t rows between unbounded preceding and 1 preceding)),
+o as (select *, scenario, case scenario when 'S1' then n_train when 'S4' then n_train + ((t - n_train) // {BLOCK}) * {BLOCK} else t end as origin from w, (values ('S1'), ('S2'), ('S3'), ('S4')) sc(scenario) where t >= n_train)""",
+        # h steps of y = a + b y by the sum of the geometric series
+        "select o.series_id, o.scenario, o.t, round(o.y, 6) as actual, round(w.a * (1 - w.b ** (o.t - o.origin + 1)) / (1 - w.b) + w.b ** (o.t - o.origin + 1) * w.x, 6) as forecast from o join w on w.series_id = o.series_id and w.t = o.origin",
+    ),
     "metrics_naive": _with(_MF, f"select series_id, scenario, model, {METRICS_SQL} from f group by 1, 2, 3"),
     "metrics_mase": _with(_MF + f", sc as (select series_id, avg(d) as scale from (select series_id, abs(y - lag(y, {SEASON}) over (partition by series_id order by t)) as d from p where t < n_train) group by 1)", "select series_id, scenario, model, round(avg(abs(actual - forecast)) / nullif(max(scale), 0), 6) as mase from f join sc using (series_id) group by 1, 2, 3"),
     "metrics_envelope": _with(

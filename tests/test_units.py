@@ -91,9 +91,12 @@ def test_forecast_properties(spark):
         forecast.naive(table_of(spark, ys), "series_id", models=("other",))
 
 
-def test_arima_learns_a_trend(spark):
-    rows = forecast.arima(table_of(spark, [3.0 * i for i in range(60)]), "series_id", season=1, scenarios=("S1", "S2")).collect()
-    assert max(abs(r["actual"] - r["forecast"]) for r in rows) < 1e-6
+def test_models_learn_a_trend(spark):
+    for model in (forecast.arima, forecast.autoregressive):
+        rows = model(table_of(spark, [3.0 * i for i in range(60)]), "series_id", season=1, scenarios=("S1", "S2", "S4")).collect()
+        assert len(rows) == 36
+        for r in rows:
+            assert r["forecast"] == pytest.approx(r["actual"], rel=1e-6)
 
 
 def test_metrics(spark):
