@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from foretally.functions import literals
+
 _BLANK = r"^\s+|\s+$"
 
 
@@ -128,15 +130,9 @@ def first_list(text: Column) -> Column:
     return F.coalesce(number_list(text), F.try_element_at(found, F.lit(1)))
 
 
-_ITEM = r"""(?:[+-]?(?:\d[\d_]*\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|'[^'\n]*'|"[^"\n]*"|True|False|None)"""
-_FLAT = rf"\[\s*+(?:{_ITEM}\s*+(?:,\s*+|(?=\])))*+\]"
-_INNER = rf"(?:{_ITEM}|{_FLAT})"
-_NESTED = rf"\[\s*+(?:{_INNER}\s*+(?:,\s*+|(?=\])))*+\]"
-
-
 def last_literal(text: Column) -> Column:
-    """The shortest list literal, flat or with lists in it, that ends at the last closing bracket; '' if none does."""
-    return F.regexp_extract(plain_literal(text), rf"(?s)\A.*({_NESTED})[^\]]*+\z", 1)
+    """The shortest list literal, of any depth, that ends at the last closing bracket; '' if none does."""
+    return literals.last_list_literal(plain_literal(text))["text"]
 
 
 def last_list(text: Column) -> Column:
@@ -146,9 +142,11 @@ def last_list(text: Column) -> Column:
 
 def list_problem(text: Column) -> Column:
     """Why the last literal is no forecast; null if it is one, or an empty list."""
-    literal = last_literal(text)
-    inner = F.regexp_like(literal, F.lit(r"(?s)^\[.*\["))
-    return F.when(literal == "", "no Python forecast list found").when(inner, "forecast list is not flat").when(number_list(literal).isNull() & ~F.regexp_like(literal, F.lit(r"^\[\s*\]$")), "forecast list has an item that is no number")
+    def problem(found: Column) -> Column:
+        literal = found["text"]
+        return F.when(literal == "", "no Python forecast list found").when(found["deep"], "forecast list is not flat").when(number_list(literal).isNull() & ~F.regexp_like(literal, F.lit(r"^\[\s*\]$")), "forecast list has an item that is no number")
+
+    return F.transform(F.array(literals.last_list_literal(plain_literal(text))), problem)[0]
 
 
 def forecast_literal(text: Column) -> Column:
@@ -166,36 +164,7 @@ def literal_length(literal: Column) -> Column:
 # --- JSON ----------------------------------------------------------------------------------
 
 
-#: Levels of nesting that canonical_json sorts and rounds.
-LEVELS = 4
-
-
-def _scalar(v: Column, digits: int) -> Column:
-    """A JSON scalar's text with its number rounded; strings keep their quotes."""
-    n = v.try_cast("double")
-    rounded = F.when(n == F.floor(n), F.format_string("%.1f", n)).otherwise(F.round(n, digits).cast("string"))
-    return F.when(F.regexp_like(v, F.lit(r"^-?\d+$")) | n.isNull(), v).otherwise(rounded)
-
-
-def _canonical(v: Column, digits: int, level: int) -> Column:
-    """v is the JSON text of any value."""
-    if not level:
-        return _scalar(v, digits)
-    kind = F.substring(v, 1, 1)
-    entries = F.array_sort(F.map_entries(F.from_json(v, "map<string,string>")))
-    quoted = lambda x: F.coalesce(F.when(F.regexp_like(x, F.lit(r'^(?:[\[{]|-?\d|true$|false$|null$)')), x), F.concat(F.lit('"'), x, F.lit('"')), F.lit("null"))
-    fields = F.transform(entries, lambda e: F.concat(F.lit('"'), e["key"], F.lit('": '), _canonical(quoted(e["value"]), digits, level - 1)))
-    items = F.transform(F.from_json(v, "array<string>"), lambda x: _canonical(quoted(x), digits, level - 1))
-    return F.when(kind == "{", F.concat(F.lit("{"), F.array_join(fields, ", "), F.lit("}"))).when(kind == "[", F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]"))).otherwise(_scalar(v, digits))
-
-
-def canonical_json(x: Column, digits: int = 4) -> Column:
-    """A JSON object with sorted keys and rounded numbers, LEVELS deep; {} for blank; the text itself if it isn't an object.
-
-    A string that reads as a number or a word of JSON is taken for one."""
-    blank = F.coalesce(strip(x), F.lit("")) == ""
-    broken = F.from_json(x, "map<string,string>").isNull() | ~F.startswith(strip(x), F.lit("{"))
-    return F.when(blank, "{}").when(broken, x).otherwise(_canonical(strip(x), digits, LEVELS))
+canonical_json = literals.canonical
 
 
 def sorted_json(m: Column) -> Column:
@@ -230,12 +199,7 @@ def _within(family: tuple[str, ...]):
     return lambda e: e["key"].isin(*family)
 
 
-def from_python_dict(x: Column) -> Column:
-    """A Python dict literal as JSON: quotes, tuples, and the words for true, false and none."""
-    s = F.regexp_replace(F.regexp_replace(F.replace(x, F.lit("'"), F.lit('"')), r"\(", "["), r",?\s*\)", "]")
-    for a, b in (("True", "true"), ("False", "false"), ("None", "null")):
-        s = F.regexp_replace(s, rf"\b{a}\b", b)
-    return F.when(F.from_json(s, "map<string,string>").isNotNull(), s).otherwise(x)
+from_python_dict = literals.python_to_json
 
 
 #: Forms of hyper-parameters, and numbers too common to tell.

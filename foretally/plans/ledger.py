@@ -36,9 +36,13 @@ def _top_sql(src: str, value: str, name: str) -> str:
 _V = f"with v as (select user_id, event_id, {_MODEL} as model, {_PARAMETERS} as parameters, {_CORE} as core from events)"
 
 
+#: The same text in both engines.
+_DEEP_JSON = """'{"z": {"y": [{"x": {"w": {"v": "' || event_id || '", "u": [1.00001, 2]}, "a": null}}]}, "event": ' || event_id || ', "b": ' || props || '}'"""
+
+
 def json_canonical(spark, sf_dir):
-    """Event properties with a float, out of order, and blank or broken ones among them."""
-    x = "case event_id % 5 when 0 then '' when 1 then 'not json' when 2 then '{\"b\": 2, \"a\": ' || (event_id % 9) || '.123456}' else props end"
+    """Event properties with a float, out of order, five levels deep and as a string, and blank or broken ones among them."""
+    x = f"case event_id % 5 when 0 then '' when 1 then 'not json' when 2 then '{{\"b\": 2, \"a\": ' || (event_id % 9) || '.123456}}' when 3 then {_DEEP_JSON} else props end"
     return table(spark, sf_dir, "events").select("event_id", T.canonical_json(F.expr(x)).alias("canonical"))
 
 
@@ -152,7 +156,8 @@ SQL = {
         _top_sql("v", "model", "m"), "o as (select v.* from v join m using (user_id, model))", _top_sql("o", "parameters", "e"), _top_sql("o", "core", "c"),
         "i as (select o.* from o join c using (user_id, core))", _top_sql("i", "parameters", "b"),
     ]) + " select m.user_id, m.model, m.votes as model_votes, case when e.votes >= 3 then e.parameters else b.parameters end as parameters, case when e.votes >= 3 then e.votes else c.votes end as parameter_votes, case when e.votes >= 3 then 'exact' else 'core' end as level, m.total::bigint as total from m join e using (user_id) join c using (user_id) join b using (user_id)",
-    "json_canonical": """select event_id, case event_id % 5 when 0 then '{}' when 1 then 'not json' when 2 then '{"a": ' || case when event_id % 9 = 0 then '0.1235' else (event_id % 9) || '.1235' end || ', "b": 2}' else '{"k": ' || json_extract_string(props, '$.k') || '}' end as canonical from events""",
+    "json_canonical": """select event_id, case event_id % 5 when 0 then '{}' when 1 then 'not json' when 2 then '{"a": ' || case when event_id % 9 = 0 then '0.1235' else (event_id % 9) || '.1235' end || ', "b": 2}'
+  when 3 then '{"b": {"k": ' || json_extract(DEEP, '$.b.k') || '}, "event": ' || json_extract(DEEP, '$.event') || ', "z": {"y": [{"x": {"a": null, "w": {"u": [1.0, 2], "v": ' || json_extract(DEEP, '$.z.y[0].x.w.v') || '}}}]}}' else '{"k": ' || json_extract_string(props, '$.k') || '}' end as canonical from events""".replace("DEEP", _DEEP_JSON),
     "json_probe": "with p as (select event_type, cast(coalesce(json_extract_string(props, '$.seasonal_periods'), json_extract_string(props, '$.k')) as int) as p from events) select event_type, count(p) as n, min(p) as low, max(p) as high from p group by 1",
     "run_plan": f"with {_PLAN_SQL} select scenario, count(*) as n_runs, count(distinct dataset) as datasets from p group by 1",
     "run_key": f"with {_PLAN_SQL} select * from p",

@@ -163,6 +163,17 @@ def list_literals(spark, sf_dir):
     return d.select("vec_id", text(T.first_list(F.col("text"))).alias("first_values"), text(T.last_list(F.col("text"))).alias("last_values"))
 
 
+#: Whole vectors as lists of any depth, behind an apostrophe and a list of words.
+_NESTED_LISTS = "'it' || chr(39) || 's [old] ' || repeat('[', cast(vec_id % 6 as int)) || {values} || repeat(']', cast(vec_id % 6 as int)) || ' done'"
+
+
+def last_literals(spark, sf_dir):
+    text = F.expr(_NESTED_LISTS.format(values="array_join(transform(embedding, x -> cast(cast(round(x * 1000) as int) as string)), ', ')"))
+    d = rendered(table(spark, sf_dir, "embeddings").withColumn("text", text), "vec_id", x="text")
+    literal = T.last_literal(F.col("x"))
+    return d.select("vec_id", F.md5(literal).alias("digest"), F.char_length(literal).alias("chars"), T.list_problem(F.col("x")).alias("problem"), F.size(T.last_list(F.col("x"))).alias("n"))
+
+
 def list_explode(spark, sf_dir):
     d = _vectors(spark, sf_dir)
     return d.select("vec_id", F.posexplode(T.last_list(F.col("text"))).alias("t", "forecast"))
@@ -217,7 +228,7 @@ def token_coverage(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     turns_pivot, turn_fallback, turns_rendered, prompt_words, chat_render, field_extract, header_flags, classify_output, validate_response, script_format, code_feature_flags, page_flags, failure_taxonomy, failure_group_share,
-    failure_details, previous_failures, log_tail, list_literals, list_explode, list_length_check, normalise_text, slugify, strip_fences, alias_map, category_keywords, hyperparam_tokens, token_coverage,
+    failure_details, previous_failures, log_tail, list_literals, last_literals, list_explode, list_length_check, normalise_text, slugify, strip_fences, alias_map, category_keywords, hyperparam_tokens, token_coverage,
 )}
 
 _ASSISTANT = "a as (select conv_id, turn, text, row_number() over (partition by conv_id order by turn) - 1 as k from conversations where role = 'assistant')"
@@ -282,6 +293,9 @@ select doc_id, case when regexp_matches(log, 'TIMEOUT after \d+ seconds') then '
   when contains(flat, chr(39)) then 'forecast list has an item that is no number' when flat = '[]' then 'forecast length mismatch: expected 3, got 0' else 'forecast length mismatch: expected 3, got ' || len(string_split(flat, ',')) end as reason from w""",
     "log_tail": "with p as (select doc_id, string_split(text, chr(10)) as s from documents), t as (select doc_id, array_to_string(s[greatest(len(s) - 1, 1):], chr(10)) as t from p) select doc_id, md5(t) as digest, length(t) as chars from t",
     "list_literals": f"with {_VEC} select vec_id, {_JOIN.format('ls[1]')} as first_values, {_JOIN.format('ls[-1]')} as last_values from l",
+    "last_literals": f"""with t as (select vec_id, {_NESTED_LISTS.format(values="array_to_string(list_transform(embedding, lambda x: cast(cast(round(x * 1000) as int) as varchar)), ', ')")} as x from embeddings),
+l as (select vec_id, regexp_extract(x, '(\\[[\\[0-9, -]*\\]+) done$', 1) as lit from t)
+select vec_id, md5(lit) as digest, length(lit) as chars, case when lit = '' then 'no Python forecast list found' when lit like '[[%' then 'forecast list is not flat' end as problem, case when regexp_matches(lit, '^\\[[^\\[]') then len(string_split(lit, ',')) end as n from l""",
     "list_explode": f"with {_VEC}, e as (select vec_id, list_transform(string_split(trim(ls[-1], '[]'), ','), lambda s: cast(trim(s) as double)) as f from l where len(ls) > 0) select vec_id, unnest(generate_series(0, len(f) - 1))::int as t, unnest(f) as forecast from e",
     "list_length_check": f"with {_VEC} select label, case when len(ls) = 0 then 'INVALID_OUTPUT' when len(string_split(ls[-1], ',')) = 3 then 'OK_FORECAST_LIST' else 'INVALID_LIST_LENGTH' end as status, count(*) as n from l group by 1, 2",
     "normalise_text": r"select p_partkey, trim(regexp_replace(lower(p_name) || ' ' || lower(p_brand), '\s+', ' ', 'g')) as name from part",
