@@ -58,20 +58,18 @@ def turn3(answer: Column, kind: Column, code: Column, numbers: Column, scenario:
     ]
 
 
-def answers(log: Column) -> Column:
-    """An array of the four answers ('' where one is missing) and the number of turns, or null if the log has none."""
-    marked = transcripts.turns(log)
-    header = records.chat_header(log)
-    told = records.chat_turns(log, header)
-    at = lambda i: F.coalesce(F.try_element_at(marked, F.lit(i)), F.lit(""))
-    last = F.try_element_at(marked, F.array_max(F.map_keys(marked)))
-    later = lambda i: F.coalesce(F.get(told, F.lit(i)), F.lit(""))
-    by_mark = F.struct(F.array(at(0), at(1), at(2), F.coalesce(F.try_element_at(marked, F.lit(3)), last)).alias("texts"), F.size(marked).alias("n"))
+def answers(marked: Column, log: Column) -> Column:
+    """texts (the four answers, '' where one is missing) and n, the number of turns, or null if the log has none.
+
+    marked has the answers that have marks (transcripts.turn_list); the log itself is looked at only where there are none."""
+    at = lambda i: F.coalesce(F.get(F.filter(marked, lambda e: e["turn"] == i), F.lit(0))["text"], F.lit(""))
+    third = F.coalesce(F.get(F.filter(marked, lambda e: e["turn"] == 3), F.lit(0))["text"], F.try_element_at(marked, F.lit(-1))["text"])
+    result = lambda texts, n: F.struct(F.transform(F.array(*texts), T.strip).alias("texts"), n.alias("n"))
     # an exported chat opens with an answer that no turn asked for
-    by_header = F.struct(F.array(later(1), later(2), later(3), F.try_element_at(told, F.lit(-1))).alias("texts"), F.size(told).alias("n"))
-    trimmed = lambda a: F.struct(F.transform(a["texts"], T.strip).alias("texts"), a["n"].alias("n"))
-    by_mark, by_header = trimmed(by_mark), trimmed(by_header)
-    return F.when(F.size(marked) > 0, by_mark).when(header.isNotNull() & (F.size(told) > 0), by_header)
+    later = lambda told, i: F.coalesce(F.get(told, F.lit(i)), F.lit(""))
+    by_header = lambda told: F.when(F.size(told) > 0, result([later(told, 1), later(told, 2), later(told, 3), F.try_element_at(told, F.lit(-1))], F.size(told)))
+    told = lambda header: F.when(header.isNotNull(), F.transform(F.array(records.chat_turns(log, header)), by_header)[0])
+    return F.when(F.size(marked) > 0, result([at(0), at(1), at(2), third], F.size(marked))).otherwise(F.transform(F.array(records.chat_header(log)), told)[0])
 
 
 def assembled(logs: DataFrame, lengths: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -82,8 +80,9 @@ def assembled(logs: DataFrame, lengths: DataFrame, blocks: DataFrame) -> DataFra
     stem = F.col("file_id")
     names = ("experiment_part", "dataset", "scenario", "branch", "llm_version", "run_id")
     parts = [c.alias(n) for c, n in zip(records.file_parts(stem), names, strict=True)]
-    # behind a generator, an outer one, so that no filter below it repeats the parsing
-    found = logs.select("file_id", *parts, F.inline_outer(F.array(answers(F.col("log"))))).where("n is not null").join(lengths, "dataset", "left").join(blocks, "dataset", "left")
+    # behind generators, outer ones, so that what is found is a column and no filter or later step finds it again
+    cut = logs.select("file_id", "log", F.inline_outer(F.array(F.struct(transcripts.turn_list(F.col("log")).alias("marked")))))
+    found = cut.select("file_id", *parts, F.inline_outer(F.array(answers(F.col("marked"), F.col("log"))))).where("n is not null").join(lengths, "dataset", "left").join(blocks, "dataset", "left")
     text = lambda i: F.col("texts")[i]
     # step by step, so that each is worked out once
     known = found.withColumn("kind", transcripts.output_type(text(3))).withColumn("numbers", F.when(F.col("kind") == "LIST", T.forecast_literal(text(3))).otherwise(""))

@@ -9,7 +9,9 @@ from foretally.functions import text as T
 
 #: Marks of turns.
 MARK = r"(?m)^===== TURN\s+(\d+)\s+ASSISTANT[^\n]*=====\s*\n"
-_TURN = r"(?imsd)^===== TURN\s+(\d+)\s+ASSISTANT[^\n]*=====\s*\n(.*?)(?=^===== TURN\s+\d+\s+(?:USER|ASSISTANT)[^\n]*=====|\z)"
+#: Before each mark, of either side; of an answer, its number and what follows the mark.
+_BEFORE = r"(?im)^(?====== TURN\s+\d+\s+(?:USER|ASSISTANT)[^\n]*=====)"
+_ANSWER = r"(?isd)\A===== TURN\s+(\d+)\s+ASSISTANT[^\n]*=====\s*\n(.*)\z"
 MOST_CHARACTERS = 16_000
 
 #: Patterns of generated forecasting code.
@@ -35,10 +37,20 @@ CODE_FLAGS = {
 OVERCLEANED = r"(?i)(normaliz|standardiz|scal|log.transfor|differenc)"
 
 
+def turn_list(text: Column) -> Column:
+    """turn, text of the answers of a rendered transcript, by number; of answers with one number the last stays.
+
+    The text is cut once, at its marks."""
+    own = F.filter(F.split(text, _BEFORE), lambda p: F.regexp_like(p, F.lit(_ANSWER)))
+    part = lambda p, place: F.struct(F.regexp_extract(p, _ANSWER, 1).try_cast("int").alias("turn"), place.alias("place"), F.regexp_extract(p, _ANSWER, 2).alias("text"))
+    ordered = F.array_sort(F.filter(F.transform(own, part), lambda e: e["turn"].isNotNull()))
+    last = lambda a: F.transform(F.filter(a, lambda e, i: F.coalesce(F.get(a, i + 1)["turn"] != e["turn"], F.lit(True))), lambda e: F.struct(e["turn"].alias("turn"), e["text"].alias("text")))
+    return F.transform(F.array(ordered), last)[0]
+
+
 def turns(text: Column) -> Column:
     """Map from turn number to the assistant's text of a rendered transcript."""
-    number = F.transform(F.regexp_extract_all(text, F.lit(_TURN), F.lit(1)), lambda x: x.cast("int"))
-    return F.map_from_arrays(number, F.regexp_extract_all(text, F.lit(_TURN), F.lit(2)))
+    return F.map_from_entries(turn_list(text))
 
 
 def assistant_turns(chats: DataFrame) -> DataFrame:

@@ -40,7 +40,9 @@ def _mark(i: int, who: str) -> str:
     return f"'===== TURN {i} {who} =====' || {_NL}"
 
 
-_MARKED = f" || {_NL} || ".join(f"{_mark(i, 'USER')} || {'text' if i == 0 else chr(39) + 'go on' + chr(39)} || {_NL} || {_mark(i, 'ASSISTANT')} || " + (f"({t})" if i != 3 else f"({t}) || {_NL}") for i, t in _TURNS.items())
+#: Some runs answered the last turn twice; what was said first is dropped.
+_AGAIN = f"case when doc_id % 17 = 4 then '===== TURN 3 ASSISTANT (first) =====' || {_NL} || {_NL} || 'import draft' || {_NL} else '' end || "
+_MARKED = f" || {_NL} || ".join(f"{_mark(i, 'USER')} || {'text' if i == 0 else chr(39) + 'go on' + chr(39)} || {_NL} || {_AGAIN if i == 3 else ''}{_mark(i, 'ASSISTANT')} || " + (f"({t})" if i != 3 else f"({t}) || {_NL}") for i, t in _TURNS.items())
 _TOLD = f"'You asked' || {_NL} || 'hello' || {_NL} || 'ChatGPT said:' || {_NL} || 'hi'" + "".join(f" || {_NL} || 'You asked' || {_NL} || 'go on' || {_NL} || 'ChatGPT said:' || {_NL} || ({t})" for t in _TURNS.values())
 LOG = f"case when doc_id % 13 = 12 then 'nothing' when doc_id % 11 = 10 then {_TOLD} else {_MARKED} end"
 
@@ -119,7 +121,7 @@ _NOISY = ", ".join(f"'{x}'" for x in T.NOISY)
 CTES = rf"""with g as (select doc_id, source, {FILE} as file_id, {LOG} as log from documents),
 p0 as (select *, list_filter(string_split_regex(log, '(?m)^===== TURN +'), lambda x: regexp_matches(x, '^\d+ ASSISTANT')) as marked, string_split_regex(log, '(?im)^you asked$')[2:] as told from g),
 p as (select *, case when len(marked) > 0 then list_transform(marked, lambda x: {strip("regexp_replace(x, '^[^\n]*\n', '')")}) else list_transform(told, lambda x: {strip("regexp_replace(x, '(?is)^.*?chatgpt said:', '')")}) end as s, len(marked) > 0 as by_mark from p0),
-a as (select doc_id, file_id, string_split(file_id, '-') as f, len(s) as n_llm_turns, case when by_mark then s[1] else s[2] end as a0, case when by_mark then s[2] else s[3] end as a1, case when by_mark then s[3] else s[4] end as a2, s[-1] as a3 from p where len(s) > 0),
+a as (select doc_id, file_id, string_split(file_id, '-') as f, case when by_mark then len(list_distinct(list_transform(marked, lambda x: regexp_extract(x, '^\d+')))) else len(s) end as n_llm_turns, case when by_mark then s[1] else s[2] end as a0, case when by_mark then s[2] else s[3] end as a1, case when by_mark then s[3] else s[4] end as a2, s[-1] as a3 from p where len(s) > 0),
 b as (select *, f[2] as dataset, f[3] as scenario, case when upper({strip("a3")}) = 'ERROR' then 'ERROR' when regexp_matches({strip("a3")}, '{_START}') then 'SCRIPT' when regexp_matches({_UNWRAP}, '{_LIST}') then 'LIST' else 'TEXT' end as kind,
   {strip("a3")} as x3, {_UNWRAP} as u3 from a),
 d as (select *, case when kind = 'SCRIPT' then strpos(x3, regexp_extract(x3, '{_START}')) else 0 end as k0 from b),

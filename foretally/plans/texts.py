@@ -70,8 +70,9 @@ def turn_fallback(spark, sf_dir):
 
 
 def turns_rendered(spark, sf_dir):
-    """Conversations written as one text and taken apart again: the assistant's turns must be those of the table."""
-    r = transcripts.render(table(spark, sf_dir, "conversations"))
+    """Conversations written as one text and taken apart again: the assistant's turns must be those of the table, but for Turn 1, which is answered again at the end."""
+    again = F.expr("'===== TURN 1 ASSISTANT (again) =====' || chr(10) || 'again ' || conv_id")
+    r = transcripts.render(table(spark, sf_dir, "conversations")).select("conv_id", F.concat("transcript", again).alias("transcript"))
     parts = r.select("conv_id", F.explode(transcripts.turns(F.col("transcript"))).alias("turn", "text"))
     return parts.select("conv_id", "turn", F.md5(T.strip(F.col("text"))).alias("digest"))
 
@@ -271,7 +272,8 @@ _JOIN = "array_to_string(list_transform(string_split(trim({0}, '[]'), ','), lamb
 SQL = {
     "turns_pivot": f"with {_PIVOT} select conv_id, length(t0) as t0_chars, length(t1) as t1_chars, length(t2) as t2_chars, length(t3) as t3_chars, n_turns from t",
     "turn_fallback": f"with {_PIVOT} select conv_id, t3 from t",
-    "turns_rendered": f"select conv_id, turn::int as turn, md5({_STRIP.format('text')}) as digest from conversations where role = 'assistant'",
+    "turns_rendered": f"""select conv_id, turn::int as turn, md5({_STRIP.format('text')}) as digest from conversations where role = 'assistant' and turn <> 1
+union all select distinct conv_id, 1, md5('again ' || conv_id) from conversations""",
     "prompt_words": r"select conv_id, sum(len(regexp_extract_all(text, '\S+')))::bigint as words from conversations group by 1",
     "chat_render": f"with {_RENDERED} select conv_id, md5(s) as digest, length(s) as chars from x",
     "field_extract": f"with {_D} select doc_id, n_chars::varchar as rows, lang as trend, case when doc_id % 2 = 0 then source else '' end as seasonality, 'Outliers: none' as stationarity, '' as missing from d",

@@ -301,3 +301,19 @@ def test_stream_ledger(spark, tmp_path):
     for _ in range(2):  # the second start finds nothing new
         stream.append_to(src, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_turns_of_a_log(spark):
+    m = lambda n, who="ASSISTANT", more="": f"===== TURN {n} {who}{more} =====\n"
+    one = lambda x: values(spark, transcripts.turns(F.col("x")), [(x,)], "x string")[0]
+    assert one("head\n" + m(0) + "a\n" + m(0, "USER") + "q\n" + m(2) + "b" + "\n" + m(1) + "c\n" + m(2, more=" (again)") + "\n\nd\ne") == {0: "a\n", 1: "c\n", 2: "d\ne"}
+    assert one(m(3) + "x ===== TURN 4 ASSISTANT ===== y\n" + m(3).lower() + "last\n===== TURN 5 ASSISTANT =====") == {3: "last\n"}
+    assert one(m(99999999999) + "x\n") == {} and one("") == {} and one("no mark") == {} and one(None) is None
+    from foretally.operators import master
+
+    log = lambda *parts: "".join(parts)
+    rows = [("a", log(m(0), "zero\n", m(3), "first\n", m(3), "import last\n")), ("b", log(m(0), "zero\n", m(5), "fifth\n")), ("c", "chatgpt said:\nhi\nyou asked\nq\nchatgpt said:\none\n"), ("d", "nothing"), ("e", None)]
+    df = spark.createDataFrame(rows, "file_id string, log string")
+    cut = df.select("file_id", "log", transcripts.turn_list(F.col("log")).alias("marked"))
+    got = {r["file_id"]: r["a"] and (list(r["a"]["texts"]), r["a"]["n"]) for r in cut.select("file_id", master.answers(F.col("marked"), F.col("log")).alias("a")).collect()}
+    assert got == {"a": (["zero", "", "", "import last"], 2), "b": (["zero", "", "", "fifth"], 2), "c": (["one", "", "", "one"], 2), "d": None, "e": None}
