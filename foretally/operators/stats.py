@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from foretally.functions.numeric import finite, r6, rounded, two_sided_p
+from foretally.operators.order import discovery_rates
 
 
 #: What of a value's size is rounding.
@@ -78,14 +79,8 @@ def diebold_mariano(differences: DataFrame, *keys: str, horizon: int | Column =
 
 
 def benjamini_hochberg(tests: DataFrame, p: str, *order: str) -> DataFrame:
-    """tests with dm_q, the false discovery rate of p over all tests; null p stays null and doesn't count.
-
-    Ranks need one order over all tests: a table of results, a row per test.
-    """
-    up = Window.orderBy(F.col(p).asc_nulls_last(), *order)
-    down = Window.orderBy(F.col(p).desc_nulls_last(), *[F.col(c).desc() for c in order]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = tests.withColumns({"_rk": F.row_number().over(up), "_m": F.count(p).over(Window.partitionBy())})
-    return ranked.withColumn("q", F.when(F.col(p).isNotNull(), F.min(F.col(p) * F.col("_m") / F.col("_rk")).over(down))).drop("_rk", "_m")
+    """tests with q, the false discovery rate of p over all tests; null p stays null and doesn't count."""
+    return discovery_rates(tests, p, "q", *order)
 
 
 def average_rank(value: Column, *partition: str) -> Column:

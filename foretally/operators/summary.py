@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foretally.functions.numeric import minmax_quality, nan_to_null, pct, r6
+from foretally.operators.order import numbered
 
 
 def metric_stats(value: Column, prefix: str) -> list[Column]:
@@ -104,13 +105,13 @@ def category_pivot(rows: DataFrame, category: str, values: tuple[str, ...], *key
 def quality(groups: DataFrame, metrics: dict[str, bool], success: str) -> DataFrame:
     """groups with quality_<metric> (0 to 1 over all groups; True: lower is better), conditional and failure-adjusted scores and rank.
 
-    Ranks need all groups together: a table of results, a row per group.
+    The extremes are one row, which goes to all; the ranks are dealt by ranges.
     """
-    w = Window.partitionBy()
-    out = groups.withColumns({f"quality_{m}": r6(minmax_quality(F.col(m), F.min(m).over(w), F.max(m).over(w), lower)) for m, lower in metrics.items()})
+    ends = groups.agg(*[f(m).alias(f"_{k}_{m}") for m in metrics for k, f in (("low", F.min), ("high", F.max))])
+    out = groups.crossJoin(F.broadcast(ends)).withColumns({f"quality_{m}": r6(minmax_quality(F.col(m), F.col(f"_low_{m}"), F.col(f"_high_{m}"), lower)) for m, lower in metrics.items()}).drop(*ends.columns)
     mean = sum((F.col(f"quality_{m}") for m in metrics), F.lit(0.0)) / len(metrics)
     out = out.withColumn("conditional", r6(mean)).withColumn("adjusted", r6(mean * F.col(success)))
-    return out.withColumn("rank", F.rank().over(Window.orderBy(F.desc("adjusted"))).cast("long"))
+    return numbered(out, "rank", F.col("adjusted").isNull(), -F.col("adjusted"), ties=True)
 
 
 def robustness(rows: DataFrame, value: str, keys: list[str], over: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foretally.functions import text as T
+from foretally.operators.order import numbered
 
 #: Marks of turns.
 MARK = r"(?m)^===== TURN\s+(\d+)\s+ASSISTANT[^\n]*=====\s*\n"
@@ -144,6 +145,12 @@ def analysis_status(run_status: Column, output: Column, n: Column, expected: Col
     )
 
 
+def _placed(few: DataFrame, n: Column, descending: bool = False) -> DataFrame:
+    """n, line of few ordered rows (_o, line); i is the place in their order."""
+    rows = few.agg(F.sort_array(F.collect_list(F.struct("_o", "line")), asc=not descending).alias("rows"))
+    return rows.select(F.posexplode("rows").alias("i", "row")).select(n.alias("n"), F.col("row.line").alias("line"))
+
+
 def prompt_csv(rows: DataFrame, mode: str, order: str, most: int = 400) -> DataFrame:
     """n, line of a table as CSV lines for a prompt: full, head_tail (a marker between) or metadata_only."""
     if mode not in ("full", "head_tail", "metadata_only"):
@@ -154,12 +161,12 @@ def prompt_csv(rows: DataFrame, mode: str, order: str, most: int = 400) -> DataF
     line = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
     lines = rows.select(F.col(order).alias("_o"), line.alias("line"))
     if mode == "full":
-        return lines.select((F.row_number().over(Window.orderBy("_o")) - 1).cast("int").alias("n"), "line")
+        return numbered(lines, "n", F.col("_o"), start=0).select(F.col("n").cast("int").alias("n"), "line")
     # two short sorts and a count instead of one order over all rows
     half = max(most // 2, 1)
     total = rows.count()
-    first = lines.orderBy("_o").limit(half + 1).withColumn("n", F.row_number().over(Window.orderBy("_o")) - 1)
+    first = _placed(lines.orderBy("_o").limit(half + 1), F.col("i"))
     cut = (F.col("n") == half) & F.lit(half < total - half)
     first = first.select("n", F.when(cut, "...").otherwise(F.col("line")).alias("line"))
-    last = lines.orderBy(F.desc("_o")).limit(max(min(half, total - half - 1), 0)).withColumn("n", total - F.row_number().over(Window.orderBy(F.desc("_o"))))
+    last = _placed(lines.orderBy(F.desc("_o")).limit(max(min(half, total - half - 1), 0)), total - 1 - F.col("i"), descending=True)
     return first.unionByName(last.select("n", "line")).select(F.col("n").cast("int").alias("n"), "line")

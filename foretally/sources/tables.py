@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foretally.operators.order import numbered
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -56,13 +58,11 @@ def with_schema_of(df: DataFrame, like: DataFrame) -> DataFrame:
 
 
 def markdown(df: DataFrame, order: str, *columns: str) -> DataFrame:
-    """n, line: a small table of results as lines of a Markdown report, in the order of one of its columns."""
-    from pyspark.sql import Window
-
+    """n, line: a table of results as lines of a Markdown report, in the order of one of its columns."""
     cell = lambda c: F.coalesce(F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\|")), F.lit(""))
     row = lambda *cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
     head = df.sparkSession.createDataFrame([(-2, "| " + " | ".join(columns) + " |"), (-1, "|" + " --- |" * len(columns))], "n int, line string")
-    return head.unionByName(df.select((F.row_number().over(Window.orderBy(order)) - 1).cast("int").alias("n"), row(*map(cell, columns)).alias("line")))
+    return head.unionByName(numbered(df, "_n", F.col(order), start=0).select(F.col("_n").cast("int").alias("n"), row(*map(cell, columns)).alias("line")))
 
 
 def series_of(table: DataFrame, series_id: str, target: str, order: str) -> DataFrame:
@@ -73,6 +73,4 @@ def series_of(table: DataFrame, series_id: str, target: str, order: str) -> Data
     n = table.count()
     if n * 4 // 5 in (0, n):
         raise ValueError(f"{n} rows can't be split into train and test")
-    from pyspark.sql import Window
-
-    return table.select(F.lit(series_id).alias("series_id"), (F.row_number().over(Window.orderBy(order)) - 1).cast("int").alias("t"), F.col(target).cast("string").try_cast("double").alias("y"))
+    return numbered(table, "_t", F.col(order), start=0).select(F.lit(series_id).alias("series_id"), F.col("_t").cast("int").alias("t"), F.col(target).cast("string").try_cast("double").alias("y"))
