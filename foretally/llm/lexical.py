@@ -37,11 +37,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import BROADCAST_BYTES, materialise, only, table
+from .common import BROADCAST_BYTES, materialise, only, partitions, table
 
 TOP = 50
 #: Bytes of text of a shard, items of a block of queries.
-SHARD_BYTES, QUERY_ITEMS = 32 << 20, 128
+SHARD_BYTES, QUERY_ITEMS = 16 << 20, 128
 #: Documents of a block at most, and what a block costs beside its error in impacts.
 MAX_BLOCK, BLOCK_COST = 64, 3_000_000
 #: Fixed values of the score: the scale of impacts and of weights, the saturation of tf (x 1000), per cent of the length's part.
@@ -78,13 +78,26 @@ def collection(docs: DataFrame) -> tuple[int, int]:
 
 
 def blocks(impacts: np.ndarray, starts: np.ndarray, sizes: np.ndarray, most: int = MAX_BLOCK, cost: int = BLOCK_COST) -> np.ndarray:
-    """Where blocks begin (a mask): for each list the cut with the least sum of len * max - sum and `cost` a block.  All lists advance together, the longest first."""
+    """Where blocks begin (a mask): for each list the cut with the least sum of len * max - sum and `cost` a block."""
+    begins = np.zeros(len(impacts), bool)
+    begins[starts[sizes == 1]] = True
+    for low, high in ((1, 8), (8, 64), (64, np.inf)):  # lists of similar length need tables of similar width
+        own = (sizes > low) & (sizes <= high)
+        if own.any():
+            _cut(begins, impacts, starts[own], sizes[own], most, cost)
+    return begins
+
+
+def _cut(begins: np.ndarray, impacts: np.ndarray, starts: np.ndarray, sizes: np.ndarray, most: int, cost: int) -> None:
+    """Marks the cuts of lists that advance together, the longest first."""
     order = np.argsort(-sizes, kind="stable")
     starts, sizes = starts[order], sizes[order]
-    active = len(sizes) - np.searchsorted(sizes[::-1], np.arange(1, (sizes[0] if len(sizes) else 0) + 1), "left")
-    choice = np.ones(len(impacts), np.int64)
+    longest = int(sizes[0])
+    active = len(sizes) - np.searchsorted(sizes[::-1], np.arange(1, longest + 1), "left")
+    base = np.cumsum(sizes) - sizes
+    choice = np.ones(int(sizes.sum()), np.int32)
     # by list and slot: the best cost up to where an open block begins, and the highest impact since
-    width = min(most, int(sizes[0])) if len(sizes) else 1
+    width = min(most, longest)
     before, high = np.zeros((len(sizes), width), np.int64), np.zeros((len(sizes), width), np.int64)
     total = np.zeros(len(sizes), np.int64)
     slots = np.arange(width)
@@ -97,14 +110,12 @@ def blocks(impacts: np.ndarray, starts: np.ndarray, sizes: np.ndarray, most: int
         sums = before[:n, :at] + h * length
         best = sums.argmin(axis=1)
         total[:n] = sums[np.arange(n), best] + cost
-        choice[starts[:n] + i] = length[best]
-    begins = np.zeros(len(impacts), bool)
+        choice[base[:n] + i] = length[best]
     at = sizes.copy()
     while len(at):
-        at = at - choice[starts + at - 1]
+        at = at - choice[base + at - 1]
         begins[starts + at] = True
-        starts, at = starts[at > 0], at[at > 0]
-    return begins
+        starts, base, at = starts[at > 0], base[at > 0], at[at > 0]
 
 
 class _Shard:
@@ -119,7 +130,7 @@ class _Shard:
         h, t = words.hash[order], words.text[order]
         new = np.append(True, (h[1:] != h[:-1]) | (t[1:] != t[:-1])) if len(h) else np.zeros(0, bool)
         at = np.flatnonzero(new)
-        self.parts.append((h[at], t[at] + len(self.ids), np.diff(np.append(at, len(h))), words.counts()))
+        self.parts.append((h[at], (t[at] + len(self.ids)).astype(np.int32), np.diff(np.append(at, len(h))).astype(np.int32), words.counts()))
         terms = at[np.append(True, h[at][1:] != h[at][:-1])] if len(at) else at
         for key, a, z in zip(h[terms].tolist(), words.start[order[terms]].tolist(), words.end[order[terms]].tolist(), strict=True):
             if key not in self.names:
@@ -132,10 +143,10 @@ class _Shard:
         by_id = np.argsort(ids, kind="stable")
         number = np.empty(len(ids), np.int64)
         number[by_id] = np.arange(len(ids))
-        h, doc, tf = (np.concatenate([p[k] for p in self.parts]) for k in range(3))
-        lengths = np.concatenate([p[3] for p in self.parts])
+        h, doc, tf, lengths = (np.concatenate([p[k] for p in self.parts]) for k in range(4))
+        self.parts.clear()
         m = 100 - LENGTH_PART + LENGTH_PART * lengths * n_docs // max(1, n_terms)
-        impacts = IMPACT * tf // (1000 * tf + SATURATION * m[doc])
+        impacts = IMPACT * tf.astype(np.int64) // (1000 * tf.astype(np.int64) + SATURATION * m[doc])
         order = np.lexsort((number[doc], h))
         h, doc, impacts = h[order], number[doc[order]], impacts[order]
         starts = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
@@ -261,7 +272,9 @@ def search(lists: DataFrame, items: DataFrame, n_docs: int, k: int = TOP, query_
     own = lists.where("term <> ''").join(small(queries), "term")
     directory = lists.where("term = ''").withColumns({"block": F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))), "w": F.lit(0).cast("long"), "items": F.array().cast("array<long>")})
     columns = ["shard", "block", "term", "n", *_LISTS, "ids", "w", "items"]
-    found = own.select(*columns).unionByName(directory.select(*columns)).groupBy("shard", "block").applyInArrow(_search(k), "item_id long, doc_id long, score long")
+    # lists are small beside the work on them, so that what is coalesced by bytes would meet in few tasks
+    met = own.select(*columns).unionByName(directory.select(*columns)).repartition(partitions(spark), "shard", "block")
+    found = met.groupBy("shard", "block").applyInArrow(_search(k), "item_id long, doc_id long, score long")
     rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")
 
