@@ -83,6 +83,50 @@ def score_summary(rows: DataFrame, columns: list[str], *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), *means, pct(F.count(F.when(F.col("strict"), 1)), F.count("*")).alias("strict_pct"))
 
 
+#: The columns of the protocol's summary that are means of scores, shares of flags (a missing flag is false), and shares of flags that are known.
+MEANS = {
+    "format_follow_score": "format_score", "scenario_understanding_score": "scenario_score", "code_structure_score": "code_score", "model_hyperparam_score": "model_score", "turn0_score": "turn0_score", "turn1_score": "turn1_score",
+    "turn2_score": "turn2_score", "turn3_score": "turn3_score", "overall_protocol_score": "overall_score",
+}
+RATES = {
+    "strict_protocol_pass_rate_pct": "strict", "t0_format_follow_rate_pct": "t0_format_followed", "t1_format_follow_rate_pct": "t1_format_followed", "t2_format_follow_rate_pct": "t2_format_followed",
+    "understands_blockwise_rate_pct": "t2_understands_blockwise", "understands_retraining_rate_pct": "t2_understands_retraining", "understands_groundtruth_rate_pct": "t2_understands_groundtruth",
+}
+KNOWN_RATES = {"code_model_match_rate_pct": "code_model_matches_expected", "code_hyperparam_match_rate_pct": "code_hyperparams_match_expected"}
+
+
+def bool_rate(flag: Column, known: bool = False) -> Column:
+    """The percentage of true flags of a group: of all its rows, or of those where the flag is known; 0 without any."""
+    n = F.count(flag) if known else F.count(F.lit(1))
+    return F.coalesce(rounded(100.0 * F.count(F.when(flag, 1)) / F.nullif(n, F.lit(0)), 2), F.lit(0.0))
+
+
+def group_summary(details: DataFrame, *keys: str) -> DataFrame:
+    """keys and 25 columns: runs, counts of kinds of output, mean scores and shares of flags.  Null keys are a group."""
+    n, kind = F.count(F.lit(1)), lambda k: F.count(F.when(F.col("output_type") == k, 1))
+    return details.groupBy(*keys).agg(
+        n.alias("total_runs"), kind("SCRIPT").alias("script_rows"), pct(kind("SCRIPT"), n).alias("script_rate_pct"), kind("LIST").alias("list_rows"), pct(kind("LIST"), n).alias("list_rate_pct"),
+        kind("ERROR").alias("model_error_rows"), kind("TEXT").alias("text_rows"), *[F.coalesce(rounded(F.avg(c), 2), F.lit(0.0)).alias(k) for k, c in MEANS.items()],
+        *[bool_rate(F.col(c)).alias(k) for k, c in RATES.items()], *[bool_rate(F.col(c), known=True).alias(k) for k, c in KNOWN_RATES.items()],
+    )
+
+
+#: How each scenario forecasts.
+DESIGN = (
+    ("S1", "One-step", "Static", "No", "No", "Recursive"),
+    ("S2", "One-step", "Rolling", "Yes, each step", "Every step", "Continuous retraining"),
+    ("S3", "Multi-step", "Rolling", "Yes, each step", "Every step", "Continuous retraining"),
+    ("S4", "Multi-step", "Block-wise rolling", "Yes, each block", "Every block", "Periodic retraining"),
+)
+
+
+def scenario_design(runs: DataFrame) -> DataFrame:
+    """How each scenario forecasts, and how many runs and datasets (scenario, dataset) it has; a scenario without runs has 0."""
+    counts = runs.groupBy("scenario").agg(F.count("*").alias("runs"), F.count_distinct("dataset").alias("datasets"))
+    rows = runs.sparkSession.createDataFrame(list(DESIGN), "scenario string, forecast_mode string, update_mode string, ground_truth string, retraining string, inference string")
+    return rows.join(counts, "scenario", "left").fillna(0, ["runs", "datasets"])
+
+
 REQUIREMENTS = ("retraining", "ground_truth", "blockwise", "multistep")
 SUPPORTED = ("retraining", "ground_truth", "blockwise")
 
@@ -107,11 +151,11 @@ def requirements(text: Column) -> dict[str, Column]:
     return out
 
 
-def scenario_requirements(prompts: DataFrame) -> DataFrame:
-    """scenario, expected_<r> from prompts (text), whose scenarios each begin with a line `Scenario <n>:`."""
-    blocks = prompts.select(F.explode(F.split(F.trim("text"), r"\n(?=Scenario\s+\d+:)")).alias("block"))
+def scenario_requirements(prompts: DataFrame, *keep: str) -> DataFrame:
+    """keep, scenario, expected_<r> from prompts (text), whose scenarios each begin with a line `Scenario <n>:`."""
+    blocks = prompts.select(*keep, F.explode(F.split(F.trim("text"), r"\n(?=Scenario\s+\d+:)")).alias("block"))
     number = F.regexp_extract(strip(F.col("block")), r"(?i)^Scenario\s+(\d+):", 1)
-    return blocks.where(number != "").select(F.concat(F.lit("S"), number).alias("scenario"), *[c.alias(f"expected_{k}") for k, c in requirements(F.col("block")).items()])
+    return blocks.where(number != "").select(*keep, F.concat(F.lit("S"), number).alias("scenario"), *[c.alias(f"expected_{k}") for k, c in requirements(F.col("block")).items()])
 
 
 def compliance(runs: DataFrame, *keep: str) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 import re
 
 from foretally.functions.numeric import NUDGE
-from foretally.plans import comparison, forecasting, ledger, master, protocols, records, texts
+from foretally.plans import comparison, forecasting, ledger, master, protocols, records, sources, texts
 
-_PLANS = (forecasting, comparison, ledger, texts, records, master, protocols)
+_PLANS = (forecasting, comparison, ledger, texts, records, master, protocols, sources)
 
 
 def nudged(sql: str) -> str:
