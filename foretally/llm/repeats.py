@@ -22,7 +22,7 @@ Large groups.  Anchors with more than 1 / ANCHORS of all stretches, by a sample
 at most ANCHORS; their stretches aren't shuffled by anchor but counted by (anchor, whole) on
 the map side first, and the counts go back by `beside`.  The sample decides only which of
 the two ways an anchor takes, never a result.  Where an anchor has `hot` or more different stretches that
-share sides, these are shipped window by window: windows are counted on the map side
+share sides, whose texts would fill a shard alone, these are shipped window by window: windows are counted on the map side
 under their 128-bit hash, and the least document goes back by `beside`.
 """
 
@@ -44,13 +44,14 @@ REMOVE, SHIP, WINDOWS = 1, 2, 4
 CODES = 7
 #: Kinds of shipped rows.
 RANGE_ROW, PIECE_ROW, WINDOW_ROW = 0, 1, 2
-HOT = 1000
 #: Documents of the sample that looks for frequent anchors, how many such anchors there can be, and the stretches that one must have.
 SAMPLE_DOCS, ANCHORS, ANCHOR_LEAST = 10_000, 20_000, 1000
 #: Rows of one anchor that a task holds.
 LONG = 200_000
 #: Text that a shard's task settles at a time.
 SHARD_BYTES = 1 << 20
+#: Different stretches of an anchor, of about 100 bytes each, that fill it.
+HOT = SHARD_BYTES // 100
 RANGE = 1 << 21
 _MASK = np.uint64((1 << 22) - 1)
 #: Bits of a side's hash: it only saves texts from being shipped, so that a chance equality costs a little and changes nothing.
@@ -240,12 +241,15 @@ def _frequent_hits(rows: DataFrame, scheme: Scheme) -> DataFrame:
     wholes = materialise(s.groupBy("anchor", "whole", "sides").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")), "wholes")
     sides = wholes.select("anchor", "whole", "least", F.explode(F.array(left, right)).alias("side")).where("side <> 0")
     met = sides.groupBy("anchor", "side").agg(F.count("*").alias("met"), F.min("least").alias("low"), F.max("least").alias("high")).where("met > 1 and low < high" if scheme.smaller else "met > 1")
-    shipped = beside(sides, materialise(met.select("anchor", "side", "met"), "sides"), ["anchor", "side"], "met").select("anchor", "whole").distinct().withColumn("ships", F.lit(True))
-    known = wholes.join(shipped, ["anchor", "whole"], "left").where("n > 1 or ships").select("anchor", "whole", "least", "n", F.coalesce("ships", F.lit(False)).alias("ships"))
+    shipped = beside(sides, materialise(met.select("anchor", "side", "met"), "sides"), ["anchor", "side"], "met").select("anchor", "whole").distinct()
+    shipped = materialise(shipped, "shipping")
+    kinds = shipped.groupBy("anchor").agg(F.when(F.count("*") >= scheme.hot, WINDOWS).otherwise(SHIP).alias("ships"))  # ANCHORS rows at most
+    shipped = shipped.join(F.broadcast(kinds), "anchor")
+    known = wholes.join(shipped, ["anchor", "whole"], "left").where("n > 1 or ships > 0").select("anchor", "whole", "least", "n", F.coalesce("ships", F.lit(0)).alias("ships"))
     found = beside(s.select("anchor", "whole", "name", "doc_id"), materialise(known, "known"), ["anchor", "whole"], "n")
     lead = F.col("doc_id") == F.col("least")
     gone = ~lead if scheme.smaller else F.col("n") > 1
-    code = F.when(gone, REMOVE).otherwise(0) + F.when(lead & F.col("ships"), WINDOWS).otherwise(0)
+    code = F.when(gone, REMOVE).otherwise(0) + F.when(lead, F.col("ships")).otherwise(0)
     return found.select("doc_id", F.col("name").bitwiseOR(code.cast("long")).alias("hit"), code.alias("code")).where("code > 0").select("doc_id", "hit").distinct()
 
 
