@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import beside, materialise, table
+from .common import beside, materialise, partitions, table
 
 NEIGHBOURS, QUERY_STEP = 10, 100
 SHARD_ROWS, QUERY_ROWS = 16_384, 8_192
@@ -193,7 +193,8 @@ def graph(vectors: DataFrame, shard_rows: int = SHARD_ROWS, degree: int = DEGREE
         columns = {"dim": shard["dim"], "shard": shard["shard"], "node": pa.array(np.arange(len(shard)), pa.int32()), "ids": shard["ids"].cast(pa.list_(pa.int64())), "vector": shard["vector"].cast(pa.list_(pa.float64())), "edges": lists}
         return pa.table(columns)
 
-    return dealt.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, node int, ids array<long>, vector array<double>, edges array<int>")
+    # rows are small beside the work on them, so that what is coalesced by bytes would meet in few tasks
+    return dealt.repartition(partitions(vectors.sparkSession), "dim", "shard").groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, node int, ids array<long>, vector array<double>, edges array<int>")
 
 
 def _beams(k: int, beam: int):
@@ -226,6 +227,8 @@ def search(nodes: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, beam: int
     shards = nodes.select(F.col("dim").alias("q_dim"), F.col("shard").alias("q_shard")).distinct()
     asked = own.select("key", "vector", F.size("vector").alias("q_dim"), F.pmod(F.xxhash64("key"), F.lit(n_blocks)).alias("q_block")).join(shards, "q_dim")
     held = nodes.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
+    n = partitions(nodes.sparkSession)
+    held, asked = held.repartition(n, "dim", "shard", "block"), asked.repartition(n, "q_dim", "q_shard", "q_block")
     met = held.groupBy("dim", "shard", "block").cogroup(asked.groupBy("q_dim", "q_shard", "q_block")).applyInArrow(_beams(k, beam), "key string, score double, ids array<long>")
     place = F.row_number().over(Window.partitionBy("key").orderBy("score", F.col("ids")[0]))
     nearest = met.withColumn("place", place).where(F.col("place") <= k + 1).select("key", F.explode(F.transform("ids", lambda i: F.struct(F.col("score").alias("score"), i.alias("vec_id")))).alias("hit"))
