@@ -46,7 +46,7 @@ BASE = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 GENERATED = {
-    "secret": r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]{0,40}[0-9])[A-Za-z0-9_/+-]{16,}+",
+    "secret": r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]*+[0-9])[A-Za-z0-9_/+-]{16,}+",
     "account": r"(?<![0-9])\+?[0-9](?:[ ().-]{0,2}+[0-9]){6,}+",
     "handle": rf"(?<![{_LOCAL}])[{_LOCAL}]++(?:@| ?(?:\(at\)|\[at\]) ?| at )[A-Za-z0-9-]++(?:(?:\.| ?(?:\(dot\)|\[dot\]) ?| dot )[A-Za-z0-9-]++)++",
     "address": r"(?<![0-9A-Fa-f:.])[0-9A-Fa-f]{1,4}(?:[:.][0-9A-Fa-f]{1,4}){3,7}+",
@@ -67,8 +67,8 @@ PRECISION = 0.95
 TREES, DEPTH = 20, 3
 #: Training candidates of either label that a fit needs.
 LEAST = 5
-#: Lengths that are summed at a time.
-BLOCK = 64
+#: Numbers that are merged at a time, and characters of a piece of a text that is cut.
+BLOCK, PIECE = 64, 1024
 
 Expr = Callable[[Column], Column]
 
@@ -103,25 +103,44 @@ VALID: dict[str, Expr] = {
 }
 
 
-def _ends(lengths: Column) -> Column:
-    """Running sums of lengths: of blocks first, then within each."""
-    starts = F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / BLOCK).cast("int"))
-    total = lambda x: F.aggregate(x, F.lit(0), lambda a, n: a + n)
-    blocks = F.transform(starts, lambda b: F.slice(lengths, b * BLOCK + 1, BLOCK))
+def _greater(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
+def _running(xs: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """What merge makes of each number (0 or more) and all before it: of blocks first, then within each.  xs isn't empty."""
+    starts = F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / BLOCK).cast("int"))
+    total = lambda x: F.aggregate(x, F.lit(0), merge)
+    blocks = F.transform(starts, lambda b: F.slice(xs, b * BLOCK + 1, BLOCK))
     before = F.aggregate(
         blocks, F.struct(F.array().cast("array<int>").alias("xs"), F.lit(0).alias("at")),
-        lambda a, x: F.struct(F.concat(a["xs"], F.array(a["at"])).alias("xs"), (a["at"] + total(x)).alias("at")), lambda a: a["xs"],
+        lambda a, x: F.struct(F.concat(a["xs"], F.array(a["at"])).alias("xs"), merge(a["at"], total(x)).alias("at")), lambda a: a["xs"],
     )
-    inside = lambda p: F.transform(p["x"], lambda _, i: p["at"] + total(F.slice(p["x"], 1, i + 1)))
+    inside = lambda p: F.transform(p["x"], lambda _, i: merge(p["at"], total(F.slice(p["x"], 1, i + 1))))
     return F.flatten(F.transform(F.arrays_zip(blocks.alias("x"), before.alias("at")), inside))
 
 
+def _below(xs: Column, x: Column) -> Column:
+    """How many of the ascending numbers xs, a stored column, are less than x: by halves."""
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(xs) + 1.0)).cast("int") + 1)
+    half = lambda a: F.shiftright(a["lo"] + a["hi"], 1)
+    side = lambda a: F.when(F.get(xs, half(a)) < x, F.struct((half(a) + 1).alias("lo"), a["hi"].alias("hi"))).otherwise(F.struct(a["lo"].alias("lo"), half(a).alias("hi")))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(xs).alias("hi")), lambda a, _: F.when(a["lo"] < a["hi"], side(a)).otherwise(a), lambda a: a["lo"])
+
+
+def _walls(spans: Column) -> Column:
+    """The starts of spans in order, and how far each and those before it reach; null without any."""
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    both = lambda o: F.struct(o["start"].alias("starts"), _running(o["end"], _greater).alias("reach"))
+    return F.when(F.size(spans) > 0, F.transform(F.array(ordered), both)[0])
+
+
 def located(pieces: Column, hits: Column) -> Column:
     """Array of (start, end, hit, left, right): places in code points, and what stands around."""
     lengths = F.zip_with(pieces, hits, lambda p, h: F.char_length(p) + F.coalesce(F.char_length(h), F.lit(0)))
     left = F.transform(pieces, lambda p: F.substring(p, -CONTEXT, CONTEXT))
     right = F.transform(F.slice(pieces, 2, F.greatest(F.size(hits), F.lit(1))), lambda p: F.substring(p, 1, CONTEXT))
-    rows = F.arrays_zip(hits.alias("hit"), _ends(lengths).alias("end"), left.alias("left"), right.alias("right"))
+    rows = F.arrays_zip(hits.alias("hit"), _running(lengths, lambda a, n: a + n).alias("end"), left.alias("left"), right.alias("right"))
     found = F.filter(rows, lambda r: r["hit"].isNotNull())
     return F.transform(found, lambda r: F.struct((r["end"] - F.char_length(r["hit"])).alias("start"), r["end"].alias("end"), r["hit"].alias("hit"), r["left"].alias("left"), r["right"].alias("right")))
 
@@ -198,18 +217,16 @@ def _evidence(c: Column) -> Column:
     return said | digit | domain | form
 
 
-def _overlap(a: Column, b: Column) -> Column:
-    return (a["start"] < b["end"]) & (b["start"] < a["end"])
-
-
 def candidates(rows: DataFrame) -> DataFrame:
     """rows (with text, base) and `candidates`: array of kind, start, end, evidence, spare (overlaps no base span), f (features)."""
-    d = _search(rows, GENERATED)
+    d = _search(rows.withColumn("walls", _walls(F.col("base"))), GENERATED)
     named = F.concat(*[F.transform(F.col(f"at_{k}"), _named(k)) for k in GENERATED])
     feats = lambda c: F.array(*[f(c).cast("double") for f in FEATURES.values()])
-    apart = lambda c: ~F.exists("base", lambda b: _overlap(b, c))
+    walls = F.col("walls")
+    before = lambda c: _below(walls["starts"], c["end"])
+    apart = lambda c: walls.isNull() | F.coalesce(F.get(walls["reach"], before(c) - 1) <= c["start"], F.lit(True))
     full = lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), _evidence(c).alias("evidence"), apart(c).alias("spare"), feats(c).alias("f"))
-    return d.withColumn("candidates", F.transform(named, full)).drop(*[f"at_{k}" for k in GENERATED])
+    return d.withColumn("candidates", F.transform(named, full)).drop("walls", *[f"at_{k}" for k in GENERATED])
 
 
 class Model(NamedTuple):
@@ -275,18 +292,6 @@ def score(trees: tuple, f: Column) -> Column:
     return 1 / (1 + F.exp(-2 * margin))
 
 
-def _merged(spans: Column) -> Column:
-    """Sorted spans of a kind, with those that overlap made one."""
-    empty = F.array().cast("array<struct<kind:string,start:int,end:int>>")
-
-    def step(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joined = F.struct(last["kind"].alias("kind"), last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
-        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] > s["start"]) & (F.try_element_at(acc, F.lit(-1))["kind"] == s["kind"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(acc, F.array(s)))
-
-    return F.aggregate(F.array_sort(spans), empty, step)
-
-
 def _found(rows: DataFrame, model: Model | None) -> DataFrame:
     """rows (with text and no working columns) with base, n_<kind>, added and found."""
     d = base_spans(rows)
@@ -295,8 +300,8 @@ def _found(rows: DataFrame, model: Model | None) -> DataFrame:
     else:
         least = F.create_map(*[F.lit(x) for k, v in model.thresholds.items() for x in (k, float(v))])
         chosen = F.filter("candidates", lambda c: c["spare"] & (score(model.trees, c["f"]) >= F.coalesce(F.try_element_at(least, c["kind"]), F.lit(2.0))))
-        d = candidates(d).withColumn("chosen", F.transform(chosen, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))).drop("candidates")
-        d = d.withColumn("added", _merged(F.col("chosen"))).drop("chosen")
+        # matches of one pattern never overlap, so that a kind's spans need no merging
+        d = candidates(d).withColumn("added", F.array_sort(F.transform(chosen, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"))))).drop("candidates")
     return d.withColumn("found", F.concat("base", "added"))
 
 
@@ -320,18 +325,25 @@ def written(spans: Column) -> Column:
 def redact(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs with each found span replaced by its kind in brackets; a null text becomes an empty one."""
     d = _found(_nested(docs), model)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-    text = F.col("text")
-
-    def step(acc: Column, s: Column) -> Column:
-        part = F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        fresh = F.struct(s["end"].alias("at"), F.concat(acc["parts"], F.array(part)).alias("parts"))
-        return F.when(s["start"] >= acc["at"], fresh).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["parts"].alias("parts")))
-
+    some = F.size("found") > 0
     ordered = F.array_sort(F.transform("found", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    d = d.withColumn("done", F.when(F.size("found") > 0, F.aggregate(ordered, start, step)))
-    rest = F.concat(F.array_join("done.parts", ""), F.substring(text, F.col("done.at") + 1, F.char_length(text)))
-    d = d.withColumn("clean", F.when(F.size("found") > 0, rest).otherwise(text))
+    reached = lambda o: F.struct(o.alias("spans"), _running(o["end"], _greater).alias("reach"))
+    d = d.withColumn("cuts", F.when(some, F.transform(F.array(ordered), reached)[0])).withColumn("pieces", F.when(some, F.regexp_extract_all("text", F.lit(rf"[\s\S]{{1,{PIECE}}}"), F.lit(0))))
+    pieces, cuts = F.col("pieces"), F.col("cuts")
+
+    def cut(a: Column, b: Column) -> Column:
+        """The text from a to b, by way of its pieces, so that a long text isn't counted through for each span."""
+        i, j = F.floor(a / PIECE).cast("int"), F.floor(b / PIECE).cast("int")
+        first, last = F.coalesce(F.get(pieces, i), F.lit("")), F.coalesce(F.get(pieces, j), F.lit(""))
+        apart = F.concat(F.substring(first, a % PIECE + 1, F.lit(PIECE)), F.array_join(F.slice(pieces, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), F.substring(last, F.lit(1), b % PIECE))
+        return F.when(i == j, F.substring(first, a % PIECE + 1, b - a)).otherwise(apart)
+
+    def part(s: Column, i: Column) -> Column:
+        before = F.coalesce(F.get(cuts["reach"], i - 1), F.lit(0))
+        return F.when(s["start"] >= before, F.concat(cut(before, s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise("")
+
+    rest = cut(F.element_at(cuts["reach"], -1), F.char_length("text"))
+    d = d.withColumn("clean", F.when(some, F.concat(F.array_join(F.transform(cuts["spans"], part), ""), rest)).otherwise(F.col("text")))
     return d.select(*[F.col("clean").alias(c) if c == "text" else F.col("own")[c].alias(c) for c in docs.columns])
 
 

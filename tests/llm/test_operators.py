@@ -93,7 +93,8 @@ def test_running_sums_of_blocks(spark):
     r = np.random.RandomState(3)
     xs = [r.randint(0, 50, n).tolist() for n in (1, 2, 63, 64, 65, 128, 129, 1000)]
     d = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i long, x array<int>")
-    assert {q["i"]: q["s"] for q in d.select("i", pii._ends(F.col("x")).alias("s")).collect()} == {i: np.cumsum(x).tolist() for i, x in enumerate(xs)}
+    assert {q["i"]: q["s"] for q in d.select("i", pii._running(F.col("x"), lambda a, n: a + n).alias("s")).collect()} == {i: np.cumsum(x).tolist() for i, x in enumerate(xs)}
+    assert {q["i"]: q["s"] for q in d.select("i", pii._running(F.col("x"), pii._greater).alias("s")).collect()} == {i: np.maximum.accumulate(x).tolist() for i, x in enumerate(xs)}
 
 
 def test_handle_gate_passes_every_match(spark):
