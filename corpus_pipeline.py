@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foretally.llm import decontamination, near_dup, packing, pii, toxicity
-from foretally.llm.common import materialise, table
+from foretally.llm.common import materialise, scratch, settled, table
 
 
 def _with_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -27,7 +27,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     with several texts all rows go if one is rejected; without labels the fixed word list and
     patterns decide.
     """
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    with scratch(spark):
+        model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return _with_ids(docs, toxicity.score(docs, model).where("predicted = 1"), "left_anti")
 
 
@@ -36,7 +37,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Null, empty and blank texts are one class.
     """
-    classes = near_dup.classes(docs)
+    classes = settled(spark, "classes", lambda: near_dup.classes(docs))  # the texts laid out for it are gone
     kept = _with_ids(docs, classes.where("doc_id = class_id"), "left_semi")
     nested = kept.select("doc_id", F.struct(*[F.col(f"`{c}`").alias(c) for c in kept.columns]).alias("row"), F.struct(F.coalesce("text", F.lit("")).alias("t"), F.xxhash64(*[F.col(f"`{c}`") for c in kept.columns]).alias("h")).alias("order"))
     one = nested.groupBy("doc_id").agg(F.min_by("row", "order").alias("row"))
@@ -57,7 +58,9 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Every row stays; a null text becomes an empty one; repeated rows become equal ones.
     """
-    out = pii.redact(docs.where(F.col("doc_id").isNotNull()), pii.fit(docs))
+    with scratch(spark):
+        model = pii.fit(docs)
+    out = pii.redact(docs.where(F.col("doc_id").isNotNull()), model)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*[f"`{c}`" for c in docs.columns])
@@ -78,8 +81,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents in their order, each written to the shared folder and read again; returns the packed pieces."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """The stages applied to documents in their order, each written to the shared folder and read again; returns the packed pieces.
+
+    A stage's tables are deleted once the next stage is written; only the pieces stay."""
+
+    docs, before = table(spark, sf_dir, "documents"), []
+    for name, stage in STAGES:
+        with scratch(spark) as written:
+            docs = materialise(stage(spark, docs, sf_dir), name)
+            kept = written.pop()
+            written += before  # goes with what the stage wrote on its way
+        before = [kept]
+    return docs

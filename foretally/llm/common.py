@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,14 +28,16 @@ def shared_dir(spark: SparkSession) -> str:
     return top.rstrip("/")
 
 
-#: Folders (and tables) written in this process, in the order in which they were written.
-_WRITTEN: list[tuple[str, str | None]] = []
+#: Folders (and tables) written inside the innermost scratch of this thread or task.
+_WRITTEN: ContextVar[list[tuple[str, str | None]] | None] = ContextVar("written", default=None)
 
 
 def shared_folder(spark: SparkSession, what: str, name: str | None = None) -> str:
     """A new folder of its own; `name` is the table that lies in it."""
-    _WRITTEN.append((f"{shared_dir(spark)}/foretally/{what}-{uuid.uuid4().hex}", name))
-    return _WRITTEN[-1][0]
+    path = f"{shared_dir(spark)}/foretally/{what}-{uuid.uuid4().hex}"
+    if (written := _WRITTEN.get()) is not None:
+        written.append((path, name))
+    return path
 
 
 def materialise(df: DataFrame, what: str) -> DataFrame:
@@ -54,19 +57,35 @@ def laid_out(df: DataFrame, key: str, what: str, placed: bool = False) -> DataFr
 
 
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
+def scratch(spark: SparkSession) -> Iterator[list]:
     """Deletes at its end what the operators wrote to the shared folder inside it; results must have been written elsewhere by then."""
-    before = len(_WRITTEN)
+    written: list[tuple[str, str | None]] = []
+    token = _WRITTEN.set(written)
     try:
-        yield
+        yield written
     finally:
+        _WRITTEN.reset(token)
         jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        for path, name in _WRITTEN[before:]:
+        for path, name in written:
             if name:
                 spark.sql(f"drop table if exists {name}")
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(conf).delete(p, True)
-        del _WRITTEN[before:]
+
+
+def settled(spark: SparkSession, what: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What make() returns, written once; all that it wrote on the way is deleted.  Where it wrote nothing, its result stays lazy."""
+    with scratch(spark) as written:
+        df = make()
+        if not written:
+            return df
+        outer = _WRITTEN.set(None)
+        path = shared_folder(spark, what)
+        _WRITTEN.reset(outer)
+        df.write.option("compression", "zstd").parquet(path)
+    if (above := _WRITTEN.get()) is not None:
+        above.append((path, None))
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def partitions(spark: SparkSession) -> int:

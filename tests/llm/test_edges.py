@@ -195,3 +195,24 @@ def test_sized_puts_the_setting_back(spark):
         assert common.partitions(spark) == 1
         raise RuntimeError
     assert common.partitions(spark) == before
+
+
+def test_queries_and_pipeline_leave_only_their_results(spark):
+    from foretally.llm import common, queries
+
+    folder = common.shared_dir(spark).removeprefix("file:") + "/foretally"
+    there = lambda: set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    tables = lambda: {t.name for t in spark.catalog.listTables() if t.name.startswith("foretally_")}
+    every, sf = queries.queries(), "/root/testdata/sf0.001"
+    for name in ("op5_decontamination", "op8_phrase_dedup", "op12_lexical_search"):
+        before, held = there(), tables()
+        out = every[name](spark, sf)
+        new = there() - before
+        assert tables() == held and len(new) == (name != "op5_decontamination") and all(x.startswith(name) for x in new)
+        assert out.count() > 0
+        with common.scratch(spark):
+            every[name](spark, sf).count()
+        assert there() == before | new
+    before, held = there(), tables()
+    out = corpus_pipeline.run(spark, sf)
+    assert [x.rsplit("-", 1)[0] for x in there() - before] == ["packing"] and tables() == held and out.count() > 0
