@@ -60,11 +60,64 @@ _MPL = """Mozilla Public License Version 2.0
 1.1. "Contributor" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software.
 1.2. "Contributor Version" means the combination of the Contributions of others (if any) used by a Contributor and that particular Contributor's Contribution."""
 
+_GNU_OPENING = "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
+
+_LGPL21 = f"""GNU LESSER GENERAL PUBLIC LICENSE
+Version 2.1, February 1999
+
+{_GNU_OPENING}
+
+This is the first released version of the Lesser GPL. It also counts as the successor of the GNU Library Public License, version 2, hence the version number 2.1.
+
+This license, the Lesser General Public License, applies to some specially designated software packages--typically libraries--of the Free Software Foundation and other authors who decide to use it."""
+
+_LGPL3 = f"""GNU LESSER GENERAL PUBLIC LICENSE
+Version 3, 29 June 2007
+
+{_GNU_OPENING}
+
+This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below.
+
+As used herein, "this License" refers to version 3 of the GNU Lesser General Public License, and the "GNU GPL" refers to version 3 of the GNU General Public License."""
+
+_AGPL3 = f"""GNU AFFERO GENERAL PUBLIC LICENSE
+Version 3, 19 November 2007
+
+{_GNU_OPENING}
+
+The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software."""
+
+_CC0 = """Creative Commons Legal Code
+CC0 1.0 Universal
+
+The laws of most jurisdictions throughout the world automatically confer exclusive Copyright and Related Rights (defined below) upon the creator and subsequent owner(s) (each and all, an "owner") of an original work of authorship and/or a database (each, a "Work").
+
+Certain owners wish to permanently relinquish those rights to a Work for the purpose of contributing to a commons of creative, cultural and scientific works ("Commons") that the public can reliably and without fear of later claims of infringement build upon, modify, incorporate in other works, reuse and redistribute as freely as possible in any form whatsoever and for any purposes, including without limitation commercial purposes.
+
+To the greatest extent permitted by, but not in contravention of, applicable law, Affirmer hereby overtly, fully, permanently, irrevocably and unconditionally waives, abandons, and surrenders all of Affirmer's Copyright and Related Rights and associated claims and causes of action"""
+
+_ARTISTIC = """The "Artistic License"
+
+The intent of this document is to state the conditions under which a Package may be copied, such that the Copyright Holder maintains some semblance of artistic control over the development of the package, while giving the users of the package the right to use and distribute the Package in a more-or-less customary fashion, plus the right to make reasonable modifications.
+
+"Package" refers to the collection of files distributed by the Copyright Holder, and derivatives of that collection of files created through textual modification."""
+
 BODIES = {
     "MIT": _MIT, "BSD-2-Clause": "BSD 2-Clause License\n\n" + _BSD_FIRST + _BSD_LAST, "BSD-3-Clause": "BSD 3-Clause License\n\n" + _BSD_FIRST + _BSD_THIRD + _BSD_LAST,
     "ISC": _ISC, "Unlicense": _UNLICENSE, "Apache-2.0": _APACHE, "GPL-2.0": _GPL2, "GPL-3.0": _GPL3, "MPL-2.0": _MPL,
+    "LGPL-2.1": _LGPL21, "LGPL-3.0": _LGPL3, "AGPL-3.0": _AGPL3, "CC0-1.0": _CC0, "Artistic-1.0": _ARTISTIC,
 }
 
+#: The header of files under a licence of the GNU project: what the work is called, the licence, and its version.
+_GNU_HEADER = "This {what} is free software{mark} you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation{mark2} either version {version} of the License, or (at your option) any later version."
+_GNU = (
+    ("GPL-1.0", "program", "General Public License", "1", ";", ";"), ("LGPL-2.0", "library", "Library General Public License", "2", ";", ";"), ("LGPL-2.1", "library", "Lesser General Public License", "2.1", ";", ";"),
+    ("LGPL-3.0", "library", "Lesser General Public License", "3", ":", ","), ("AGPL-3.0", "program", "Affero General Public License", "3", ":", ","),
+)
+#: Licences by their identifier in a line `SPDX-License-Identifier: ...`; some have two more forms.
+SPDX = ("Apache-2.0", "MIT", "ISC", "Unlicense", "BSD-2-Clause", "BSD-3-Clause", "MPL-1.1", "MPL-2.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "Artistic-1.0", "Artistic-2.0", "EPL-2.0", "BSL-1.0", "Zlib")
+SPDX_GNU = ("GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "GFDL-1.2", "GFDL-1.3")
+
 NOTICES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("Apache-2.0", "Apache License Version 2.0, January 2004"),
@@ -102,4 +155,16 @@ NOTICES = [
     ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal"),
     ("Proprietary", "All rights reserved"),
+    ("GPL-1.0", "GNU General Public License Version 1, February 1989"),
+    ("LGPL-2.0", "GNU Library General Public License Version 2, June 1991"),
+    ("GFDL-1.2", "GNU Free Documentation License Version 1.2, November 2002"),
+    ("GFDL-1.3", "GNU Free Documentation License Version 1.3, 3 November 2008"),
+    ("MPL-1.1", "Mozilla Public License Version 1.1"),
+    ("MPL-1.1", 'The contents of this file are subject to the Mozilla Public License Version 1.1 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.mozilla.org/MPL/'),
+    ("Artistic-1.0", 'The "Artistic License"'),
+    ("Artistic-2.0", "The Artistic License 2.0"),
+    ("CC0-1.0", "CC0 1.0 Universal"),
+    *[(k, _GNU_HEADER.format(what=what, name=name, version=version, mark=mark, mark2=mark2)) for k, what, name, version, mark, mark2 in _GNU],
+    *[(k, f"SPDX-License-Identifier: {k}") for k in SPDX],
+    *[(k, f"SPDX-License-Identifier: {k}{form}") for k in SPDX_GNU for form in ("", "-only", "-or-later", "+")],
 ]

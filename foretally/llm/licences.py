@@ -8,6 +8,8 @@ templates, and are compared by cosine.  Only templates with a term of the unit a
 terms of the templates are a fixed, small table.
 
 A licence file or comment block that is like a licence text decides first; then the unit with the greatest cosine.
+A unit names a licence only if that is MARGIN ahead of the next other one, so that a line that names no version, or several licences, names none; lines that
+say that something isn't under a licence are no units.
 A bare reservation of rights counts only where no licence is found, and of a licence and a longer
 one that contains it (CONTAINS), if both are found, the longer is meant.
 A file without a licence of its own takes that of the nearest ancestor directory with a
@@ -30,13 +32,15 @@ from pyspark.sql import functions as F
 from .common import beside, materialise, only, table
 from .licence_texts import BODIES, NOTICES
 
-_WORDS = r"licen[cs]e|copyright|public domain|rights reserved|mozilla public|permission (?:is hereby|to use)|redistribution and use|neither the name"
+_WORDS = r"licen[cs]e|creative commons|cc0|copyright|public domain|rights reserved|mozilla public|permission (?:is hereby|to use)|redistribution and use|neither the name"
 #: What a line of comment or of a list begins and ends with.
 MARKS = r"(?m)^[\t /*#;%!<>-]+|[\t */<>-]+$"
 #: A line of comment, or a blank one.
 COMMENT = r"^[\t ]*(?:[/*#;%!]|--|<!--|$)"
 TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
-LEAST_COSINE = 0.6
+LEAST_COSINE, MARGIN = 0.6, 0.01
+#: What says that a licence doesn't hold.
+NOT_UNDER = r"(?i)\b(?:not|n't)\s+(?:\w+\s+){0,2}under\b"
 LICENCE_FILES = ("LICENSE", "LICENCE", "COPYING", "NOTICE", "UNLICENSE")
 #: Licences whose text begins with all of another's.
 CONTAINS = {"BSD-3-Clause": "BSD-2-Clause"}
@@ -55,6 +59,7 @@ def is_licence_file(path: Column) -> Column:
 def units(files: DataFrame) -> DataFrame:
     """doc_id, level (WHOLE or PART), words: the units of each text, each once."""
     said = lambda x: F.regexp_like(x, F.lit(f"(?i)(?:{_WORDS})"))
+    holds = lambda x: said(x) & ~F.regexp_like(x, F.lit(NOT_UNDER))
     text = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), r"\r\n?", "\n")
     f = files.select("doc_id", "path", text.alias("text")).where(said(F.col("text")) | F.coalesce(is_licence_file(F.col("path")), F.lit(False)))
     # a line of comment marks alone parts paragraphs, as a blank one does
@@ -65,7 +70,7 @@ def units(files: DataFrame) -> DataFrame:
     paragraphs = F.filter(F.split("plain", r"\n\n+"), said)
     f = f.withColumns({"lines": lines, "paragraphs": paragraphs})
     after = F.zip_with("lines", F.slice("lines", 2, F.greatest(F.size("lines"), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
-    part = F.filter(F.concat(F.filter("lines", said), F.filter(after, said), F.col("paragraphs")), lambda x: x.isNotNull())
+    part = F.filter(F.concat(F.filter("lines", holds), F.filter(after, holds), F.filter("paragraphs", lambda x: ~F.regexp_like(x, F.lit(NOT_UNDER)))), lambda x: x.isNotNull())
     whole = F.filter(F.array(F.when(is_licence_file(F.col("path")), F.col("plain")), F.when(said(F.col("head")), F.col("head"))), lambda x: x.isNotNull() & (x != ""))
     level = lambda xs, n: F.transform(xs, lambda x: F.struct(F.lit(n).alias("level"), _terms(x).alias("words")))
     both = F.array_distinct(F.concat(level(whole, WHOLE), level(part, PART)))
@@ -103,7 +108,8 @@ def own_licences(files: DataFrame) -> DataFrame:
     names = F.broadcast(temp.select("template", "licence", F.col("level").alias("of")))
     scored = dots.select("unit", "template", F.round(F.col("dot") / F.col("norm"), 6).alias("cosine")).where(F.col("cosine") >= LEAST_COSINE).join(names, "template")
     scored = scored.groupBy("unit", "licence", "of").agg(F.max("cosine").alias("cosine"))
-    sizes = scored.groupBy("unit").agg(F.collect_list(F.struct("licence", "of", "cosine")).alias("likes")).join(each.select("unit", "files"), "unit")
+    likes = scored.groupBy("unit").agg(F.reverse(F.array_sort(F.collect_list(F.struct("cosine", "licence", "of")))).alias("likes"))
+    sizes = likes.where(_clear(F.col("likes"))).join(each.select("unit", "files"), "unit")
     likes = beside(found.select("doc_id", "level", "unit"), materialise(sizes, "likes"), ["unit"], "files").select("doc_id", "level", F.explode("likes").alias("l")).select("doc_id", "level", "l.*")
     rank = F.when((F.col("level") == WHOLE) & (F.col("of") == WHOLE), 0).otherwise(1) + F.when(F.col("licence") == "Proprietary", 2).otherwise(0)
     best = likes.groupBy("doc_id").agg(F.min(F.struct(rank.alias("rank"), (-F.col("cosine")).alias("c"), "licence")).alias("b"), F.collect_set(F.struct("licence", (F.col("level") == WHOLE).alias("whole"))).alias("all"))
@@ -113,6 +119,16 @@ def own_licences(files: DataFrame) -> DataFrame:
     return best.select("doc_id", name.alias("licence"), (-F.col("b.c")).alias("cosine"))
 
 
+def _clear(likes: Column) -> Column:
+    """Whether the best of likes (cosine, licence; the best first) is ahead of all other licences; one that contains another doesn't compete with it."""
+    top = likes[0]
+    pair = F.lit(False)
+    for longer, shorter in CONTAINS.items():
+        pair = pair | (top["licence"].isin(longer, shorter))
+    related = lambda x: pair & x["licence"].isin(*CONTAINS, *CONTAINS.values())
+    return ~F.exists(likes, lambda x: (x["licence"] != top["licence"]) & ~related(x) & (x["cosine"] > top["cosine"] - MARGIN))
+
+
 def ancestors(folder: Column) -> Column:
     """A folder and the directories above it, from the root ('') down."""
     parts = F.when(folder == "", F.array().cast("array<string>")).otherwise(F.split(folder, "/"))
