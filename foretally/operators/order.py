@@ -61,3 +61,57 @@ def discovery_rates(df: DataFrame, p: str, name: str, *order: str, parts: int |
     own = F.min("_value").over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
     later = F.array_min(F.transform(F.filter("_least", lambda r: r["_range"] > F.col("_range")), lambda r: r["v"]))
     return rows.withColumn(name, F.when(known, F.least(own, later))).drop("_key", "_range", "_value", "_least")
+
+
+def cumulated(df: DataFrame, keys: tuple[str, ...], value: str, weight: str, name: str, parts: int | None = None) -> DataFrame:
+    """df (a row a key and value) with the weight of all lesser values of its key; a key's values may fill many ranges."""
+    rows = dealt(df, *map(F.col, keys), F.col(value), parts=parts)
+    sizes = rows.groupBy(*keys, "_range").agg(F.sum(weight).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = sizes.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_ahead"))
+    on = F.col("_range") == F.col("_r")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    inside = F.sum(weight).over(Window.partitionBy(*keys, "_range").orderBy("_key").rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("_inside", F.coalesce(inside, F.lit(0))).join(ahead, on).withColumn(name, F.col("_inside") + F.col("_ahead")).drop("_key", "_range", "_r", "_ahead", "_inside", *[f"_k{i}" for i in range(len(keys))])
+
+
+def quantiles(df: DataFrame, keys: tuple[str, ...], value: str, at: tuple[float, ...], parts: int | None = None) -> DataFrame:
+    """keys, n, quantiles (an array in the order of `at`) of the values that aren't null, between neighbours by their distance: what percentile() gives, without a task that holds a key's values.
+
+    Equal values are counted first; then the values at the wanted places are picked out of the running counts."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    placed = cumulated(counts, keys, value, "_c", "_before", parts)
+    totals = counts.groupBy(*keys).agg(F.sum("_c").alias("n")).select(*[F.col(k).alias(f"_t{i}") for i, k in enumerate(keys)], "n")
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_t{i}"))
+    both = placed.join(totals, on) if keys else placed.crossJoin(F.broadcast(totals))
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), ((F.col("n") - 1) * q).alias("pos")) for i, q in enumerate(at)])
+    holds = lambda x: (F.col("_before") <= x) & (x < F.col("_before") + F.col("_c"))
+    hits = both.select(*keys, "n", value, "_before", "_c", F.inline(wanted)).where(holds(F.floor("pos")) | holds(F.ceil("pos")))
+    pick = lambda x: F.max(F.when(holds(x), F.col(value)))
+    found = hits.groupBy(*keys, "n", "i", "pos").agg(pick(F.floor("pos")).alias("low"), pick(F.ceil("pos")).alias("high"))
+    part = F.col("pos") - F.floor("pos")
+    one = found.select(*keys, "n", F.struct("i", (F.col("low") * (1 - part) + F.col("high") * part).alias("v")).alias("q"))
+    return one.groupBy(*keys, "n").agg(F.transform(F.array_sort(F.collect_list("q")), lambda q: q["v"]).alias("quantiles"))
+
+
+#: Size of a sketch: ranks are within about 1.7 % divided by (SKETCH / 200) of the rows, with 99 % confidence.
+SKETCH = 800
+
+
+def sketches(df: DataFrame, keys: tuple[str, ...], value: str, size: int = SKETCH) -> DataFrame:
+    """keys, sketch (KLL) of the values; state a key is bounded whatever its rows."""
+    return df.groupBy(*keys).agg(F.kll_sketch_agg_double(F.col(value).cast("double"), size).alias("sketch"))
+
+
+def merged_sketches(stored: DataFrame, keys: tuple[str, ...], size: int = SKETCH) -> DataFrame:
+    """keys, sketch of stored sketches (keys, sketch): of parts, days or finer keys."""
+    return stored.groupBy(*keys).agg(F.kll_merge_agg_double("sketch", size).alias("sketch"))
+
+
+def sketched_quantiles(stored: DataFrame, keys: tuple[str, ...], at: tuple[float, ...]) -> DataFrame:
+    """keys, n, quantiles (near `at` in rank) of sketches."""
+    values = F.array(*[F.kll_sketch_get_quantile_double("sketch", F.lit(float(q))) for q in at])
+    return stored.select(*keys, F.kll_sketch_get_n_double("sketch").alias("n"), values.alias("quantiles"))

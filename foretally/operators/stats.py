@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from foretally.functions.numeric import finite, r6, rounded, two_sided_p
-from foretally.operators.order import discovery_rates
+from foretally.operators.order import cumulated, discovery_rates, quantiles
 
 
 #: What of a value's size is rounding.
@@ -89,31 +89,40 @@ def average_rank(value: Column, *partition: str) -> Column:
     return F.rank().over(w.orderBy(value)) + (F.count("*").over(w.partitionBy(*partition, value)) - 1) / 2.0
 
 
-def wilcoxon(pairs: DataFrame, *keys: str, base: str = "base", other: str = "challenger") -> DataFrame:
+def wilcoxon(pairs: DataFrame, *keys: str, base: str = "base", other: str = "challenger", spread: bool = False) -> DataFrame:
     """keys, n_pairs, n_nonzero, w, z, p and the medians: signed-rank test, zeros dropped, ties corrected, by the normal approximation.
 
-    If all differences are as good as zero, w is 0 and p is 1.
+    If all differences are as good as zero, w is 0 and p is 1.  spread: for few groups of very many rows; equal differences are
+    counted first, and ranks and medians come from ranges of values, so that no task holds a group.
     """
     d = difference(F.col(other), F.col(base))
     rows = pairs.where(F.col(base).isNotNull() & F.col(other).isNotNull()).withColumn("d", d)
-    medians = rows.groupBy(*keys).agg(F.count("*").alias("n_pairs"), F.percentile(base, F.lit(0.5)).alias("median_base"), F.percentile(other, F.lit(0.5)).alias("median_other"))
     nonzero = rows.where("d is not null").withColumn("a", significant(F.abs("d")))
-    ranked = nonzero.withColumn("rank", average_rank(F.col("a"), *keys)).withColumn("ties", F.count("*").over(Window.partitionBy(*keys, "a")))
-    # each of t tied values adds t**2 - 1, together t**3 - t
-    sums = ranked.groupBy(*keys).agg(
-        F.count("*").alias("n_nonzero"), F.sum(F.when(F.col("d") > 0, F.col("rank")).otherwise(0.0)).alias("plus"), F.sum(F.when(F.col("d") < 0, F.col("rank")).otherwise(0.0)).alias("minus"),
-        F.sum(F.col("ties") * F.col("ties") - 1).alias("tied"),
-    )
+    plus, n = F.count(F.when(F.col("d") > 0, 1)), F.count(F.lit(1))
+    if spread:
+        half = lambda c, name: quantiles(rows, keys, c, (0.5,)).select(*keys, F.col("n").alias("n_pairs"), F.col("quantiles")[0].alias(name))
+        medians = _joined(half(base, "median_base"), half(other, "median_other").drop("n_pairs"), keys)
+        values = cumulated(nonzero.groupBy(*keys, "a").agg(n.alias("ties"), plus.alias("n_plus")), keys, "a", "ties", "before")
+    else:
+        medians = rows.groupBy(*keys).agg(n.alias("n_pairs"), F.percentile(base, F.lit(0.5)).alias("median_base"), F.percentile(other, F.lit(0.5)).alias("median_other"))
+        counts = nonzero.groupBy(*keys, "a").agg(n.alias("ties"), plus.alias("n_plus"))
+        values = counts.withColumn("before", F.coalesce(F.sum("ties").over(Window.partitionBy(*keys).orderBy("a").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # equal differences share the mean of their ranks; each of t tied values adds t**2 - 1, together t**3 - t
+    rank, ties = F.col("before") + (F.col("ties") + 1) / 2.0, F.col("ties")
+    sums = values.groupBy(*keys).agg(F.sum("ties").alias("n_nonzero"), F.sum(rank * F.col("n_plus")).alias("plus"), F.sum(rank * (ties - F.col("n_plus"))).alias("minus"), F.sum(ties * (ties * ties - 1)).alias("tied"))
     n = F.col("n_nonzero")
-    var = n * (n + 1) * (2 * n + 1) / 24.0 - F.col("tied") / 48.0
+    var = n * (n + 1.0) * (2 * n + 1) / 24.0 - F.col("tied") / 48.0
     z = (F.least("plus", "minus") - n * (n + 1) / 4.0) / F.sqrt(var)
-    out = medians.join(sums, list(keys), "left") if keys else medians.crossJoin(sums)
-    return out.select(
+    return _joined(medians, sums, keys).select(
         *keys, "n_pairs", F.coalesce(n, F.lit(0)).alias("n_nonzero"), F.coalesce(F.least("plus", "minus"), F.lit(0.0)).alias("w"), r6(z).alias("z"),
         F.coalesce(r6(two_sided_p(z)), F.lit(1.0)).alias("p"), r6(F.col("median_base")).alias("median_base"), r6(F.col("median_other")).alias("median_other"),
     )
 
 
+def _joined(left: DataFrame, right: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    return left.join(right, list(keys), "left") if keys else left.crossJoin(right)
+
+
 def exact_signed_rank_p(w: float, ranks: np.ndarray) -> float:
     """Two-sided p of the smaller rank sum, by counting sign patterns; ranks may be tied (halves)."""
     doubled = np.round(2 * ranks).astype(int)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from foretally.functions.numeric import erfc_sql, r6
 from foretally.functions.text import k_of_n, p_text
-from foretally.operators import stats, summary
+from foretally.operators import order, stats, summary
 from foretally.plans.forecasting import RUN_METRICS_SQL, run_metrics
 from foretally.sources.tables import table
 
@@ -82,6 +82,21 @@ select branch, scenario, metric, n_pairs, coalesce(n, 0) as n_nonzero, coalesce(
 )
 
 
+def _lines(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select(F.lit("all").alias("k"), "l_returnflag", F.col("l_quantity").cast("double").alias("base"), (F.col("l_linenumber") * 8.0).alias("challenger"), F.col("l_extendedprice").cast("double").alias("price"))
+
+
+def wilcoxon_one_group(spark, sf_dir):
+    """All lines in one group, whose ranks are dealt over ranges of values."""
+    return stats.wilcoxon(_lines(spark, sf_dir), "k", spread=True)
+
+
+def quantiles_of_large_groups(spark, sf_dir):
+    """Exact quartiles and tails of prices, by running counts over ranges of values."""
+    q = order.quantiles(_lines(spark, sf_dir), ("l_returnflag",), "price", (0.01, 0.25, 0.5, 0.75, 0.99))
+    return q.select("l_returnflag", "n", *[r6(F.col("quantiles")[i]).alias(c) for i, c in enumerate(("p01", "q1", "median", "q3", "p99"))])
+
+
 def wilcoxon_exact(spark, sf_dir):
     rows = summary.long_metrics(_run_pairs(spark, sf_dir), METRICS, "branch", "scenario", "run", "llm")
     return stats.wilcoxon_exact(rows, "branch", "scenario", "metric")
@@ -214,7 +229,7 @@ def count_labels(spark, sf_dir):
 
 
 QUERIES = {
-    "comparison_long": comparison_long, "win_tie_loss": win_tie_loss, "wilcoxon_approx": wilcoxon_approx, "wilcoxon_exact": wilcoxon_exact, "point_biserial": point_biserial, "point_biserial_p": point_biserial_p,
+    "comparison_long": comparison_long, "win_tie_loss": win_tie_loss, "wilcoxon_approx": wilcoxon_approx, "wilcoxon_one_group": wilcoxon_one_group, "quantiles_of_large_groups": quantiles_of_large_groups, "wilcoxon_exact": wilcoxon_exact, "point_biserial": point_biserial, "point_biserial_p": point_biserial_p,
     "spearman": spearman, "trend_line": trend_line, "box_stats": box_stats, "metric_summary": metric_summary, "metric_summary_grouping_sets": metric_summary_grouping_sets, "run_coverage": run_coverage,
     "paired_summary": paired_summary, "report_paired": report_paired, "status_summary": status_summary, "category_share": category_share, "category_pivot": category_pivot, "failure_adjusted_rank": failure_adjusted_rank,
     "robustness_cv": robustness_cv, "stage_failure_share": stage_failure_share, "dataset_profile": dataset_profile, "count_labels": count_labels,
@@ -224,6 +239,11 @@ SQL = {
     "comparison_long": _COMPARISON_SQL + " select llm, scenario, branch, metric, round(base, 6) as base, round(challenger, 6) as challenger, round(d, 6) as delta, outcome from oc",
     "win_tie_loss": _COMPARISON_SQL + " select branch, metric, count(*) as n, count(*) filter (outcome = 'win') as wins, count(*) filter (outcome = 'tie') as ties, count(*) filter (outcome = 'loss') as losses, round(100.0 * count(*) filter (outcome = 'win') / count(*), 2) as win_rate from oc group by 1, 2",
     "wilcoxon_approx": _WILCOXON_SQL,
+    "wilcoxon_one_group": f"""with d as (select l_quantity::double as base, l_linenumber * 8.0 as challenger, l_linenumber * 8.0 - l_quantity as d from lineitem),
+r as (select d, rank() over (order by abs(d)) + (count(*) over (partition by abs(d)) - 1) / 2.0 as rk, count(*) over (partition by abs(d)) as t from d where d <> 0),
+s as (select count(*)::bigint as n, least(sum(rk) filter (d > 0), sum(rk) filter (d < 0)) as w, sum(t * t - 1) as tied from r), z as (select *, (w - n * (n + 1) / 4.0) / sqrt(n * (n + 1.0) * (2 * n + 1) / 24.0 - tied / 48.0) as z from s)
+select 'all' as k, (select count(*) from d) as n_pairs, n as n_nonzero, w, round(z, 6) as z, round({erfc_sql("(abs(z) / sqrt(2.0))")}, 6) as p, (select round(median(base), 6) from d) as median_base, (select round(median(challenger), 6) from d) as median_other from z""",
+    "quantiles_of_large_groups": "select l_returnflag, count(*) as n, round(quantile_cont(l_extendedprice, 0.01), 6) as p01, round(quantile_cont(l_extendedprice, 0.25), 6) as q1, round(quantile_cont(l_extendedprice, 0.5), 6) as median, round(quantile_cont(l_extendedprice, 0.75), 6) as q3, round(quantile_cont(l_extendedprice, 0.99), 6) as p99 from lineitem group by 1",
     "report_paired": "with w as (" + _WILCOXON_SQL + ") select branch, scenario, metric, round(median_other - median_base, 6) as median_delta, n_pairs, case when p < 0.001 then '< 0.001' else printf('%.4f', p) end as p_text from w",
     "point_biserial": """select lang, count(*) as n, round(corr(quality, n_chars::double), 6) as r, round(avg(n_chars) filter (quality = 1), 6) as mean_true, round(avg(n_chars) filter (quality = 0), 6) as mean_false,
   round(avg(n_chars) filter (quality = 1) - avg(n_chars) filter (quality = 0), 6) as difference from documents join labels using (doc_id) where quality is not null group by 1""",

@@ -59,3 +59,50 @@ def test_csv_lines_of_both_ends(spark):
     lines = lambda d: [r["line"] for r in d.orderBy("n").collect()]
     assert lines(transcripts.prompt_csv(df, "full", "id")) == [str(2 * i) for i in range(25)]
     assert lines(transcripts.prompt_csv(df, "head_tail", "id", 6)) == ["0", "2", "4", "...", "44", "46", "48"]
+
+
+@pytest.mark.parametrize("parts", [1, 5, 50])
+def test_quantiles_are_those_of_percentile(spark, parts):
+    r = np.random.RandomState(2)
+    rows = [(k, float(v) if v is not None else None) for k, n in (("a", 900), (None, 31), ("c", 1), ("d", 40)) for v in (r.randint(0, 30, n) if k != "d" else r.randn(n)).tolist()] + [("a", None), ("e", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(3)
+    at = (0.0, 0.1, 0.25, 0.5, 0.9, 1.0)
+    want = {x["k"]: x["q"] for x in df.where("v is not null").groupBy("k").agg(F.percentile("v", F.array(*map(F.lit, at))).alias("q")).collect()}
+    got = {x["k"]: (x["n"], x["quantiles"]) for x in order.quantiles(df, ("k",), "v", at, parts).collect()}
+    assert set(got) == set(want) == {"a", None, "c", "d"} and got["a"][0] == 900
+    assert all(np.allclose(got[k][1], want[k], rtol=1e-12, atol=1e-12) for k in want)
+    everything = order.quantiles(df, (), "v", (0.5,), parts).first()
+    assert everything["n"] == 972 and everything["quantiles"] == [df.agg(F.percentile("v", F.lit(0.5))).first()[0]]
+
+
+def test_running_weights_of_one_key_fill_many_ranges(spark):
+    df = spark.range(5000).select(F.lit("k").alias("k"), (F.col("id") * 7919 % 5000).alias("v"), F.lit(2).cast("long").alias("w")).repartition(4)
+    got = order.cumulated(df, ("k",), "v", "w", "before", 20)
+    assert all(r["before"] == 2 * r["v"] for r in got.collect())
+    spread = order.dealt(df, F.col("k"), F.col("v"), parts=20).groupBy("_range").count().collect()
+    assert len(spread) == 20 and max(r["count"] for r in spread) < 400
+
+
+def test_spread_wilcoxon_equals_the_other(spark):
+    r = np.random.RandomState(5)
+    rows = [(g, float(a), float(b)) for g, n in (("x", 700), ("y", 3), ("z", 5)) for a, b in zip(r.randint(0, 9, n), r.randint(0, 12, n) if g != "z" else [1] * n)] + [("w", 2.0, 2.0)]
+    rows += [("w", None, 1.0)]
+    df = spark.createDataFrame(rows, "g string, base double, challenger double")
+    for keys in (("g",), ()):
+        one, two = (sorted(map(tuple, stats.wilcoxon(df, *keys, spread=s).collect())) for s in (False, True))
+        assert one == two and len(one) == (4 if keys else 1)
+
+
+def test_sketches_merge_within_their_error(spark):
+    df = spark.range(200_000).select((F.col("id") % 3).alias("k"), (F.col("id") % 7).alias("day"), F.pow(F.rand(3), F.lit(3.0)).alias("v")).cache()
+    at = (0.01, 0.25, 0.5, 0.75, 0.99)
+    whole = {r["k"]: r for r in order.sketched_quantiles(order.sketches(df, ("k",), "v"), ("k",), at).collect()}
+    merged = {r["k"]: r for r in order.sketched_quantiles(order.merged_sketches(order.sketches(df, ("k", "day"), "v"), ("k",)), ("k",), at).collect()}
+    for k in range(3):
+        values = np.sort([r["v"] for r in df.where(F.col("k") == k).collect()])
+        for found in (whole[k], merged[k]):
+            assert found["n"] == len(values)
+            ranks = np.searchsorted(values, found["quantiles"]) / len(values)
+            assert np.abs(ranks - at).max() < 0.0133 * 200 / order.SKETCH * 1.5
+    size = order.sketches(df, (), "v").select(F.octet_length("sketch")).first()[0]
+    assert size < 20_000
