@@ -21,7 +21,7 @@ SCENARIOS = ("S1", "S2", "S3", "S4")
 MODELS = ("naive-flat", "naive-seasonal")
 
 
-def _place(scenario: Column, model: Column, t: Column, n_train: Column, season: int, block: int) -> Column:
+def place(scenario: Column, model: Column, t: Column, n_train: Column, season: int, block: int) -> Column:
     """Index of the earlier value that is the forecast of step t."""
     start = n_train + F.floor((t - n_train) / block).cast("int") * block
     known = F.when(scenario == "S1", n_train).when(scenario == "S4", start).otherwise(t)
@@ -37,7 +37,7 @@ def naive(series: DataFrame, *keys: str, season: int = 12, block: int = 12, scen
     runs = series.where("n_train > 0 and n_train < n").withColumn("scenario", F.explode(F.array(*map(F.lit, scenarios)))).withColumn("model", F.explode(F.array(*map(F.lit, models))))
     step = F.transform(
         F.sequence("n_train", F.col("n") - 1),
-        lambda t: F.struct(t.alias("t"), F.get("ys", t).alias("actual"), F.get("ys", _place(F.col("scenario"), F.col("model"), t, F.col("n_train"), season, block)).alias("forecast")),
+        lambda t: F.struct(t.alias("t"), F.get("ys", t).alias("actual"), F.get("ys", place(F.col("scenario"), F.col("model"), t, F.col("n_train"), season, block)).alias("forecast")),
     )
     return runs.select(*keys, "scenario", "model", F.inline(step))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foretally.functions.numeric import erfc_sql, r6
-from foretally.operators import forecast, metrics, series, stats
+from foretally.operators import chunks, forecast, metrics, series, stats
 from foretally.sources.tables import table
 
 SEASON = BLOCK = 12
@@ -133,6 +133,17 @@ def forecast_arima(spark, sf_dir):
     return forecast.arima(monthly(spark, sf_dir), "series_id", season=SEASON, block=BLOCK)
 
 
+def forecast_chunked(spark, sf_dir):
+    """Hourly series in chunks of 64 values: all protocols, of which the static one reaches back over many chunks."""
+    points = series.points(hourly(spark, sf_dir), "series_id").select("series_id", "t", "y")
+    return chunks.naive(points, "series_id", season=24, block=24, size=64)
+
+
+def newey_west_chunked(spark, sf_dir):
+    points = series.points(monthly(spark, sf_dir), "series_id").select("series_id", "t", (F.col("y") / 1e6).alias("d"))
+    return chunks.newey_west(points, "series_id", lag=6, size=16).select("series_id", r6(F.col("variance")).alias("variance"))
+
+
 def forecast_ar(spark, sf_dir):
     return forecast.autoregressive(monthly(spark, sf_dir), "series_id", season=SEASON, block=BLOCK)
 
@@ -279,7 +290,7 @@ def _with(sql: str, select: str) -> str:
 _MF = MONTHLY_SQL + "," + forecast_sql("series_id", SEASON, BLOCK)
 QUERIES = {
     "series_monthly": series_monthly, "series_hourly": series_hourly, "split_train_test": split_train_test, "forecast_flat_all": _one_model("naive-flat"), "forecast_seasonal_all": _one_model("naive-seasonal"),
-    "forecast_hourly_block": forecast_hourly_block, "forecast_arima": forecast_arima, "forecast_ar": forecast_ar, "forecast_ar1": forecast_ar1, "metrics_models": metrics_models, "metrics_naive": metrics_naive, "metrics_mase": metrics_mase, "metrics_envelope": metrics_envelope, "naive_scale": naive_scale,
+    "forecast_hourly_block": forecast_hourly_block, "forecast_arima": forecast_arima, "forecast_ar": forecast_ar, "forecast_chunked": forecast_chunked, "newey_west_chunked": newey_west_chunked, "forecast_ar1": forecast_ar1, "metrics_models": metrics_models, "metrics_naive": metrics_naive, "metrics_mase": metrics_mase, "metrics_envelope": metrics_envelope, "naive_scale": naive_scale,
     "newey_west": newey_west, "dm_vs_base": dm_vs_base, "dm_pvalues": dm_pvalues, "dm_bh_fdr": dm_bh_fdr, "dm_win_tie_loss": dm_win_tie_loss,
     "dm_vs_models": dm_vs_models, "models_win_tie_loss": models_win_tie_loss,
 }
@@ -323,3 +334,5 @@ cv as (select a.series_id, a.t - b.t as k, max(a.n) as n, sum(a.c * b.c) as s fr
     "dm_vs_models": _with(_VS_SQL, "select llm, run, scenario, branch, baseline, dm_n, round(mu / 1e12, 6) as dm_mean, round(z, 6) as dm_statistic, round(dm_p, 6) as dm_p, round(q, 6) as dm_q from dm left join bh using (llm, run, scenario, branch, baseline)"),
     "models_win_tie_loss": _with(_VS_SQL, "select branch, baseline, count(*) as n, count(*) filter (q < 0.05 and mu < 0) as wins, count(*) filter (q < 0.05 and mu > 0) as losses, count(*) - count(*) filter (q < 0.05 and mu < 0) - count(*) filter (q < 0.05 and mu > 0) as ties from dm left join bh using (llm, run, scenario, branch, baseline) group by 1, 2"),
 }
+SQL["forecast_chunked"] = _with(HOURLY_SQL + "," + forecast_sql("series_id", 24, 24), "select series_id, scenario, model, t, actual, forecast from f")
+SQL["newey_west_chunked"] = SQL["newey_west"]

@@ -144,3 +144,32 @@ def test_protocols_share_origins(spark):
                     for t, v in enumerate(one(y[:a], min(steps, len(y) - a)), a):
                         assert got[k, s, t][0] == y[t] and got[k, s, t][1] == pytest.approx(v, rel=1e-8, abs=1e-8)
     assert model(df.limit(0), "series_id").count() == 0 and model(df.withColumn("n_train", F.lit(0)), "series_id").count() == 0
+
+
+@pytest.mark.parametrize("size", [16, 50, 1000])
+def test_chunks_equal_whole_arrays(spark, size):
+    from foretally.operators import chunks, stats
+
+    r = np.random.RandomState(7)
+    ys = {"a": r.randn(333), "b": r.randn(48), "c": r.randn(3), "d": r.randn(1), None: r.randn(49)}
+    rows = [(k, i, float(v)) for k, y in ys.items() for i, v in enumerate(y)]
+    points = spark.createDataFrame(rows, "k string, t int, y double").repartition(3)
+    whole = series.assembled(points.withColumnRenamed("t", "period"), "k")
+    kinds = sorted(tuple(x) for x in forecast.naive(whole, "k", season=7, block=5).collect() if x["k"]) + sorted(tuple(x)[1:] for x in forecast.naive(whole, "k", season=7, block=5).collect() if not x["k"])
+    out = chunks.naive(points, "k", season=7, block=5, size=size).collect()
+    assert sorted(tuple(x) for x in out if x["k"]) + sorted(tuple(x)[1:] for x in out if not x["k"]) == kinds
+    want = {x["k"]: x["v"] for x in whole.select("k", stats.newey_west(F.col("ys"), F.least(F.lit(6), F.size("ys") - 1)).alias("v")).collect()}
+    got = {x["k"]: x["variance"] for x in chunks.newey_west(points, "k", lag=6, size=size, value="y").collect()}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], rel=1e-9, abs=1e-12) for k in got)
+    with pytest.raises(ValueError):
+        chunks.chunked(points, "k", halo=9, size=8)
+
+
+def test_one_long_series_is_work_for_many_tasks(spark):
+    from foretally.operators import chunks
+
+    points = spark.range(300_000).select(F.lit("k").alias("k"), F.col("id").cast("int").alias("t"), (F.col("id") % 1000).cast("double").alias("y"))
+    c = chunks.chunked(points, "k", halo=24, size=10_000)
+    assert c.count() == 30 and c.agg(F.max(F.size("ys"))).first()[0] == 10_024
+    f = chunks.naive(points, "k", season=1000, block=24, models=("naive-seasonal",), size=10_000)
+    assert f.count() == 4 * 60_000 and f.where("actual <> forecast").count() == 0
