@@ -28,6 +28,7 @@ def alnum(x: Column) -> Column:
 
 
 def shortened(x: Column, most: int) -> Column:
+    """The first characters of a text, with dots if there are more."""
     return F.when(F.char_length(x) > most, F.concat(F.left(x, F.lit(most)), F.lit("..."))).otherwise(x)
 
 

@@ -119,7 +119,7 @@ def head_tail(spark, sf_dir):
 
 def seeded_sample(spark, sf_dir):
     """Three orders of each status, the same whenever asked."""
-    w = Window.partitionBy("o_orderstatus").orderBy(F.xxhash64("o_orderkey", F.lit(42)))
+    w = Window.partitionBy("o_orderstatus").orderBy(F.md5(F.concat(F.lit("42:"), F.col("o_orderkey").cast("string"))))
     return table(spark, sf_dir, "orders").withColumn("i", F.row_number().over(w)).where("i <= 3").select("o_orderstatus", "o_orderkey", "i")
 
 
@@ -156,6 +156,7 @@ SQL = {
         _top_sql("v", "model", "m"), "o as (select v.* from v join m using (user_id, model))", _top_sql("o", "parameters", "e"), _top_sql("o", "core", "c"),
         "i as (select o.* from o join c using (user_id, core))", _top_sql("i", "parameters", "b"),
     ]) + " select m.user_id, m.model, m.votes as model_votes, case when e.votes >= 3 then e.parameters else b.parameters end as parameters, case when e.votes >= 3 then e.votes else c.votes end as parameter_votes, case when e.votes >= 3 then 'exact' else 'core' end as level, m.total::bigint as total from m join e using (user_id) join c using (user_id) join b using (user_id)",
+    "seeded_sample": "select o_orderstatus, o_orderkey, cast(row_number() over (partition by o_orderstatus order by md5('42:' || o_orderkey)) as int) as i from orders qualify i <= 3",
     "json_canonical": """select event_id, case event_id % 5 when 0 then '{}' when 1 then 'not json' when 2 then '{"a": ' || case when event_id % 9 = 0 then '0.1235' else (event_id % 9) || '.1235' end || ', "b": 2}'
   when 3 then '{"b": {"k": ' || json_extract(DEEP, '$.b.k') || '}, "event": ' || json_extract(DEEP, '$.event') || ', "z": {"y": [{"x": {"a": null, "w": {"u": [1.0, 2], "v": ' || json_extract(DEEP, '$.z.y[0].x.w.v') || '}}}]}}' else '{"k": ' || json_extract_string(props, '$.k') || '}' end as canonical from events""".replace("DEEP", _DEEP_JSON),
     "json_probe": "with p as (select event_type, cast(coalesce(json_extract_string(props, '$.seasonal_periods'), json_extract_string(props, '$.k')) as int) as p from events) select event_type, count(p) as n, min(p) as low, max(p) as high from p group by 1",

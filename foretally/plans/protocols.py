@@ -109,7 +109,7 @@ def verification_sample(spark, sf_dir):
     """Up to three runs of each scenario for a look by hand, the same whenever asked."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("scenario").orderBy(F.xxhash64("file_id", F.lit(7)))
+    w = Window.partitionBy("scenario").orderBy(F.md5(F.concat(F.lit("7:"), F.col("file_id"))))
     return compliance_per_run(spark, sf_dir).withColumn("i", F.row_number().over(w)).where("i <= 3").select("scenario", "file_id", "semantic", "implementation")
 
 
@@ -153,6 +153,7 @@ select doc_id, 'S' || number as scenario, case when contains(b, 'model retrainin
   case when contains(b, 'block-wise rolling update') or contains(b, 'block size:') or contains(b, 'blockwise') then true end as expected_blockwise, case when contains(b, 'multi-step ahead prediction') or contains(b, 'forecast multiple steps ahead') then true end as expected_multistep
 from l where number <> ''""",
     "compliance_per_run": _RUNS + " select file_id, scenario, semantic, implementation, fs as full_semantic, fi as full_implementation, case when e3 is null then 'retraining,ground_truth' else 'retraining,ground_truth,blockwise' end as supported, case when e3 is null then 'blockwise' else '' end as unsupported from pp",
+    "verification_sample": _RUNS + " select scenario, file_id, semantic, implementation from pp qualify row_number() over (partition by scenario order by md5('7:' || file_id)) <= 3",
     "compliance_summary": _RUNS + " select scenario, count(*) as n, round(avg(semantic), 1) as mean_semantic, round(avg(implementation), 1) as mean_implementation, count(*) filter (fs) || ' / ' || count(*) as full_semantic, count(*) filter (fi) || ' / ' || count(*) as full_implementation, round(100.0 * count(*) filter (fs and fi) / nullif(count(*) filter (fs), 0), 1) as implemented_given_semantic, round(100.0 * count(*) filter (fi and coalesce(ok, false)) / nullif(count(*) filter (fi), 0), 1) as success_given_implemented from pp group by 1",
     "requirement_summary": _RUNS + ", uu as (select scenario, 'retraining' as requirement, e1 as e, s1 as s, i1 as i from rr union all select scenario, 'ground_truth', e2, s2, i2 from rr union all select scenario, 'blockwise', e3, s3, i3 from rr) select scenario, requirement, count(e) as n, round(100.0 * count(*) filter (e = s) / nullif(count(e), 0), 1) as semantic_pct, round(100.0 * count(*) filter (e = i) / nullif(count(e), 0), 1) as implementation_pct from uu group by 1, 2",
 }

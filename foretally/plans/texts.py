@@ -164,6 +164,12 @@ def list_literals(spark, sf_dir):
     return d.select("vec_id", text(T.first_list(F.col("text"))).alias("first_values"), text(T.last_list(F.col("text"))).alias("last_values"))
 
 
+def shortened_texts(spark, sf_dir):
+    """Texts as a report shows them: up to 160 characters and dots for the rest."""
+    x = T.shortened(F.col("text"), 160)
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(x).alias("digest"), F.char_length(x).alias("chars"))
+
+
 #: Whole vectors as lists of any depth, behind an apostrophe and a list of words.
 _NESTED_LISTS = "'it' || chr(39) || 's [old] ' || repeat('[', cast(vec_id % 6 as int)) || {values} || repeat(']', cast(vec_id % 6 as int)) || ' done'"
 
@@ -229,7 +235,7 @@ def token_coverage(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     turns_pivot, turn_fallback, turns_rendered, prompt_words, chat_render, field_extract, header_flags, classify_output, validate_response, script_format, code_feature_flags, page_flags, failure_taxonomy, failure_group_share,
-    failure_details, previous_failures, log_tail, list_literals, last_literals, list_explode, list_length_check, normalise_text, slugify, strip_fences, alias_map, category_keywords, hyperparam_tokens, token_coverage,
+    failure_details, previous_failures, log_tail, list_literals, last_literals, shortened_texts, list_explode, list_length_check, normalise_text, slugify, strip_fences, alias_map, category_keywords, hyperparam_tokens, token_coverage,
 )}
 
 _ASSISTANT = "a as (select conv_id, turn, text, row_number() over (partition by conv_id order by turn) - 1 as k from conversations where role = 'assistant')"
@@ -295,6 +301,7 @@ select doc_id, case when regexp_matches(log, 'TIMEOUT after \d+ seconds') then '
   when contains(flat, chr(39)) then 'forecast list has an item that is no number' when flat = '[]' then 'forecast length mismatch: expected 3, got 0' else 'forecast length mismatch: expected 3, got ' || len(string_split(flat, ',')) end as reason from w""",
     "log_tail": "with p as (select doc_id, string_split(text, chr(10)) as s from documents), t as (select doc_id, array_to_string(s[greatest(len(s) - 1, 1):], chr(10)) as t from p) select doc_id, md5(t) as digest, length(t) as chars from t",
     "list_literals": f"with {_VEC} select vec_id, {_JOIN.format('ls[1]')} as first_values, {_JOIN.format('ls[-1]')} as last_values from l",
+    "shortened_texts": "with s as (select doc_id, case when length(text) > 160 then left(text, 160) || '...' else text end as x from documents) select doc_id, md5(x) as digest, length(x) as chars from s",
     "last_literals": f"""with t as (select vec_id, {_NESTED_LISTS.format(values="array_to_string(list_transform(embedding, lambda x: cast(cast(round(x * 1000) as int) as varchar)), ', ')")} as x from embeddings),
 l as (select vec_id, regexp_extract(x, '(\\[[\\[0-9, -]*\\]+) done$', 1) as lit from t)
 select vec_id, md5(lit) as digest, length(lit) as chars, case when lit = '' then 'no Python forecast list found' when lit like '[[%' then 'forecast list is not flat' end as problem, case when regexp_matches(lit, '^\\[[^\\[]') then len(string_split(lit, ',')) end as n from l""",

@@ -46,6 +46,46 @@ def write_forecasts(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("series_id", "scenario").parquet(path)
 
 
+def write_artifacts(records: DataFrame, path: str) -> None:
+    """The scripts and raw lists of records (file_id, script_file, t3_script_content, raw_file, t3_raw_response) as texts: a folder a kind and file, a text a record; a record without either has none."""
+    each = F.array(F.struct(F.col("script_file").alias("file"), F.col("t3_script_content").alias("content")), F.struct(F.col("raw_file").alias("file"), F.regexp_replace("t3_raw_response", r"^\s+|\s+$", "").alias("content")))
+    rows = records.select("file_id", F.inline(each)).where("file <> ''")
+    rows.select(F.regexp_extract("file", "^([^/]+)/", 1).alias("kind"), F.regexp_extract("file", "([^/]+)$", 1).alias("file"), "content").write.mode("overwrite").partitionBy("kind", "file").option("lineSep", "").text(path)
+
+
+def artifacts(spark: SparkSession, path: str) -> DataFrame:
+    """kind, file, content of what write_artifacts() wrote."""
+    return spark.read.text(path, wholetext=True).select("kind", "file", F.col("value").alias("content"))
+
+
+#: The turns of a chat, and the file that holds each one's template.
+TURN_FILES = ((0, "data_inspection", "turn0_data_inspection.txt"), (1, "preprocessing_decision", "turn1_preprocessing_decision.txt"), (2, "setup_understanding", "turn2_fixed_setup_and_understanding.txt"), (3, "train_and_forecast", "turn3_train_and_forecast.txt"))
+#: What is added to the first and to the last turn.
+_CSV = ("\n\nThe raw CSV content is provided below and must be treated as the attached CSV file.\nRAW CSV START\n", "RAW CSV END")
+_CONTEXT = "\n\nFor OPTION 2 only, read the dataset from a local CSV file named input.csv in the current working directory.\nDo not use absolute paths in generated code."
+
+
+def templates(spark: SparkSession, path: str) -> DataFrame:
+    """scenario, turn, label, template of a folder with a folder a scenario (scenario<n>_...); files of other names are none."""
+    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+    parts = F.split(F.col("_metadata.file_path"), "/")
+    names = spark.createDataFrame(list(TURN_FILES), "turn int, label string, name string")
+    found = rows.select(F.regexp_extract(F.element_at(parts, -2), r"(?i)^scenario(\d+)", 1).alias("n"), F.element_at(parts, -1).alias("name"), F.col("value").alias("template")).where("n <> ''")
+    return found.join(F.broadcast(names), "name").select(F.concat(F.lit("S"), "n").alias("scenario"), "turn", "label", "template")
+
+
+def prompts(templates: DataFrame, setups: DataFrame) -> DataFrame:
+    """setups (scenario, target, model, hyperparameters, horizon, csv and others) with turn, label, content: each template of their scenario, filled."""
+    text = F.col("template")
+    for name, column in (("<PRIMARY_TARGET_COLUMN_NAME>", "target"), ("<MODEL_NAME>", "model"), ("<HYPERPARAMETERS>", "hyperparameters")):
+        text = F.replace(text, F.lit(name), F.coalesce(F.col(column).cast("string"), F.lit("")))
+    horizon = F.coalesce(F.col("horizon").cast("string"), F.lit(""))
+    for before, mark, after in (("Forecast horizon: ", "H", " (>0)"), ("Block size: ", "B", " (>0)"), ("Forecast horizon: ", "B", " (forecast")):
+        text = F.replace(text, F.lit(before + mark + after), F.concat(F.lit(before), horizon, F.lit(after)))
+    content = F.when(F.col("turn") == 0, F.concat(text, F.lit(_CSV[0]), F.coalesce("csv", F.lit("")), F.lit(_CSV[1]))).when(F.col("turn") == 3, F.concat(text, F.lit(_CONTEXT))).otherwise(text)
+    return setups.join(templates, "scenario").withColumn("content", content).drop("template")
+
+
 def reused(new: DataFrame, old: DataFrame, key: str, value: str) -> DataFrame:
     """new with the stored value where there is one."""
     o = old.select(F.col(key).alias("_k"), F.col(value).alias("_v"))

@@ -72,3 +72,24 @@ def test_tails_of_files(spark, tmp_path):
     assert tail.tails(spark, "file://" + str(big), 2).first()["tail"].count("\n") == 1
     (tmp_path / "none").mkdir()
     assert tail.tails(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_templates_and_artifacts(spark, tmp_path):
+    from foretally.sources import tables
+
+    for n in (1, 4):
+        (tmp_path / "prompts" / f"scenario{n}_x").mkdir(parents=True)
+        for turn, _, name in tables.TURN_FILES:
+            (tmp_path / "prompts" / f"scenario{n}_x" / name).write_text(f"Turn {turn} of <PRIMARY_TARGET_COLUMN_NAME>, <PRIMARY_TARGET_COLUMN_NAME>\nModel <MODEL_NAME> with <HYPERPARAMETERS>\nForecast horizon: H (>0)\nBlock size: B (>0)\n")
+        (tmp_path / "prompts" / f"scenario{n}_x" / "system_instruction.txt").write_text("no turn")
+    t = tables.templates(spark, str(tmp_path / "prompts"))
+    assert sorted((r["scenario"], r["turn"], r["label"]) for r in t.collect()) == sorted((f"S{n}", i, k) for n in (1, 4) for i, k, _ in tables.TURN_FILES)
+    setups = spark.createDataFrame([("S4", "d", "OT", "ETS", "{'a': 1}", 12, "a,b\n1,2\n"), ("S2", "d", "OT", "ETS", "", 1, "")], "scenario string, dataset string, target string, model string, hyperparameters string, horizon int, csv string")
+    got = {r["turn"]: r["content"] for r in tables.prompts(t, setups).collect()}
+    body = "Turn {} of OT, OT\nModel ETS with {{'a': 1}}\nForecast horizon: 12 (>0)\nBlock size: 12 (>0)\n"
+    assert got[1] == body.format(1) and got[0].endswith("RAW CSV START\na,b\n1,2\nRAW CSV END") and got[3].startswith(body.format(3)) and "input.csv" in got[3] and len(got) == 4
+    rows = [("f1", "scripts-output/f1.py", "import x\nprint(1)\n", "", " raw "), ("f2", "", "", "raw-forecasts/f2.json", " [1, 2]\n"), ("f3", "", "", "", "nothing")]
+    records = spark.createDataFrame(rows, "file_id string, script_file string, t3_script_content string, raw_file string, t3_raw_response string")
+    for _ in range(2):
+        tables.write_artifacts(records, str(tmp_path / "out"))
+    assert sorted(map(tuple, tables.artifacts(spark, str(tmp_path / "out")).collect())) == [("raw-forecasts", "f2.json", "[1, 2]"), ("scripts-output", "f1.py", "import x\nprint(1)\n")]
