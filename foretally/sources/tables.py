@@ -50,12 +50,12 @@ def write_artifacts(records: DataFrame, path: str) -> None:
     """The scripts and raw lists of records (file_id, script_file, t3_script_content, raw_file, t3_raw_response) as texts: a folder a kind and file, a text a record; a record without either has none."""
     each = F.array(F.struct(F.col("script_file").alias("file"), F.col("t3_script_content").alias("content")), F.struct(F.col("raw_file").alias("file"), F.regexp_replace("t3_raw_response", r"^\s+|\s+$", "").alias("content")))
     rows = records.select("file_id", F.inline(each)).where("file <> ''")
-    rows.select(F.regexp_extract("file", "^([^/]+)/", 1).alias("kind"), F.regexp_extract("file", "([^/]+)$", 1).alias("file"), "content").write.mode("overwrite").partitionBy("kind", "file").option("lineSep", "").text(path)
+    rows.select(F.regexp_extract("file", "^([^/]+)/", 1).alias("kind"), F.regexp_extract("file", "([^/]+)$", 1).alias("file"), "content").write.mode("overwrite").partitionBy("kind", "file").text(path)
 
 
 def artifacts(spark: SparkSession, path: str) -> DataFrame:
     """kind, file, content of what write_artifacts() wrote."""
-    return spark.read.text(path, wholetext=True).select("kind", "file", F.col("value").alias("content"))
+    return spark.read.text(path, wholetext=True).select("kind", "file", F.regexp_replace("value", r"\n\z", "").alias("content"))  # the writer ends each with a line end
 
 
 #: The turns of a chat, and the file that holds each one's template.
