@@ -4,8 +4,8 @@ Base features are exact counts over the whole text.  The verdict compares four
 ratios with thresholds taken, for each language and source, from quantile
 sketches: logarithmic histograms whose bucket counts add, so that partial
 sketches of tasks, days or shards merge by a sum.  A ratio in bucket b is known
-to a relative error of GAMMA - 1.  A group of fewer than MIN_GROUP documents that pass the base
-rule is too small for quartiles of its own and takes the thresholds of its language.
+to a relative error of GAMMA - 1.  A group's thresholds are drawn towards those of its language, which weigh as much as PRIOR of its documents that pass the base
+rule: nearly the language's for a few documents, its own for many, without a size at which one takes over.
 All four limits are upper ones: too many symbols, repeated lines or words, and overlong words.
 
 Defined results: a null text has no words and fails the base rule; a null lang or
@@ -33,8 +33,8 @@ GAMMA = 1.02
 FENCE = 6.0
 #: The spread of a ratio counts as this much at least, so that groups without any spread keep their documents.
 LEAST_SPREAD = 0.02
-#: Groups with fewer documents take the thresholds of their language.
-MIN_GROUP = 50
+#: Documents of a group that weigh as much as its language.
+PRIOR = 50.0
 
 RATIOS = {
     "symbol_ratio": ("n_symbols", "n_words"),
@@ -145,7 +145,8 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     by_lang = quartiles(sketch.groupBy("lang", "ratio", "bucket").agg(F.sum("n").alias("n")), ["lang"])
     wide = by_lang.select(F.col("lang").alias("l"), *[F.col(f"{r}_max").alias(f"{r}_lang") for r in RATIOS])
     joined = own.join(wide, own["lang"].eqNullSafe(wide["l"]), "left")
-    return joined.select("lang", "source", "group_docs", *[F.when(F.col("group_docs") >= MIN_GROUP, F.col(f"{r}_max")).otherwise(F.col(f"{r}_lang")).alias(f"{r}_max") for r in RATIOS])
+    drawn = lambda r: (F.col(f"{r}_max") * F.col("group_docs") + F.col(f"{r}_lang") * PRIOR) / (F.col("group_docs") + PRIOR)
+    return joined.select("lang", "source", "group_docs", *[drawn(r).alias(f"{r}_max") for r in RATIOS])
 
 
 def apply_thresholds(feats: DataFrame, limits: DataFrame) -> DataFrame:

@@ -579,7 +579,7 @@ def test_quality_verdict_by_brute_force(spark):
         for r in rows:
             la, s = place[r["doc_id"]]
             own = groups.get((la, s), [])
-            want = limit(own) if len(own) >= quality.MIN_GROUP else limit(langs[la]) if own else None
+            want = (limit(own) * len(own) + limit(langs[la]) * quality.PRIOR) / (len(own) + quality.PRIOR) if own else None
             assert (r[f"{name}_max"] is None) == (want is None) and (want is None or r[f"{name}_max"] == pytest.approx(want, rel=1e-6)), (name, r)
             if r["kept"] and want is not None:
                 assert ratio[r["doc_id"]] <= want * (1 + 1e-9)
