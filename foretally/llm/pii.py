@@ -65,7 +65,7 @@ TRAIN_DOCS = 20_000
 TRAIN_SHARE = 0.75
 PRECISION = 0.95
 TREES, DEPTH = 20, 3
-#: Training candidates of either label that a fit needs.
+#: Training candidates of either label without which no tree can be fitted.
 LEAST = 5
 #: Numbers that are merged at a time, and characters of a piece of a text that is cut.
 BLOCK, PIECE = 64, 1024
@@ -230,7 +230,7 @@ def candidates(rows: DataFrame) -> DataFrame:
 
 
 class Model(NamedTuple):
-    """Trees as (weight, nested tuples), and the thresholds by kind; a leaf is a number, a node (feature, threshold, left, right)."""
+    """Trees as (weight, nested tuples), and the thresholds by kind; a leaf is a number, a node (feature, threshold, left, right).  Without trees the evidence decides."""
 
     trees: tuple
     thresholds: dict[str, float]
@@ -250,8 +250,8 @@ def _tree(node) -> tuple | float:
     return int(split.featureIndex()), float(split.threshold()), _tree(node.leftChild()), _tree(node.rightChild())
 
 
-def fit(docs: DataFrame) -> Model | None:
-    """Boosted trees and thresholds, or None if there are too few candidates of a label."""
+def fit(docs: DataFrame) -> Model:
+    """Boosted trees and thresholds; with too few candidates of a label to fit any, a model without trees, by which the evidence itself decides."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
@@ -261,7 +261,7 @@ def fit(docs: DataFrame) -> Model | None:
     rows = materialise(weak_labels(docs.where(sampled)), "candidates")
     seen = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     if min(seen.get(0.0, 0), seen.get(1.0, 0)) < LEAST:
-        return None
+        return Model((), {})
     train = rows.select(array_to_vector("f").alias("features"), F.col("y").alias("label"))
     trained = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=1).fit(train)
     trees = tuple((float(w), _tree(t.rootNode())) for w, t in zip(trained.treeWeights, trained._java_obj.trees(), strict=True))
@@ -295,11 +295,12 @@ def score(trees: tuple, f: Column) -> Column:
 def _found(rows: DataFrame, model: Model | None) -> DataFrame:
     """rows (with text and no working columns) with base, n_<kind>, added and found."""
     d = base_spans(rows)
-    if model is None or not model.thresholds:
+    if model is None or (model.trees and not model.thresholds):
         d = d.withColumn("added", F.array().cast("array<struct<kind:string,start:int,end:int>>"))
     else:
-        least = F.create_map(*[F.lit(x) for k, v in model.thresholds.items() for x in (k, float(v))])
-        chosen = F.filter("candidates", lambda c: c["spare"] & (score(model.trees, c["f"]) >= F.coalesce(F.try_element_at(least, c["kind"]), F.lit(2.0))))
+        least = F.create_map(*[F.lit(x) for k, v in {"": 2.0, **model.thresholds}.items() for x in (k, float(v))])
+        passes = lambda c: score(model.trees, c["f"]) >= F.coalesce(F.try_element_at(least, c["kind"]), F.lit(2.0)) if model.trees else c["evidence"]
+        chosen = F.filter("candidates", lambda c: c["spare"] & passes(c))
         # matches of one pattern never overlap, so that a kind's spans need no merging
         d = candidates(d).withColumn("added", F.array_sort(F.transform(chosen, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"))))).drop("candidates")
     return d.withColumn("found", F.concat("base", "added"))
