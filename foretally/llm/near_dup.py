@@ -197,15 +197,15 @@ def components(links: DataFrame) -> DataFrame:
             edges = materialise(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
 
 
-def joined(roots: DataFrame, fresh: DataFrame) -> DataFrame:
-    """roots after further links: only the classes that these join are looked at again."""
+def joined(roots: DataFrame, fresh: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """roots after further links, and the classes (root) that these have moved (to): only these are looked at."""
     known = roots.select("node", "root")
     ends = fresh.select("a", "b").join(known.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(known.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
     ends = materialise(ends.select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb")), "ends")
-    moved = components(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("to"))
+    moved = components(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).where("node <> root").select(F.col("node").alias("root"), F.col("root").alias("to"))
     new = ends.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("ra").alias("root")), F.struct(F.col("b").alias("node"), F.col("rb").alias("root")))).alias("x")).select("x.*").distinct()
     nodes = known.unionByName(new.join(known, "node", "left_anti"))
-    return materialise(nodes.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots")
+    return materialise(nodes.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots"), moved
 
 
 def _with_met(keyed: DataFrame) -> DataFrame:
@@ -214,6 +214,12 @@ def _with_met(keyed: DataFrame) -> DataFrame:
     return beside(keyed, sizes, ["key"], "met")
 
 
+def _shared(keyed: DataFrame) -> DataFrame:
+    """keyed without buckets of one."""
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("met")).where("met > 1").select("key")
+    return keyed.join(materialise(sizes, "sizes"), "key", "left_semi")
+
+
 def _stars(keyed: DataFrame) -> DataFrame:
     """key, doc_id, centre, met from keyed (key, doc_id, met): each bucket's texts beside its centre, the text that meets most others over all its buckets."""
     central = keyed.join(keyed.groupBy("doc_id").agg(F.sum("met").alias("central")), "doc_id")
@@ -222,12 +228,21 @@ def _stars(keyed: DataFrame) -> DataFrame:
     return beside(keyed.select("key", "doc_id"), centres, ["key"], "met").where("doc_id <> centre")
 
 
-def _unsettled(keyed: DataFrame, roots: DataFrame) -> DataFrame:
-    """The rows of keyed (key, doc_id) in buckets of two or more classes so far, with cls, the class (the root of the text's links, or itself), and met, the size of the bucket."""
+def _classed(keyed: DataFrame, roots: DataFrame) -> DataFrame:
+    """key, doc_id, cls of keyed (key, doc_id): cls is the class, the root of the text's links, or itself."""
     # a text's class is looked up once and not for each of its keys, of which it has no more than bands
     docs = keyed.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
     known = docs.join(roots, docs["doc_id"] == roots["node"], "left").select("doc_id", F.coalesce("root", "doc_id").alias("cls"), "keys")
-    classed = known.select(F.explode("keys").alias("key"), "doc_id", "cls")
+    return known.select(F.explode("keys").alias("key"), "doc_id", "cls")
+
+
+def _moved(classed: DataFrame, moved: DataFrame) -> DataFrame:
+    """classed after some of its classes have been joined."""
+    return classed.join(moved.select(F.col("root").alias("cls"), "to"), "cls", "left").select("key", "doc_id", F.coalesce("to", "cls").alias("cls"))
+
+
+def _open(classed: DataFrame) -> DataFrame:
+    """The rows of classed in buckets of two or more classes, with met, the size of the bucket."""
     classed = materialise(classed, "classed")
     mixed = classed.groupBy("key").agg(F.count("*").alias("met"), F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high")
     return materialise(beside(classed, materialise(mixed.select("key", "met"), "mixed"), ["key"], "met"), "open")
@@ -269,27 +284,30 @@ def links(keyed: DataFrame, texts: DataFrame, threshold: float) -> tuple[DataFra
     ends = pairs.select("block", "doc_id", F.greatest("block", "doc_id").alias("a"), F.least("block", "doc_id").alias("b"))
     unlike = ends.join(found, ["a", "b"], "left_anti").select(F.col("block").alias("centre"), "doc_id")
     mixed = stars.join(unlike, ["centre", "doc_id"]).groupBy("key").agg(F.first("met").alias("met"))
-    rows = _unsettled(beside(stars.select("key", "doc_id"), materialise(mixed, "mixed"), ["key"], "met"), roots)
+    rows = _open(_classed(beside(stars.select("key", "doc_id"), materialise(mixed, "mixed"), ["key"], "met"), roots))
     longer, size = False, BLOCK
     while n := rows.count():
         with sized(spark, n, 2_000):
             fresh = _small(rows, texts, threshold)
+            rows = rows.where(F.col("met") > SMALL)
             if not fresh.isEmpty():
-                found, roots = found.unionByName(fresh), joined(roots, fresh)
-            rows = _unsettled(rows.where(F.col("met") > SMALL), roots)
+                found, (roots, moved) = found.unionByName(fresh), joined(roots, fresh)
+                rows = _open(_moved(rows, moved))
             if rows.isEmpty():
                 break
             if not longer:
-                rows, longer = _unsettled(_with_met(materialise(_steep_keys(rows, texts), "steep")), roots), True
+                rows, longer = _open(_classed(_shared(materialise(_steep_keys(rows, texts), "steep")), roots)), True
                 continue
             # what is left are large buckets of the longer signature
             top = materialise(_blocks(rows, size), "blocks")
             blocks = materialise(top.groupBy("key").agg(F.first("met").alias("met"), F.collect_set("block").alias("blocks")), "owners")
             met = beside(rows.drop("met"), blocks, ["key"], "met").select("doc_id", "cls", "met", F.explode("blocks").alias("block"))
             fresh = verified(met, top, texts, threshold)
+            rows, size = rows.join(top.select("key", "doc_id"), ["key", "doc_id"], "left_anti").select("key", "doc_id", "cls"), 4 * size
             if not fresh.isEmpty():
-                found, roots = found.unionByName(fresh), joined(roots, fresh)
-            rows, size = _unsettled(rows.join(top.select("key", "doc_id"), ["key", "doc_id"], "left_anti"), roots), 4 * size
+                found, (roots, moved) = found.unionByName(fresh), joined(roots, fresh)
+                rows = _moved(rows, moved)
+            rows = _open(rows)
     return found.distinct(), roots
 
 
@@ -315,7 +333,7 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
         found, roots = links(keyed, laid_out(involved, "doc_id", "texts", placed=True), threshold)
         twins = materialise(_twins(signed, folded), "twins")
         if not twins.isEmpty():
-            roots = joined(roots, twins)
+            roots, _ = joined(roots, twins)
         degree = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
         about = roots.join(degree, "node", "left")
         known = folded.join(about, folded["text_id"] == about["node"], "left").select("digest", "copies", "text_id", F.coalesce("root", "text_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
