@@ -100,16 +100,18 @@ def wilcoxon(pairs: DataFrame, *keys: str, base: str = "base", other: str = "cha
     nonzero = rows.where("d is not null").withColumn("a", significant(F.abs("d")))
     plus, n = F.count(F.when(F.col("d") > 0, 1)), F.count(F.lit(1))
     if spread:
-        half = lambda c, name: quantiles(rows, keys, c, (0.5,)).select(*keys, F.col("n").alias("n_pairs"), F.col("quantiles")[0].alias(name))
-        medians = _joined(half(base, "median_base"), half(other, "median_other").drop("n_pairs"), keys)
+        middle = lambda c, name: quantiles(rows, keys, c, (0.5,)).select(*keys, F.col("n").alias("n_pairs"), F.col("quantiles")[0].alias(name))
+        medians = _joined(middle(base, "median_base"), middle(other, "median_other").drop("n_pairs"), keys)
         values = cumulated(nonzero.groupBy(*keys, "a").agg(n.alias("ties"), plus.alias("n_plus")), keys, "a", "ties", "before")
     else:
         medians = rows.groupBy(*keys).agg(n.alias("n_pairs"), F.percentile(base, F.lit(0.5)).alias("median_base"), F.percentile(other, F.lit(0.5)).alias("median_other"))
         counts = nonzero.groupBy(*keys, "a").agg(n.alias("ties"), plus.alias("n_plus"))
         values = counts.withColumn("before", F.coalesce(F.sum("ties").over(Window.partitionBy(*keys).orderBy("a").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    # equal differences share the mean of their ranks; each of t tied values adds t**2 - 1, together t**3 - t
-    rank, ties = F.col("before") + (F.col("ties") + 1) / 2.0, F.col("ties")
-    sums = values.groupBy(*keys).agg(F.sum("ties").alias("n_nonzero"), F.sum(rank * F.col("n_plus")).alias("plus"), F.sum(rank * (ties - F.col("n_plus"))).alias("minus"), F.sum(ties * (ties * ties - 1)).alias("tied"))
+    # equal differences share the mean of their ranks; each of t tied values adds t**2 - 1, together t**3 - t, which a long holds up to two million only
+    whole = lambda c: c.cast("decimal(19,0)")
+    twice, ties = whole(2 * F.col("before") + F.col("ties") + 1), F.col("ties")
+    half = lambda c: F.sum(twice * whole(c)).cast("double") / 2.0
+    sums = values.groupBy(*keys).agg(F.sum("ties").alias("n_nonzero"), half(F.col("n_plus")).alias("plus"), half(ties - F.col("n_plus")).alias("minus"), F.sum(whole(ties) * whole(ties) * whole(ties) - whole(ties)).cast("double").alias("tied"))
     n = F.col("n_nonzero")
     var = n * (n + 1.0) * (2 * n + 1) / 24.0 - F.col("tied") / 48.0
     z = (F.least("plus", "minus") - n * (n + 1) / 4.0) / F.sqrt(var)

@@ -93,6 +93,17 @@ def test_spread_wilcoxon_equals_the_other(spark):
         assert one == two and len(one) == (4 if keys else 1)
 
 
+@pytest.mark.parametrize("spread", [False, True])
+def test_wilcoxon_of_millions_of_equal_differences(spark, spread):
+    """The cube of a number of ties passes the greatest long from 2,097,152 on."""
+    n = 3_000_000
+    df = spark.range(n).select(F.lit("k").alias("k"), F.lit(1.0).alias("base"), F.when(F.col("id") % 3 == 0, 0.0).otherwise(2.0).alias("challenger"))
+    got = stats.wilcoxon(df, "k", spread=spread).first()
+    w, var = n // 3 * (n + 1) / 2, n * (n + 1) * (2 * n + 1) / 24 - (n**3 - n) / 48
+    assert (got["n_pairs"], got["n_nonzero"], got["w"]) == (n, n, w)
+    assert got["z"] == pytest.approx((w - n * (n + 1) / 4) / math.sqrt(var), abs=1e-6)
+
+
 def test_sketches_merge_within_their_error(spark):
     df = spark.range(200_000).select((F.col("id") % 3).alias("k"), (F.col("id") % 7).alias("day"), F.pow(F.rand(3), F.lit(3.0)).alias("v")).cache()
     at = (0.01, 0.25, 0.5, 0.75, 0.99)
