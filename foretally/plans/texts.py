@@ -153,9 +153,14 @@ def log_tail(spark, sf_dir):
 _VECTOR = "'Forecast: [' || cast(round(v1 * 1000) as int) || ', ' || cast(round(v2 * 1000) as int) || ', ' || cast(round(v3 * 1000) as int) || case when vec_id % 5 = 0 then ', x' else '' end || '] end' || case when vec_id % 3 = 0 then ' [7, ' || vec_id || ']' else '' end"
 
 
+def _in_floats(expression: str) -> str:
+    """An expression of the SQL, where a float times 1000 is a float, for Spark, where it would be a double: what is a half in one needn't be in the other."""
+    return expression.replace("* 1000)", "* 1000F)")
+
+
 def _vectors(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    return e.select("vec_id", "label", *[F.col("embedding")[i].alias(f"v{i + 1}") for i in range(3)]).withColumn("text", F.expr(_VECTOR))
+    return e.select("vec_id", "label", *[F.col("embedding")[i].alias(f"v{i + 1}") for i in range(3)]).withColumn("text", F.expr(_in_floats(_VECTOR)))
 
 
 def list_literals(spark, sf_dir):

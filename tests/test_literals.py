@@ -8,8 +8,10 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from compare import difference
 from foretally.functions import literals as L
 from foretally.functions import text as T
+from foretally.plans import texts
 
 
 def run(spark, expr, texts):
@@ -106,3 +108,11 @@ def test_canonical_json(spark):
 @pytest.mark.parametrize("x", [1.0, 0.0001, 12345678.5, 1e-5, 1.5e-7, 1e16, -0.0, 123456789012345.6, 0.1, -2.5, 3e100])
 def test_floats_as_python_writes_them(spark, x):
     assert spark.createDataFrame([(x,)], "x double").select(L.python_float(F.col("x"))).first()[0] == repr(x)
+
+
+@pytest.mark.parametrize("name", ["list_literals"])
+def test_halves_of_floats_round_as_in_sql(spark, tmp_path, name):
+    """0.0135 as a float is less than it says, but a thousand times that is 13.5 in floats."""
+    rows = [(i, [k / 10_000 for k in (i * 37 - 900, 135 + 10 * i, 5 - 20 * i, 7 * i)], i % 3) for i in range(60)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert difference(spark, texts.QUERIES[name], texts.SQL[name], sf=str(tmp_path)) is None
