@@ -180,7 +180,7 @@ _NESTED_LISTS = "'it' || chr(39) || 's [old] ' || repeat('[', cast(vec_id % 6 as
 
 
 def last_literals(spark, sf_dir):
-    text = F.expr(_NESTED_LISTS.format(values="array_join(transform(embedding, x -> cast(cast(round(x * 1000) as int) as string)), ', ')"))
+    text = F.expr(_NESTED_LISTS.format(values=_in_floats("array_join(transform(embedding, x -> cast(cast(round(x * 1000) as int) as string)), ', ')")))
     d = rendered(table(spark, sf_dir, "embeddings").withColumn("text", text), "vec_id", x="text")
     literal = T.last_literal(F.col("x"))
     return d.select("vec_id", F.md5(literal).alias("digest"), F.char_length(literal).alias("chars"), T.list_problem(F.col("x")).alias("problem"), F.size(T.last_list(F.col("x"))).alias("n"))

@@ -110,7 +110,7 @@ def test_floats_as_python_writes_them(spark, x):
     assert spark.createDataFrame([(x,)], "x double").select(L.python_float(F.col("x"))).first()[0] == repr(x)
 
 
-@pytest.mark.parametrize("name", ["list_literals", "list_explode"])
+@pytest.mark.parametrize("name", ["last_literals", "list_literals", "list_explode"])
 def test_halves_of_floats_round_as_in_sql(spark, tmp_path, name):
     """0.0135 as a float is less than it says, but a thousand times that is 13.5 in floats."""
     rows = [(i, [k / 10_000 for k in (i * 37 - 900, 135 + 10 * i, 5 - 20 * i, 7 * i)], i % 3) for i in range(60)]
