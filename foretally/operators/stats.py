@@ -201,11 +201,43 @@ def point_biserial(rows: DataFrame, flag: Column, value: Column, *keys: str) ->
     return ok.groupBy(*keys).agg(F.count("*").alias("n"), r6(correlation(flag.cast("int"), value)).alias("r"), r6(yes).alias("mean_true"), r6(no).alias("mean_false"), r6(yes - no).alias("difference"))
 
 
+#: A value with more than 1 / HOT of all rows is a frequent one: there are fewer than HOT of these.
+HOT = 2000
+
+
 def spearman(rows: DataFrame, x: str, y: str, *keys: str) -> DataFrame:
-    """keys, n, rho: the correlation of average ranks."""
-    ok = rows.where(finite(F.col(x)) & finite(F.col(y)))
-    ranked = ok.select(*keys, average_rank(F.col(x), *keys).alias("rx"), average_rank(F.col(y), *keys).alias("ry"))
-    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), r6(correlation(F.col("rx"), F.col("ry"))).alias("rho"))
+    """keys, n, rho: the correlation of average ranks.
+
+    Equal pairs are counted first; ranks come from running counts over ranges of values, so that no task holds a group.  Sums are
+    of whole numbers, twice the ranks, and exact."""
+    ok = rows.where(finite(F.col(x)) & finite(F.col(y))).select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y"))
+    whole = lambda c: c.cast("decimal(19,0)")
+    count = F.count(F.lit(1)).alias("_t")
+
+    def twice(value: str, name: str) -> DataFrame:
+        placed = cumulated(ok.groupBy(*keys, value).agg(count), keys, value, "_t", "_before")
+        return placed.select(*[F.col(k).alias(f"{name}{i}") for i, k in enumerate(keys)], F.col(value).alias(f"{name}v"), F.col("_t").alias(f"{name}t"), whole(2 * F.col("_before") + F.col("_t") + 1).alias(name))
+
+    def beside(left: DataFrame, right: DataFrame, value: str, name: str, how: str = "inner") -> DataFrame:
+        on = F.col(value) == F.col(f"{name}v")
+        for i, k in enumerate(keys):
+            on = on & F.col(k).eqNullSafe(F.col(f"{name}{i}"))
+        return left.join(right, on, how)
+
+    # a frequent y stands beside very many x: its rank is sent to these
+    joint, ry, most = ok.groupBy(*keys, "_x", "_y").agg(count), twice("_y", "_b"), ok.count() / HOT
+    some = beside(joint, F.broadcast(ry.where(F.col("_bt") > most)), "_y", "_b", "left").select(*keys, "_x", "_y", "_t", "_b")
+    rest = beside(some.where("_b is null").drop("_b"), ry.where(F.col("_bt") <= most), "_y", "_b").select(*keys, "_x", "_y", "_t", "_b")
+    b, t = F.col("_b"), whole(F.col("_t"))
+    of_x = some.where("_b is not null").unionByName(rest).groupBy(*keys, "_x").agg(F.sum(t * b).alias("_tb"), F.sum(t * b * b).alias("_tbb"))
+    both = beside(of_x, twice("_x", "_a"), "_x", "_a")
+    a = F.col("_a")
+    sums = both.groupBy(*keys).agg(F.sum("_at").alias("n"), F.sum(F.col("_tb") * a).alias("ab"), F.sum(whole(F.col("_at")) * a * a).alias("aa"), F.sum("_tbb").alias("bb"))
+    # twice the ranks of n rows add to n (n + 1)
+    n = whole(F.col("n"))
+    about = lambda c: (F.col(c) - n * (n + 1) * (n + 1)).cast("double")
+    rho = about("ab") / F.nullif(F.sqrt(about("aa")) * F.sqrt(about("bb")), F.lit(0.0))
+    return sums.select(*keys, "n", r6(rho).alias("rho"))
 
 
 def trend_line(rows: DataFrame, x: Column, y: Column, *keys: str) -> DataFrame:

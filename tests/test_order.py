@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,6 +94,22 @@ def test_spread_wilcoxon_equals_the_other(spark):
         assert one == two and len(one) == (4 if keys else 1)
 
 
+def test_no_task_of_spearman_ranks_a_group(spark):
+    """Ranks are those of sorting everything, and no window lies over a group's rows; ties, null keys, a constant, frequent and rare values."""
+    r = np.random.RandomState(7)
+    rows = [("a", float(u), float(v)) for u, v in zip(r.randint(0, 400, 900), r.randint(0, 4, 900))] + [(None, float(u), float(u + v)) for u, v in zip(r.randn(300), r.randn(300))]
+    rows += [("c", 1.0, float(v)) for v in range(5)] + [("d", 2.0, 3.0), ("e", None, 1.0), ("a", math.nan, 2.0), ("a", 3.0, math.inf)]
+    df = spark.createDataFrame(rows, "k string, x double, y double").repartition(3)
+    found = stats.spearman(df, "x", "y", "k")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Window [" in line and "_range" not in line], plan
+    got = {q["k"]: (q["n"], q["rho"]) for q in found.collect()}
+    assert set(got) == {"a", None, "c", "d"} and got["c"] == (5, None) and got["d"] == (1, None)
+    for k, n in (("a", 900), (None, 300)):
+        f = pd.DataFrame([q[1:] for q in rows if q[0] == k and q[1] is not None and np.isfinite(q[1]) and np.isfinite(q[2])])
+        assert got[k] == (n, pytest.approx(f[0].rank().corr(f[1].rank()), abs=1e-6))
+
+
 @pytest.mark.parametrize("spread", [False, True])
 def test_wilcoxon_of_millions_of_equal_differences(spark, spread):
     """The cube of a number of ties passes the greatest long from 2,097,152 on."""
