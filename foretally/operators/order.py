@@ -76,21 +76,67 @@ def cumulated(df: DataFrame, keys: tuple[str, ...], value: str, weight: str, nam
     return rows.withColumn("_inside", F.coalesce(inside, F.lit(0))).join(ahead, on).withColumn(name, F.col("_inside") + F.col("_ahead")).drop("_key", "_range", "_r", "_ahead", "_inside", *[f"_k{i}" for i in range(len(keys))])
 
 
-def quantiles(df: DataFrame, keys: tuple[str, ...], value: str, at: tuple[float, ...], parts: int | None = None) -> DataFrame:
-    """keys, n, quantiles (an array in the order of `at`) of the values that aren't null, between neighbours by their distance: what percentile() gives, without a task that holds a key's values.
+def _bounds(df: DataFrame, keys: tuple[str, ...], x: Column, ranges: int) -> DataFrame | None:
+    """_k0, ..., _b: up to ranges - 1 bounds of x for each key that has a hundredth of a sample's rows, at most about 100 keys; None if there are none.
+
+    They are fixed here, so that each later pass sees the same ranges."""
+    total = df.count()
+    some = df if total <= SAMPLE else df.sample(SAMPLE / total, seed=1)
+    sample = some.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.array_sort(F.collect_list(x)).alias("s")).where(F.size("s") >= min(total, SAMPLE) / 100)
+    at = F.transform(F.sequence(F.lit(1), F.lit(ranges - 1)), lambda i: F.get("s", F.floor(i * F.size("s") / ranges).cast("int"))) if ranges > 1 else F.slice("s", 1, 0)
+    fixed = sample.select(*[f"_k{i}" for i in range(len(keys))], at.alias("_b"))
+    held = fixed.collect() if total else []
+    return df.sparkSession.createDataFrame(held, fixed.schema) if held else None
+
 
-    Equal values are counted first; then the values at the wanted places are picked out of the running counts."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    placed = cumulated(counts, keys, value, "_c", "_before", parts)
-    totals = counts.groupBy(*keys).agg(F.sum("_c").alias("n")).select(*[F.col(k).alias(f"_t{i}") for i, k in enumerate(keys)], "n")
+def _placed(rows: DataFrame, x: Column, ranges: int) -> DataFrame:
+    """rows with _range: how many of _b, an ascending array of ranges - 1 bounds, are less than x, by halving; 0 without an array."""
+    rows, step = rows.withColumns({"_x": x, "_range": F.lit(0)}), ranges // 2
+    while step:
+        rows, step = rows.withColumn("_range", F.col("_range") + F.when(F.get("_b", F.col("_range") + (step - 1)) < F.col("_x"), step).otherwise(0)), step // 2
+    return rows.drop("_x")
+
+
+def _on(keys: tuple[str, ...]) -> Column:
     on = F.lit(True)
     for i, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"_t{i}"))
-    both = placed.join(totals, on) if keys else placed.crossJoin(F.broadcast(totals))
-    wanted = F.array(*[F.struct(F.lit(i).alias("i"), ((F.col("n") - 1) * q).alias("pos")) for i, q in enumerate(at)])
-    holds = lambda x: (F.col("_before") <= x) & (x < F.col("_before") + F.col("_c"))
-    hits = both.select(*keys, "n", value, "_before", "_c", F.inline(wanted)).where(holds(F.floor("pos")) | holds(F.ceil("pos")))
-    pick = lambda x: F.max(F.when(holds(x), F.col(value)))
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return on
+
+
+#: Ranges of a key's values, a power of two.
+RANGES = 64
+
+
+def quantiles(df: DataFrame, keys: tuple[str, ...], value: str, at: tuple[float, ...], parts: int | None = None) -> DataFrame:
+    """keys, n, quantiles (an array in the order of `at`) of the values that aren't null, between neighbours by their distance: what percentile() gives, without a task that holds a key's values.
+
+    The rows of each range of a key's values are counted in a first pass; the ranges that hold the wanted places are
+    counted value by value in a second, and only these are shuffled.  A key with less than about a hundredth of all rows is one range."""
+    rows = df.where(F.col(value).isNotNull()).select(*keys, value)
+    ranges, x = 1 << ((parts or RANGES) - 1).bit_length(), F.col(value).cast("double")
+    wanted = lambda n: F.array(*[F.struct(F.lit(i).alias("i"), ((n - 1) * q).alias("pos")) for i, q in enumerate(at)])
+    holds = lambda p, before, count: (before <= p) & (p < before + count)
+    bounds, names = _bounds(rows, keys, x, ranges), [f"_k{i}" for i in range(len(keys))]
+    if bounds is None:
+        kept = rows.select(*keys, value, F.lit(0).alias("_range"), F.lit(None).cast("long").alias("_ahead"), F.lit(None).cast("long").alias("_n"))
+    else:
+        large = F.broadcast(bounds.withColumn("_large", F.lit(True)))
+        ranged = _placed(rows.join(large, _on(keys), "left"), x, ranges).select(*keys, value, "_large", "_range")
+        sizes = ranged.where("_large").groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_s"))
+        w = Window.partitionBy(*keys, F.lit(0))
+        ahead = F.coalesce(F.sum("_s").over(w.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        placed = sizes.withColumns({"_ahead": ahead, "_n": F.sum("_s").over(w)})
+        hit = F.exists(wanted(F.col("_n")), lambda p: holds(F.floor(p["pos"]), F.col("_ahead"), F.col("_s")) | holds(F.ceil(p["pos"]), F.col("_ahead"), F.col("_s")))
+        near = placed.where(hit).select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col("_range").alias("_r"), "_ahead", "_n")
+        kept = ranged.join(F.broadcast(near), _on(keys) & (F.col("_range") == F.col("_r")), "left").where("_large is null or _ahead is not null")
+    counts = kept.groupBy(*keys, "_range", value).agg(F.count(F.lit(1)).alias("_c"), F.first("_ahead").alias("_ahead"), F.first("_n").alias("_n"))
+    inside = Window.partitionBy(*keys, "_range")
+    before = F.coalesce("_ahead", F.lit(0)) + F.coalesce(F.sum("_c").over(inside.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    both = counts.withColumns({"_before": before, "n": F.coalesce("_n", F.sum("_c").over(inside))})
+    own = lambda p: holds(p, F.col("_before"), F.col("_c"))
+    hits = both.select(*keys, "n", value, "_before", "_c", F.inline(wanted(F.col("n")))).where(own(F.floor("pos")) | own(F.ceil("pos")))
+    pick = lambda p: F.max(F.when(own(p), F.col(value)))
     found = hits.groupBy(*keys, "n", "i", "pos").agg(pick(F.floor("pos")).alias("low"), pick(F.ceil("pos")).alias("high"))
     part = F.col("pos") - F.floor("pos")
     one = found.select(*keys, "n", F.struct("i", (F.col("low") * (1 - part) + F.col("high") * part).alias("v")).alias("q"))
