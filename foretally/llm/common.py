@@ -117,6 +117,15 @@ def beside(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> Da
     return rows.join(F.broadcast(hot), keys).unionByName(rest)
 
 
+def within(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """The rows whose keys are among those of groups, which go through the same two ways as in beside."""
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    large = F.col(size) > max(HOT_LEAST, total / HOT_ROWS)
+    hot = F.broadcast(groups.where(large).select(*keys))
+    rest = rows.join(hot, keys, "left_anti").join(groups.where(~large).select(*keys), keys, "left_semi")
+    return rows.join(hot, keys, "left_semi").unionByName(rest)
+
+
 def only(docs: DataFrame, *columns: str) -> DataFrame:
     """The named columns; rows without an id have no result and go."""
     return docs.select(*columns).where(F.col("doc_id").isNotNull())

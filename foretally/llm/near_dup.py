@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import beside, laid_out, materialise, only, partitions, sized, table
+from .common import beside, laid_out, materialise, only, partitions, sized, table, within
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -238,7 +238,7 @@ def _classed(keyed: DataFrame, roots: DataFrame) -> DataFrame:
 
 def _moved(classed: DataFrame, moved: DataFrame) -> DataFrame:
     """classed after some of its classes have been joined."""
-    return classed.join(moved.select(F.col("root").alias("cls"), "to"), "cls", "left").select("key", "doc_id", F.coalesce("to", "cls").alias("cls"))
+    return classed.join(moved.select(F.col("root").alias("cls"), "to"), "cls", "left").withColumn("cls", F.coalesce("to", "cls")).select(*classed.columns)
 
 
 def _open(classed: DataFrame) -> DataFrame:
@@ -248,6 +248,13 @@ def _open(classed: DataFrame) -> DataFrame:
     return materialise(beside(classed, materialise(mixed.select("key", "met"), "mixed"), ["key"], "met"), "open")
 
 
+def _still_open(rows: DataFrame) -> DataFrame:
+    """The rows (key, doc_id, cls, met) in buckets that still are of two or more classes; rows holds whole buckets, so that these are as large as before."""
+    rows = materialise(rows, "classed")
+    mixed = rows.groupBy("key").agg(F.first("met").alias("met"), F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high")
+    return materialise(within(rows, materialise(mixed.select("key", "met"), "mixed"), ["key"], "met"), "open")
+
+
 def _small(rows: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Links in buckets of SMALL texts or fewer: every pair of different classes, once however many buckets it shares."""
     few = rows.where(F.col("met") <= SMALL)
@@ -280,11 +287,8 @@ def links(keyed: DataFrame, texts: DataFrame, threshold: float) -> tuple[DataFra
     pairs = materialise(stars.groupBy(F.col("centre").alias("block"), "doc_id").agg(F.max("met").alias("met")).select("block", "doc_id", none, "met"), "pairs")
     found = verified(pairs, pairs.select("block", F.col("block").alias("doc_id"), none), texts, threshold)
     roots = components(found)
-    # a bucket whose texts are all like its centre is of one class; all pairs with the centre are settled
-    ends = pairs.select("block", "doc_id", F.greatest("block", "doc_id").alias("a"), F.least("block", "doc_id").alias("b"))
-    unlike = ends.join(found, ["a", "b"], "left_anti").select(F.col("block").alias("centre"), "doc_id")
-    mixed = stars.join(unlike, ["centre", "doc_id"]).groupBy("key").agg(F.first("met").alias("met"))
-    rows = _open(_classed(beside(stars.select("key", "doc_id"), materialise(mixed, "mixed"), ["key"], "met"), roots))
+    # all pairs with the centre are settled, and a bucket whose texts are all like its centre is of one class
+    rows = _open(_classed(stars.select("key", "doc_id"), roots))
     longer, size = False, BLOCK
     while n := rows.count():
         with sized(spark, n, 2_000):
@@ -292,7 +296,7 @@ def links(keyed: DataFrame, texts: DataFrame, threshold: float) -> tuple[DataFra
             rows = rows.where(F.col("met") > SMALL)
             if not fresh.isEmpty():
                 found, (roots, moved) = found.unionByName(fresh), joined(roots, fresh)
-                rows = _open(_moved(rows, moved))
+                rows = _still_open(_moved(rows, moved))
             if rows.isEmpty():
                 break
             if not longer:

@@ -419,6 +419,33 @@ def test_near_dup_links_within_a_band(spark):
     assert [(a, b) for a, b in near if got[a] != got[b] and set(keys[a]) & set(keys[b])] == []
 
 
+def test_near_dup_key_joins(spark, monkeypatch):
+    """A large group's rows are joined by key to learn something new alone: their centres and, once a signature, the sizes of open buckets; not to filter them."""
+    monkeypatch.setattr(near_dup, "SMALL", 4)
+    r = np.random.RandomState(9)
+    fresh = (f"k{i}" for i in range(10**7))
+    core = [next(fresh) for _ in range(300)]
+    rows = []
+    for _ in range(40):  # pairs of like texts; texts of different pairs are at about 0.72
+        text = core[:]
+        for j in r.choice(29, 3, replace=False):
+            text[10 * j : 10 * j + 4] = [next(fresh) for _ in range(4)]
+        rows += [text, text[:295] + [next(fresh)] * 5]
+    made, joins = [], near_dup.beside
+
+    def counted(rows, groups, keys, size):
+        out = joins(rows, groups, keys, size)
+        if keys == ["key"]:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dup, "beside", counted)
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(rows)], "doc_id long, text string")
+    classes = {q["doc_id"]: q["class_id"] for q in near_dup.classes(docs).collect()}
+    assert all(classes[i] == classes[i + 1] for i in range(0, 80, 2))
+    assert 2 < len(made) and sum(made) <= 4.5 * made[0], made
+
+
 def test_near_dup_large_buckets(spark, monkeypatch):
     """Buckets beyond SMALL go through the longer signature, in blocks; texts that share an id are one document."""
     monkeypatch.setattr(near_dup, "SMALL", 2)
