@@ -44,7 +44,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import beside, laid_out, materialise, only, partitions, sized, table, within
+from .common import beside as by_size
+from .common import laid_out, materialise, only, partitions, sized, table
+from .common import within as within_by_size
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -55,6 +57,8 @@ STAR = 256
 #: Texts of a bucket whose pairs are compared one by one, and texts of a block.
 SMALL, BLOCK = 16, 64
 CHUNK = 1 << 21
+#: A table of so many rows (of a few numbers each, 2 MB or less) is sent to every task instead of shuffling what it is joined with.
+SENT = 20_000
 
 
 def shingles(words: K.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -119,7 +123,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sign_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for lo, hi, buf, offs in K.chunks(b.column("text"), CHUNK):
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), band_keys(K.Words(buf, offs), hi - lo, STEEP)], names=["doc_id", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), b.column("cls").slice(lo, hi - lo), band_keys(K.Words(buf, offs), hi - lo, STEEP)], names=["doc_id", "cls", "bands"])
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -164,48 +168,69 @@ def _compare(threshold: float):
     return run
 
 
-def verified(members: DataFrame, owners: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) between members (block, doc_id, cls, met) and owners (block, doc_id, cls) of the same block, of different classes where these are known.
+def _sent(df: DataFrame) -> DataFrame:
+    """df (a written table), to be sent to every task that joins it if it is small."""
+    return F.broadcast(df) if df.count() <= SENT else df
 
+
+def beside(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """common.beside, but a small table of groups is sent whole, so that no row is shuffled."""
+    return rows.join(F.broadcast(groups), keys) if groups.count() <= SENT else by_size(rows, groups, keys, size)
+
+
+def within(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """common.within, by the same rule."""
+    return rows.join(F.broadcast(groups.select(*keys)), keys, "left_semi") if groups.count() <= SENT else within_by_size(rows, groups, keys, size)
+
+
+def verified(members: DataFrame, owners: DataFrame | None, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between members (block, doc_id, cls, met) and owners (block, doc_id, cls, met) of the same block, of different classes where these are known.
+
+    Without owners a block is the id of its only one, whose class members have as `c`.  members and owners are written tables.
     A block of many members is split into parts, each with the owners' texts once; met is the size of the bucket in which they meet."""
     n = partitions(members.sparkSession)
     parts = F.pow(2.0, F.ceil(F.log2(F.greatest(F.col("met") / STAR, F.lit(1.0))))).cast("int")
-    p = members.withColumn("part", F.pmod(F.xxhash64("doc_id"), parts).cast("int")).select("block", "part", F.lit(1).alias("mine"), "doc_id", "cls")
-    p = materialise(p.distinct(), "members")
-    heads = owners.select("block", "doc_id", "cls").distinct().join(p.select("block", "part").distinct(), "block").select("block", "part", F.lit(0).alias("mine"), "doc_id", "cls")
-    rows = p.unionByName(heads).join(texts, "doc_id").select("block", "part", "mine", "doc_id", "cls", "text")
-    found = rows.repartition(n, "block", "part").sortWithinPartitions("block", "part", "mine").mapInArrow(_compare(threshold), "a long, b long, similarity double")
-    return materialise(found.groupBy("a", "b").agg(F.max("similarity").alias("similarity")), "tested").select("a", "b")
+    p = members.withColumn("part", F.pmod(F.xxhash64("doc_id"), parts).cast("int"))
+    if owners is None:
+        heads = p.select("block", "part", F.lit(0).alias("mine"), F.col("block").alias("doc_id"), F.col("c").alias("cls")).distinct()
+    else:
+        heads = owners.select("block", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(0).alias("mine"), "doc_id", "cls")
+    rows = p.select("block", "part", F.lit(1).alias("mine"), "doc_id", "cls").unionByName(heads)
+    rows = texts.join(F.broadcast(rows) if members.count() <= SENT else rows, "doc_id").select("block", "part", "mine", "doc_id", "cls", "text")
+    found = rows.repartition(n, "block", "part").sortWithinPartitions("block", "part", "mine").mapInArrow(_compare(threshold), "a long, b long, similarity double").select("a", "b")
+    # a pair meets once in the block of its centre, but in many blocks of buckets
+    return materialise(found if owners is None else found.distinct(), "tested")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) of the nodes of links (a, b), by alternating large-star and small-star steps; root is the least node."""
-    edges, before = materialise(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"), None
-    with sized(links.sparkSession, edges.count()):
+    """(node, root) of the nodes of links (a, b; a written table), by alternating large-star and small-star steps; root is the least node.
+
+    A step makes no more edges than it gets, so that they needn't be freed of repeats, which would shuffle them once more."""
+    edges = links.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    with sized(links.sparkSession, links.count()):
         while True:
-            mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-            if mark == before:
-                nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")))
-                return materialise(nodes.groupBy("node").agg(F.min("root").alias("root")), "roots")
-            before = mark
             both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-            least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("met")), "least")
-            large = beside(both.where("v > u"), least, ["u"], "met").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-            down = materialise(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "down")
+            least = materialise(both.groupBy("u").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("met")), "least")
+            # done if each node has no lesser neighbour, or one neighbour alone: then all are roots, or beside theirs
+            if not least.where("low < u and low < high").count():
+                return least.select(F.col("u").alias("node"), F.least("low", "u").alias("root"))
+            large = beside(both.where("v > u"), least.select("u", F.least("low", "u").alias("m"), "met"), ["u"], "met")
+            down = materialise(large.select(F.col("v").alias("u"), F.col("m").alias("v")), "down")
             least = materialise(down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("met")), "least")
-            small = beside(down, least, ["u"], "met")
-            edges = materialise(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
+            small = beside(down, least, ["u"], "met").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            edges = materialise(small.unionByName(least.select("u", F.col("m").alias("v"))), "edges")
 
 
 def joined(roots: DataFrame, fresh: DataFrame) -> tuple[DataFrame, DataFrame]:
     """roots after further links, and the classes (root) that these have moved (to): only these are looked at."""
-    known = roots.select("node", "root")
+    roots = roots.select("node", "root")
+    known = _sent(roots)
     ends = fresh.select("a", "b").join(known.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(known.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
     ends = materialise(ends.select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb")), "ends")
     moved = components(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).where("node <> root").select(F.col("node").alias("root"), F.col("root").alias("to"))
     new = ends.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("ra").alias("root")), F.struct(F.col("b").alias("node"), F.col("rb").alias("root")))).alias("x")).select("x.*").distinct()
-    nodes = known.unionByName(new.join(known, "node", "left_anti"))
-    return materialise(nodes.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots"), moved
+    nodes = roots.unionByName(new.join(known, "node", "left_anti"))
+    return materialise(nodes.join(_sent(moved), "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots"), moved
 
 
 def _with_met(keyed: DataFrame) -> DataFrame:
@@ -214,12 +239,6 @@ def _with_met(keyed: DataFrame) -> DataFrame:
     return beside(keyed, sizes, ["key"], "met")
 
 
-def _shared(keyed: DataFrame) -> DataFrame:
-    """keyed without buckets of one."""
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("met")).where("met > 1").select("key")
-    return keyed.join(materialise(sizes, "sizes"), "key", "left_semi")
-
-
 def _stars(keyed: DataFrame) -> DataFrame:
     """key, doc_id, centre, met from keyed (key, doc_id, met): each bucket's texts beside its centre, the text that meets most others over all its buckets."""
     central = keyed.join(keyed.groupBy("doc_id").agg(F.sum("met").alias("central")), "doc_id")
@@ -232,13 +251,13 @@ def _classed(keyed: DataFrame, roots: DataFrame) -> DataFrame:
     """key, doc_id, cls of keyed (key, doc_id): cls is the class, the root of the text's links, or itself."""
     # a text's class is looked up once and not for each of its keys, of which it has no more than bands
     docs = keyed.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
-    known = docs.join(roots, docs["doc_id"] == roots["node"], "left").select("doc_id", F.coalesce("root", "doc_id").alias("cls"), "keys")
+    known = docs.join(_sent(roots), docs["doc_id"] == roots["node"], "left").select("doc_id", F.coalesce("root", "doc_id").alias("cls"), "keys")
     return known.select(F.explode("keys").alias("key"), "doc_id", "cls")
 
 
 def _moved(classed: DataFrame, moved: DataFrame) -> DataFrame:
     """classed after some of its classes have been joined."""
-    return classed.join(moved.select(F.col("root").alias("cls"), "to"), "cls", "left").withColumn("cls", F.coalesce("to", "cls")).select(*classed.columns)
+    return classed.join(_sent(moved.select(F.col("root").alias("cls"), "to")), "cls", "left").withColumn("cls", F.coalesce("to", "cls")).select(*classed.columns)
 
 
 def _open(classed: DataFrame) -> DataFrame:
@@ -258,15 +277,20 @@ def _still_open(rows: DataFrame) -> DataFrame:
 def _small(rows: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Links in buckets of SMALL texts or fewer: every pair of different classes, once however many buckets it shares."""
     few = rows.where(F.col("met") <= SMALL)
-    other = few.select("key", F.col("doc_id").alias("block"), F.col("cls").alias("c"))
-    pairs = few.join(other, "key").where("cls <> c and doc_id > block").select("block", "doc_id", "cls", "met", "c").distinct()
-    return verified(pairs, pairs.select("block", F.col("block").alias("doc_id"), F.col("c").alias("cls")), texts, threshold)
+    if few.isEmpty():
+        return few.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))
+    other = _sent(few.select("key", F.col("doc_id").alias("block"), F.col("cls").alias("c")))
+    pairs = few.join(other, "key").where("cls <> c and doc_id > block")
+    # the size matters in larger buckets only
+    pairs = materialise(pairs.select("block", "doc_id", "cls", F.lit(SMALL).alias("met"), "c").distinct(), "pairs")
+    return pairs.select(F.col("doc_id").alias("a"), F.col("block").alias("b")) if pairs.isEmpty() else verified(pairs, None, texts, threshold)
 
 
-def _steep_keys(rest: DataFrame, texts: DataFrame) -> DataFrame:
-    """Keys of the longer signature of the texts in rest."""
-    again = texts.join(rest.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text")
-    return again.mapInArrow(_sign_again, "doc_id long, bands array<long>").select("doc_id", F.explode(F.array_distinct("bands")).alias("key")).distinct()
+def _again(rest: DataFrame, texts: DataFrame) -> DataFrame:
+    """key, doc_id, cls of the longer signature of the texts in rest (doc_id, cls), whose classes go with them."""
+    ids = _sent(materialise(rest.select("doc_id", "cls").distinct(), "rest"))
+    signed = texts.join(ids, "doc_id").select("doc_id", "cls", "text").mapInArrow(_sign_again, "doc_id long, cls long, bands array<long>")
+    return signed.select(F.explode(F.array_distinct("bands")).alias("key"), "doc_id", "cls")
 
 
 def _blocks(rows: DataFrame, size: int) -> DataFrame:
@@ -274,8 +298,13 @@ def _blocks(rows: DataFrame, size: int) -> DataFrame:
     sizes = materialise(rows.groupBy("key", "cls").agg(F.count("*").alias("n")), "sizes")
     rank = F.row_number().over(Window.partitionBy("key").orderBy("n", "doc_id"))
     ranked = beside(rows, sizes, ["key", "cls"], "n").withColumn("rank", rank).where(F.col("rank") <= size)
-    number = F.floor((F.col("rank") - 1) / BLOCK)
-    return ranked.select("key", "doc_id", "cls", "met", F.xxhash64("key", number).alias("block"))
+    return ranked.select("key", "doc_id", "cls", "met", F.xxhash64("key", F.floor((F.col("rank") - 1) / BLOCK)).alias("block"))
+
+
+def _meeting(rows: DataFrame, size: int) -> DataFrame:
+    """block, doc_id, cls, met: each of rows (whole buckets of met rows) once for each of its bucket's blocks in _blocks."""
+    numbers = F.sequence(F.lit(0).cast("long"), F.floor((F.least("met", F.lit(size)) - 1) / BLOCK))
+    return rows.select("key", "doc_id", "cls", "met", F.explode(numbers).alias("number")).select(F.xxhash64("key", "number").alias("block"), "doc_id", "cls", "met")
 
 
 def links(keyed: DataFrame, texts: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -284,8 +313,8 @@ def links(keyed: DataFrame, texts: DataFrame, threshold: float) -> tuple[DataFra
     none = F.lit(None).cast("long").alias("cls")
     stars = materialise(_stars(keyed), "stars")
     # a text's stars may be of different sizes: the largest decides on the parts of all
-    pairs = materialise(stars.groupBy(F.col("centre").alias("block"), "doc_id").agg(F.max("met").alias("met")).select("block", "doc_id", none, "met"), "pairs")
-    found = verified(pairs, pairs.select("block", F.col("block").alias("doc_id"), none), texts, threshold)
+    pairs = materialise(stars.groupBy(F.col("centre").alias("block"), "doc_id").agg(F.max("met").alias("met")).select("block", "doc_id", none, "met", none.alias("c")), "pairs")
+    found = verified(pairs, None, texts, threshold)
     roots = components(found)
     # all pairs with the centre are settled, and a bucket whose texts are all like its centre is of one class
     rows = _open(_classed(stars.select("key", "doc_id"), roots))
@@ -300,14 +329,12 @@ def links(keyed: DataFrame, texts: DataFrame, threshold: float) -> tuple[DataFra
             if rows.isEmpty():
                 break
             if not longer:
-                rows, longer = _open(_classed(_shared(materialise(_steep_keys(rows, texts), "steep")), roots)), True
+                rows, longer = _open(_again(rows, texts)), True
                 continue
             # what is left are large buckets of the longer signature
             top = materialise(_blocks(rows, size), "blocks")
-            blocks = materialise(top.groupBy("key").agg(F.first("met").alias("met"), F.collect_set("block").alias("blocks")), "owners")
-            met = beside(rows.drop("met"), blocks, ["key"], "met").select("doc_id", "cls", "met", F.explode("blocks").alias("block"))
-            fresh = verified(met, top, texts, threshold)
-            rows, size = rows.join(top.select("key", "doc_id"), ["key", "doc_id"], "left_anti").select("key", "doc_id", "cls"), 4 * size
+            fresh = verified(materialise(_meeting(rows, size), "members"), top, texts, threshold)
+            rows, size = rows.join(_sent(top.select("key", "doc_id")), ["key", "doc_id"], "left_anti").select("key", "doc_id", "cls"), 4 * size
             if not fresh.isEmpty():
                 found, (roots, moved) = found.unionByName(fresh), joined(roots, fresh)
                 rows = _moved(rows, moved)
@@ -315,9 +342,8 @@ def links(keyed: DataFrame, texts: DataFrame, threshold: float) -> tuple[DataFra
     return found.distinct(), roots
 
 
-def _twins(signed: DataFrame, folded: DataFrame) -> DataFrame:
-    """Links (a, b) between the texts of documents whose id occurs with different texts."""
-    several = signed.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select("doc_id")
+def _twins(signed: DataFrame, folded: DataFrame, several: DataFrame) -> DataFrame:
+    """Links (a, b) between the texts of the documents in several, whose id occurs with different texts."""
     nodes = signed.select("doc_id", "digest").join(several, "doc_id").join(folded.select("digest", "text_id"), "digest")
     least = F.min("text_id").over(Window.partitionBy("doc_id"))
     return nodes.select(F.col("text_id").alias("a"), least.alias("b")).where("a <> b").distinct()
@@ -330,16 +356,21 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     signed = materialise(d.mapInArrow(_sign, "doc_id long, n_words long, digest binary, bands array<long>"), "signatures")
     with sized(spark, signed.count() * FIRST[0]):
         folded = materialise(signed.groupBy("digest").agg(F.min("doc_id").alias("text_id"), F.count("*").alias("copies"), F.first("n_words").alias("n_words"), F.first("bands").alias("bands")), "folded")
-        keyed = materialise(folded.where("n_words > 0").select(F.col("text_id").alias("doc_id"), F.explode(F.array_distinct("bands")).alias("key")).distinct(), "keys")
+        # an id with different texts can have a key twice, which does no harm: its bucket counts it twice
+        keyed = folded.where("n_words > 0").select(F.col("text_id").alias("doc_id"), F.explode(F.array_distinct("bands")).alias("key"))
         keyed = materialise(_with_met(keyed).select("key", "doc_id", "met"), "buckets")
         # ids are small beside texts: they are hashed, so that no text is sorted
         involved = d.repartition(partitions(spark), "doc_id").join(keyed.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi")
         found, roots = links(keyed, laid_out(involved, "doc_id", "texts", placed=True), threshold)
-        twins = materialise(_twins(signed, folded), "twins")
-        if not twins.isEmpty():
-            roots, _ = joined(roots, twins)
+        several = signed.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select("doc_id")
+        several = materialise(several, "several")
+        if not several.isEmpty():
+            twins = materialise(_twins(signed, folded, several), "twins")
+            if not twins.isEmpty():
+                roots, _ = joined(roots, twins)
         degree = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
         about = roots.join(degree, "node", "left")
+        about = F.broadcast(about) if roots.count() <= SENT else about
         known = folded.join(about, folded["text_id"] == about["node"], "left").select("digest", "copies", "text_id", F.coalesce("root", "text_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
         known = materialise(known, "classes")
     return beside(signed.drop("bands"), known, ["digest"], "copies").select("doc_id", "class_id", "text_id", "n_links")

@@ -513,6 +513,16 @@ def test_components(spark):
     assert got == {x: find(x) for x in root}
 
 
+def test_components_write_little(spark, monkeypatch):
+    """A hub above its leaves takes one step: five small tables, and no shuffle but by a node's number."""
+    made, write = [], near_dup.materialise
+    monkeypatch.setattr(near_dup, "materialise", lambda df, what: made.append((what, df._jdf.queryExecution().executedPlan().toString().count("Exchange hash"))) or write(df, what))
+    links = write(spark.createDataFrame([(500, i) for i in range(1, 400)] + [(500, 7), (900, 901), (3, 3)], "a long, b long"), "links")
+    got = {r["node"]: r["root"] for r in near_dup.components(links).collect()}
+    assert got == {i: 1 for i in [*range(1, 400), 500]} | {900: 900, 901: 900}
+    assert len(made) <= 5 and sum(n for _, n in made) <= 3, made
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     got = {r["doc_id"]: r for r in toxicity.op10_toxicity(spark, sf).collect()}
